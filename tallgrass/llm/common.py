@@ -66,3 +66,18 @@ def words_of(text: Column) -> Column:
 def partitions(spark: SparkSession, least: int = 1) -> int:
     """Shuffle partitions as the session sets them."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def store_of(uri: str):
+    """The file system of a URI and the path in it, for executors that write or read whole files."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def task_number() -> int:
+    """The number of the partition that this task makes."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    return context.partitionId() if context else 0
