@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm import mixing, repair, rules, simhash, tiling, warc
+from tallgrass.llm import html_blocks, knn, mixing, pii, repair, rules, simhash, suffix, tiling, warc
 from tallgrass.llm.common import table
 
 
@@ -18,6 +18,11 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.anonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.col("_n_entities").alias("n_entities"), F.array_join("_kinds", ",").alias("kinds"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = rules.judged(docs, table(spark, sf_dir, "labels"))
@@ -28,6 +33,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = knn.scored(docs, labels.filter(~knn.held_out(F.col("doc_id"))))
+    return found.select("doc_id", knn.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -48,17 +64,25 @@ def op8_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.encoded(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_quality_rules": op2_quality_rules,
+    "op3_knn_quality": op3_knn_quality,
+    "op4_html_blocks": op4_html_blocks,
     "op5_warc": op5_warc,
     "op6_string_tiling": op6_string_tiling,
     "op7_mixing": op7_mixing,
     "op8_repair_ids": op8_repair_ids,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
 }
 
