@@ -121,20 +121,19 @@ def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _chosen(keys: np.ndarray, counts: np.ndarray, most: int) -> list[int]:
     """The most frequent pairs whose replacements can't overlap: no symbol stands left in
-    one and right in another. A pair of equal symbols is taken alone."""
+    one and right in another, or in a pair of equal symbols and in any other."""
     left: set[int] = set()
     right: set[int] = set()
     out: list[int] = []
     for k in np.lexsort((keys, -counts.astype(np.int64))).tolist():
         a, b = int(keys[k]) >> 32, int(keys[k]) & 0xFFFFFFFF
-        if a == b:
-            if not out:
-                return [int(keys[k])]
-            continue
-        if a in right or b in left:
+        if a in right or b in left or (a == b and (a in left or b in right)):
             continue
         left.add(a)
         right.add(b)
+        if a == b:
+            left.add(b)
+            right.add(a)
         out.append(int(keys[k]))
         if len(out) == most:
             break
@@ -169,12 +168,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS
         near = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
         hit = wanted[near] == keys
         spots, near = spots[hit], near[hit]
-        if len(wanted) == 1 and int(wanted[0]) >> 32 == int(wanted[0]) & 0xFFFFFFFF:
-            # runs of one symbol: from each run's start, every other place
-            start = np.r_[True, spots[1:] != spots[:-1] + 1]
-            begun = np.maximum.accumulate(np.where(start, np.arange(len(spots)), 0))
-            even = (np.arange(len(spots)) - begun) % 2 == 0
-            spots, near = spots[even], near[even]
+        # a run of one symbol: from its start, every other place
+        start = np.r_[True, spots[1:] != spots[:-1] + 1]
+        begun = np.maximum.accumulate(np.where(start, np.arange(len(spots)), 0))
+        spots, near = (lambda even: (spots[even], near[even]))((np.arange(len(spots)) - begun) % 2 == 0)
         seq[spots] = (first + len(rules) + near).astype(np.uint32)
         last[spots] = last[spots + 1]
         keep = np.ones(len(seq), bool)
