@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import let, staged, words_of
+from tallgrass.llm.common import SPACES, let, staged, words_of
 
 ALPHA = 0.7
 
@@ -54,7 +54,7 @@ def keyword_model(
 
 
 def posteriors(words: Column, model: tuple[list[str], dict[str, float], dict[str, list[float]]], evidence: float = 12.0) -> Column:
-    """Posterior of each domain for an array of words.
+    """Posterior of each domain for an array of lower-case words.
 
     A long text's log likelihood is averaged and counted as ``evidence`` words, so that
     membership stays soft; a text without keywords has the prior.
@@ -64,12 +64,14 @@ def posteriors(words: Column, model: tuple[list[str], dict[str, float], dict[str
     spots = {w: k for k, w in enumerate(like)}
     flat = F.array(*[F.lit(float(x)) for w in like for x in like[w]]) if like else F.array().cast("array<double>")
     place = F.create_map(*[x for w, k in spots.items() for x in (F.lit(w), F.lit(k))]) if like else None
+    if not domains:
+        return F.array().cast("array<double>")
     zero = F.array(*[F.lit(0.0)] * size)
     base = F.array(*[F.lit(float(prior[d])) for d in domains])
     if not like:
         summed, n = zero, F.lit(0)
     else:
-        hits = F.filter(F.transform(words, F.lower), lambda w: w.isin(*spots))
+        hits = F.filter(words, lambda w: w.isin(*spots))
         # counts by keyword: equal words are adjacent once sorted, so each run is scored once
         runs = let(
             F.sort_array(hits),
@@ -96,15 +98,15 @@ def _dot(p: Column, g: Column) -> Column:
     return F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
 
 
-def rate_of(p: Column, steps: list[list[float]]) -> Column:
+def rate_of(p: Column, steps: list[list[float]], floor: float = 0.0) -> Column:
     """The rate of a document with posteriors ``p`` after the given gradient steps."""
     if not steps:
         return F.lit(1.0)
     past = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in steps])
-    return F.aggregate(past, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - _dot(p, g)))
+    return F.aggregate(past, F.lit(1.0), lambda r, g: F.greatest(F.lit(float(floor)), r - _dot(p, g)))
 
 
-def fit_rates(slim: DataFrame, targets: list[float], rounds: int = 30, tolerance: float = 1e-3) -> list[list[float]]:
+def fit_rates(slim: DataFrame, targets: list[float], floor: float = 0.0, rounds: int = 30, tolerance: float = 1e-3) -> list[list[float]]:
     """Gradient steps for ``slim(_p, _n)``: least squares of the domain totals against
     ``targets`` (tokens), each residual measured by the domain's size at rate one."""
     size = len(targets)
@@ -119,28 +121,43 @@ def fit_rates(slim: DataFrame, targets: list[float], rounds: int = 30, tolerance
         if max(abs(now[d] - targets[d]) / max(targets[d], 1e-9) for d in range(size)) < tolerance:
             break
         steps.append(error)
-        now = [float(x or 0.0) for x in slim.agg(*sums(rate_of(F.col("_p"), steps))).first()]
+        now = [float(x or 0.0) for x in slim.agg(*sums(rate_of(F.col("_p"), steps, floor))).first()]
     return steps
 
 
-def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, domain: str = "lang", alpha: float = ALPHA) -> tuple[DataFrame, list[str]]:
-    """``docs`` with ``_n`` (words), ``_p`` (posteriors, in the order of the domains
-    returned) and ``_rate``.
+def _membership(text: Column, model) -> Column:
+    """Number of words and posteriors of one text, which is split once."""
+    text = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+
+    def both(words):
+        # only the first and the last piece of a split can be empty
+        n = F.size(words) - (F.get(words, F.lit(0)) == "").cast("int") - ((F.size(words) > 1) & (F.element_at(words, -1) == "")).cast("int")
+        return F.struct(n.cast("long").alias("n"), posteriors(words, model).alias("p"))
+
+    return let(F.split(text, SPACES), both)
+
+
+def mixed(
+    docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, domain: str = "lang", alpha: float = ALPHA, keep_text: bool = True, floor: float = 0.0
+) -> tuple[DataFrame, list[str]]:
+    """``docs`` (with ``keep_text`` off, without ``text``) with ``_n`` (words), ``_p``
+    (posteriors, in the order of the domains returned) and ``_rate``.
 
     ``weights`` are target shares of the token total by domain; by default shares are
     the expected ones to the power ``alpha``, which lifts small domains. The total is
-    set so that no domain has to shrink: rates say how often a document is taken, and
-    clean documents aren't thinned out. Null and empty texts have no tokens and the
-    prior's posteriors; repeated rows and null ids are rows like any other; with no
-    labelled rows each rate is 1 and ``_p`` is empty. Columns of the input stay.
+    set so that no domain has to shrink, and no rate goes below ``floor``: rates say how
+    often a document is taken. Null and empty texts have no tokens and the prior's
+    posteriors; repeated rows and null ids are rows like any other; with no labelled
+    rows each rate is 1 and ``_p`` is empty. Columns of the input stay.
     """
     model = keyword_model(docs, labels, domain)
     domains = model[0]
+    marked = docs.withColumn("_m", _membership(F.col("text"), model))
+    marked = marked.withColumn("_n", F.col("_m.n")).withColumn("_p", F.col("_m.p")).drop("_m", *([] if keep_text else ["text"]))
+    marked = staged(marked, "memberships")  # texts are split and scored once
     if not domains:
-        return docs.withColumn("_n", F.size(words_of(F.col("text"))).cast("long")).withColumn("_p", F.array().cast("array<double>")).withColumn("_rate", F.lit(1.0)), []
-    words = words_of(F.col("text").cast("string"))
-    marked = docs.withColumn("_n", F.size(words).cast("long")).withColumn("_p", posteriors(words, model))
-    slim = staged(marked.select("_n", "_p"), "memberships")
+        return marked.withColumn("_rate", F.lit(1.0)), []
+    slim = marked.select("_n", "_p")
     have = slim.agg(*[F.sum(F.col("_n") * F.get("_p", F.lit(d))) for d in range(len(domains))]).first()
     have = [float(x or 0.0) for x in have]
     share = [float((weights or {}).get(d, 0.0)) for d in domains] if weights else [x**alpha for x in have]
@@ -148,14 +165,16 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
         return marked.withColumn("_rate", F.lit(1.0)), domains
     share = [x / sum(share) for x in share]
     whole = max((h / s for h, s in zip(have, share, strict=True) if s), default=sum(have))
-    steps = fit_rates(slim, [whole * s for s in share])
-    return marked.withColumn("_rate", rate_of(F.col("_p"), steps)), domains
+    steps = fit_rates(slim, [whole * s for s in share], floor)
+    return marked.withColumn("_rate", rate_of(F.col("_p"), steps, floor)), domains
 
 
 def taken(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """``docs`` with each row repeated as its rate says: the whole part, and one more if a
-    hash of the row falls below the fraction. Columns as given."""
-    rated, _ = mixed(docs, labels, **how)
+    hash of the row falls below the fraction. No rate goes below 1, so no document is
+    thinned out. Columns as given."""
+    rated, _ = mixed(docs, labels, floor=1.0, **how)
     chance = F.pmod(F.xxhash64(F.lit("take"), *[F.col(c) for c in docs.columns if c != "text"]), F.lit(1 << 30)) / float(1 << 30)
-    copies = (F.floor("_rate") + (chance < F.col("_rate") - F.floor("_rate")).cast("int")).cast("int")
-    return rated.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = let(F.col("_rate"), lambda r: (F.floor(r) + (chance < r - F.floor(r)).cast("int")).cast("int"))
+    # a rate is computed once: no filter on it that Spark would push below the repetition
+    return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), copies))).select(*docs.columns)

@@ -54,7 +54,7 @@ def op6_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated, domains = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    rated, domains = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"), keep_text=False)
     return rated.select(
         "doc_id", F.col("_n").alias("n_tokens"), *[F.get("_p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)], F.col("_rate").alias("rate")
     )
