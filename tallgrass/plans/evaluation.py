@@ -73,12 +73,12 @@ def nw_csr_simplified(spark, d):
     return x.agg(F.count("*").alias("n"), at(1).alias("top1"), at(3).alias("top3"), at(5).alias("top5"), F.round(F.sum(F.when(F.col("rank") <= 3, F.length("word")).otherwise(0)) / F.sum(F.length("word") + 1), 6).alias("csr"))
 
 
-@query("morphacc_semijoin", f"WITH {PAIRS}, t AS (SELECT prev, list_distinct(list(left(word, 2))) AS valid FROM pairs GROUP BY prev), h AS (SELECT t.prev, min(CASE WHEN len(list_filter(valid, lambda s: starts_with(g.word, s))) > 0 THEN g.rank END) AS first_rank, sum(g.prob) AS mass FROM t JOIN pred g ON t.prev = g.prev GROUP BY t.prev) SELECT prev, CAST(first_rank AS INTEGER) AS first_rank, round(mass, 4) AS mass FROM h")
+@query("morphacc_semijoin", f"WITH {PAIRS}, t AS (SELECT prev, list_distinct(list(left(word, 2))) AS valid FROM pairs GROUP BY prev), h AS (SELECT t.prev, min(CASE WHEN len(list_filter(valid, lambda s: starts_with(g.word, s))) > 0 THEN g.rank END) AS first_rank, sum(g.prob) AS mass FROM t JOIN pred g ON t.prev = g.prev GROUP BY t.prev) SELECT prev, CAST(first_rank AS INTEGER) AS first_rank, round(mass, 6) AS mass FROM h")
 def morphacc_semijoin(spark, d):
     p = _pairs(spark, d)
     valid = p.groupBy("prev").agg(F.collect_set(F.left("word", F.lit(2))).alias("valid"))
     x = metrics.bigram_predictions(p).join(valid, "prev").withColumn("hit", F.exists("valid", lambda s: F.col("word").startswith(s)))
-    return x.groupBy("prev").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("first_rank"), F.round(F.sum("prob"), 4).alias("mass"))
+    return x.groupBy("prev").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("first_rank"), F.round(F.sum("prob"), 6).alias("mass"))
 
 
 @query("paradigm_rank", f"WITH {PAIRS}, roots AS (SELECT DISTINCT prev FROM pred WHERE length(prev) > 6), k AS (SELECT unnest(['th', 'er', 'an', 'in']) AS suffix), b AS (SELECT r.prev, k.suffix, max(g.prob) AS best FROM roots r CROSS JOIN k JOIN pred g ON g.prev = r.prev AND starts_with(g.word, k.suffix) GROUP BY ALL) SELECT b.prev, b.suffix, CAST(1 + (SELECT count(*) FROM pred g WHERE g.prev = b.prev AND g.prob > b.best) AS BIGINT) AS rank FROM b")
