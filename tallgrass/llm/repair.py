@@ -33,6 +33,7 @@ ROUNDS = 12
 PAIRS_A_ROUND = 512
 LEAST_COUNT = 12
 _HEAD = 4 + 6 * 8
+_MARKS = ".,;:!?*$%&#|"
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -43,7 +44,7 @@ class Encoder:
     two non-spaces, so chunks cut there are encoded one by one with equal results.
     """
 
-    def __init__(self, path: str, memo: int = 300_000, longest: int = 48):
+    def __init__(self, path: str, memo: int = 800_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,16 +53,45 @@ class Encoder:
         self.memo, self.longest = memo, longest
         self.head: dict[str, bytes] = {}  # chunks at a text's start
         self.rest: dict[str, bytes] = {}  # chunks after a space
-
-    def _fill(self, known: dict[str, bytes], wanted: set[str], before: str) -> dict[str, bytes]:
-        new = [w for w in wanted if w not in known]
-        found = self.tokenizer.encode_batch_fast([before + w for w in new], add_special_tokens=False)
-        got = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, found, strict=True)}
-        if len(known) + len(got) > self.memo:
-            got |= {w: known[w] for w in wanted if w in known}
+        self.tails: dict[str, bytes] = {}  # marks after letters
+        words = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(words.values()) + 1, bool)
+        self.spaced[[i for w, i in words.items() if w[0] == "\u0120"]] = True  # the byte-level alphabet's space
+
+    def _fill(self, known: dict[str, bytes], wanted: set[str], before: str) -> list[str]:
+        """Makes ``known`` hold every wanted chunk; returns those too long to keep."""
+        if len(known) + len(wanted) > self.memo:
             known.clear()
-        known.update((w, x) for w, x in got.items() if len(w) <= self.longest)
-        return {w: x for w, x in got.items() if len(w) > self.longest or w not in known}
+        new = [w for w in wanted if w not in known]
+        # letters, then marks: always two tokens or more, cut between the two
+        cut = {w: stem for w in new if (stem := w.rstrip(_MARKS)) != w and stem.isalpha()}
+        stems = {x for x in cut.values() if x not in known}
+        whole = [w for w in {*(w for w in new if w not in cut), *stems}]
+        known.update(zip(whole, self._ids([before + w for w in whole]), strict=True))
+        tails = [t for t in {w[len(x) :] for w, x in cut.items()} if t not in self.tails]
+        self.tails.update(zip(tails, self._ids(tails), strict=True))
+        known.update((w, known[x] + self.tails[w[len(x) :]]) for w, x in cut.items())
+        if len(self.tails) > 50_000:
+            self.tails.clear()
+        return [w for w in {*new, *stems} if len(w) > self.longest]
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk. Those that are a space and then no white space are encoded as one
+        text: a token there begins with a space just where a chunk does."""
+        plain = [c for c in chunks if c[:1] == " " and c.split() == [c[1:]]]
+        out: dict[str, bytes] = {}
+        for k in range(0, len(plain), 4096):
+            part = plain[k : k + 4096]
+            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.spaced[ids])
+            if len(cuts) != len(part):
+                raise ValueError("tokens don't follow the chunks")
+            data, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
+            out.update(zip(part, (data[i:j] for i, j in zip((4 * cuts).tolist(), ends, strict=True)), strict=True))
+        rest = [c for c in chunks if c not in out]
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        out.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(rest, found, strict=True))
+        return [out[c] for c in chunks]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes."""
@@ -77,25 +107,17 @@ class Encoder:
         return out + self._encode(part)
 
     def _encode(self, part: list[list[str]]) -> list[bytes]:
-        long_head = self._fill(self.head, {x[0] for x in part}, "")
         wanted: set[str] = set()
         for x in part:
             wanted.update(x[1:])
+        long_head = self._fill(self.head, {x[0] for x in part}, "")
         long_rest = self._fill(self.rest, wanted, " ")
-        head = {**self.head, **long_head} if long_head else self.head
-        rest = _Both(self.rest, long_rest) if long_rest else self.rest
-        return [head[x[0]] + b"".join(map(rest.__getitem__, x[1:])) for x in part]
-
-
-class _Both(dict):
-    """A small dict in front of a large one."""
-
-    def __init__(self, large: dict, small: dict):
-        super().__init__(small)
-        self.large = large
-
-    def __missing__(self, key):
-        return self.large[key]
+        out = [self.head[x[0]] + b"".join(map(self.rest.__getitem__, x[1:])) for x in part]
+        for w in long_head:
+            del self.head[w]
+        for w in long_rest:
+            del self.rest[w]
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
