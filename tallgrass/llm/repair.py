@@ -13,6 +13,7 @@ rules uint32 (rules x 2), expansion length uint32 (rules), symbols.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,56 +35,80 @@ ROUNDS = 12
 PAIRS_A_ROUND = 512
 LEAST_COUNT = 12
 _HEAD = 4 + 6 * 8
-_MARKS = ".,;:!?*$%&#|"
-_SPLIT = re.compile(r"(?<=\S) (?=\S)")
+_PLAIN = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch  # letters in every version of Unicode
+
+
+def _byte_alphabet() -> np.ndarray:
+    """Byte-level BPE writes printable Latin-1 bytes as themselves and numbers the others from
+    256: the UTF-16 unit of each byte."""
+    units = np.arange(256)
+    odd = (units < 0x21) | ((units > 0x7E) & (units < 0xA1)) | (units == 0xAD)
+    return np.where(odd, 255 + np.cumsum(odd), units).astype("<u2")
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 bytes where a byte-level pre-token surely ends and another begins.
+
+    They are: after a letter, before an ASCII byte that is none; before a single space, and
+    on both sides of a single line feed, that stand between characters that are no white
+    space. A place that these rules leave out only makes a chunk longer.
+    """
+    ascii_letter = np.zeros(256, bool)
+    ascii_letter[np.r_[65:91, 97:123]] = True
+    latin = np.zeros(256, bool)  # second bytes of Latin-1 letters
+    latin[np.r_[0x80:0x97, 0x98:0xB7, 0xB8:0xC0]] = True
+    starts = np.zeros(256, bool)  # first bytes of characters that are never white space
+    starts[np.r_[0x21:0x80, 0xC3:0xE1, 0xE4:0x100]] = True
+    letter = ascii_letter[data]
+    ended = letter.copy()
+    ended[1:] |= (data[:-1] == 0xC3) & latin[data[1:]]
+    solid = data >= 0x21  # the last byte of a character that is no white space
+    solid[1:] &= ~((data[:-1] == 0xC2) & (data[1:] >= 0x80))
+    solid[2:] &= ~((data[:-2] >= 0xE1) & (data[:-2] <= 0xE3) & (data[2:] >= 0x80))
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = ended[:-1] & (data[1:] < 0x80) & ~letter[1:]
+    between = solid[:-2] & starts[data[2:]]
+    cut[1:-2] |= between & ((data[1:-1] == 0x20) | (data[1:-1] == 0x0A))
+    cut[2:-1] |= between & (data[1:-1] == 0x0A)
+    return cut[:-1]
 
 
 class Encoder:
-    """A tokenizers file with a bounded memo of space-separated chunks.
+    """A byte-level BPE file of the tokenizers library with a bounded memo of chunks.
 
-    Byte-level pre-tokenisation always starts a new token at a single space between
-    two non-spaces, so chunks cut there are encoded one by one with equal results.
+    Texts are cut where pre-tokens end (``_cuts``); each distinct chunk of a block is encoded
+    once and the ids are gathered, so results equal those of whole texts. Files with another
+    kind of pre-tokenisation are applied to whole texts.
     """
 
-    def __init__(self, path: str, memo: int = 800_000, longest: int = 48):
+    def __init__(self, path: str, memo: int = 800_000, longest: int = 48, block: int = 8_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo, self.longest = memo, longest
-        self.head: dict[str, bytes] = {}  # chunks at a text's start
-        self.rest: dict[str, bytes] = {}  # chunks after a space
-        self.tails: dict[str, bytes] = {}  # marks after letters
+        self.memo, self.longest, self.block = memo, longest, block
+        self.known: dict[str, bytes] = {}
         words = self.tokenizer.get_vocab()
+        self.alphabet = _byte_alphabet()
+        space = chr(self.alphabet[0x20])
         self.spaced = np.zeros(max(words.values()) + 1, bool)
-        self.spaced[[i for w, i in words.items() if w[0] == "\u0120"]] = True  # the byte-level alphabet's space
-
-    def _fill(self, known: dict[str, bytes], wanted: set[str], before: str) -> list[str]:
-        """Makes ``known`` hold every wanted chunk; returns those too long to keep."""
-        if len(known) + len(wanted) > self.memo:
-            known.clear()
-        new = [w for w in wanted if w not in known]
-        # letters, then marks: always two tokens or more, cut between the two
-        cut = {w: stem for w in new if (stem := w.rstrip(_MARKS)) != w and stem.isalpha()}
-        stems = {x for x in cut.values() if x not in known}
-        whole = [w for w in {*(w for w in new if w not in cut), *stems}]
-        known.update(zip(whole, self._ids([before + w for w in whole]), strict=True))
-        tails = [t for t in {w[len(x) :] for w, x in cut.items()} if t not in self.tails]
-        self.tails.update(zip(tails, self._ids(tails), strict=True))
-        known.update((w, known[x] + self.tails[w[len(x) :]]) for w, x in cut.items())
-        if len(self.tails) > 50_000:
-            self.tails.clear()
-        return [w for w in {*new, *stems} if len(w) > self.longest]
+        self.spaced[[i for w, i in words.items() if w[0] == space]] = True
+        kind = json.loads(self.tokenizer.to_str())
+        before = kind["pre_tokenizer"] or {}
+        self.cuttable = (before.get("type"), before.get("add_prefix_space"), before.get("use_regex"), kind["normalizer"]) == ("ByteLevel", False, True, None)
+        self.bare = Tokenizer(self.tokenizer.model)  # for words already in the byte alphabet
+        self.bare.pre_tokenizer = pre_tokenizers.Split(space, "merged_with_next")
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk. Those that are a space and then no white space are encoded as one
-        text: a token there begins with a space just where a chunk does."""
-        plain = [c for c in chunks if c[:1] == " " and c.split() == [c[1:]]]
+        """Ids of each chunk. A space and letters are one pre-token, so such chunks are joined
+        and go straight to the merges: a token there begins with a space just where a chunk does."""
         out: dict[str, bytes] = {}
+        plain = [c for c in chunks if _PLAIN(c)]
         for k in range(0, len(plain), 4096):
             part = plain[k : k + 4096]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, "<u4")
+            text = self.alphabet[np.frombuffer("".join(part).encode(), np.uint8)].tobytes().decode("utf-16-le")
+            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.spaced[ids])
             if len(cuts) != len(part):
                 raise ValueError("tokens don't follow the chunks")
@@ -93,32 +119,51 @@ class Encoder:
         out.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(rest, found, strict=True))
         return [out[c] for c in chunks]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian uint32 bytes."""
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian uint32 bytes; null is empty."""
+        column = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()), "")
+        if not len(column):
+            return []
+        if not self.cuttable:
+            return self._ids(column.to_pylist())
+        _, places, data = column.buffers()
+        places = np.frombuffer(places, np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
         out: list[bytes] = []
-        part: list[list[str]] = []
-        size = 0
-        for text in texts:
-            part.append(_SPLIT.split(text or ""))
-            size += len(text or "")
-            if size > 1_000_000:
-                out += self._encode(part)
-                part, size = [], 0
-        return out + self._encode(part)
-
-    def _encode(self, part: list[list[str]]) -> list[bytes]:
-        wanted: set[str] = set()
-        for x in part:
-            wanted.update(x[1:])
-        long_head = self._fill(self.head, {x[0] for x in part}, "")
-        long_rest = self._fill(self.rest, wanted, " ")
-        out = [self.head[x[0]] + b"".join(map(self.rest.__getitem__, x[1:])) for x in part]
-        for w in long_head:
-            del self.head[w]
-        for w in long_rest:
-            del self.rest[w]
+        k = 0
+        while k < len(column):  # blocks of whole texts; a longer text is a block by itself
+            end = max(k + 1, int(np.searchsorted(places, places[k] + self.block, "right")) - 1)
+            out += self._block(data[places[k] : places[end]], places[k : end + 1] - places[k])
+            k = end
         return out
 
+    def _block(self, data: np.ndarray, places: np.ndarray) -> list[bytes]:
+        if not len(data):
+            return [b""] * (len(places) - 1)
+        cut = _cuts(data)
+        cut[places[:-1][places[:-1] < len(data)]] = True
+        starts = np.flatnonzero(cut)
+        bounds = np.r_[starts, len(data)]
+        chunks = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        words = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) + len(words) > self.memo:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        self.known.update(zip(new, self._ids(new), strict=True))
+        found = [self.known[w] for w in words]
+        for w in new:
+            if len(w) > self.longest:
+                del self.known[w]
+        flat = np.frombuffer(b"".join(found), "<u4")
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = chunks.indices.to_numpy()
+        n = length[which]
+        ends = np.r_[0, np.cumsum(n)]
+        shift = (np.cumsum(length) - length)[which] - ends[:-1]
+        ids = flat[np.repeat(shift, n) + np.arange(ends[-1])].tobytes()
+        at = (4 * ends[np.searchsorted(starts, places)]).tolist()
+        return [ids[i:j] for i, j in zip(at, at[1:])]
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -319,7 +364,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out: str | None = None, s
             return row
 
         for batch in batches:
-            for doc_id, found in zip(batch.column(0).to_pylist(), encode.encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, found in zip(batch.column(0).to_pylist(), encode.encode(batch.column(1)), strict=True):
                 ids.append(doc_id)
                 parts.append(found + end)
                 size += len(found) + 4
