@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -228,6 +229,19 @@ def test_token_ids_against_the_tokenizer(spark, documents, odd, nothing):
     assert repair.encoded(odd, tokenizer_path()).count() == odd.count()
 
 
+def test_chunked_encoding_equals_whole_texts():
+    pieces = [*"ab zZ  \n\n\t.,'’stredlm123-_é×÷ñ日本ß́\r\x7f\x1c\x00\x85\xa0\u1680\u2003\u2028\u202f\u3000🎉", "'s", "'ll", " word", " über", "<|endoftext|>"]
+    rnd, encoder = random.Random(3), repair.Encoder(tokenizer_path(), memo=3000)
+    for _ in range(30):
+        encoder.block = rnd.choice([1, 50, 8_000_000])
+        texts = [None if rnd.random() < 0.05 else "".join(rnd.choices(pieces, k=rnd.choice([0, 1, 2, 3, 8, 40, 300]))) for _ in range(150)]
+        want = encoder.tokenizer.encode_batch([x or "" for x in texts], add_special_tokens=False)
+        assert encoder.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in want]
+    assert encoder.encode([]) == []
+    column = pa.array(["a b", "x", None, "cc dd"])
+    assert encoder.encode(column.slice(1)) == encoder.encode(column.to_pylist())[1:]
+
+
 def test_repair_round_trip_and_random_access():
     rnd = random.Random(2)
     base = [rnd.randrange(300) for _ in range(9)]
