@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Each step is a grouped minimum (which combines map-side, so a hub costs no single
-task) and an equi-join that Spark may split when a hub is skewed. Every round is
+task) and an equi-join. The minima are a table of their own, for Spark splits a hub's
+rows only where the join meets no aggregate. Every round is
 written to the shared folder; nothing but two numbers a round reaches the driver.
 """
 
@@ -19,13 +20,13 @@ def _both(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     near = _both(edges)
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = staged(near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
     return near.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = staged(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     return (
         down.join(least, "a")
         .select(F.col("b").alias("a"), F.col("m").alias("b"))
