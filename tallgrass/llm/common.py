@@ -34,15 +34,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there, and
-    a lost executor costs a re-read rather than a recomputation."""
+    a lost executor costs a re-read rather than a recomputation. The folder's path
+    goes to ``paths``, for those who ``discard`` it."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes staged tables that no later table or result reads."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the Arrow batches that carry whole texts into Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -2,12 +2,13 @@
 
 A byte goes if some ``length``-byte string that covers it starts anywhere else too.
 
-1. Texts are reduced to distinct ones by digest. In each, every window of ``length``
+1. Texts are told apart by digest, and one row stands for equal ones. In each, every window of ``length``
    bytes has an anchor: its first least-hashed ``anchor``-byte string. Equal windows have
    equal anchors at equal offsets, so windows of an anchor that occurs once are unique.
 2. The stretches of text under anchors that recur meet by anchor. A stretch is sent once
    for each anchor; an anchor with very many places is cut into sub-blocks of windows
    keyed by the bytes that all of them share, so that no anchor is one task's work.
+   A stretch that a task meets again is not sent again: all of its windows are repeated.
 3. Among stretches that meet, identical ones are folded; the different ones are suffix
    sorted by the difference-cover algorithm (sort sampled triples, recurse on their
    names, merge the remaining suffixes), and adjacent prefixes are compared byte by byte.
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import small_batches, staged
+from tallgrass.llm.common import discard, small_batches, staged
 
 LENGTH = 400
 ANCHOR = 128
@@ -33,6 +34,8 @@ ANCHOR = 128
 MANY, SUB_BLOCK = 512, 32
 #: Bytes of stretches that are suffix sorted at a time.
 SORT_BYTES = 1_000_000
+#: Digests of stretches that a task remembers, to send a stretch that it meets again only once.
+REMEMBERED = 200_000
 
 
 def windows_hash(data: np.ndarray, size: int) -> np.ndarray:
@@ -158,10 +161,12 @@ def _runs(first: int, flags: np.ndarray) -> Iterator[tuple[int, int]]:
         yield first + a, first + b - 1
 
 
-def _fold(groups: Iterator[list[tuple[bytes, bytes, int, int]]], length: int) -> Iterator[tuple[bytes, int, int]]:
-    """Runs ``(text key, first, last)`` of repeated window starts, from groups of stretches
-    ``(bytes, text key, first window start, number of window starts)`` under one key."""
-    held: list[tuple[bytes, list[tuple[bytes, int]], int]] = []
+def _fold(rows: Iterator[tuple[int, bytes, int, int, bytes | None]], length: int) -> Iterator[tuple[bytes, int, int]]:
+    """Runs ``(text key, first, last)`` of repeated window starts, from rows ``(group key,
+    text key, first window start, number of window starts, stretch)`` ordered by group.
+    A row without a stretch is known to be repeated. Of a group, only its different
+    stretches are held, each with the one place that it has been seen at."""
+    held: list[tuple[bytes, tuple[bytes, int] | None, int]] = []
     size = 0
 
     def sort() -> Iterator[tuple[bytes, int, int]]:
@@ -169,96 +174,116 @@ def _fold(groups: Iterator[list[tuple[bytes, bytes, int, int]]], length: int) ->
         offset = np.r_[0, np.cumsum([len(x[0]) for x in held])[:-1]]
         starts = np.concatenate([o + np.arange(x[2]) for o, x in zip(offset, held, strict=True)])
         hits = np.split(repeated_starts(data, starts, length), np.cumsum([x[2] for x in held])[:-1])
-        for (_, places, _), flags in zip(held, hits, strict=True):
-            for key, first in places:
-                for a, b in _runs(first, flags):
-                    yield key, a, b
-
-    for group in groups:
-        distinct: dict[bytes, list[tuple[bytes, int]]] = {}
-        for stretch, key, first, _ in group:
-            distinct.setdefault(stretch, []).append((key, first))
-        if len(group) < 2:
-            continue
-        several = len(distinct) > 1
-        for stretch, places in distinct.items():
-            count = len(stretch) - length + 1
-            if len(places) > 1:
-                for key, first in places:
-                    yield key, first, first + count - 1
-                if several:
-                    held.append((stretch, [], count))
-                    size += len(stretch)
-            elif several:
-                held.append((stretch, places, count))
-                size += len(stretch)
+        for (_, place, _), flags in zip(held, hits, strict=True):
+            if place is not None:
+                for a, b in _runs(place[1], flags):
+                    yield place[0], a, b
+
+    def close() -> Iterator[tuple[bytes, int, int]]:
+        nonlocal held, size
+        if len(distinct) > 1:
+            held += [(stretch, place, len(stretch) - length + 1) for stretch, place in distinct.items()]
+            size += sum(map(len, distinct))
         if size > SORT_BYTES:
             yield from sort()
             held, size = [], 0
+
+    distinct: dict[bytes, tuple[bytes, int] | None] = {}  # None: met more than once
+    g_now = None
+    for g, key, first, n, stretch in rows:
+        if stretch is None:
+            yield key, first, first + n - 1
+            continue
+        if g != g_now:
+            yield from close()
+            g_now, distinct = g, {}
+        if stretch in distinct:
+            yield key, first, first + n - 1
+            if (place := distinct[stretch]) is not None:
+                yield place[0], place[1], place[1] + n - 1
+                distinct[stretch] = None
+        else:
+            distinct[stretch] = (key, first)
+    yield from close()
     if held:
         yield from sort()
 
 
-def repeated_runs(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """``key, runs`` for ``texts(key binary, data binary)`` (one row a distinct text): the
-    runs of window starts whose string starts elsewhere too, in this or another text."""
+def repeated_runs(rows: DataFrame, again: DataFrame, twice: bool, paths: list[str], length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+    """``key, runs`` for ``rows(doc_id, key, data)``: the runs of window starts whose string
+    starts elsewhere too, in this or another text, of each distinct text (by its ``key``).
+
+    Of the texts of ``again(key, rep)``, which several rows hold, the row of id ``rep``
+    stands for all; ``twice`` says that several rows may have both the text and that id.
+    Anchors are found where the rows are read, so that texts are dealt out only once.
+    """
 
     def mark(batches):
         for batch in batches:
-            rows = []
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h, p, s, e = anchors(data, length, anchor)
-                rows.append((key, h.view(np.int64), p, s, e))
-            reps = [len(r[1]) for r in rows]
-            keys = pa.array([r[0] for r in rows], pa.binary()).take(pa.array(np.repeat(np.arange(len(rows)), reps)))
-            cols = [np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, np.int64) for k in (1, 2, 3, 4)]
-            yield pa.RecordBatch.from_arrays([keys, *(pa.array(c.astype(t)) for c, t in zip(cols, ("i8", "i4", "i4", "i4"), strict=True))], names=["key", "h", "p", "s", "e"])
-
-    marked = staged(texts.select("key", "data").mapInArrow(mark, "key binary, h long, p int, s int, e int"), "anchors")
-    often = marked.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+            found = [anchors(data, length, anchor) for data in batch.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x[1]) for x in found]).astype("i8"))
+            cols = [np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.uint64 if k == 0 else np.int64) for k in range(4)]
+            cols = [cols[0].view(np.int64), *(c.astype("i4") for c in cols[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, cols)], names=["doc_id", "key", "h", "p", "s", "e"])
+
+    one = again.withColumn("several", F.lit(True))
+    stands = F.expr("several IS NULL OR doc_id <=> rep")
+    marked = rows.select("doc_id", "key", "data").mapInArrow(mark, "doc_id long, key binary, h long, p int, s int, e int")
+    marked = staged(marked, "anchors", paths).join(one, "key", "left").filter(stands).select("key", "h", "p", "s", "e")
+    if twice:
+        marked = marked.dropDuplicates(["key", "p"])
+    # A table of its own, so that the join meets no aggregate and Spark can split the places of a hot anchor.
+    often = staged(marked.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "recurring-anchors", paths)
     spans = marked.join(often, "h").groupBy("key").agg(F.collect_list(F.struct("h", "p", "s", "e", (F.col("n") > MANY).alias("many"))).alias("spans"))
+    spans = spans.join(one, "key", "left")
 
     def cut(batches):
+        met: dict[int, tuple | None] = {}
         for batch in batches:
             out: tuple[list, list, list, list, list] = ([], [], [], [], [])
             size = 0
             for key, data, spans in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 for x in spans:
                     for g, s, e in _stretches(data, x, length):
-                        for col, v in zip(out, (g, key, s, e - s + 1, data[s : e + length]), strict=True):
-                            col.append(v)
-                        size += e - s + length
+                        stretch = data[s : e + length]
+                        digest, row = xxhash.xxh3_128_intdigest(stretch, g & 0xFFFFFFFF), (g, key, s, e - s + 1, stretch)
+                        if digest in met:
+                            again = [row, met[digest]] if met[digest] else [row]
+                            met[digest] = None
+                            for _, k, first, n, _ in again:  # dealt by text: these need no meeting
+                                known = (xxhash.xxh64_intdigest(k, first) >> 1, k, first, n, None)
+                                for col, v in zip(out, known, strict=True):
+                                    col.append(v)
+                        else:
+                            if len(met) == REMEMBERED:
+                                met.clear()
+                            met[digest] = (g, key, s, e - s + 1, None)
+                            for col, v in zip(out, row, strict=True):
+                                col.append(v)
+                            size += len(stretch)
                 if size > 4_000_000:
                     yield _stretch_batch(out)
                     out, size = ([], [], [], [], []), 0
             yield _stretch_batch(out)
 
     schema = "g long, key binary, s int, n int, stretch binary"
-    stretches = texts.join(spans, "key").select("key", "data", "spans").mapInArrow(cut, schema)
+    joined = rows.join(spans, "key").filter(stands).select("key", "data", "spans")
+    if twice:
+        joined = joined.dropDuplicates(["key"])
+    joined = joined.sortWithinPartitions("key")  # a task that runs again folds the same stretches
+    stretches = joined.mapInArrow(cut, schema)
 
     def sort(batches):
-        def groups():
-            held: list = []
-            g_now = None
-            for batch in batches:
-                for g, key, s, n, stretch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if g != g_now and held:
-                        yield held
-                        held = []
-                    g_now = g
-                    held.append((stretch, key, s, n))
-            if held:
-                yield held
-
-        rows: list = []
-        for row in _fold(groups(), length):
-            rows.append(row)
-            if len(rows) == 20_000:
-                yield _run_batch(rows)
-                rows = []
-        yield _run_batch(rows)
-
-    small_batches(texts.sparkSession)
+        dealt = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        out: list = []
+        for row in _fold(dealt, length):
+            out.append(row)
+            if len(out) == 20_000:
+                yield _run_batch(out)
+                out = []
+        yield _run_batch(out)
+
+    small_batches(rows.sparkSession)
     runs = stretches.repartition("g").sortWithinPartitions("g").mapInArrow(sort, "key binary, a int, b int")
     return runs.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
 
@@ -308,18 +333,13 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, wi
     small_batches(docs.sparkSession)
     data = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     rows = docs.select(F.col("doc_id").cast("long"), data.alias("data")).withColumn("key", F.unhex(F.substring(F.sha2("data", 256), 1, 32)))
-    slim = staged(rows.select("doc_id", "key", F.octet_length("data").alias("n")).filter(F.col("n") >= length), "text-digests")
-    reps = slim.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    # one row a distinct text: the one with the smallest doc_id (rows that repeat it whole are folded)
-    texts = rows.withColumnRenamed("doc_id", "rep").filter(F.octet_length("data") >= length)
-    again = reps.filter("copies > 1")
-    texts = texts.join(reps.select("key", F.col("rep").alias("_rep"), "copies"), "key").filter(F.col("rep").eqNullSafe(F.col("_rep")))
-    twice = slim.join(again.select("key", "rep"), "key").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).groupBy("key").count().filter("count > 1")
-    texts = texts.select("key", "data")
-    if twice.limit(1).count():
-        texts = texts.dropDuplicates(["key"])
-    runs = repeated_runs(texts, length, anchor)
+    paths: list[str] = []
+    slim = staged(rows.filter(F.octet_length("data") >= length).select("doc_id", "key"), "text-digests", paths)
+    again = staged(slim.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("key", "rep"), "copied-texts", paths)
+    same = slim.join(again, "key").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).groupBy("key").count().filter("count > 1")
+    runs = repeated_runs(rows, again, bool(same.limit(1).count()), paths, length, anchor)
     fate = staged(runs.join(again.select("key", F.lit(True).alias("whole")), "key", "full").select("key", "runs", "whole"), "repeated-runs")
+    discard(docs.sparkSession, paths)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
     def strip(batches):
