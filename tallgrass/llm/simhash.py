@@ -230,7 +230,8 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     keep = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
     nameless = found.filter("component_id IS NULL").select("fp").distinct()
     keep = staged(keep, "kept-ids")
-    kept = docs.join(keep.filter("_n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # Merged at every size: the ids grow with the input, so the plan is not to change where they outgrow a broadcast.
+    kept = docs.join(keep.filter("_n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if keep.filter("_n > 1").limit(1).count():
         again = docs.join(keep.filter("_n > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
         kept = kept.unionByName(again.dropDuplicates(["doc_id"]))
