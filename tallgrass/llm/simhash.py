@@ -213,20 +213,30 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     marked = staged(fingerprints(docs, size), "fingerprints")
     firsts = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fp")
     roots = connected_components(near_links(firsts.select("fp"), firsts.count()))
-    named = firsts.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(least, "root").select("fp", "component_id")
-    # Only fingerprints whose smallest id differs, or that stand for several rows, need the join's skew
-    # handling; a hot fingerprint is on the streamed side, which Spark splits.
-    return marked.join(by_fp, "fp", "left").select(
+    return named(marked, firsts, roots).select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def named(marked: DataFrame, firsts: DataFrame, roots: DataFrame) -> DataFrame:
+    """``doc_id, fp, component_id`` of ``marked(doc_id, fp)``, given the smallest id of each ``fp``
+    and the ``root`` of each ``node`` that has links."""
+    parts = firsts.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = parts.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_fp = parts.join(least, "root").select("fp", "component_id")
+    # Only fingerprints whose smallest id differs, or that stand for several rows, need the join's skew
+    # handling; a hot fingerprint is on the streamed side, which Spark splits.
+    return marked.join(by_fp, "fp", "left").select("doc_id", "fp", "component_id")
+
+
 def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``docs`` without near duplicates: of each component the row with the smallest doc_id
     stays (of repeated ids one row; of a component without ids one row), columns as given."""
-    found = near_duplicates(docs, size)
+    return first_of_each(docs, near_duplicates(docs, size))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``one_of_each`` keeps of the components ``found(doc_id, fp, component_id)``."""
     keep = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
     nameless = found.filter("component_id IS NULL").select("fp").distinct()
     keep = staged(keep, "kept-ids")
