@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.sources.corpus import table
 from tallgrass.sources.telemetry import telemetry
-from tallgrass.streaming.telemetry import ignored_suggestions, windowed_counts
+from tallgrass.streaming.telemetry import ignored_suggestions, settled_changes, windowed_counts
 
 
 def _shared(spark: SparkSession) -> str:
@@ -33,10 +33,11 @@ def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
 
 
 def run_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts; of a window's updates the last (largest) count stands."""
-    found = _run(spark, windowed_counts(_source(spark, sf_dir)), "update")
+    """Hourly counts of all events, in whatever order the files hold them; of a window's updates the last (largest) count stands."""
+    found = _run(spark, windowed_counts(_source(spark, sf_dir), late=None), "update")
     return found.groupBy("bucket", "model", "event_type").agg(F.max("n").alias("n"))
 
 
 def run_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, ignored_suggestions(_source(spark, sf_dir).select("id", "timestamp", "session_id", "event_type")), "append")
+    """Ignored suggestions of all events, in whatever order the files hold them."""
+    return settled_changes(_run(spark, ignored_suggestions(_source(spark, sf_dir).select("id", "timestamp", "session_id", "event_type")), "append"))
