@@ -102,6 +102,15 @@ def edit_metrics(spark, d):
     return x.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("distance").alias("distance"), F.round(F.avg("char_accuracy"), 6).alias("char_accuracy"), F.sum("keystrokes_saved").alias("saved"), F.count_if("truncated").alias("truncated"))
 
 
+# Whole texts in place of the first 40 characters: DuckDB's distance is too slow for these, so there is no SQL.
+@query("edit_metrics_whole")
+def edit_metrics_whole(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    x = table(spark, d, "conversations").select(F.col("text").alias("r"), F.lead("text").over(w).alias("g")).filter("g IS NOT NULL")
+    x = x.select(*[c.alias(k) for k, c in metrics.edit_metrics(F.col("r"), F.col("g")).items()])
+    return x.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("distance").alias("distance"), F.round(F.avg("char_accuracy"), 6).alias("char_accuracy"), F.sum("keystrokes_saved").alias("saved"), F.count_if("truncated").alias("truncated"))
+
+
 @query("ppl_bpc_rollup", "WITH x AS (SELECT source, n_chars AS chars, n_chars // 4 AS tokens, n_chars * 0.9 + doc_id % 7 AS bits FROM documents) SELECT coalesce(source, 'all') AS source, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(tokens) AS BIGINT) AS tokens, round(CAST(sum(bits) AS DOUBLE) / sum(chars), 6) AS bpc, round(exp(least(CAST(sum(bits) AS DOUBLE) * ln(2) / sum(tokens), 20)), 6) AS ppl FROM x GROUP BY GROUPING SETS ((source), ())")
 def ppl_bpc_rollup(spark, d):
     x = table(spark, d, "documents").select("source", F.col("n_chars").alias("chars"), F.expr("n_chars div 4").alias("tokens"), F.expr("cast(n_chars * 0.9 + doc_id % 7 AS double)").alias("bits"))
@@ -180,6 +189,11 @@ def filter_suggestion(spark, d):
     return table(spark, d, "documents").select("doc_id", text.filter_suggestion(F.left("text", F.lit(60))).alias("filtered"))
 
 
+@query("filter_suggestion_whole")
+def filter_suggestion_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.filter_suggestion(F.col("text")).alias("filtered"))
+
+
 @query("confidence", "WITH x AS (SELECT user_id, list(-(value / 100) ORDER BY event_id) AS lp FROM events GROUP BY user_id), r AS (SELECT user_id, len(lp) AS n, list_filter(lp, lambda p: p < -0.01) AS lp FROM x) SELECT user_id, CASE WHEN n = 0 THEN 1.0 WHEN len(lp) = 0 THEN 0.0 ELSE round(list_avg(list_transform(lp, lambda p: exp(p))), 4) END AS confidence FROM r")
 def confidence(spark, d):
     lp = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: -(x["value"] / 100)).alias("lp"))
@@ -195,6 +209,14 @@ def ghost_suffix(spark, d):
     return b.select("item_id", text.ghost_suffix(F.left("text", F.lit(30)), F.left("text", F.lit(20)), F.substring("text", 21, 40)).alias("ghost"))
 
 
+@query("ghost_suffix_whole")
+def ghost_suffix_whole(spark, d):
+    """The context is a third of an item and the typed text a half; the suggestion is all that follows the context."""
+    b = table(spark, d, "benchmark")
+    third, half = F.expr("length(text) div 3"), F.expr("length(text) div 2")
+    return b.select("item_id", text.ghost_suffix(F.left("text", half), F.left("text", third), F.substring("text", third + 1, F.length("text"))).alias("ghost"))
+
+
 @query("candidates_topk", f"WITH {PAIRS}, u AS (SELECT prev, left(word, 4) AS key, max(prob) AS prob FROM pred GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY prob DESC, key) AS k FROM u) SELECT prev, key, round(prob, 4) AS prob, CAST(k AS INTEGER) AS k FROM r WHERE k <= 3")
 def candidates_topk(spark, d):
     u = metrics.bigram_predictions(_pairs(spark, d)).groupBy("prev", F.left("word", F.lit(4)).alias("key")).agg(F.max("prob").alias("prob"))
