@@ -19,12 +19,12 @@ def next_words(texts: DataFrame) -> DataFrame:
     return w.filter("size(w) > 1").select("conv_id", "turn", F.inline(pairs))
 
 
-def bigram_predictions(pairs: DataFrame, k: int = 5) -> DataFrame:
-    """``prev, rank, word, prob``: the ``k`` most frequent followers of a word, ties by spelling."""
+def bigram_predictions(pairs: DataFrame, k: int | None = 5) -> DataFrame:
+    """``prev, rank, word, prob``: the ``k`` most frequent followers of a word (None: all), ties by spelling."""
     counts = pairs.groupBy("prev", "word").agg(F.count("*").alias("n"))
     w = Window.partitionBy("prev")
     ranked = counts.withColumn("prob", F.col("n") / F.sum("n").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "word")))
-    return ranked.filter(F.col("rank") <= k).select("prev", "rank", "word", "prob")
+    return (ranked if k is None else ranked.filter(F.col("rank") <= k)).select("prev", "rank", "word", "prob")
 
 
 def csr(best: DataFrame) -> DataFrame:

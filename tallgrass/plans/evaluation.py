@@ -82,8 +82,8 @@ def morphacc_semijoin(spark, d):
 
 
 @query("paradigm_rank", f"WITH {PAIRS}, roots AS (SELECT DISTINCT prev FROM pred WHERE length(prev) > 6), k AS (SELECT unnest(['th', 'er', 'an', 'in']) AS suffix), b AS (SELECT r.prev, k.suffix, max(g.prob) AS best FROM roots r CROSS JOIN k JOIN pred g ON g.prev = r.prev AND starts_with(g.word, k.suffix) GROUP BY ALL) SELECT b.prev, b.suffix, CAST(1 + (SELECT count(*) FROM pred g WHERE g.prev = b.prev AND g.prob > b.best) AS BIGINT) AS rank FROM b")
-def paradigm_rank(spark, d):
-    pred = metrics.bigram_predictions(_pairs(spark, d)).filter(F.length("prev") > 6)
+def paradigm_rank(spark, d, k=5):
+    pred = metrics.bigram_predictions(_pairs(spark, d), k).filter(F.length("prev") > 6)
     ranked = pred.withColumn("r", F.rank().over(Window.partitionBy("prev").orderBy(F.desc("prob"))))
     # the case list is fixed, so roots x cases is an explode of a literal, not a join
     cased = ranked.select("prev", "word", "r", F.explode(F.array(*map(F.lit, ("th", "er", "an", "in")))).alias("suffix")).filter("startswith(word, suffix)")
@@ -176,9 +176,9 @@ def lr_schedule(spark, d):
 
 
 @query("nucleus_mask", f"WITH {PAIRS}, c AS (SELECT prev, word, prob, sum(prob) OVER (PARTITION BY prev ORDER BY prob DESC, word ROWS UNBOUNDED PRECEDING) - prob AS before FROM pred) SELECT prev, word, round(before, 6) < 0.6 AS kept FROM c")
-def nucleus_mask(spark, d):
+def nucleus_mask(spark, d, k=5):
     w = Window.partitionBy("prev").orderBy(F.desc("prob"), "word").rowsBetween(Window.unboundedPreceding, 0)
-    return metrics.bigram_predictions(_pairs(spark, d)).select("prev", "word", (F.round(F.sum("prob").over(w) - F.col("prob"), 6) < 0.6).alias("kept"))
+    return metrics.bigram_predictions(_pairs(spark, d), k).select("prev", "word", (F.round(F.sum("prob").over(w) - F.col("prob"), 6) < 0.6).alias("kept"))
 
 
 _P = "[.!,?;:()\\[\\]{}]"
@@ -218,12 +218,32 @@ def ghost_suffix_whole(spark, d):
 
 
 @query("candidates_topk", f"WITH {PAIRS}, u AS (SELECT prev, left(word, 4) AS key, max(prob) AS prob FROM pred GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY prob DESC, key) AS k FROM u) SELECT prev, key, round(prob, 4) AS prob, CAST(k AS INTEGER) AS k FROM r WHERE k <= 3")
-def candidates_topk(spark, d):
-    u = metrics.bigram_predictions(_pairs(spark, d)).groupBy("prev", F.left("word", F.lit(4)).alias("key")).agg(F.max("prob").alias("prob"))
+def candidates_topk(spark, d, k=5):
+    u = metrics.bigram_predictions(_pairs(spark, d), k).groupBy("prev", F.left("word", F.lit(4)).alias("key")).agg(F.max("prob").alias("prob"))
     r = u.withColumn("k", F.row_number().over(Window.partitionBy("prev").orderBy(F.desc("prob"), "key"))).filter("k <= 3")
     return r.select("prev", "key", F.round("prob", 4).alias("prob"), "k")
 
 
+def _uncut(name: str) -> str:
+    """The SQL of a query over all followers of a word, not the first five."""
+    return ORACLE[name].replace(" WHERE rank <= 5", "")
+
+
+@query("nucleus_mask_full", _uncut("nucleus_mask"))
+def nucleus_mask_full(spark, d):
+    return nucleus_mask(spark, d, None)
+
+
+@query("paradigm_rank_full", _uncut("paradigm_rank"))
+def paradigm_rank_full(spark, d):
+    return paradigm_rank(spark, d, None)
+
+
+@query("candidates_topk_full", _uncut("candidates_topk"))
+def candidates_topk_full(spark, d):
+    return candidates_topk(spark, d, None)
+
+
 @query("best_of_n", "WITH c AS (SELECT conv_id, turn AS idx, CASE WHEN turn % 3 = 0 THEN '' ELSE text END AS text, round((turn * 7 % 5) / 5, 2) AS confidence FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY text = '', confidence DESC, idx) AS k FROM c) SELECT conv_id, text, CASE WHEN text = '' THEN 0.0 ELSE confidence END AS confidence, CASE WHEN text = '' THEN 'stop' ELSE 'length' END AS finish FROM r WHERE k = 1")
 def best_of_n(spark, d):
     t = F.col("turn")
