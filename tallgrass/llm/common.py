@@ -20,10 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test) a temporary one is chosen.
+    Only where the session names none and runs locally (a test) a temporary one is chosen;
+    on a cluster a missing setting is an error, for executors would not share such a folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallgrass-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,6 +57,23 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def text_key(text: Column) -> Column:
+    """16 bytes that tell texts apart (half a SHA-256); null has its own."""
+    text = text.cast("string")
+    return F.unhex(F.substring(F.sha2(F.when(text.isNull(), "null").otherwise(F.concat(F.lit("="), text)), 256), 1, 32))
+
+
+def added(columns: list[str], *names: str) -> list[str]:
+    """Names for added columns: each with as many underscores more as keep it apart from the given columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the Arrow batches that carry whole texts into Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

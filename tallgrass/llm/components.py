@@ -11,22 +11,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import staged
+from tallgrass.llm.common import discard, staged
 
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, paths: list[str]) -> DataFrame:
     near = _both(edges)
-    least = staged(near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+    least = staged(near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least", paths)
     return near.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, paths: list[str]) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = staged(down.groupBy("a").agg(F.min("b").alias("m")), "least")
+    least = staged(down.groupBy("a").agg(F.min("b").alias("m")), "least", paths)
     return (
         down.join(least, "a")
         .select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -41,10 +41,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     reversed edges are allowed; rows with a null end are dropped; no edges give no rows.
     """
     links = edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    links = staged(links.distinct(), "links")
+    paths: list[str] = []  # tables of a round, of which the next needs the links alone
+    links = staged(links.distinct(), "links", paths)
     seen = None
     for _ in range(rounds):
-        links = staged(_small_star(_large_star(links)).filter("a <> b").distinct(), "links")
+        old, paths = paths, []
+        links = _small_star(_large_star(links, old), old).filter("a <> b").distinct()
+        links = staged(links, "links", paths)
+        discard(edges.sparkSession, old)
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
             break

@@ -90,7 +90,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled
     """The model from ``labels(doc_id, <label> 0/1)``; of repeated labels the smaller counts.
 
     About ``max_labelled`` labelled documents are taken by a hash of doc_id, and their
-    features (not their texts) reach the driver. None without labelled documents.
+    features (not their texts) reach the driver; of rows that share an id the least text
+    counts. None without labelled documents.
     """
     known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("_y")).filter("doc_id IS NOT NULL AND _y IN (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("_y").alias("_y"))
@@ -107,6 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "_y", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id")  # about max_labelled ids
+    rows = rows.groupBy("doc_id", "_y").agg(F.min("text").alias("text"))  # of rows with one id the least text, so that ids bound what is collected
     got = rows.select("doc_id", "_y", "text").mapInArrow(run, "doc_id long, _y int, x binary").orderBy("doc_id", "x").collect()
     if not got:
         return None

@@ -77,8 +77,10 @@ class Encoder:
     """A byte-level BPE file of the tokenizers library with a bounded memo of chunks.
 
     Texts are cut where pre-tokens end (``_cuts``); each distinct chunk of a block is encoded
-    once and the ids are gathered, so results equal those of whole texts. Files with another
-    kind of pre-tokenisation are applied to whole texts.
+    once and the ids are gathered, so results equal those of whole texts. A text that holds
+    the string of an added token is first cut there, as the library does, and the token's own
+    id stands between the parts. Files with another kind of pre-tokenisation, or with added
+    tokens that reach into their surroundings, are applied to whole texts.
     """
 
     def __init__(self, path: str, memo: int = 800_000, longest: int = 48, block: int = 8_000_000):
@@ -86,7 +88,6 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.memo, self.longest, self.block = memo, longest, block
         self.known: dict[str, bytes] = {}
         words = self.tokenizer.get_vocab()
@@ -97,6 +98,11 @@ class Encoder:
         kind = json.loads(self.tokenizer.to_str())
         before = kind["pre_tokenizer"] or {}
         self.cuttable = (before.get("type"), before.get("add_prefix_space"), before.get("use_regex"), kind["normalizer"]) == ("ByteLevel", False, True, None)
+        added = kind.get("added_tokens") or []
+        self.cuttable &= not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in added)
+        self.added = {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in added}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.marks = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
         self.bare = Tokenizer(self.tokenizer.model)  # for words already in the byte alphabet
         self.bare.pre_tokenizer = pre_tokenizers.Split(space, "merged_with_next")
 
@@ -125,7 +131,23 @@ class Encoder:
         if not len(column):
             return []
         if not self.cuttable:
-            return self._ids(column.to_pylist())
+            found = self.tokenizer.encode_batch_fast(column.to_pylist(), add_special_tokens=False)
+            return [np.array(e.ids, "<u4").tobytes() for e in found]
+        if self.marks is not None:
+            marked = pc.match_substring_regex(column, self.marks.pattern)
+            if pc.any(marked).as_py():
+                return self._around_marks(column.to_pylist())
+        return self._plain(column)
+
+    def _around_marks(self, texts: list[str]) -> list[bytes]:
+        """Texts of which some hold strings of added tokens: the parts between are encoded by themselves."""
+        cut = [self.marks.split(t) for t in texts]
+        parts = [p for pieces in cut for p in pieces[::2]]
+        found = iter(self._plain(pa.array(parts, pa.large_string())))
+        return [b"".join(next(found) if k % 2 == 0 else self.added[p] for k, p in enumerate(pieces)) for pieces in cut]
+
+    def _plain(self, column: pa.Array) -> list[bytes]:
+        """Ids of texts without added tokens."""
         _, places, data = column.buffers()
         places = np.frombuffer(places, np.int64)[column.offset : column.offset + len(column) + 1]
         data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
@@ -327,6 +349,45 @@ class Shard:
             raise ValueError("a document that doesn't expand to its length")
         return out
 
+    def tokens(self, k: int, start: int, stop: int) -> np.ndarray:
+        """Ids ``start`` to ``stop`` of the k-th document: the stored expansion lengths tell which
+        symbols reach into the range, and no others are expanded."""
+        symbols = self.symbols[self.cuts[k] : self.cuts[k + 1]]
+        ends = np.cumsum(self.expansion.length[symbols])
+        stop = min(stop, int(ends[-1]) if len(ends) else 0)
+        if start >= stop:
+            return np.zeros(0, np.uint32)
+        a, b = np.searchsorted(ends, [start, stop - 1], "right")
+        before = int(ends[a - 1]) if a else 0
+        return self.expansion.expand(symbols[a : b + 1])[start - before : stop - before]
+
+
+def read_document(uri: str, k: int) -> np.ndarray:
+    """The ids of the k-th document of a shard file, read by ranges: head, the document's places,
+    the rules, and its own symbols; the other documents' symbols are never read."""
+    store, name = store_of(uri)
+    with store.open_input_file(name) as f:
+        head = f.read(_HEAD)
+        if head[:4] != b"RPG1":
+            raise ValueError("not a shard file")
+        docs, _, rules, first, width, _ = (int(x) for x in np.frombuffer(head, "<u8", 6, 4))
+        if not 0 <= k < docs:
+            raise IndexError(k)
+
+        def take(at: int, kind: str, n: int) -> np.ndarray:
+            f.seek(at)
+            return np.frombuffer(f.read(n * np.dtype(kind).itemsize), kind)
+
+        cuts_at = _HEAD + 9 * docs
+        rules_at = cuts_at + 16 * (docs + 1)
+        a, b = take(cuts_at + 8 * k, "<u8", 2).astype(np.int64)
+        i, j = take(cuts_at + 8 * (docs + 1) + 8 * k, "<u8", 2).astype(np.int64)
+        grammar = Grammar(first, take(rules_at, "<u4", 2 * rules).reshape(-1, 2), take(rules_at + 8 * rules, "<u4", rules))
+        out = Expansion(grammar).expand(take(rules_at + 12 * rules + int(a) * width, f"<u{width}", int(b - a)))
+    if len(out) != j - i:
+        raise ValueError("a document that doesn't expand to its length")
+    return out
+
 
 def write_shards(docs: DataFrame, tokenizer_path: str, out: str | None = None, shard_ids: int = SHARD_IDS, vocabulary: int = 50_257) -> DataFrame:
     """Encodes ``docs(doc_id, text)`` into shard files below ``out`` (by default in the shared

@@ -7,6 +7,11 @@ are taken as the number of distinct fingerprints grows, so that buckets stay sma
 Inside a bucket the fingerprints are stored as 64 vertical bit planes. Distances of
 all lanes are updated together by carry-save counters (ones, twos, and a sticky
 "over"), and a block of lanes is abandoned as soon as all of them are over.
+
+A bucket of more than ``DENSE`` fingerprints is not compared in its task: its members
+go on to ``dense_links``, where each is grouped with all fingerprints that are one bit
+from a common one. A group holds 65 at most, whatever the bucket held, and any two in
+it are within two bits, so that no task is longer for a dense bucket.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import small_batches, staged
+from tallgrass.llm.common import small_batches, staged, text_key
 from tallgrass.llm.components import connected_components
 
 SEED = 42
@@ -27,6 +32,8 @@ RADIUS = 2
 SHINGLE = 3
 #: Runs up to this length are compared lane against shifted lane, longer ones query by query.
 SHORT_RUN = 32
+#: Buckets above this size are left to ``dense_links``.
+DENSE = 2048
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -56,16 +63,18 @@ def majority(hashes: np.ndarray) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` of each row, ``fp`` as a signed long."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, *also: str) -> DataFrame:
+    """``(doc_id, fp)`` of each row, ``fp`` as a signed long, and the columns ``also``, as they are."""
     small_batches(docs.sparkSession)
+    rows = docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long"), *also)
+    names = ["doc_id", *also, "fp"]
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, size) for t in batch.column(0).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps, pa.int64())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, rows.drop("text").schema.add("fp", "long"))
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -138,24 +147,22 @@ def links_in_runs(fps: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _long_run(fps: np.ndarray, queries: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    root = list(range(len(fps)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    """A link to one lane of each part that a query joins: lanes carry the label of their part."""
+    label = np.arange(len(fps))
     planes, left, right = planes_of(fps)[:, None, :], [], []
     for k in range(0, len(fps), queries):
         bits = np.unpackbits(fps[k : k + queries].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         asked = (np.uint64(0) - bits.T.astype(np.uint64))[:, :, None]
         near = lanes_of(within(asked, planes))[:, : len(fps)]
-        for i, j in zip(*np.nonzero(near), strict=True):
-            if j < (i := i + k) and (a := find(i)) != (b := find(j)):
-                root[max(a, b)] = min(a, b)
-                left.append(fps[i])
-                right.append(fps[j])
+        for i, row in enumerate(near, k):
+            lanes = np.flatnonzero(row[:i])
+            parts, first = np.unique(label[lanes], return_index=True)
+            if len(parts):
+                left += [fps[i]] * len(parts)
+                right += fps[lanes[first]].tolist()
+                label[i] = parts[0]
+                if len(parts) > 1:
+                    label[:i][np.isin(label[:i], parts[1:])] = parts[0]
     return np.array(left, np.uint64), np.array(right, np.uint64)
 
 
@@ -169,35 +176,69 @@ def block_keys(distinct: int, radius: int = RADIUS) -> list[int]:
     return masks
 
 
-def near_links(fps: DataFrame, distinct: int) -> DataFrame:
+def dense_links(fps: DataFrame) -> DataFrame:
+    """Links of distinct fingerprints ``fps(fp)`` that leave the same components as all pairs within two bits.
+
+    Two fingerprints are that near just if some string is at most one bit from both. So each
+    is listed under itself and its 64 neighbours, and all under one string link to the least.
+    """
+    bits = [1 << b if b < 63 else -(1 << 63) for b in range(64)]
+    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(b).cast("long")) for b in bits])
+    listed = staged(fps.select("fp", F.explode(near).alias("c")), "neighbours")
+    least = listed.groupBy("c").agg(F.min("fp").alias("m"), F.count("*").alias("n")).filter("n > 1").select("c", "m")
+    return listed.join(least, "c").filter("fp <> m").select(F.col("m").alias("a"), F.col("fp").alias("b")).distinct()
+
+
+def near_links(fps: DataFrame, distinct: int, dense: int | None = None) -> DataFrame:
     """``fps(fp)`` of distinct fingerprints -> links ``(a, b)`` within the radius that
     leave the same components as all such links."""
     keys = [m - (1 << 64) if m >> 63 else m for m in block_keys(distinct)]
+    dense = DENSE if dense is None else dense
+    none = np.zeros(0, np.uint64)
 
     def run(batches):
-        held: tuple[np.ndarray, ...] | None = None
+        """Whole buckets of a batch are compared together; what a batch ends in is held, as a list
+        of pieces, until its bucket ends or has grown too large to be compared here."""
+        parts: list[np.ndarray] = []
+        size, key, large = 0, None, False
         for batch in batches:
-            now = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
-            t, k, _ = held
-            change = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1]))
-            if len(change):
-                end = change[-1] + 1
-                yield found(*(x[:end] for x in held))
-                held = tuple(x[end:] for x in held)
-        if held is not None:
-            yield found(*held)
-
-    def found(t, k, f):
-        run_id = np.cumsum(np.r_[0, (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
-        a, b = links_in_runs(f.view(np.uint64), run_id)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64), pa.int64()) for x in (a, b)], names=["a", "b"])
-
-    rows = fps.select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("k")) for i, m in enumerate(keys)])).alias("x")
-    ).select("x.t", "x.k", "fp")
-    dealt = rows.repartition("t", "k").sortWithinPartitions("t", "k", "fp")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+            t, k, f = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if not len(f):
+                continue
+            f = f.view(np.uint64)
+            cuts = np.r_[0, np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1, len(f)]
+            if key != (t[0], k[0]):
+                yield linked(parts, large)
+                parts, size, large = [], 0, False
+            elif len(cuts) > 2:
+                yield linked([*parts, f[: cuts[1]]], large or size + cuts[1] > dense)
+                parts, size, large = [], 0, False
+                f, cuts = f[cuts[1] :], cuts[1:] - cuts[1]
+            n = np.diff(cuts)
+            inner = np.repeat(n[:-1], n[:-1])
+            whole, rest = f[: cuts[-2]], f[cuts[-2] :]
+            yield rows(*links_in_runs(whole[inner <= dense], np.repeat(np.arange(len(n) - 1), n[:-1])[inner <= dense]), whole[inner > dense])
+            parts.append(rest)
+            size, key = size + len(rest), (t[-1], k[-1])
+            if size > dense:
+                large = True
+                yield rows(none, none, np.concatenate(parts))
+                parts = []
+        yield linked(parts, large)
+
+    def linked(parts, large):
+        f = np.concatenate([none, *parts])
+        return rows(none, none, f) if large else rows(*links_in_runs(f, np.zeros(len(f), np.int64)), none)
+
+    def rows(a, b, alone):
+        """Links, and as links to themselves the members of buckets that are too large."""
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, alone]).view(np.int64), pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    masked = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("k")) for i, m in enumerate(keys)])
+    keyed = fps.select("fp", F.explode(masked).alias("x")).select("x.t", "x.k", "fp")
+    dealt = keyed.repartition("t", "k").sortWithinPartitions("t", "k", "fp")
+    found = staged(dealt.mapInArrow(run, "a long, b long"), "near-links")
+    return found.filter("a <> b").unionByName(dense_links(found.filter("a = b").select(F.col("a").alias("fp")).distinct())).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -218,34 +259,61 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     )
 
 
+def in_components(firsts: DataFrame, roots: DataFrame) -> DataFrame:
+    """``firsts(fp, ...)`` with the ``root`` of the component of each, itself where it has no links."""
+    return firsts.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def named(marked: DataFrame, firsts: DataFrame, roots: DataFrame) -> DataFrame:
     """``doc_id, fp, component_id`` of ``marked(doc_id, fp)``, given the smallest id of each ``fp``
-    and the ``root`` of each ``node`` that has links."""
-    parts = firsts.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    and the ``root`` of each ``node`` that has links. A hot fingerprint's rows are on the
+    streamed side of the last join, which Spark splits."""
+    parts = in_components(firsts, roots)
     least = parts.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = parts.join(least, "root").select("fp", "component_id")
-    # Only fingerprints whose smallest id differs, or that stand for several rows, need the join's skew
-    # handling; a hot fingerprint is on the streamed side, which Spark splits.
     return marked.join(by_fp, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+#: What tells rows apart: the id, nulls last, then the text.
+ROW = "struct(doc_id IS NULL AS nameless, doc_id, th)"
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, th``: the columns that decide, and the text's key."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key(F.col("text")).alias("th"))
+
+
+def kept_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``keep(doc_id, th, n)`` names, columns as given: each is a row by its id (null
+    equals null) and text, and ``n`` says how many rows are equal in both, of which one stays."""
+    inner = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("key"))
+
+    def of(some):
+        # Merged at every size: the ids grow with the input, so the plan is not to change where they outgrow a broadcast.
+        return inner.join(some.hint("merge"), F.col("id").eqNullSafe(some["doc_id"]) & (F.col("key") == some["th"]), "left_semi")
+
+    kept = of(keep.filter("n = 1")).select("row.*")
+    if keep.filter("n > 1").limit(1).count():
+        kept = kept.unionByName(of(keep.filter("n > 1")).dropDuplicates(["id", "key"]).select("row.*"))
+    return kept
+
+
+def representatives(marked: DataFrame, firsts: DataFrame, roots: DataFrame) -> DataFrame:
+    """``doc_id, th, n``: the least row of each component, given the least row ``first`` of each ``fp``
+    and the rows ``marked(doc_id, th, fp)``."""
+    least = in_components(firsts, roots).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.th")
+    several = marked.groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1").withColumnsRenamed({"doc_id": "i", "th": "t"})
+    both = least.join(several, least["doc_id"].eqNullSafe(several["i"]) & (least["th"] == several["t"]), "left")
+    return staged(both.select("doc_id", "th", F.coalesce("n", F.lit(1)).alias("n")), "kept-rows")
+
+
 def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``docs`` without near duplicates: of each component the row with the smallest doc_id
-    stays (of repeated ids one row; of a component without ids one row), columns as given."""
-    return first_of_each(docs, near_duplicates(docs, size))
-
-
-def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``one_of_each`` keeps of the components ``found(doc_id, fp, component_id)``."""
-    keep = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
-    nameless = found.filter("component_id IS NULL").select("fp").distinct()
-    keep = staged(keep, "kept-ids")
-    # Merged at every size: the ids grow with the input, so the plan is not to change where they outgrow a broadcast.
-    kept = docs.join(keep.filter("_n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    if keep.filter("_n > 1").limit(1).count():
-        again = docs.join(keep.filter("_n > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-        kept = kept.unionByName(again.dropDuplicates(["doc_id"]))
-    if nameless.limit(1).count():
-        # Rows without an id have no key but their text; few are expected, and each distinct text stays once.
-        kept = kept.unionByName(docs.filter("doc_id IS NULL").dropDuplicates(["text"]))
-    return kept
+    stays, and of rows with that id the one with the least text key; rows without an id come
+    last, so that one stays only where its component has nothing else. Rows that are equal in
+    id and text count as one. Columns as given; other columns never decide."""
+    rows = with_row_key(docs)
+    marked = staged(fingerprints(rows, size, "th"), "fingerprints")
+    firsts = staged(marked.groupBy("fp").agg(F.min(F.expr(ROW)).alias("first")), "distinct-fp")
+    roots = connected_components(near_links(firsts.select("fp"), firsts.count()))
+    return kept_rows(docs, representatives(marked, firsts, roots))

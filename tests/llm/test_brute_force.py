@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallgrass.llm import pii, repair, rules, simhash, suffix, tiling
+from tallgrass.llm import pii, repair, rules, simhash, similar, suffix, tiling
 from tallgrass.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -131,20 +131,67 @@ def test_simhash_links_on_close_random_fingerprints(spark):
             fps.add(s)
     for b in range(64):  # one dense ball, longer than a short run
         fps.add(seeds[-1] ^ (1 << b))
-    want = plain_components([(i, f) for i, f in enumerate(sorted(fps))])
+        fps.add(seeds[-2] ^ (7 << b) & (1 << 64) - 1)
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in sorted(fps)]
+    df = spark.createDataFrame(signed, "fp long").repartition(3)
+    for count, dense in ((len(signed), None), (1 << 30, None), (len(signed), 40), (len(signed), 3)):  # few and many blocks, and buckets too dense to compare
+        pairs = [(a % (1 << 64), b % (1 << 64)) for a, b in rows(simhash.near_links(df, count, dense))]
+        assert all((a ^ b).bit_count() <= 2 for a, b in pairs)
+        assert parted(fps, pairs) == parted(fps, [(a, b) for a in fps for b in fps if (a ^ b).bit_count() <= 2])
+
+
+def parted(nodes, pairs):
+    """The least node of each node's component."""
+    root = {f: f for f in nodes}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {f: find(f) for f in nodes}
+
+
+def test_components(spark):
+    rnd = random.Random(12)
+    pairs = [(k, k + 1) for k in range(40)] + [(50, 60 + k) for k in range(80)] + [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(90)] + [(7, 7), (200, 200)]
     from tallgrass.llm.components import connected_components
 
-    for count in (len(signed), 1 << 30):  # few and many blocks
-        links = simhash.near_links(spark.createDataFrame(signed, "fp long"), count)
-        pairs = [(a % (1 << 64), b % (1 << 64)) for a, b in rows(links)]
-        assert all((a ^ b).bit_count() <= 2 for a, b in pairs)
-        got = {n % (1 << 64): r for n, r in rows(connected_components(links))}
-        groups = defaultdict(set)
-        for i, f in enumerate(sorted(fps)):
-            groups[want[f]].add(f)
-        for members in groups.values():
-            assert len({got.get(f) for f in members}) == 1
+    got = dict(rows(connected_components(spark.createDataFrame([*pairs, *(p[::-1] for p in pairs[::3]), (None, 3)], "a long, b long"))))
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    want = parted({x for p in pairs for x in p}, pairs)
+    assert got == {x: want[x] for x in linked}
+
+
+ROWS = [
+    (1, "t t t t t t", "a", 1), (None, "t t t t t t", "b", 1), (None, "u u v u u w", "c", 1), (6, "six words are in this text", "d", 1), (6, "and six others stand in here now", "e", 1),
+    (6, "six words are in this text", "f", 1), (None, "u u v u u w", "g", 1), (9, None, "h", 1), (None, None, "i", 1),
+]
+
+
+@pytest.mark.parametrize("stage", [simhash.one_of_each, similar.one_of_each])
+def test_rows_are_judged_one_by_one(spark, stage):
+    """Null and repeated ids: a component's row with the least id stays, whatever other rows without an id there are."""
+    for order in (ROWS, ROWS[::-1], [r for r in ROWS if r[1] != "u u v u u w"]):
+        df = spark.createDataFrame(order, "doc_id long, text string, th string, row long")
+        got = stage(df)
+        assert got.columns == df.columns
+        want = {(1, "t t t t t t"), (6, "six words are in this text"), (6, "and six others stand in here now"), (9, None), (None, "u u v u u w")}
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want & {r[:2] for r in order}, key=str)
+
+
+def test_long_runs_link_as_all_pairs(spark):
+    rnd = random.Random(6)
+    fps = np.array(sorted({rnd.getrandbits(64) & 0xFF0F for _ in range(900)}), np.uint64)
+    a, b = simhash._long_run(fps, 64)
+    pairs = list(zip(a.tolist(), b.tolist()))
+    assert all((x ^ y).bit_count() <= 2 for x, y in pairs) and len(pairs) < len(fps)
+    every = fps.tolist()
+    assert parted(every, pairs) == parted(every, [(x, y) for x in every for y in every if (x ^ y).bit_count() <= 2])
 
 
 def test_one_of_each(spark, odd, nothing):
@@ -214,10 +261,10 @@ def test_token_ids_against_the_tokenizer(spark, documents, odd, nothing):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     tricky = ["a  b", " lead", "trail ", "x \n y", "tab\t sep", "it's we 're", "a b c", "q\x1c r s", "é é", "<|endoftext|> z", "1 22 333", "  ", "日本 語 x", "!" * 40, "a " * 50, "ab" * 400]
     extra = spark.createDataFrame([(10_000 + i, x) for i, x in enumerate(tricky)], "doc_id long, text string")
     df = documents.select("doc_id", "text").unionByName(extra).unionByName(odd.filter("doc_id IS NOT NULL AND doc_id <> 6").select(F.col("doc_id") + 20_000, "text").toDF("doc_id", "text"))
+    assert t.encode("a<|endoftext|>", add_special_tokens=False).ids[-1] == 50256  # the library's plain reading
     want, at = [], 0
     for d, text in sorted(rows(df)):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -251,11 +298,26 @@ def test_repair_round_trip_and_random_access():
     assert len(shard.grammar.rules) > 0 and len(shard.symbols) < sum(map(len, docs)) / 2
     for k in rnd.sample(range(len(docs)), len(docs)):
         assert shard.document(k).tolist() == docs[k]
+    for k in range(len(docs)):
+        i = rnd.randrange(len(docs[k]) + 1)
+        j = rnd.randrange(i, len(docs[k]) + 3)
+        assert shard.tokens(k, i, j).tolist() == docs[k][i:j]
     lengths = shard.grammar.lengths.tolist()
     size = lambda s: 1 if s < shard.grammar.first else lengths[s - shard.grammar.first]
     assert all(n == size(a) + size(b) for n, (a, b) in zip(lengths, shard.grammar.rules.tolist(), strict=True))
 
 
+def test_documents_are_read_by_ranges(spark, documents, tmp_path):
+    manifest = repair.write_shards(documents, tokenizer_path(), f"file://{tmp_path}/ids", shard_ids=20_000)
+    for path in [r["path"] for r in manifest.collect()][:3]:
+        with open(path.removeprefix("file://"), "rb") as f:
+            shard = repair.Shard(f.read())
+        for k in (0, len(shard) // 2, len(shard) - 1):
+            assert repair.read_document(path, k).tolist() == shard.document(k).tolist()
+        with pytest.raises(IndexError):
+            repair.read_document(path, len(shard))
+
+
 # --- string tiling ---------------------------------------------------------------------------------
 
 
