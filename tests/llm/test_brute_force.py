@@ -356,6 +356,51 @@ def test_tiling_against_the_plain_algorithm():
         assert sorted(got) == sorted(want)
 
 
+def plain_matches(docs, items):
+    """Every document against every item, by the plain tiling; short items must stand whole in the text."""
+    out = []
+    for d, text in docs:
+        a = tiling.words(text)
+        for i, item in items:
+            b = tiling.words(item)
+            if not a or not b:
+                continue
+            found = plain_tiling(a, b, min(5, len(b)))
+            if sum(n for *_, n in found) >= 0.8 * len(b):
+                out.append((d, i, round(sum(n for *_, n in found) / len(b), 9), len(found)))
+    return sorted(out)
+
+
+def test_matches_against_every_pair(spark, monkeypatch):
+    rnd = random.Random(15)
+    common = ["of the and so on", "it is said that he"]
+    word = lambda: rnd.choice("the of and so on it is said that he lorem ipsum dolor sit amet".split())
+    items = [(k, " ".join(word() if rnd.random() < 0.6 else f"w{rnd.randrange(40)}" for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 9, 12, 20, 33])]
+    items += [(20 + k, f"{rnd.choice(common)} x{k} y{k} z{k} {common[k % 2]}") for k in range(6)] + [(40, None), (41, "..."), (42, "Unheard-of!")]
+    docs = []
+    for k in range(60):
+        text = [word() for _ in range(rnd.randrange(4, 30))]
+        for _ in range(rnd.randrange(3)):
+            w = (rnd.choice(items)[1] or "").split()
+            cut = rnd.randrange(len(w) + 1)
+            text += [*w[cut:], *["zzz"] * rnd.randrange(2), *w[:cut]]
+        docs.append((k, " ".join(text)))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = plain_matches(docs, items)
+    found = lambda: sorted((r.doc_id, r.item_id, round(r.coverage, 9), r.n_tiles) for r in tiling.matches(d, b).collect())
+    assert len(want) > 30 and found() == want
+    monkeypatch.setattr(tiling.blocks, "__defaults__", (300,))
+    assert found() == want
+
+
+def test_rows_are_decontaminated_one_by_one(spark):
+    item = "one two three four five six seven eight nine ten"
+    rows_ = [(1, "clean text", "a"), (1, f"so {item} it is", "b"), (None, f"so {item} it is", "c"), (None, "other clean text", "d"), (None, None, "e"), (2, "a yes no b", "f"), (3, "a yes or no", "g")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, th string")
+    got = tiling.decontaminated(df, spark.createDataFrame([(1, item), (2, "Yes, no!"), (3, None)], "item_id long, text string"))
+    assert got.columns == df.columns and sorted(r.th for r in got.collect()) == ["a", "d", "e", "g"]
+
+
 def test_reordered_passages_are_caught_and_clean_documents_left_alone(spark, odd, nothing):
     rnd = random.Random(9)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
