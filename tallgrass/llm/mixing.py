@@ -11,11 +11,12 @@ between iterations. DataFrame and SQL expressions throughout.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import SPACES, let, staged, words_of
+from tallgrass.llm.common import SPACES, added, let, staged, words_of
 
 ALPHA = 0.7
 
@@ -26,8 +27,9 @@ def keyword_model(
     """Domains, log priors and, by keyword, the log likelihoods in each domain.
 
     Fitted on at most about ``max_labelled`` documents that ``labels(doc_id)`` lists, by
-    the ``domain`` column that those documents carry. Keywords are the words found in
-    most of them. Without such rows there are no domains.
+    the ``domain`` column that those documents carry: every value that one of them has is a
+    domain, so the sample bounds their number. Keywords are the ``keywords`` words found in
+    most of the sampled documents. Without such rows there are no domains.
     """
     known = labels.select(F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL").distinct()
     count = known.count()
@@ -39,7 +41,7 @@ def keyword_model(
     rows = rows.join(F.broadcast(known), "doc_id")  # bounded: about max_labelled ids
     words = rows.select("_domain", F.explode(F.array_distinct(F.transform(words_of(F.col("text")), F.lower))).alias("w"))
     counts = staged(words.groupBy("_domain", "w").agg(F.count("*").alias("n")), "domain-words")
-    sizes = {r[0]: r[1] for r in rows.groupBy("_domain").agg(F.count("*")).orderBy(F.desc("count(1)"), "_domain").limit(64).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("_domain").agg(F.count("*")).collect()}  # at most a row a labelled document
     domains = sorted(sizes)
     if not domains:
         return [], {}, {}
@@ -106,12 +108,17 @@ def rate_of(p: Column, steps: list[list[float]], floor: float = 0.0) -> Column:
     return F.aggregate(past, F.lit(1.0), lambda r, g: F.greatest(F.lit(float(floor)), r - _dot(p, g)))
 
 
-def fit_rates(slim: DataFrame, targets: list[float], floor: float = 0.0, rounds: int = 30, tolerance: float = 1e-3) -> list[list[float]]:
+def fit_rates(slim: DataFrame, targets: list[float], floor: float = 0.0, rounds: int = 60, tolerance: float = 1e-3) -> list[list[float]]:
     """Gradient steps for ``slim(_p, _n)``: least squares of the domain totals against
-    ``targets`` (tokens), each residual measured by the domain's size at rate one."""
+    ``targets`` (tokens), each residual measured by the domain's size at rate one.
+
+    Steps end when each total is within ``tolerance`` of its target. If ``rounds`` steps don't
+    bring them there (targets that no rates above the floor can meet), a warning gives what is
+    left, and the rates are those of the last step.
+    """
     size = len(targets)
-    sums = lambda rate: [F.sum(rate * F.col("_n") * F.get("_p", F.lit(d))) for d in range(size)]
-    ones = slim.agg(*sums(F.lit(1.0))).first()
+    sums = lambda rate: slim.select("_p", (rate * F.col("_n")).alias("_r")).agg(*[F.sum(F.col("_r") * F.get("_p", F.lit(d))) for d in range(size)]).first()
+    ones = sums(F.lit(1.0))
     scale = [max(float(x or 0.0), 1e-9) for x in ones]
     steps: list[list[float]] = []
     now = [float(x or 0.0) for x in ones]
@@ -121,7 +128,11 @@ def fit_rates(slim: DataFrame, targets: list[float], floor: float = 0.0, rounds:
         if max(abs(now[d] - targets[d]) / max(targets[d], 1e-9) for d in range(size)) < tolerance:
             break
         steps.append(error)
-        now = [float(x or 0.0) for x in slim.agg(*sums(rate_of(F.col("_p"), steps, floor))).first()]
+        now = [float(x or 0.0) for x in sums(rate_of(F.col("_p"), steps, floor))]
+    else:
+        left = max(abs(now[d] - targets[d]) / max(targets[d], 1e-9) for d in range(size))
+        if left >= tolerance:
+            warnings.warn(f"after {rounds} steps a domain total is {left:.2%} from its target", stacklevel=2)
     return steps
 
 
@@ -141,7 +152,8 @@ def mixed(
     docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, domain: str = "lang", alpha: float = ALPHA, keep_text: bool = True, floor: float = 0.0
 ) -> tuple[DataFrame, list[str]]:
     """``docs`` (with ``keep_text`` off, without ``text``) with ``_n`` (words), ``_p``
-    (posteriors, in the order of the domains returned) and ``_rate``.
+    (posteriors, in the order of the domains returned) and ``_rate``. Where ``docs`` has a
+    column of such a name, the added one has an underscore more (``common.added``).
 
     ``weights`` are target shares of the token total by domain; by default shares are
     the expected ones to the power ``alpha``, which lifts small domains. The total is
@@ -152,21 +164,23 @@ def mixed(
     """
     model = keyword_model(docs, labels, domain)
     domains = model[0]
-    marked = docs.withColumn("_m", _membership(F.col("text"), model))
-    marked = marked.withColumn("_n", F.col("_m.n")).withColumn("_p", F.col("_m.p")).drop("_m", *([] if keep_text else ["text"]))
-    marked = staged(marked, "memberships")  # texts are split and scored once
+    kept = [c for c in docs.columns if keep_text or c != "text"]
+    n, p, rate = added(docs.columns, "_n", "_p", "_rate")
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), _membership(F.col("text"), model).alias("m"))
+    marked = staged(inner, "memberships")  # texts are split and scored once
+    shown = lambda r: marked.select("row.*", F.col("m.n").alias(n), F.col("m.p").alias(p), r.alias(rate))
     if not domains:
-        return marked.withColumn("_rate", F.lit(1.0)), []
-    slim = marked.select("_n", "_p")
+        return shown(F.lit(1.0)), []
+    slim = marked.select(F.col("m.n").alias("_n"), F.col("m.p").alias("_p"))
     have = slim.agg(*[F.sum(F.col("_n") * F.get("_p", F.lit(d))) for d in range(len(domains))]).first()
     have = [float(x or 0.0) for x in have]
     share = [float((weights or {}).get(d, 0.0)) for d in domains] if weights else [x**alpha for x in have]
     if not sum(have) or not sum(share):
-        return marked.withColumn("_rate", F.lit(1.0)), domains
+        return shown(F.lit(1.0)), domains
     share = [x / sum(share) for x in share]
     whole = max((h / s for h, s in zip(have, share, strict=True) if s), default=sum(have))
     steps = fit_rates(slim, [whole * s for s in share], floor)
-    return marked.withColumn("_rate", rate_of(F.col("_p"), steps, floor)), domains
+    return shown(rate_of(F.col("m.p"), steps, floor)), domains
 
 
 def taken(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
@@ -174,7 +188,8 @@ def taken(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     hash of the row falls below the fraction. No rate goes below 1, so no document is
     thinned out. Columns as given."""
     rated, _ = mixed(docs, labels, floor=1.0, **how)
-    chance = F.pmod(F.xxhash64(F.lit("take"), *[F.col(c) for c in docs.columns if c != "text"]), F.lit(1 << 30)) / float(1 << 30)
-    copies = let(F.col("_rate"), lambda r: (F.floor(r) + (chance < r - F.floor(r)).cast("int")).cast("int"))
+    rate, copy = added(docs.columns, "_n", "_p", "_rate")[2], added(rated.columns, "_copy")[0]
+    chance = F.pmod(F.xxhash64(F.lit("take"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]), F.lit(1 << 30)) / float(1 << 30)
+    copies = let(F.col(rate), lambda r: (F.floor(r) + (chance < r - F.floor(r)).cast("int")).cast("int"))
     # a rate is computed once: no filter on it that Spark would push below the repetition
-    return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), copies))).select(*docs.columns)
+    return rated.withColumn(copy, F.explode(F.array_repeat(F.lit(True), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])

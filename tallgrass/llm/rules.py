@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import SPACES, let, staged, total, words_of
+from tallgrass.llm.common import SPACES, added, let, staged, total, words_of
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
@@ -60,13 +60,17 @@ def _repeat_words(hashes: Column) -> Column:
     return F.when(F.size(hashes) >= 3, found).otherwise(F.lit(0).cast("long"))
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns ``_n_words, _word_chars, _n_symbols, _n_dup_lines,
-    _n_repeat_words`` and those that the features need (all prefixed, so that no column
-    of the input is hidden). Null text counts as empty."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+#: Columns that ``with_statistics`` and ``judged`` add.
+STATISTICS = ("_n_words", "_word_chars", "_n_symbols", "_n_lines", "_n_dup_lines", "_n_repeat_words", "_n_distinct", "_n_upper", "_n_digits", "_n_bangs")
+VERDICTS = ("_base_failed", "_rule", "_kept")
+
+
+def _inner(docs: DataFrame) -> DataFrame:
+    """``row``, the columns of ``docs`` as one, and the statistics of its text beside it."""
+    text = F.col("_text")
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, SPACES, "") != "")
-    first = docs.withColumn("_hashes", F.transform(words_of(text), lambda w: F.xxhash64(w)))
+    first = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    first = first.withColumn("_hashes", F.transform(words_of(text), lambda w: F.xxhash64(w)))
     return (
         first.withColumn("_n_words", F.size("_hashes").cast("long"))
         .withColumn("_word_chars", F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"))
@@ -78,10 +82,20 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         .withColumn("_n_upper", _count_of(text, UPPER))
         .withColumn("_n_digits", _count_of(text, DIGITS))
         .withColumn("_n_bangs", _count_of(text, "!"))
-        .drop("_hashes")
+        .drop("_hashes", "_text")
     )
 
 
+def _outer(inner: DataFrame, docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    return inner.select("row.*", *[F.col(a).alias(b) for a, b in zip(names, added(docs.columns, *names), strict=True)])
+
+
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``STATISTICS``, counts of its ``text``, null counting as empty. Where
+    ``docs`` has a column of such a name, the added one has an underscore more."""
+    return _outer(_inner(docs), docs, STATISTICS)
+
+
 def base_failed() -> Column:
     return F.expr("_n_words < 50 OR 100 * _n_repeat_words > 50 * _n_words")
 
@@ -222,9 +236,15 @@ def verdict(rules: list[Rule]) -> Column:
 
 def judged(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """Every row of ``docs(doc_id, text, ...)`` with its statistics, ``_base_failed``, the
-    ``_rule`` that rejects it (or null) and ``_kept``. No row is dropped, joined or
+    ``_rule`` that rejects it (or null) and ``_kept``; where ``docs`` has a column of such a
+    name, the added one has an underscore more. No row is dropped, joined or
     repeated: null ids, repeated rows and further columns pass through; null text counts
     as empty and so fails the base rules; an empty table stays empty."""
     rules = learn(docs, labels, **how)
-    marked = with_statistics(docs).withColumn("_base_failed", base_failed())
-    return marked.withColumn("_rule", verdict(rules)).withColumn("_kept", ~F.col("_base_failed") & F.col("_rule").isNull())
+    marked = _inner(docs).withColumn("_base_failed", base_failed()).withColumn("_rule", verdict(rules))
+    return _outer(marked.withColumn("_kept", ~F.col("_base_failed") & F.col("_rule").isNull()), docs, STATISTICS + VERDICTS)
+
+
+def kept(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, columns as given."""
+    return judged(docs, labels, **how).filter(F.col(added(docs.columns, *STATISTICS, *VERDICTS)[-1])).select(*[F.col(f"`{c}`") for c in docs.columns])
