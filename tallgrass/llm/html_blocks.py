@@ -1,16 +1,21 @@
 """Main text of web pages by two-pass block rules.
 
-Markup is cut into blocks at block-level tags. The first pass judges each block by stop
-word density, length and link density; structural boilerplate (navigation, footers,
-sidebars, notices, adverts, forms, comments) is bad whatever it says. The second pass
-gives ambiguous blocks the label of the nearest decided neighbours in their region.
+Markup is cut into blocks at block-level tags. The first pass scores each block by stop-word
+density, length and link density; what the markup says of the elements around it is a
+weight in that score, for or against. A block is content, boilerplate, or ambiguous. The
+second pass gives ambiguous blocks the label of their nearest decided neighbours.
+
+A wrapper is no evidence: an element that holds every block of the page that reads like
+prose, two at least, counts for nothing, whatever its class says, so that a name on a
+layout division, or a form around the whole page, can't empty it. Where no list of stop words fits a page's language,
+sentence marks stand in for them.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.llm.common import small_batches
 
-# Frequent function words of English, German, French and Spanish.
+# Frequent function words of eight languages.
 STOP_WORDS = frozenset(
     "a about after all also an and are as at be been but by can could for from had has have he her his if in into is it its more not of on "
     "one or other our out she so some than that the their them then there these they this to up was we were what when which who will with would you "
@@ -27,29 +32,58 @@ STOP_WORDS = frozenset(
     "au aux avec ce ces cette dans de des du elle en est et il ils je la le les leur mais ne nous on ont ou par pas plus pour qu que qui sa se ses "
     "son sont sur un une vous "
     "al como con de del el en entre era es esta este fue ha hay la las lo los más me no o para pero por que se ser si sin sobre su sus también "
-    "un una y ya".split()
+    "un una y ya "
+    "che con da dal della di e gli il in la le nel non per più sono un una "
+    "com da das do dos e em mais não na no os para por que se uma "
+    "в на и с по не что как это из для от но к у за он она они его же бы был была было все так о или мы вы "
+    "και το η ο να του της την των με για από που στο στη είναι δεν θα ένα μια".split()
 )
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
-    "hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split()
+    "hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-HELD_TAGS = BLOCK_TAGS - frozenset("p li dt dd tr option hr h1 h2 h3 h4 h5 h6".split())
-BOILER_TAGS = frozenset("nav header footer aside form menu dialog".split())
-RAW_TAGS = frozenset("script style title textarea noscript template svg iframe select button object canvas math audio video".split())
-BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner sidebar side cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist "
-    "disqus respond reply replies menu nav navbar navigation breadcrumb breadcrumbs footer header masthead pagination pager toolbar widget search".split()
+#: Elements that stay open over the blocks inside them; the others end where the next block begins.
+HELD_TAGS = BLOCK_TAGS - frozenset("p li dt dd td th tr option hr h1 h2 h3 h4 h5 h6".split())
+#: Their content is no markup, up to their end tag.
+RAW_TAGS = frozenset("script style title textarea xmp iframe noembed noframes".split())
+#: Left out where they are closed; an unclosed one is no reason to lose what follows.
+SHUT_TAGS = frozenset("noscript template svg object canvas audio video select button".split())
+#: What no reader sees as text of the page.
+CONTROLS = frozenset("option optgroup legend".split())
+
+# Weights of the elements around a block.
+TAG_WEIGHT = {"nav": -5, "footer": -5, "aside": -5, "form": -5, "menu": -5, "dialog": -5, "fieldset": -5, "header": -4, "article": 2, "main": 1}
+ROLE_WEIGHT = {r: -5 for r in "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split()} | {"main": 1, "article": 2}
+# Names that authors give to parts of a page.
+AGAINST = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner sidebar cookie cookies consent gdpr notice notices "
+    "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist "
+    "disqus respond replies menu nav navbar navigation breadcrumb breadcrumbs footer masthead pagination pager toolbar widget".split()
 )
-BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+IN_FAVOUR = frozenset("article content entry post story maintext bodytext".split())
+DENIED = frozenset("no has with without is not hide show".split())
+NAME_AGAINST, NAME_IN_FAVOUR = -4, 1
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = re.compile(r"[^\W\d_]+")
 _PIECES = re.compile(r"[^a-z0-9]+")
+_MARKS = re.compile(r"[.!?;:,…。！？；，、।۔؟،]")
+_ENDS = re.compile(r"[.!?…。！？।۔؟](?:[\"'»”’)\]]*)(?:\s|$)|[。！？।۔؟]")
+_WIDE = re.compile(r"[⺀-鿿가-힯฀-๿]")
 
 LONG, SHORT = 200, 70
-STOP_LOW, STOP_HIGH, LINKS = 0.15, 0.25, 0.3
+STOP_LOW, STOP_HIGH = 0.15, 0.25
+LINKS, ALL_LINKS = 0.3, 0.8
+GOOD, BAD = 2, -2
+
+
+@dataclass
+class Element:
+    tag: str
+    weight: int
+    hidden: bool = False
+    may_wrap: bool = False  # a name or a form is no evidence where it holds all that reads like prose
 
 
 @dataclass
@@ -57,41 +91,59 @@ class Block:
     text: str
     links: int
     tag: str
-    boiler: bool
-    region: int  # 0: outside article and main; else the number of that element
+    around: list[Element] = field(default_factory=list)  # outermost first, the block's own element last
 
+    @property
+    def inside(self) -> bool:
+        return any(e.tag in ("article", "main") for e in self.around)
 
-def _boiler(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in BOILER_TAGS and not (tag == "header" and inside):
-        return True
-    if "=" not in attributes:
-        return "hidden" in attributes.split()
+
+def _name_weight(names: str) -> int:
+    """What class and id names say: by their first or last piece, unless the first denies it."""
+    found = 0
+    for name in names.lower().split():
+        pieces = [p for p in _PIECES.split(name) if p]
+        if not pieces or (len(pieces) > 1 and DENIED & set(pieces[:-1])):
+            continue
+        ends = {pieces[0], pieces[-1]}
+        if ends & AGAINST:
+            return NAME_AGAINST
+        if ends & IN_FAVOUR:
+            found = NAME_IN_FAVOUR
+    return found
+
+
+def _element(tag: str, attributes: str, inside: bool) -> Element:
+    weight = TAG_WEIGHT.get(tag, 0)
+    if tag == "header" and inside:
+        weight = 0
+    if not attributes or attributes == "/" or tag in ("html", "body"):
+        return Element(tag, weight, may_wrap=tag == "form")
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attributes)}
-    if found.get("role", "").lower() in BOILER_ROLES or found.get("aria-hidden", "").lower() == "true":
-        return True
-    if "hidden" in _ATTR.sub(" ", attributes).split() or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
-        return True
-    names = set(_PIECES.split((found.get("class", "") + " " + found.get("id", "")).lower()))
-    hit = names & BOILER_WORDS
-    return bool(hit - {"header"} if inside else hit)
+    bare = _ATTR.sub(" ", attributes).lower().split()
+    hidden = "hidden" in bare or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", ""), re.I))
+    role = ROLE_WEIGHT.get(found.get("role", "").lower(), 0)
+    name = _name_weight(found.get("class", "") + " " + found.get("id", "")) if tag not in ("article", "main") else 0
+    low = min(weight, role, name)
+    return Element(tag, low if low < 0 else max(weight, role, name), hidden, tag == "form" or min(weight, role) >= 0)
 
 
 def blocks_of(html: str | None) -> list[Block]:
     """The page's blocks in order, blank ones left out."""
     page = html or ""
     out: list[Block] = []
-    open_: list[tuple[str, bool, int]] = []  # held elements: tag, boilerplate, region
+    open_: list[Element] = []
+    own: Element | None = None
     parts: list[str] = []
-    links = 0
-    tag_now, own = "", False
-    in_link, boiler, region, regions, at = 0, 0, 0, 0, 0
+    links, in_link, at = 0, False, 0
 
     def flush():
         nonlocal links
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, links, tag_now, boiler > 0 or own, region))
+                last = own or (open_[-1] if open_ else None)
+                out.append(Block(text, links, last.tag if last else "", [*open_, *([own] if own else [])]))
             parts.clear()
         links = 0
 
@@ -124,86 +176,133 @@ def blocks_of(html: str | None) -> list[Block]:
             continue
         at = m.end()
         closing, tag = m[1] == "/", m[2].lower()
-        if tag in RAW_TAGS:
+        if tag in RAW_TAGS or tag in SHUT_TAGS:
             if not closing and not m[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-                add(" ")
+                if end:
+                    at = end.end()
+                elif tag in RAW_TAGS:
+                    at = len(page)
+            add(" ")
             continue
         if tag == "a":
-            in_link = 0 if closing else 1
+            in_link = not closing
             continue
-        if tag in ("br", "td", "th", "img", "input"):
+        if tag in ("br", "img", "input"):
             add(" ")
             continue
         if tag not in BLOCK_TAGS:
             continue
+        if tag in ("td", "th"):  # cells of one row are one block
+            add(" ")
+            continue
         flush()
-        in_link = 0
+        in_link, own = False, None
         if closing:
-            tag_now, own = "", False
-            if any(x[0] == tag for x in open_):
-                while open_:
-                    name, bad, _ = open_.pop()
-                    boiler -= bad
-                    region = open_[-1][2] if open_ else 0
-                    if name == tag:
-                        break
+            if any(e.tag == tag for e in open_):
+                while open_.pop().tag != tag:
+                    pass
             continue
-        bad = _boiler(tag, m[3], region > 0)
+        element = _element(tag, m[3], any(e.tag in ("article", "main") for e in open_))
         if tag in HELD_TAGS:
-            if tag in ("article", "main"):
-                regions += 1
-                region = regions
-            open_.append((tag, bad, region))
-            boiler += bad
-            tag_now, own = tag, False
+            open_.append(element)
         else:
-            tag_now, own = tag, bad
+            own = element
     flush()
     return out
 
 
-def first_pass(block: Block) -> bool | None:
-    """True: content. False: boilerplate. None: ambiguous."""
-    if block.boiler:
-        return False
-    size = len(block.text)
-    density = block.links / max(1, size)
-    if density > LINKS and not block.region:
-        return False
-    if density > 0.8:
-        return False
-    words = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+def stop_density(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def sentence_density(text: str) -> float:
+    """Stands in for stop words: prose has a mark for every few dozen letters and ends sentences."""
+    letters = sum(3 if _WIDE.match(c) else 1 for c in text if not c.isspace())
+    if not letters or not _ENDS.search(text):
+        return 0.0
+    return min(1.0, 18 * len(_MARKS.findall(text)) / letters)
+
+
+def prose_score(block: Block, density: float) -> int:
+    """What the text alone says: from -4 (links) to 3 (long prose)."""
+    size = sum(2 if _WIDE.match(c) else 1 for c in block.text) if _WIDE.search(block.text) else len(block.text)
+    linked = block.links / max(1, len(block.text))
+    if linked > ALL_LINKS:
+        return -3 if not block.inside else -1
+    if linked > LINKS and not block.inside:
+        return -3
     if size < SHORT:
-        return None
-    if stops >= STOP_HIGH or (size >= LONG and stops >= STOP_LOW):
-        return True
-    if block.region or size < LONG:
-        return None
-    return False if stops < STOP_LOW else None
+        return 0
+    if density >= STOP_HIGH or (size >= LONG and density >= STOP_LOW):
+        return 3 if size >= LONG else 2
+    if block.inside or size < LONG:
+        return 0
+    return -2 if density < STOP_LOW else 0
 
 
-def kept(blocks: list[Block]) -> list[str]:
-    """Texts of the blocks that count as content, in page order."""
-    label = [first_pass(b) for b in blocks]
-    has_region = any(b.region for b in blocks)
-    for region in {b.region for b in blocks}:
-        own = [i for i, b in enumerate(blocks) if b.region == region and not b.boiler]
-        decided = [i for i in own if label[i] is not None]
+def first_pass(blocks: list[Block]) -> list[bool | None]:
+    """For each block True: content; False: boilerplate; None: ambiguous."""
+    stops = [stop_density(b.text) for b in blocks]
+    long = [i for i, b in enumerate(blocks) if len(b.text) >= SHORT]
+    if long and max(stops[i] for i in long) < STOP_LOW:  # a language that the list doesn't know
+        stops = [sentence_density(b.text) for b in blocks]
+    prose = [prose_score(b, d) for b, d in zip(blocks, stops, strict=True)]
+    reads = [i for i, p in enumerate(prose) if p >= GOOD]
+    held: dict[int, int] = {}
+    for i in reads:
+        for e in blocks[i].around:
+            held[id(e)] = held.get(id(e), 0) + 1
+
+    def wraps(e: Element) -> bool:
+        return len(reads) > 1 and held.get(id(e), 0) == len(reads)
+
+    def weight(b: Block) -> int:
+        """The heaviest evidence against the block, or else the strongest for it, of the elements that are no wrappers."""
+        found = [e.weight for e in b.around if not (e.may_wrap and wraps(e))]
+        low = min(found, default=0)
+        return low if low < 0 else max(found, default=0)
+
+    label: list[bool | None] = []
+    for b, p in zip(blocks, prose, strict=True):
+        score = p + weight(b)
+        hidden = b.tag in CONTROLS or any(e.hidden and not wraps(e) for e in b.around)
+        ambiguous = p <= 0 and not b.links > LINKS * len(b.text) and weight(b) >= 0
+        label.append(False if hidden or score <= BAD else None if ambiguous and score < GOOD + 1 else score >= GOOD if abs(score) >= GOOD else False if score < 0 else None)
+    return label
+
+
+def region(block: Block) -> int:
+    """The innermost article or main that holds the block: neighbours are looked for in there."""
+    return next((id(e) for e in reversed(block.around) if e.tag in ("article", "main")), 0)
+
+
+def second_pass(blocks: list[Block], label: list[bool | None]) -> list[bool]:
+    """Ambiguous blocks take the label of the nearest decided block of their region; of two as near,
+    content wins. Where a region has none, its blocks count if it is an article or main, or the page has neither."""
+    label = list(label)
+    regions = [region(b) for b in blocks]
+    for r in set(regions):
+        own = [i for i, x in enumerate(regions) if x == r]
+        decided = [i for i in own if label[i] is not None and not (label[i] is False and _apart(blocks[i]))]
         k = 0
         for i in [i for i in own if label[i] is None]:
             while k < len(decided) and decided[k] < i:
                 k += 1
-            near = [(abs(decided[j] - i), not first_label(blocks, decided[j])) for j in (k - 1, k) if 0 <= j < len(decided)]
-            # nearest decides, and of two as near the content; alone, the region's own standing
-            label[i] = not min(near)[1] if near else bool(region) or not has_region
-    return [b.text for b, x in zip(blocks, label, strict=True) if x]
+            near = [(abs(decided[j] - i), not label[decided[j]]) for j in (k - 1, k) if 0 <= j < len(decided)]
+            label[i] = not min(near)[1] if near else bool(r) or not any(regions)
+    return [bool(x) for x in label]
+
 
+def _apart(block: Block) -> bool:
+    """Boilerplate by its markup says nothing of the block next to it."""
+    return any(e.weight < 0 or e.hidden for e in block.around)
 
-def first_label(blocks: list[Block], i: int) -> bool:
-    return bool(first_pass(blocks[i]))
+
+def kept(blocks: list[Block]) -> list[str]:
+    """Texts of the blocks that count as content, in page order."""
+    return [b.text for b, x in zip(blocks, second_pass(blocks, first_pass(blocks)), strict=True) if x]
 
 
 def main_text(html: str | None) -> str:
