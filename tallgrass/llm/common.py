@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,14 +45,18 @@ def staged(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFram
     goes to ``paths``, for those who ``discard`` it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if paths is not None:
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes staged tables that no later table or result reads."""
+    """Deletes staged tables that no later table or result reads, and lets Spark's cleaner
+    find the shuffles that made them: it drops the files of those that are garbage."""
+    if paths:
+        gc.collect()
+        spark._jvm.System.gc()
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

@@ -65,7 +65,9 @@ def op8_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.deduplicated(table(spark, sf_dir, "documents"))
+    found = suffix.deduplicated(table(spark, sf_dir, "documents"), with_text=True)
+    left = F.expr("make_valid_utf8(cast(kept AS string))")  # a cut may fall inside a character
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", left.alias("text"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,14 +5,18 @@ A byte goes if some ``length``-byte string that covers it starts anywhere else t
 1. Texts are told apart by digest, and one row stands for equal ones. In each, every window of ``length``
    bytes has an anchor: its first least-hashed ``anchor``-byte string. Equal windows have
    equal anchors at equal offsets, so windows of an anchor that occurs once are unique.
-2. The stretches of text under anchors that recur meet by anchor. A stretch is sent once
-   for each anchor; an anchor with very many places is cut into sub-blocks of windows
-   keyed by the bytes that all of them share, so that no anchor is one task's work.
-   A stretch that a task meets again is not sent again: all of its windows are repeated.
-3. Among stretches that meet, identical ones are folded; the different ones are suffix
-   sorted by the difference-cover algorithm (sort sampled triples, recurse on their
-   names, merge the remaining suffixes), and adjacent prefixes are compared byte by byte.
-4. Repeated windows return to their texts as runs.
+2. The stretches of text under anchors that recur are cut out, one for each anchor's place.
+   A stretch that a task meets again, byte for byte, is not sent again: all of its windows
+   are repeated.
+3. Anchors with at most ``MANY`` places have little to compare: their stretches meet in a task, where
+   identical ones are folded and the different ones suffix sorted by the difference cover.
+4. The stretches of all other anchors are sorted across the cluster by the difference cover
+   modulo 3 (``distributed_repeats``): sampled strings are sorted and named, triples of
+   names are sorted and named again until they span a third of a window, and the
+   remaining suffixes are merged with the sampled ones by the bytes that lead to the next
+   sampled place. Names come from distinct strings, and equal windows are counted by
+   their keys, so that a passage of a billion copies costs no task more than another.
+5. Repeated windows return to their texts as runs.
 """
 
 from __future__ import annotations
@@ -22,20 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import discard, small_batches, staged
+from tallgrass.llm.common import discard, partitions, small_batches, staged, task_number
 
 LENGTH = 400
 ANCHOR = 128
-#: An anchor with more places than this is cut into sub-blocks of so many window starts.
-MANY, SUB_BLOCK = 512, 32
+#: The stretches of an anchor with more places than this are sorted across the cluster.
+MANY = 512
+#: Bytes of the strings that are named first there.
+FIRST = 46
 #: Bytes of stretches that are suffix sorted at a time.
 SORT_BYTES = 1_000_000
-#: Digests of stretches that a task remembers, to send a stretch that it meets again only once.
-REMEMBERED = 200_000
+#: Stretches that a task remembers, to send one that it meets again only once.
+REMEMBERED = 100_000
 
 
 def windows_hash(data: np.ndarray, size: int) -> np.ndarray:
@@ -161,11 +166,11 @@ def _runs(first: int, flags: np.ndarray) -> Iterator[tuple[int, int]]:
         yield first + a, first + b - 1
 
 
-def _fold(rows: Iterator[tuple[int, bytes, int, int, bytes | None]], length: int) -> Iterator[tuple[bytes, int, int]]:
+def _fold(rows: Iterator[tuple[int, bytes, int, int, bytes]], length: int) -> Iterator[tuple[bytes, int, int]]:
     """Runs ``(text key, first, last)`` of repeated window starts, from rows ``(group key,
     text key, first window start, number of window starts, stretch)`` ordered by group.
-    A row without a stretch is known to be repeated. Of a group, only its different
-    stretches are held, each with the one place that it has been seen at."""
+    Of a group, only its different stretches are held, each with the one place that it
+    has been seen at."""
     held: list[tuple[bytes, tuple[bytes, int] | None, int]] = []
     size = 0
 
@@ -191,9 +196,6 @@ def _fold(rows: Iterator[tuple[int, bytes, int, int, bytes | None]], length: int
     distinct: dict[bytes, tuple[bytes, int] | None] = {}  # None: met more than once
     g_now = None
     for g, key, first, n, stretch in rows:
-        if stretch is None:
-            yield key, first, first + n - 1
-            continue
         if g != g_now:
             yield from close()
             g_now, distinct = g, {}
@@ -209,14 +211,135 @@ def _fold(rows: Iterator[tuple[int, bytes, int, int, bytes | None]], length: int
         yield from sort()
 
 
-def repeated_runs(rows: DataFrame, again: DataFrame, twice: bool, paths: list[str], length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """``key, runs`` for ``rows(doc_id, key, data)``: the runs of window starts whose string
-    starts elsewhere too, in this or another text, of each distinct text (by its ``key``).
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of an Arrow list column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets = column.offsets.to_numpy()
+    return offsets - offsets[0], column.values.slice(offsets[0], offsets[-1] - offsets[0])
 
-    Of the texts of ``again(key, rep)``, which several rows hold, the row of id ``rep``
-    stands for all; ``twice`` says that several rows may have both the text and that id.
-    Anchors are found where the rows are read, so that texts are dealt out only once.
+
+def _named(rows: DataFrame, key: list[str], paths: list[str]) -> DataFrame:
+    """``pid, names``: the rows ``(pid, i, *key)`` with each key replaced by its number in the order
+    of all distinct keys, gathered by piece as ``array<struct<i, name>>`` (a few hundred each)."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*key).schema)
+
+    def number(batches):
+        part, at = task_number(), 0
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], names=[*key, "part", "at"])
+            at += n
+
+    ordered = rows.select(*key).distinct().repartitionByRange(partitions(rows.sparkSession), *key).sortWithinPartitions(*key)
+    table = staged(ordered.mapInArrow(number, f"{kinds}, part int, at long"), "names", paths)
+    sizes = table.groupBy("part").agg(F.count("*").alias("n"))  # a row a partition
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    names = table.join(F.broadcast(before), "part").select(*key, (F.col("before") + F.col("at")).alias("name"))
+    joined = rows.join(names, key).groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("i", "name"))).alias("names"))
+    return staged(joined, "named", paths)
+
+
+def shifts(length: int, lead: int, width: int) -> tuple[int, int, int] | None:
+    """Where names of ``width`` bytes have to start, in multiples of 3, to span a window but for the
+    ``lead`` bytes before them and at most two after: the second and third place and the bytes left."""
+    third = (length - lead - width) // 3 * 3
+    second = max(0, -(-(third - width) // 3) * 3)
+    return (second, third, length - lead - width - third) if third >= 0 and second <= width else None
+
+
+def distributed_repeats(pieces: DataFrame, length: int, paths: list[str], first: int = FIRST) -> DataFrame:
+    """``pid, i``: the places in the distinct strings ``pieces(pid, data)`` whose ``length`` bytes
+    stand at another place of a piece too.
+
+    The difference cover {1, 2} modulo 3: strings at sampled places are sorted and named, then
+    triples of names at places a multiple of 3 apart, until names span a third of a window. Two
+    windows both begin 0, 1 or 2 bytes before sampled places, whatever their places are. So each
+    is keyed by those bytes, the names from there on, and the one or two bytes that names leave
+    over; keys of one kind are in the order of their windows, and equal just if these are.
     """
+    small_batches(pieces.sparkSession)
+    width = max(3, min(first, length // 3))
+
+    def grams(batches):
+        for batch in batches:
+            places, data = _bytes(batch.column(1))
+            n = np.diff(places)
+            owner = np.repeat(np.arange(len(n)), n)
+            i = np.arange(len(data)) - places[owner]
+            spots = np.flatnonzero((i % 3 > 0) & (i + width <= n[owner]))
+            strings = np.lib.stride_tricks.sliding_window_view(data, width)[spots] if len(spots) else np.zeros((0, width), np.uint8)
+            cells = pa.Array.from_buffers(pa.binary(), len(spots), [None, pa.py_buffer((np.arange(len(spots) + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(strings))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[spots])), pa.array(i[spots].astype(np.int32)), cells], names=["pid", "i", "gram"])
+
+    named = _named(pieces.mapInArrow(grams, "pid long, i int, gram binary"), ["gram"], paths)
+    while any(shifts(length, lead, width) is None for lead in (0, 1, 2)):
+        step = width // 3 * 3
+
+        def triples(batches, step=step):
+            for batch in batches:
+                owner, i, name, spot = _places(batch.column(1))
+                x, y = spot(owner, i + step), spot(owner, i + 2 * step)
+                ok = np.flatnonzero((x >= 0) & (y >= 0))
+                cols = [owner[ok], i[ok], name[ok], name[x[ok]], name[y[ok]]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), pa.array(cols[1].astype(np.int32)), *map(pa.array, cols[2:])], names=["pid", "i", "x", "y", "z"])
+
+        named = _named(named.mapInArrow(triples, "pid long, i int, x long, y long, z long"), ["x", "y", "z"], paths)
+        width += 2 * step
+
+    def keys(batches):
+        for batch in batches:
+            owner, i, name, spot = _places(batch.column(1))
+            places, data = _bytes(batch.column(2))
+            n = np.diff(places)
+            starts = np.maximum(0, n - length + 1)
+            who = np.repeat(np.arange(len(n)), starts)
+            at = np.arange(len(who)) - np.repeat(np.cumsum(starts) - starts, starts)
+            for lead in (0, 1, 2):
+                second, third, left = shifts(length, lead, width)
+                mine = np.flatnonzero((at % 3 > 0) if lead == 0 else (at % 3 == 0) | (at % 3 == lead))
+                w, a = who[mine], at[mine]
+                raw = np.full(len(w), lead, np.int64)
+                for k in [*range(lead), *range(length - left, length)]:
+                    raw = raw * 256 + data[places[w] + a + k]
+                names = [name[spot(w, a + lead + d)] for d in (0, second, third)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(w)), pa.array(a.astype(np.int32)), pa.array(raw), *map(pa.array, names)], names=["pid", "i", "q", "x", "y", "z"])
+
+    keyed = named.join(pieces.select("pid", "data"), "pid").select("pid", "names", "data").mapInArrow(keys, "pid long, i int, q long, x long, y long, z long")
+    keyed = staged(keyed, "window-keys", paths)
+    key = ["q", "x", "y", "z"]
+    several = keyed.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
+    return keyed.join(several, key, "left_semi").select("pid", "i").distinct()
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a binary column."""
+    column = column.cast(pa.large_binary())
+    _, places, data = column.buffers()
+    places = np.frombuffer(places, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and len(column) else np.zeros(0, np.uint8)
+    return places - places[0], data[places[0] : places[-1]]
+
+
+def _places(column: pa.Array):
+    """Owners, places and names of ``array<struct<i, name>>`` rows in order, and a finder of (owner, place)."""
+    offsets, values = _flat(column)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    i, name = (values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+    keys = owner << 32 | i
+
+    def spot(w: np.ndarray, at: np.ndarray) -> np.ndarray:
+        wanted = w << 32 | at
+        near = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+        return np.where(keys[near] == wanted, near, -1) if len(keys) else np.full(len(wanted), -1)
+
+    return owner, i, name, spot
+
+
+def _stretches(rows: DataFrame, again: DataFrame, twice: bool, kept: list[str], length: int, anchor: int) -> DataFrame:
+    """``g, key, s, n, many, stretch`` of each place of a recurring anchor: the group, the text's key, the first
+    window start and their number, whether the anchor has many places, and the bytes, null where a
+    task has met them twice, so that the windows are known to be repeated. Written."""
+    paths: list[str] = []
 
     def mark(batches):
         for batch in batches:
@@ -234,44 +357,51 @@ def repeated_runs(rows: DataFrame, again: DataFrame, twice: bool, paths: list[st
         marked = marked.dropDuplicates(["key", "p"])
     # A table of its own, so that the join meets no aggregate and Spark can split the places of a hot anchor.
     often = staged(marked.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "recurring-anchors", paths)
-    spans = marked.join(often, "h").groupBy("key").agg(F.collect_list(F.struct("h", "p", "s", "e", (F.col("n") > MANY).alias("many"))).alias("spans"))
+    place = F.struct("p", "h", "s", "e", (F.col("n") > MANY).alias("many"))
+    spans = marked.join(often, "h").groupBy("key").agg(F.sort_array(F.collect_list(place)).alias("spans"))
     spans = spans.join(one, "key", "left")
 
     def cut(batches):
-        met: dict[int, tuple | None] = {}
+        met: dict[bytes, tuple | None] = {}
         for batch in batches:
-            out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             size = 0
             for key, data, spans in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 for x in spans:
-                    for g, s, e in _stretches(data, x, length):
-                        stretch = data[s : e + length]
-                        digest, row = xxhash.xxh3_128_intdigest(stretch, g & 0xFFFFFFFF), (g, key, s, e - s + 1, stretch)
-                        if digest in met:
-                            again = [row, met[digest]] if met[digest] else [row]
-                            met[digest] = None
-                            for _, k, first, n, _ in again:  # dealt by text: these need no meeting
-                                known = (xxhash.xxh64_intdigest(k, first) >> 1, k, first, n, None)
-                                for col, v in zip(out, known, strict=True):
-                                    col.append(v)
-                        else:
-                            if len(met) == REMEMBERED:
-                                met.clear()
-                            met[digest] = (g, key, s, e - s + 1, None)
-                            for col, v in zip(out, row, strict=True):
+                    stretch = data[x["s"] : x["e"] + length]
+                    row = (x["h"], key, x["s"], x["e"] - x["s"] + 1, x["many"])
+                    if stretch in met:
+                        first, met[stretch] = met[stretch], None
+                        for known in (row, first) if first else (row,):
+                            for col, v in zip(out, (*known, None), strict=True):
                                 col.append(v)
-                            size += len(stretch)
+                    else:
+                        if len(met) == REMEMBERED:
+                            met.clear()
+                        met[stretch] = row
+                        for col, v in zip(out, (*row, stretch), strict=True):
+                            col.append(v)
+                        size += len(stretch)
                 if size > 4_000_000:
                     yield _stretch_batch(out)
-                    out, size = ([], [], [], [], []), 0
+                    out, size = ([], [], [], [], [], []), 0
             yield _stretch_batch(out)
 
-    schema = "g long, key binary, s int, n int, stretch binary"
-    joined = rows.join(spans, "key").filter(stands).select("key", "data", "spans")
+    joined = rows.filter(F.octet_length("data") >= length).join(spans, "key").filter(stands).select("key", "data", "spans")
     if twice:
         joined = joined.dropDuplicates(["key"])
-    joined = joined.sortWithinPartitions("key")  # a task that runs again folds the same stretches
-    stretches = joined.mapInArrow(cut, schema)
+    found = staged(joined.mapInArrow(cut, "g long, key binary, s int, n int, many boolean, stretch binary"), "stretches", kept)
+    discard(rows.sparkSession, paths)
+    return found
+
+
+def _stretch_batch(out) -> pa.RecordBatch:
+    types = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["g", "key", "s", "n", "many", "stretch"])
+
+
+def _sorted_in_tasks(stretches: DataFrame, length: int) -> DataFrame:
+    """``key, a, b``: runs of repeated window starts of stretches whose groups are small."""
 
     def sort(batches):
         dealt = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -283,27 +413,38 @@ def repeated_runs(rows: DataFrame, again: DataFrame, twice: bool, paths: list[st
                 out = []
         yield _run_batch(out)
 
-    small_batches(rows.sparkSession)
-    runs = stretches.repartition("g").sortWithinPartitions("g").mapInArrow(sort, "key binary, a int, b int")
-    return runs.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    small_batches(stretches.sparkSession)
+    dealt = stretches.select("g", "key", "s", "n", "stretch").repartition("g").sortWithinPartitions("g")
+    return dealt.mapInArrow(sort, "key binary, a int, b int")
 
 
-def _stretches(data: bytes, x: dict, length: int) -> Iterator[tuple[int, int, int]]:
-    """Group key and window starts of what an anchor's place sends."""
-    if not x["many"]:
-        yield x["h"], x["s"], x["e"]
-        return
-    p = x["p"]
-    for j in range((p - x["e"]) // SUB_BLOCK, (p - x["s"]) // SUB_BLOCK + 1):
-        near, far = p - SUB_BLOCK * j, p - SUB_BLOCK * (j + 1) + 1  # starts of this sub-block: far..near
-        core = data[near : far + length]
-        key = xxhash.xxh64_intdigest(core, j + 1)
-        yield key - (1 << 64) if key >> 63 else key, max(far, x["s"]), min(near, x["e"])
+def _sorted_across(stretches: DataFrame, length: int, paths: list[str]) -> DataFrame:
+    """The same of stretches whose groups may hold any number of places."""
+    own = F.struct("key", "s", "n")
+    pieces = stretches.groupBy("stretch").agg(F.min(own).alias("own"), F.count("*").alias("places"))
+    pieces = staged(pieces.select(F.monotonically_increasing_id().alias("pid"), F.col("stretch").alias("data"), "own", "places"), "pieces", paths)
+    whole = stretches.join(pieces.filter("places > 1").select(F.col("data").alias("stretch")), "stretch", "left_semi").selectExpr("key", "s AS a", "s + n - 1 AS b")
+    hits = distributed_repeats(pieces.select("pid", "data"), length, paths)
+    step = F.col("i") - F.row_number().over(Window.partitionBy("pid").orderBy("i"))
+    runs = hits.withColumn("island", step).groupBy("pid", "island").agg(F.min("i").alias("a"), F.max("i").alias("b"))
+    runs = runs.join(pieces.filter("places = 1").select("pid", "own"), "pid").selectExpr("own.key", "own.s + a AS a", "own.s + b AS b")
+    return whole.unionByName(runs)
 
 
-def _stretch_batch(out) -> pa.RecordBatch:
-    types = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["g", "key", "s", "n", "stretch"])
+def repeated_runs(rows: DataFrame, again: DataFrame, twice: bool, paths: list[str], length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+    """``key, runs`` for ``rows(doc_id, key, data)``: the runs of window starts whose string
+    starts elsewhere too, in this or another text, of each distinct text (by its ``key``).
+
+    Of the texts of ``again(key, rep)``, which several rows hold, the row of id ``rep``
+    stands for all; ``twice`` says that several rows may have both the text and that id.
+    """
+    stretches = _stretches(rows, again, twice, paths, length, anchor)
+    known = stretches.filter("stretch IS NULL").selectExpr("key", "s AS a", "s + n - 1 AS b")
+    runs = known.unionByName(_sorted_in_tasks(stretches.filter("stretch IS NOT NULL AND NOT many"), length))
+    hot = stretches.filter("stretch IS NOT NULL AND many")
+    if hot.limit(1).count():
+        runs = runs.unionByName(_sorted_across(hot, length, paths))
+    return runs.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
 
 
 def _run_batch(rows) -> pa.RecordBatch:

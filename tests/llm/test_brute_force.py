@@ -243,6 +243,20 @@ def test_suffix_dedup_against_all_windows(spark, monkeypatch, many):
     assert got == [(i, *x) for i, x in enumerate(plain_removed(texts, 40))]
 
 
+@pytest.mark.parametrize("length,first", [(40, 46), (47, 4), (400, 46)])
+def test_distributed_difference_cover_against_all_windows(spark, length, first):
+    rnd = random.Random(length)
+    base = bytes(rnd.choice(b"ab") for _ in range(4 * length))
+    pieces = {bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(9))) + base[(k := rnd.randrange(3 * length)) : k + length + rnd.randrange(length)] + bytes([120 + j % 5]) * (j % 7) for j in range(60)}
+    pieces |= {b"a" * (2 * length), b"ab" * length, b"", b"z" * (length - 1), b"q" * length}
+    listed = sorted(pieces)
+    count = Counter(d[i : i + length] for d in listed for i in range(len(d) - length + 1))
+    want = {(k, i) for k, d in enumerate(listed) for i in range(len(d) - length + 1) if count[d[i : i + length]] > 1}
+    df = spark.createDataFrame([(k, bytearray(d)) for k, d in enumerate(listed)], "pid long, data binary").repartition(3)
+    got = rows(suffix.distributed_repeats(df, length, [], first))
+    assert set(got) == want and len(got) == len(want) and len(want) > 100
+
+
 def test_suffix_dedup_on_documents_and_odd_rows(documents, odd, nothing):
     some = documents.filter("length(text) < 3000")
     pairs = rows(some.select("doc_id", "text").orderBy("doc_id"))
