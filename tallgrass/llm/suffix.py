@@ -34,7 +34,7 @@ from tallgrass.llm.common import discard, partitions, small_batches, staged, tas
 LENGTH = 400
 ANCHOR = 128
 #: The stretches of an anchor with more places than this are sorted across the cluster.
-MANY = 512
+MANY = 4096
 #: Bytes of the strings that are named first there.
 FIRST = 46
 #: Bytes of stretches that are suffix sorted at a time.
