@@ -6,12 +6,18 @@ means the same in any regular-expression dialect.
 
 from __future__ import annotations
 
+import html
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 W = r"[\p{L}\p{N}_]"
 BLANK = r"[\s\x{85}\x{A0}\x{2028}\x{2029}\x{3000}]"
 EMOJI = r"[\x{2500}-\x{27BF}\x{1F000}-\x{1FFFF}]"
+SYMBOL = r"[\x{2500}-\x{27BF}]"
 MODIFIER = r"(?:\x{FE0F}|[\x{1F3FB}-\x{1F3FF}]|\x{200D}[\x{1F000}-\x{1FFFF}])*"
 # Legal references, sentence boundaries and orphan dates of the cleaning rules.
 DECREE = (
@@ -22,12 +28,23 @@ DECREE = (
 BOUNDARY = r"(?<=[a-záéíóúüñ])([.?!])\s+(?=[A-ZÁÉÍÓÚÜÑ])"
 ORPHAN_DATE = r"^\s*\d{1,4}[-/]\d{1,2}[-/]\d{1,4}\s*([|]\s*\d+\s*\w+)?\s*$"
 PUNCTUATION = ".!,?;:()[]{}"
+PUNCTUATION_RUN = r"([!?¿¡_—–.-])\1{2}|([,;:&])\2"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _sub(x: Column, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(x, pattern, to)
 
 
+def _guarded(x: Column, signs: str, change: Callable[[Column], Column]) -> Column:
+    """``change`` where one of the signs is in the text; most lines have none and need no pattern."""
+    return let(x, lambda v: F.when(F.translate(v, signs, "") == v, v).otherwise(change(v)))
+
+
 def strip(x: Column) -> Column:
     """Without white space (of any kind) at either end."""
     return _sub(x, f"^{BLANK}+|{BLANK}+$")
@@ -61,21 +78,34 @@ def collapse_punctuation(x: Column) -> Column:
     return x
 
 
-def collapse_emoji(x: Column) -> Column:
-    """Runs of three or more sequences with one base keep two."""
-    return _sub(x, rf"(({EMOJI}){MODIFIER})(\2{MODIFIER})(?:\2{MODIFIER})+", "$1$3")
+def collapse_emoji(x: Column, astral: bool = True) -> Column:
+    """Runs of three or more sequences with one base keep two. Without ``astral`` (the second cleaner)
+    only symbols up to U+27BF begin a sequence, and emoji beyond them belong to the one before."""
+    base, more = (EMOJI, MODIFIER) if astral else (SYMBOL, r"[\x{FE0F}\x{200D}\x{1F000}-\x{1FFFF}]*")
+    return let(x, lambda v: F.when(v.rlike(base), _sub(v, rf"(({base}){more})(\2{more})(?:\2{more})+", "$1$3")).otherwise(v))
 
 
 def emoji_ratio(x: Column) -> Column:
-    return F.when(F.length(x) > 0, 1 - F.length(_sub(x, EMOJI + MODIFIER)) / F.length(x)).otherwise(0.0)
+    return let(x, lambda v: F.when(v.rlike(EMOJI), 1 - F.length(_sub(v, EMOJI + MODIFIER)) / F.length(v)).otherwise(0.0))
 
 
 def collapse_spaces(x: Column) -> Column:
     return strip(_sub(x, " {2,}", " "))
 
 
-def strip_tags(x: Column) -> Column:
-    """Character references of the common set, then tags."""
+def unescaped(x: Column) -> Column:
+    """Character references of the whole HTML table."""
+
+    def whole(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: html.unescape(v) if v and "&" in v else v)
+
+    return F.pandas_udf(whole, "string")(x)
+
+
+def strip_tags(x: Column, whole_table: bool = False) -> Column:
+    """Character references of the common set, or of the whole table, then tags."""
+    if whole_table:
+        return _sub(unescaped(x), "<[^>]*>")
     for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         x = F.replace(x, F.lit(name), F.lit(sign))
     return _sub(x, "<[^>]*>")
@@ -89,23 +119,27 @@ def strip_decrees(x: Column) -> Column:
 
 
 def digit_token_ratio(x: Column) -> Column:
-    return F.when(F.size(words(x)) > 0, F.size(F.filter(words(x), lambda t: t.rlike(r"\d"))) / F.size(words(x))).otherwise(0.0)
+    return let(words(x), lambda w: F.when(F.size(w) > 0, F.size(F.filter(w, lambda t: t.rlike(r"\d"))) / F.size(w)).otherwise(0.0))
 
 
 def digit_char_ratio(x: Column) -> Column:
-    return F.when(F.length(x) > 0, F.length(_sub(x, "[^0-9]")) / F.length(x)).otherwise(0.0)
+    return F.when(F.length(x) > 0, (F.length(x) - F.length(F.translate(x, "0123456789", ""))) / F.length(x)).otherwise(0.0)
 
 
 def is_pure_number(x: Column) -> Column:
     alpha = F.size(F.filter(words(x), lambda w: 2 * F.length(_sub(w, r"[^\p{L}]")) > F.length(w)))
     share = digit_char_ratio(strip(x))
-    return ((share > 0.55) & (alpha <= 1)) | ((share > 0.5) & (alpha == 0))
+    return F.when(share > 0.5, ((share > 0.55) & (alpha <= 1)) | (alpha == 0)).otherwise(False)
 
 
 def phase3(x: Column) -> tuple[Column, Column]:
-    """The stripped line and the first reason to discard it (null: kept)."""
-    left = strip_decrees(x)
-    reason = (
+    """The stripped line and the first reason to discard it (null: kept), each evaluated by itself."""
+    return strip_decrees(x), let(x, lambda v: let(strip_decrees(v), lambda left: discard_reason(v, left)))
+
+
+def discard_reason(x: Column, left: Column) -> Column:
+    """The first reason to discard a line, given what is left of it without legal references."""
+    return (
         F.when(is_pure_number(x), "digit_pure")
         .when(strip(x).rlike(ORPHAN_DATE), "digit_orphan_date")
         .when(x.rlike(r"\d{7,}"), "digit_long_run")
@@ -114,25 +148,75 @@ def phase3(x: Column) -> tuple[Column, Column]:
         .when(F.size(words(left)) < 2, "digit_decree_stripped")
         .when(left.rlike(r"^\p{Ll}") & ~left.rlike("[.!?\"»]$") & ((F.length(left) < 50) | left.rlike("[,;-]$")), "orphan_fragment")
     )
-    return left, reason
 
 
 def quick_clean(x: Column, max_emoji: float = 0.30) -> Column:
-    """The quick cleaner: the line, or '' where it is discarded."""
-    x = strip_mentions(strip_emails(strip_urls(x, any_case=False)), bounded=False)
-    x = collapse_spaces(collapse_punctuation(collapse_emoji(clean_hashtags(x, bounded=False))))
-    return F.when((F.size(words(x)) < 2) | (emoji_ratio(x) > max_emoji), "").otherwise(x)
+    """The quick cleaner: the line, or '' where it is discarded. Each step is evaluated once, and
+    only where a sign that its pattern needs is in the line."""
+    x = _guarded(x, ":", lambda v: strip_urls(v, any_case=False))
+    x = _guarded(x, "@", lambda v: strip_mentions(strip_emails(v), bounded=False))
+    x = _guarded(x, "#", lambda v: clean_hashtags(v, bounded=False))
+    x = collapse_spaces(_collapsed(collapse_emoji(x)))
+    return let(x, lambda v: F.when((F.size(words(v)) < 2) | (emoji_ratio(v) > max_emoji), "").otherwise(v))
 
 
-def phase2_prefix(x: Column) -> Column:
+def _collapsed(x: Column) -> Column:
+    return let(x, lambda v: F.when(v.rlike(PUNCTUATION_RUN), collapse_punctuation(v)).otherwise(v))
+
+
+@dataclass(frozen=True)
+class Cleaning:
+    """Steps of the second cleaner, each on unless told otherwise, and its thresholds."""
+
+    urls: bool = True
+    emails: bool = True
+    mentions: bool = True
+    hashtags: bool = True
+    emoji: bool = True
+    punctuation: bool = True
+    tags: bool = True
+    digits: bool = True
+    max_emoji: float = 0.30
+    long_line: int = 512
+    longest_line: int = 2048
+
+
+def phase2_prefix(x: Column, how: Cleaning = Cleaning()) -> Column:  # noqa: B008
     """The order-free part of the second cleaner, up to the digit rules."""
-    x = clean_hashtags(strip_mentions(strip_emails(strip_urls(x))))
-    return collapse_spaces(strip_tags(collapse_punctuation(x)))
+    steps = (
+        (how.urls, lambda c: _guarded(c, ":", strip_urls)),
+        (how.emails, lambda c: _guarded(c, "@", strip_emails)),
+        (how.mentions, lambda c: _guarded(c, "@", strip_mentions)),
+        (how.hashtags, lambda c: _guarded(c, "#", clean_hashtags)),
+        (how.emoji, lambda c: collapse_emoji(c, astral=False)),
+        (how.punctuation, _collapsed),
+        (how.tags, lambda c: _guarded(c, "&<", strip_tags)),
+    )
+    for on, step in steps:
+        x = step(x) if on else x
+    return collapse_spaces(x)
 
 
-def split_boundaries(x: Column) -> Column:
-    """Sub-sentences; the mark stays with the sentence that it ends."""
-    return F.split(_sub(x, BOUNDARY, "$1\u0001"), "\u0001")
+def has_digit_run(x: Column, least: int = 7) -> Column:
+    """Whether a run of ``least`` digits is in the line; 0 turns the rule off."""
+    return x.rlike(rf"\d{{{least},}}") if least else F.lit(False)
+
+
+def split_boundaries(x: Column, mis_stitched: bool = False) -> Column:
+    """Sub-sentences; the mark stays with the sentence that it ends.
+
+    ``mis_stitched`` joins the parts as the compared tool does: text, mark, text by threes, so that
+    a sentence and the next are one line and the second mark stands alone.
+    """
+    if not mis_stitched:
+        return F.split(_sub(x, BOUNDARY, "$1\u0001"), "\u0001")
+    parts = F.split(_sub(x, BOUNDARY, "\u0001$1\u0001"), "\u0001")
+
+    def by_threes(p: Column) -> Column:
+        whole = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / 3).cast("int")), lambda i: F.slice(p, 3 * i + 1, F.lit(3)))
+        return F.transform(whole, lambda t: strip(F.concat(F.get(t, F.lit(0)), F.coalesce(F.get(t, F.lit(1)), F.lit("")), F.coalesce(F.concat(F.lit(" "), F.get(t, F.lit(2))), F.lit("")))))
+
+    return let(parts, by_threes)
 
 
 def filter_suggestion(x: Column) -> Column:
@@ -161,12 +245,9 @@ def ghost_suffix(text: Column, context: Column, suggestion: Column) -> Column:
 
 
 def prefix_match(a: Column, b: Column) -> Column:
-    """Length of the longest common prefix."""
-    spots = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(a), F.length(b))))
-    same = F.aggregate(
-        spots, F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))), i).otherwise(n)
-    )
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(same)
+    """Length of the longest common prefix: the place of the first character that differs, less one."""
+    differs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y) | (x == ""))
+    return let(differs, lambda d: F.coalesce(F.nullif(F.array_position(d, True), F.lit(0)) - 1, F.size(d)).cast("int"))
 
 
 def confidence(tokens: Column) -> Column:

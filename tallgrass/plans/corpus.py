@@ -128,11 +128,32 @@ def digit_rules(spark, d):
     return _lines(spark, d).groupBy("source", reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("clean_reason_counts")
+_B = r"(^|[^\p{L}\p{N}_])"
+_PHASE2 = _chain("line", (r"(?i)https?://\S+", ""), (r"\S+@\S+\.\S+", ""), (_B + r"@[\p{L}\p{N}_]+", r"\1"), (_B + r"#([\p{L}\p{N}_]{7,})", r"\1\2"), (_B + r"#[\p{L}\p{N}_]+", r"\1"), *_RUNS)
+for _name, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _PHASE2 = f"replace({_PHASE2}, '{_name}', '{_sign}')"
+_PHASE2 = _chain(_PHASE2, ("<[^>]*>", ""), (" {2,}", " "), (r"^\s+|\s+$", ""))
+_LEFT = _chain("x", (text.DECREE, ""), (" {2,}", " "), (r"^\s+|\s+$", ""), (r"^[,;:.\s]+", ""), (r"[,;:]\s*[.]", "."), (r"\s+[.]\s*$", "."), (r"\s+[,;:]\s*$", ""), (r"^\s+|\s+$", ""))
+_XS = "length(regexp_replace(x, '[^0-9]', '', 'g')) / greatest(length(x), 1)"
+_XT = _TOKS.replace("(line,", "(x,")
+_TAGGED = f"""p2 AS (SELECT *, {_PHASE2} AS x FROM lines), l2 AS (SELECT *, {_LEFT} AS cleaned, {_XT} AS w, {_XS} AS share FROM p2),
+  a2 AS (SELECT *, len(list_filter(w, lambda t: 2 * length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) > length(t))) AS alpha FROM l2),
+  t2 AS (SELECT *, CASE WHEN x = '' THEN 'discard' WHEN (share > 0.55 AND alpha <= 1) OR (share > 0.5 AND alpha = 0) THEN 'digit_pure' WHEN regexp_matches(x, '{text.ORPHAN_DATE}') THEN 'digit_orphan_date'
+   WHEN regexp_matches(x, '\\d{{7,}}') THEN 'digit_long_run' WHEN len(list_filter(w, lambda t: regexp_matches(t, '\\d'))) / greatest(len(w), 1) > 0.4 THEN 'digit_heavy_tokens' WHEN share > 0.5 THEN 'digit_heavy_chars'
+   WHEN {_NW('cleaned')} < 2 THEN 'digit_decree_stripped' WHEN regexp_matches(cleaned, '^\\p{{Ll}}') AND NOT regexp_matches(cleaned, '[.!?"»]$') AND (length(cleaned) < 50 OR regexp_matches(cleaned, '[,;-]$')) THEN 'orphan_fragment'
+   WHEN length(cleaned) > 2048 THEN 'discard' WHEN length(cleaned) > 512 THEN 'warn' END AS tag FROM a2)"""
+
+
+@query("clean_reason_counts", f"WITH LINES, {_TAGGED} SELECT source, coalesce(tag, 'kept') AS tag, count(*) AS n FROM t2 GROUP BY 1, 2")
 def clean_reason_counts(spark, d):
     return corpus.phase2(_lines(spark, d)).groupBy("source", F.coalesce("tag", F.lit("kept")).alias("tag")).agg(F.count("*").alias("n"))
 
 
+@query("clean_dry_run", f"WITH LINES, {_TAGGED} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, coalesce(tag, 'keep') AS tag, left(cleaned, 240) AS cleaned FROM t2 WHERE line_no < 3")
+def clean_dry_run(spark, d):
+    return corpus.dry_run(_lines(spark, d), 3)
+
+
 @query("clean_dedup_lines", r"WITH LINES, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(regexp_replace(line, '^\s+|\s+$', '', 'g')) ORDER BY line_no) AS k FROM lines) SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM r WHERE k = 1")
 def clean_dedup_lines(spark, d):
     return corpus.dedup_in_document(_lines(spark, d), "line").select("doc_id", "line_no", "line")
@@ -236,18 +257,18 @@ def html_extract_exact(spark, d):
 
 
 @query("lang_filter", f"""WITH w AS (SELECT doc_id, lang, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM documents)
-  SELECT doc_id, lang, len(list_filter(w, lambda x: x IN {_in(corpus.ES)})) / len(w) < 0.05 AS passes FROM w WHERE len(w) > 0""")
+  SELECT doc_id, lang, len(list_filter(w, lambda x: x IN {_in(corpus.INDICATORS)})) / len(w) < 0.05 AS passes FROM w WHERE len(w) > 0""")
 def lang_filter(spark, d):
     w = table(spark, d, "documents").select("doc_id", "lang", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")).alias("w")).filter("size(w) > 0")
-    hit = F.size(F.filter("w", lambda x: x.isin(*corpus.ES)))
+    hit = F.size(F.filter("w", lambda x: x.isin(*corpus.INDICATORS)))
     return w.select("doc_id", "lang", (hit / F.size("w") < 0.05).alias("passes"))
 
 
-@query("boilerplate_prompts", f"""WITH LINES, a AS (SELECT doc_id, line_no, line, {_TOKS} AS w FROM lines WHERE length(line) >= 40 AND 2 * length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')) >= length(line)),
+@query("boilerplate_prompts", f"""WITH LINES, a AS (SELECT doc_id, line_no, line, {_TOKS} AS w FROM lines WHERE length(line) >= 40 AND NOT regexp_matches(line, '{corpus.BOILERPLATE}') AND 2 * length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')) >= length(line)),
   k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, left(line, 50) ORDER BY line_no) AS r FROM a WHERE len(w) >= 5), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS q FROM k WHERE r = 1)
   SELECT doc_id, CAST(q AS INTEGER) AS q, array_to_string(w[1:10], ' ') AS prompt FROM n WHERE q <= 3""")
 def boilerplate_prompts(spark, d):
-    x = _lines(spark, d).filter((F.length("line") >= 40) & (2 * F.length(F.regexp_replace("line", r"[^\p{L}]", "")) >= F.length("line"))).withColumn("w", text.words(F.col("line"))).filter("size(w) >= 5")
+    x = _lines(spark, d).filter((F.length("line") >= 40) & ~F.col("line").rlike(corpus.BOILERPLATE) & (2 * F.length(F.regexp_replace("line", r"[^\p{L}]", "")) >= F.length("line"))).withColumn("w", text.words(F.col("line"))).filter("size(w) >= 5")
     x = corpus.keep_first(x, ["doc_id", F.left("line", F.lit(50))], ["line_no"])
     x = x.withColumn("q", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))).filter("q <= 3")
     return x.select("doc_id", "q", F.array_join(F.slice("w", 1, 10), " ").alias("prompt"))
