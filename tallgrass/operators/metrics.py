@@ -105,7 +105,7 @@ def is_repetitive(ids: Column) -> Column:
     return (F.size(ids) > 4) & (F.size(F.array_distinct(ids)) < 0.4 * F.size(ids))
 
 
-def cut_at_stop(ids: Column, stop: int) -> Column:
+def cut_at_stop(ids: Column, stop: int | Column) -> Column:
     at = F.array_position(ids, stop)
     return F.when(at > 0, F.slice(ids, F.lit(1), (at - 1).cast("int"))).otherwise(ids)
 
@@ -119,14 +119,6 @@ def best_of(candidates: DataFrame, key: str) -> DataFrame:
     return x.select(key, F.when(ok, F.col("b.text")).otherwise("").alias("text"), F.when(ok, F.col("b.confidence")).otherwise(0.0).alias("confidence"), F.when(ok, F.col("b.finish")).otherwise("stop").alias("finish"))
 
 
-def merge_sticky(pool: DataFrame, fresh: DataFrame, typed: Column, boost: float = 0.1, keep: int = 5) -> DataFrame:
-    """Surviving candidates (their word starts as typed) before fresh ones that aren't among them."""
-    alive = pool.filter(F.lower("text").startswith(F.lower(typed))).withColumn("score", F.col("prob") + boost)
-    new = fresh.join(alive.select("text"), "text", "left_anti").withColumn("score", F.col("prob"))
-    w = Window.partitionBy("test_id").orderBy(F.desc("score"), "text")
-    return alive.unionByName(new).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
-
-
 def parse_judgments(answers: Column) -> Column:
     """Map of pair number to A, B or T; the last judgment of a pair wins."""
     n = F.regexp_extract_all(answers, F.lit(r"(\d+)\s*[:=.]?\s*([ABT])"), F.lit(1))
@@ -134,3 +126,33 @@ def parse_judgments(answers: Column) -> Column:
     both = F.arrays_zip(n.alias("n"), s.alias("s"))
     last = F.filter(both, lambda x, i: ~F.array_contains(F.slice(n, i + 2, F.size(n)), x["n"]))
     return F.map_from_entries(last)
+
+
+def trend(steps: DataFrame, step: str, value: str) -> DataFrame:
+    """A value at the first three steps and an arrow from the first to the third."""
+    x = steps.withColumn("_k", F.row_number().over(Window.orderBy(step)))  # a row a checkpoint
+    x = x.groupBy().pivot("_k", [1, 2, 3]).agg(F.first(value)).toDF("first", "second", "third")
+    arrow = F.when(F.col("third") > F.col("first"), "↑").when(F.col("third") < F.col("first"), "↓").otherwise("→")
+    return x.withColumn("trend", arrow)
+
+
+def compared(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Mean with its normal interval, and counts of methods, by checkpoint."""
+    half = 1.96 * F.stddev_samp(value) / F.sqrt(F.count("*"))
+    at = lambda m: F.count_if(F.col("method") == m).alias(m)
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.avg(value) - half, 6).alias("lo"), F.round(F.avg(value) + half, 6).alias("hi"), at("completion"), at("manual"))
+
+
+def disagreements(ranks: DataFrame, case: list[str], steps: int = 2) -> DataFrame:
+    """Cases with more than one rank over ``(step, rank)``; a missing rank is -1."""
+    known = F.coalesce("rank", F.lit(-1))
+    x = ranks.groupBy(*case).agg(F.count_distinct(known).alias("_n"), *[F.max(F.when(F.col("step") == k, known)).alias(f"r{k}") for k in range(steps)])
+    return x.filter("_n > 1").drop("_n")
+
+
+def mean_of_means(rows: DataFrame, by: str, prompt: str, value: str) -> DataFrame:
+    """Means of prompts' means, their peak, and the mean of each prompt's element at int(0.95 n)."""
+    w = Window.partitionBy(by, prompt)
+    hist = rows.groupBy(by, prompt, value).agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
+    m = hist.groupBy(by, prompt).agg((F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"), F.min(F.when(F.col("upto") > F.floor(0.95 * F.col("n")), F.col(value))).alias("p95"))
+    return m.groupBy(by).agg(F.count("*").alias("prompts"), F.round(F.avg("mean"), 6).alias("mean_of_means"), F.round(F.max("mean"), 6).alias("peak"), F.round(F.avg("p95"), 6).alias("p95"))

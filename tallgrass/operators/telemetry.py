@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OUTCOMES = ("accepted", "partially_accepted", "rejected", "ignored")
@@ -21,9 +22,10 @@ def trailing(events: DataFrame, hours: int, now=None, model: str | None = None)
     return found.filter(F.col("model") == model) if model else found
 
 
-def recent(events: DataFrame, limit: int = 100) -> DataFrame:
+def recent(events: DataFrame, limit: int = 100, model: str | None = None) -> DataFrame:
+    """The newest events, of one model if told so."""
     checked(1, limit)
-    return events.orderBy(F.desc("id")).limit(limit)
+    return (events.filter(F.col("model") == model) if model else events).orderBy(F.desc("id")).limit(limit)
 
 
 def lifecycle(events: DataFrame, latest_wins: bool = False) -> DataFrame:
@@ -82,3 +84,43 @@ def redacted(suggestion, opted_in, most: int = 500):
 
 def short_model(name):
     return F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"\.gguf$", "")
+
+
+def normal_time(raw: Column) -> Column:
+    """A timestamp of whole seconds from ISO text: 'T' or a space, a fraction and a 'Z' or none."""
+    return F.to_timestamp(F.replace(F.regexp_replace(raw, r"(\.\d*)?Z?$", ""), F.lit("T"), F.lit(" ")))
+
+
+def contexts(events: DataFrame) -> DataFrame:
+    """``suggestion_id, context`` of suggestions that were shown: the newest showing's, or, where that is
+    empty, the newest acceptance's."""
+    at = lambda kind: F.max_by("context", F.when(F.col("event_type") == kind, F.col("id")))
+    x = events.filter("suggestion_id IS NOT NULL").groupBy("suggestion_id").agg(at("suggested").alias("shown"), at("accepted").alias("taken"))
+    return x.filter("shown IS NOT NULL").select("suggestion_id", F.coalesce(F.nullif("shown", F.lit("")), "taken").alias("context"))
+
+
+def grid(events: DataFrame) -> DataFrame:
+    """``bucket, model, n`` with a row for every bucket and every model that there are."""
+    counts = events.groupBy("bucket", "model").agg(F.count("*").alias("n"))
+    models = counts.agg(F.array_sort(F.collect_set("model")).alias("models"))  # a short list
+    days = counts.select("bucket").distinct().join(F.broadcast(models)).select("bucket", F.explode("models").alias("model"))
+    return days.join(counts, ["bucket", "model"], "left").select("bucket", "model", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def flushed(events: DataFrame, most: int = 20, seconds: float = 5.0) -> DataFrame:
+    """Events with the ``batch`` of their session that a client would send them in: one closes at ``most``
+    events, or before an event that comes ``seconds`` or more after its first. A session is folded in order."""
+    schema = events.select("session_id", "id", "timestamp").schema.add("batch", "long")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["timestamp", "id"])
+        batch, count, began, out = 0, 0, None, []
+        for at in pdf.timestamp:
+            if began is not None and (count == most or (at - began).total_seconds() >= seconds):
+                batch, count, began = batch + 1, 0, None
+            began = at if began is None else began
+            count += 1
+            out.append(batch)
+        return pdf.assign(batch=out)
+
+    return events.select("session_id", "id", "timestamp").groupBy("session_id").applyInPandas(fold, schema)

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tallgrass.plans import corpus, evaluation, registry  # noqa: F401
+from tallgrass.plans import corpus, evaluation, keyboard, preparation, registry  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 
