@@ -205,16 +205,18 @@ def has_digit_run(x: Column, least: int = 7) -> Column:
 def split_boundaries(x: Column, mis_stitched: bool = False) -> Column:
     """Sub-sentences; the mark stays with the sentence that it ends.
 
-    ``mis_stitched`` joins the parts as the compared tool does: text, mark, text by threes, so that
-    a sentence and the next are one line and the second mark stands alone.
+    ``mis_stitched`` joins the parts text, mark, text by threes, so that a sentence and the next are
+    one line and what is left over stands alone, the second mark too.
     """
     if not mis_stitched:
         return F.split(_sub(x, BOUNDARY, "$1\u0001"), "\u0001")
     parts = F.split(_sub(x, BOUNDARY, "\u0001$1\u0001"), "\u0001")
 
     def by_threes(p: Column) -> Column:
-        whole = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / 3).cast("int")), lambda i: F.slice(p, 3 * i + 1, F.lit(3)))
-        return F.transform(whole, lambda t: strip(F.concat(F.get(t, F.lit(0)), F.coalesce(F.get(t, F.lit(1)), F.lit("")), F.coalesce(F.concat(F.lit(" "), F.get(t, F.lit(2))), F.lit("")))))
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / 3).cast("int")), lambda i: F.slice(p, 3 * i + 1, F.lit(3)))
+        joined = lambda t: F.array(F.concat(F.get(t, F.lit(0)), F.get(t, F.lit(1)), F.lit(" "), F.get(t, F.lit(2))))
+        lines = F.flatten(F.transform(groups, lambda t: F.when(F.size(t) == 3, joined(t)).otherwise(t)))
+        return F.filter(F.transform(lines, strip), lambda x: x != "")
 
     return let(parts, by_threes)
 

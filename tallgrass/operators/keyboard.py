@@ -31,8 +31,9 @@ def keyboard_candidates(contexts: DataFrame, followers: DataFrame, k: int = FETC
     """``id, prev, typed, rank, text, prob, is_next`` for ``contexts(id, prev, typed)`` from
     ``followers(prev, word, prob)``: words after ``prev`` that begin as typed, and, where a whole word is
     typed, the words after it."""
-    inside = contexts.join(followers, "prev").filter(F.col("word").startswith(F.col("typed")) & ~suggestion.has_digit(F.col("word")))
-    inside = inside.select("id", "prev", "typed", F.col("word").alias("text"), "prob", F.lit(False).alias("is_next"))
+    # each beginning of a follower is a row, so that both columns are keys of the join
+    begun = followers.filter(~suggestion.has_digit(F.col("word"))).select("*", F.explode(F.transform(F.sequence(F.lit(0), F.length("word")), lambda n: F.left("word", n))).alias("typed"))
+    inside = contexts.join(begun, ["prev", "typed"]).select("id", "prev", "typed", F.col("word").alias("text"), "prob", F.lit(False).alias("is_next"))
     after = followers.withColumnRenamed("prev", "typed").filter(~suggestion.has_digit(F.col("word")))
     after = contexts.filter("typed <> ''").join(after, "typed").select("id", "prev", "typed", F.col("word").alias("text"), "prob", F.lit(True).alias("is_next"))
     return ranked(inside.unionByName(after), ["id", "prev", "typed"], k)
@@ -79,7 +80,7 @@ class Typist:
         new = [(*c, False) for c in fresh if c[0] not in {a[0] for a in alive}]
         order = sorted(alive + new, key=lambda c: -(c[1] + BOOST * c[3]))
         self.pool = order[:POOL]
-        self.log("check", prefix=self.text[-60:], displayed=[c[:2] for c in order[:SHOWN]], fresh=[c[:2] for c in fresh])
+        self.log("check", prefix=self.text[-60:], displayed=[{"text": c[0], "prob": c[1]} for c in order[:SHOWN]], fresh=[{"text": c[0], "prob": c[1]} for c in fresh])
         return order[:SHOWN], fresh
 
     def log(self, kind: str, **fields) -> None:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,17 +34,23 @@ def csr(best: DataFrame) -> DataFrame:
 
 
 def bootstrap_mean(df: DataFrame, value: str, group: str, n: int = 1000, seed: int = 42) -> DataFrame:
-    """Percentile interval of a group's mean over seeded resamples of its values in ascending order."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf[value].to_numpy(float))
-        rng = np.random.RandomState(seed)
-        means = [x[rng.randint(0, len(x), len(x))].mean() for _ in range(n)]
-        lo, hi = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame([(pdf[group].iloc[0], float(x.mean()), float(lo), float(hi), len(x))])
-
-    kind = df.schema[group].dataType.simpleString()
-    return df.select(group, value).groupBy(group).applyInPandas(one, f"{group} {kind}, mean double, lo double, hi double, n long")
+    """Percentile interval of a group's mean over ``n`` resamples. A resample gives each row a Poisson
+    weight, drawn by a hash of the seed, the resample and the row's value and number among equal ones,
+    so that resamples are grouped sums and no group is gathered. Empty groups have no row."""
+    counted = df.select(group, F.col(value).cast("double").alias("v")).filter("v IS NOT NULL").groupBy(group, "v").agg(F.count("*").alias("c"))
+    rows = counted.select(group, "v", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("k"))
+    drawn = rows.select(group, "v", "k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
+    u = (F.pmod(F.xxhash64(F.lit(seed), "b", "v", "k"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    cuts, below, p = [], 0.0, math.exp(-1)
+    for k in range(12):  # the Poisson distribution of mean 1, up to one in a billion
+        below += p
+        cuts.append(below)
+        p /= k + 1
+    weight = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: u > c))
+    means = drawn.withColumn("w", weight).groupBy(group, "b").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    spread = means.groupBy(group).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))  # n means a group
+    whole = counted.groupBy(group).agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.sum("c").alias("n"))
+    return whole.join(spread, group).select(group, "mean", "lo", "hi", "n")
 
 
 def simulate_csr(tests: DataFrame, predictions: DataFrame, most: int = 120) -> DataFrame:
@@ -95,10 +100,13 @@ def learning_rate(step: Column, peak: float, least: float, warmup: int, steps: i
 
 def softmax_top(logits: Column, k: int) -> Column:
     """``id, prob`` of the ``k`` likeliest entries of an array of logits."""
-    top = F.array_max(logits)
-    whole = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    probs = F.transform(logits, lambda x, i: F.struct((-F.exp(x - top) / whole).alias("p"), i.alias("id")))
-    return F.transform(F.slice(F.array_sort(probs), 1, k), lambda x: F.struct(x["id"].alias("id"), (-x["p"]).alias("prob")))
+    exps = text.let(logits, lambda x: text.let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top))))
+
+    def likeliest(e: Column) -> Column:
+        order = F.slice(F.array_sort(F.transform(e, lambda v, i: F.struct((-v).alias("p"), i.alias("id")))), 1, k)
+        return text.let(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), lambda whole: F.transform(order, lambda x: F.struct(x["id"].alias("id"), (-x["p"] / whole).alias("prob"))))
+
+    return text.let(exps, likeliest)
 
 
 def is_repetitive(ids: Column) -> Column:

@@ -90,7 +90,7 @@ def fim(lines: DataFrame, least: int = 10, min_middle: int = 2) -> DataFrame:
     draw = lambda s: F.conv(F.substring(F.md5(F.concat(F.lit(s), F.col("doc_id").cast("string"), F.lit(":"), F.col("line_no").cast("string"))), 1, 7), 16, 10).cast("long")
     x = x.withColumn("c", draw("c")).filter("c % 2 = 0").withColumn("p1", (draw("a") % F.greatest(F.lit(1), F.col("n") - min_middle + 1)).cast("int"))
     x = x.withColumn("p2", (F.col("p1") + min_middle + draw("b") % F.greatest(F.lit(1), F.col("n") - F.col("p1") - min_middle + 1)).cast("int"))
-    cut = lambda a, b: F.slice("w", a + 1, b - a)
+    cut = lambda a, b: F.slice("w", a + 1, F.greatest(F.lit(0), b - a))
     zero = F.lit(0)
     return x.select(
         "doc_id", "line_no", "w", cut(zero, F.col("p1")).alias("prefix"), cut(F.col("p1"), F.col("p2")).alias("middle"), cut(F.col("p2"), F.col("n")).alias("suffix"),
