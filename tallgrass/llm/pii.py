@@ -1,12 +1,16 @@
 """Personal data replaced by keyed surrogates, in DataFrame and SQL expressions only.
 
 Entities are found with one pattern, checked by kind (Luhn and issuer range for cards,
-octet range for addresses), and replaced in place: digits by digits, letters by letters
-of the same case and script, first names by names of the same gender and script, with
-all punctuation kept. A surrogate depends on a key and on the entity's normal form, so
-one entity has one surrogate in the whole corpus, however it is written. The table of
-distinct entities is checked for collisions, of surrogates with each other and with
-real entities; whichever loses is drawn again until none is left.
+octet range for addresses, digit counts for phones), and replaced in place: digits by
+digits, letters by letters of the same case and script, given names by names of the same
+gender and script, surnames by made-up surnames of the script with the ending of the
+gender, with all punctuation kept. Country codes of phones and account numbers stay, and
+check digits are made to fit. Persons are found by a title, a listed given name, or the
+words that introduce a name; a surname that a text has introduced is replaced wherever
+else it stands in that text. A surrogate depends on a key and on the entity's normal
+form, so one entity has one surrogate in the whole corpus, however it is written. The
+table of distinct entities is checked for collisions, of surrogates with each other and
+with real entities; whichever loses is drawn again until none is left.
 """
 
 from __future__ import annotations
@@ -16,39 +20,68 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import let, staged
+from tallgrass.llm.common import added, let, staged, text_key
 
 # Given names by script and gender.
 NAMES = {
-    ("latin", "m"): "James Robert Michael William David Richard Joseph Thomas Charles Christopher Jürgen Klaus Wolfgang Heinrich Pierre Jacques François Carlos Miguel Javier".split(),
-    ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Margaret Deborah Ursula Heike Gudrun Monique Chantal Isabelle Françoise Lucía Pilar Mercedes".split(),
+    ("latin", "m"): (
+        "James Robert Michael William David Richard Joseph Thomas Charles Christopher Jürgen Klaus Wolfgang Heinrich Pierre Jacques François Carlos Miguel Javier "
+        "John Daniel Matthew Anthony Andrew Steven Paul Kevin Brian George Edward Peter Stephen Hans Stefan Andreas Uwe Jean Michel Philippe Alain Nicolas José Juan Antonio Pedro Luis Fernando"
+    ).split(),
+    ("latin", "f"): (
+        "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Margaret Deborah Ursula Heike Gudrun Monique Chantal Isabelle Françoise Lucía Pilar Mercedes "
+        "Sarah Emma Karen Lisa Nancy Sandra Ashley Emily Donna Michelle Laura Anna Sabine Petra Monika Claudia Marie Nathalie Sophie Camille Carmen Ana Isabel Elena Rosa Teresa"
+    ).split(),
     ("cyrillic", "m"): "Иван Дмитрий Сергей Алексей Николай Михаил Владимир Андрей".split(),
     ("cyrillic", "f"): "Анна Ольга Елена Мария Наталья Татьяна Ирина Светлана".split(),
     ("greek", "m"): "Γιώργος Νίκος Δημήτρης Κώστας Γιάννης".split(),
     ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Αγγελική".split(),
 }
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Mme Mlle Sra Sr Señor Señora Monsieur Madame".split()
-# Letters by script, lower case then upper case.
+# Words before a name of two words or more.
+INTRODUCTIONS = ["[Mm]y name is", "[Nn]ame:", "[Ss]igned by", "[Ss]igned,", "[Rr]egards,", "[Ss]incerely,", "[Cc]ontact:", "[Aa]ttn\\.?:?", "[Mm]ein Name ist", "[Ii]ch heiße", "[Jj]e m'appelle", "[Mm]e llamo", "Меня зовут"]
+# Parts of made-up surnames by script: beginnings, middles, endings (those of women apart).
+SURNAMES = {
+    "latin": ("Al Bar Ber Bran Cal Car Dal Dor El Fal Far Gar Gil Hal Har Hol Kel Ken Lan Lor Mal Mar Mel Mor Nor Or Pal Per Ral Ros Sal Sel Tal Tor Ul Val Vor Wal Wes Win", "ba be bi da de di fa fe ga go ka ke la le li lo ma me mo na ne no ra re ri ro sa se so ta te ti to va ve", "berg ner ford ley man mann mont net ric ron sen son stein ton vard well"),
+    "cyrillic": ("Бар Бел Вал Вер Гор Дан Дор Жар Зор Кал Кор Лад Мар Мел Нев Ор Пол Рад Сав Сол Тар Фед Чер Яр", "ан ат ев ед ел ен ер ик ил ин ир ок ол ом он ор", "ов ев ин", "ова ева ина"),
+    "greek": ("Αλ Βαρ Γερ Δημ Ζαφ Θεο Καλ Κορ Λαμ Μαν Μελ Νικ Παλ Ραλ Σαρ Ταλ Φαν Χαρ", "αδ ακ αλ αν ατ εδ ελ εν ερ ιδ ικ ιλ ιν ολ ον ορ", "όπουλος ίδης άκης", "οπούλου ίδου άκη"),
+}
+# Calling codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 LETTERS = {
     "latin": "abcdefghijklmnopqrstuvwxyz",
     "accented": "àâäçéèêëîïôöùûüñ",
     "cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя",
     "greek": "αβγδεζηθικλμνξοπρστυφχψω",
 }
-NAME = r"\p{Lu}[\p{Ll}'’]{1,30}(?:-\p{Lu}\p{Ll}{1,30})?"
+PLAIN = r"(?:\p{Lu}['’])?\p{Lu}[\p{Ll}'’]{1,30}"
+NAME = rf"{PLAIN}(?:-\p{{Lu}}\p{{Ll}}{{1,30}})?"
+PARTICLES = r"(?:(?:von|van|zu|der|den|de|del|della|di|da|du) ){0,2}"
 GIVEN = "|".join(n for names in NAMES.values() for n in names)
 TITLE = "|".join(TITLES)
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}\-]{1,63}+\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}_\-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|(?=[0-9a-fA-F]{0,31}[0-9])(?=[0-9a-fA-F]{0,31}[a-fA-F])[0-9a-fA-F]{32,128})(?![\p{L}\p{N}_\-])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "card": r"(?<![\p{L}\p{N}.\-])\d{4}(?:[ \-]?)\d{4}(?:[ \-]?)\d{4}(?:[ \-]?)\d{4}(?![\p{L}\p{N}\-])",
+    "ipv6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,36}[0-9])(?=[0-9A-Fa-f:]{0,36}[0-9A-Fa-f]{3})(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
+    "card": r"(?<![\p{L}\p{N}.\-])\d{4}(?:[ \-]?)(?:\d{4}(?:[ \-]?)\d{4}(?:[ \-]?)(?:\d{4}(?:[ \-]?\d{3})?|\d{1,3})|\d{6}(?:[ \-]?)\d{5})(?![\p{L}\p{N}\-])",
     "ssn": r"(?<![\p{L}\p{N}.\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])",
     "ip": r"(?<![\p{L}\p{N}.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\p{L}\p{N}]|\.\d)",
-    "phone": r"(?<![\p{L}\p{N}+.])(?:\+\d{1,3}[ .\-]?)(?:\(\d{1,4}\)[ .\-]?|\d{1,4}[ .\-])(?:\d{2,4}[ .\-]){0,3}\d{2,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+.])\(\d{3}\) ?\d{3}-\d{4}(?![\p{L}\p{N}])",
-    "person": rf"(?<![\p{{L}}\p{{N}}])(?:(?:(?:{TITLE})\.? )?(?:{GIVEN}) {NAME}|(?:{TITLE})\.? {NAME})(?![\p{{L}}\p{{N}}])",
+    "phone": (
+        r"(?<![\p{L}\p{N}+.])(?:\+\d{1,3}[ .\-]?)(?:\(\d{1,4}\)[ .\-]?|\d{1,4}[ .\-])(?:\d{2,4}[ .\-]){0,3}\d{2,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+.])\+\d{8,15}(?![\p{L}\p{N}])"
+        r"|(?<![\p{L}\p{N}+.])\(\d{3}\) ?\d{3}-\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+.\-/])[2-9]\d{2}([ .\-])[2-9]\d{2}\1\d{4}(?![\p{L}\p{N}\-])"
+        r"|(?<![\p{L}\p{N}+.\-/])0\d(?:[ .\-]\d{2}){4}(?![\p{L}\p{N}\-])|(?<![\p{L}\p{N}+.\-/])0[1-9]\d{1,3}[ /\-]\d{6,8}(?![\p{L}\p{N}\-])"
+    ),
+    "person": rf"(?<![\p{{L}}\p{{N}}])(?:(?:(?:{TITLE})\.? )?(?:{GIVEN}) {PARTICLES}{NAME}|(?:{TITLE})\.? {PARTICLES}{NAME}|(?<=(?:{'|'.join(INTRODUCTIONS)}) ){PLAIN} {PARTICLES}{NAME})(?![\p{{L}}\p{{N}}])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+PATTERNS["phone"] = PATTERNS["phone"].replace("([ .\\-])", "(?<sep>[ .\\-])").replace("\\1", "\\k<sep>")  # by name: patterns are joined
+#: What an entity begins with: tested first, so that most places of a text cost one look.
+BEGINNINGS = {
+    "email": r"(?<![\p{L}\p{N}._%+\-])(?=[\p{L}\p{N}._%+\-]++@)", "secret": r"(?<![\p{L}\p{N}_\-])(?=[A-Za-z0-9_\-]{19})", "iban": r"(?=[A-Z]{2}\d)", "ipv6": "(?=[0-9A-Fa-f]{1,4}:)", "card": r"(?=\d{4})", "ssn": r"(?=\d{3}-)",
+    "ip": r"(?=\d{1,3}\.)", "phone": r"(?=[\d+(])", "person": r"(?=\p{Lu})",
+}
+START = r"(?<![\p{L}\p{N}])(?=[\d+(\p{Lu}]|[\p{L}\p{N}_\-]{19}|[\p{L}\p{N}._%+\-]*+@|[0-9A-Fa-f]{1,4}:)"
+ANY = START + "(?:" + "|".join(f"(?:{BEGINNINGS[k]}(?:{p}))" for k, p in PATTERNS.items()) + ")"
 DIGIT_KINDS = ("card", "ssn", "phone")
 
 
@@ -75,13 +108,15 @@ def kind_of(value: Column) -> Column:
     is_ = lambda k: value.rlike(f"^(?:{PATTERNS[k]})$")
     return (
         F.when(value.contains("@"), "email")
-        .when(value.rlike(r"^\d[\d \-]*$") & (F.length(digits) == 16), F.when(issuer & (_luhn_sum(digits, 1) % 10 == 0), "card"))
+        .when(is_("ipv6"), "ipv6")
+        .when(is_("phone") & ~value.rlike(r"^[+(]"), "phone")
+        .when(value.rlike(r"^\d[\d \-]*$") & F.length(digits).between(13, 19), F.when(issuer & (_luhn_sum(digits, 1) % 10 == 0), "card"))
         .when(is_("ssn"), "ssn")
         .when(is_("ip"), F.when(octets, "ip"))
         .when(value.rlike(r"^[+(]"), F.when((F.length(digits) >= 7) & (F.length(digits) <= 16), "phone"))
         .when(is_("secret"), "secret")
         .when(is_("iban"), "iban")
-        .when(is_("person"), "person")
+        .when(value.rlike(r"^\p{Lu}"), "person")
     )
 
 
@@ -139,13 +174,22 @@ def _mapped(value: Column, stream: Column, hexadecimal: Column | None = None) ->
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
-def _new_digits(kind: Column, digits: Column, stream: Column) -> Column:
-    """As many digits; the first is no zero, a card keeps its first and ends in its check digit."""
+def _country_digits(value: Column, digits: Column) -> Column:
+    """How many digits of a phone number are its country's code, which stays."""
+    return F.when(~value.startswith("+"), 0).when(digits.rlike("^[17]"), 1).when(F.left(digits, F.lit(2)).isin(*TWO_DIGITS), 2).otherwise(3)
+
+
+def _new_digits(kind: Column, value: Column, digits: Column, stream: Column) -> Column:
+    """As many digits: a first zero stays one and others become none, a country's code stays, and a card
+    keeps its first digit and ends in its check digit."""
+    first = F.when(digits.startswith("0"), 0).otherwise(_byte(stream, F.lit(0)) % 9 + 1)
     drawn = F.array_join(
-        F.transform(F.sequence(F.lit(0), F.length(digits) - 1), lambda i: F.when(i == 0, _byte(stream, i) % 9 + 1).otherwise(_byte(stream, i) % 10).cast("string")), ""
+        F.transform(F.sequence(F.lit(0), F.length(digits) - 1), lambda i: F.when(i == 0, first).otherwise(_byte(stream, i) % 10).cast("string")), ""
     )
-    card = let(F.concat(F.left(digits, F.lit(1)), F.substring(drawn, F.lit(2), F.length(digits) - 2)), lambda body: F.concat(body, ((10 - _luhn_sum(body, 0) % 10) % 10).cast("string")))
-    return F.when(kind == "card", card).otherwise(drawn)
+    body = F.concat(F.left(digits, F.lit(1)), F.substring(drawn, F.lit(2), F.length(digits) - 2))
+    card = let(body, lambda b: F.concat(b, ((10 - _luhn_sum(b, 0) % 10) % 10).cast("string")))
+    phone = let(_country_digits(value, digits), lambda n: F.concat(F.left(digits, n), F.substring(drawn, n + 1, F.length(digits))))
+    return F.when(kind == "card", card).when(kind == "phone", phone).otherwise(drawn)
 
 
 def _refilled(value: Column, digits: Column) -> Column:
@@ -173,6 +217,25 @@ def _given(value: Column, key: str) -> Column:
     return out
 
 
+def _made_up(value: Column, stream: Column) -> Column:
+    """A surname of the value's script: a beginning, middles drawn by their number from the stream, an ending,
+    a woman's where the value has one. Parts of a double name are made up one by one."""
+
+    def part(script: str, i: Column, word: Column) -> Column:
+        begin, middle, *ends = ([*map(F.lit, x.split())] for x in SURNAMES[script])
+        pick = lambda options, k: F.get(F.array(*options), (_byte(stream, 8 * i + k) % len(options)).cast("int"))
+        end = pick(ends[0], 5)
+        if len(ends) > 1:
+            end = F.when(word.rlike("(?:а|ая|ου|η)$"), pick(ends[1], 5)).otherwise(end)
+        more = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.when((k == 1) | (_byte(stream, 8 * i + k + 5) % 2 == 0), pick(middle, k)).otherwise("")), "")
+        return F.concat(pick(begin, F.lit(0)), more, end)
+
+    def one(word: Column, i: Column) -> Column:
+        return F.when(word.rlike(r"^\p{IsCyrillic}"), part("cyrillic", i, word)).when(word.rlike(r"^\p{IsGreek}"), part("greek", i, word)).otherwise(part("latin", i, word))
+
+    return F.array_join(F.transform(F.split(value, "-"), one), "-")
+
+
 def _email(value: Column, stream: Column) -> Column:
     end = F.regexp_extract(value, r"(\.\p{L}{2,24})$", 1)
     return F.concat(_mapped(F.left(value, F.length(value) - F.length(end)), stream), end)
@@ -194,23 +257,37 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
         words = F.transform(F.split(front, " "), lambda w: _given(w, key))
         return (
             F.when(kind == "email", _email(value, stream))
-            .when(kind.isin(*DIGIT_KINDS), _refilled(value, _new_digits(kind, digits, stream)))
+            .when(kind.isin(*DIGIT_KINDS), _refilled(value, _new_digits(kind, value, digits, stream)))
             .when(kind == "ip", _address(stream))
-            .when(kind == "person", F.concat(F.array_join(words, " "), _mapped(last, stream)))
-            .when(kind == "iban", F.concat(F.left(value, F.lit(2)), _iban_rest(value, stream)))
+            .when(kind == "ipv6", _mapped(value, stream, F.lit(True)))
+            .when(kind == "person", F.concat(F.array_join(words, " "), _made_up(last, stream)))
+            .when(kind == "iban", _iban(value, stream))
             .otherwise(_mapped(value, stream, hexadecimal))
         )
 
     return let(_stream(key, kind, normal, attempt), build)
 
 
-def _iban_rest(value: Column, stream: Column) -> Column:
-    """Letters and digits after the country, numbered without the spaces that mentions may differ in."""
-    packed = _mapped(F.substring(F.replace(value, F.lit(" "), F.lit("")), F.lit(3), F.length(value)), stream)
+def _mod97(text: Column) -> Column:
+    """The remainder of an account number's digits, letters counting from 10, taken character by character."""
+    value = lambda c: F.when(c.rlike("^[0-9]$"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise((a * F.when(c.rlike("^[0-9]$"), 10).otherwise(100) + value(c)) % 97).cast("int"))
+
+
+def _iban(value: Column, stream: Column) -> Column:
+    """The country, check digits that fit, and letters and digits numbered without the spaces that mentions may differ in."""
+    packed = F.replace(value, F.lit(" "), F.lit(""))
+    country = F.left(value, F.lit(2))
+    drawn = _mapped(F.substring(packed, F.lit(5), F.length(value)), stream)
+    whole = let(drawn, lambda b: F.concat(F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("k"))
     rest = F.split(F.substring(value, F.lit(3), F.length(value)), "")
-    step = lambda a, c: F.struct(F.concat(a["out"], F.when(c == " ", c).otherwise(F.substring(packed, a["k"] + 1, F.lit(1)))).alias("out"), (a["k"] + (c != " ").cast("int")).alias("k"))
-    return F.aggregate(rest, start, step, lambda a: a["out"])
+
+    def spaced(new: Column) -> Column:
+        step = lambda a, c: F.struct(F.concat(a["out"], F.when(c == " ", c).otherwise(F.substring(new, a["k"] + 1, F.lit(1)))).alias("out"), (a["k"] + (c != " ").cast("int")).alias("k"))
+        return F.aggregate(rest, start, step, lambda a: a["out"])
+
+    return F.concat(country, let(whole, spaced))
 
 
 def _found(text: Column) -> Column:
@@ -246,33 +323,52 @@ def draws(found: DataFrame, key: str, rounds: int = 40) -> DataFrame | None:
     raise RuntimeError("surrogates still collide")
 
 
-def anonymised(docs: DataFrame, key: str = "surrogates") -> DataFrame:
-    """``docs`` with ``text`` replaced, ``_n_entities`` (mentions replaced) and ``_kinds``.
+def _bare(pieces: Column, known: Column, attempt, key: str) -> Column:
+    """Text between mentions, in which surnames that a text's persons have introduced (``known``: their
+    mentions) are replaced too, as whole words."""
+    names = F.array_distinct(F.transform(known, lambda v: _surname(v)))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}@._\-])(?:"), F.array_join(F.transform(names, lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E"))), "|"), F.lit(r")(?![\p{L}\p{N}@_])"))
+    kind = F.lit("person")
+
+    def replaced(p: Column, at: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(p, at, F.lit(0)), lambda v: surrogate(kind, v, attempt(v), key))
+        return F.array_join(F.zip_with(F.split(p, at, -1), F.concat(found, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+    return F.when(F.size(names) > 0, let(pattern, lambda at: F.transform(pieces, lambda p: replaced(p, at)))).otherwise(pieces)
 
-    Every row stays, with its other columns; null text stays null; equal mentions get
-    equal surrogates in every row, repeated or not; a text without entities is unchanged
-    byte for byte; an empty table stays empty.
+
+def anonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """``docs`` with ``text`` replaced, ``_n_entities`` (mentions replaced) and ``_kinds``; where ``docs`` has
+    a column of such a name, the added one has an underscore more.
+
+    Whoever knows the key can draw the surrogates again, so there is none by default: it is given, or
+    the session's ``spark.tallgrass.surrogates.key``. Every row stays, with its other columns; null
+    text stays null; equal mentions get equal surrogates in every row, repeated or not; a text
+    without entities is unchanged byte for byte; an empty table stays empty.
     """
+    spark = docs.sparkSession
+    key = key or spark.conf.get("spark.tallgrass.surrogates.key", None)
+    if not key:
+        raise ValueError("surrogates need a key")
     again = draws(entities(docs), key)
-    rows = docs.withColumn("_values", _found(F.col("text")))
-    named = F.transform("_values", lambda v: F.struct(v.alias("v"), kind_of(v).alias("k")))
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("values", _found(F.col("text")))
     if again is None:
-        rows = rows.withColumn("_draws", F.lit(None).cast("map<string,int>"))
+        rows = rows.withColumn("draws", F.lit(None).cast("map<string,int>"))
     else:
-        # texts with redrawn entities get them as a map, by a hash of the text: a map holds one text's entities
-        hits = docs.select(F.xxhash64("text").alias("_th"), F.explode(F.array_distinct(_found(F.col("text")))).alias("v")).withColumn("kind", kind_of(F.col("v")))
-        hits = hits.filter("kind IS NOT NULL").select("_th", "kind", normal_of(F.col("kind"), F.col("v")).alias("normal")).distinct().join(again, ["kind", "normal"])
-        maps = hits.groupBy("_th").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "normal"), "attempt"))).alias("_draws"))
-        rows = rows.withColumn("_th", F.xxhash64("text")).join(maps, "_th", "left").drop("_th")
-    rows = rows.withColumn("_named", named)
-    attempt = lambda x: F.coalesce(F.element_at("_draws", F.concat_ws(":", x["k"], normal_of(x["k"], x["v"]))), F.lit(0))
-    replaced = F.transform("_named", lambda x: F.when(x["k"].isNull(), x["v"]).otherwise(surrogate(x["k"], x["v"], attempt(x), key)))
-    between = F.split(F.col("text"), ANY, -1)
+        # texts with redrawn entities get them as a map, by a digest of the text: a map holds one text's entities
+        hits = docs.select(text_key(F.col("text")).alias("th"), F.explode(F.array_distinct(_found(F.col("text")))).alias("v")).withColumn("kind", kind_of(F.col("v")))
+        hits = hits.filter("kind IS NOT NULL").select("th", "kind", normal_of(F.col("kind"), F.col("v")).alias("normal")).distinct().join(again, ["kind", "normal"])
+        maps = hits.groupBy("th").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "normal"), "attempt"))).alias("draws"))
+        rows = rows.withColumn("th", text_key(F.col("text"))).join(maps, "th", "left")
+    rows = rows.withColumn("named", F.transform("values", lambda v: F.struct(v.alias("v"), kind_of(v).alias("k"))))
+    attempt = lambda k, v: F.coalesce(F.element_at("draws", F.concat_ws(":", k, normal_of(k, v))), F.lit(0))
+    replaced = F.transform("named", lambda x: F.when(x["k"].isNull(), x["v"]).otherwise(surrogate(x["k"], x["v"], attempt(x["k"], x["v"]), key)))
+    persons = F.transform(F.filter("named", lambda x: x["k"] == "person"), lambda x: x["v"])
+    between = _bare(F.split(F.col("text"), ANY, -1), persons, lambda v: attempt(F.lit("person"), v), key)
     text = F.array_join(F.zip_with(between, F.concat(replaced, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    known = F.filter("_named", lambda x: x["k"].isNotNull())
-    return (
-        rows.withColumn("_n_entities", F.coalesce(F.size(known), F.lit(0)))
-        .withColumn("_kinds", F.array_sort(F.array_distinct(F.transform(known, lambda x: x["k"]))))
-        .withColumn("_new", F.when(F.col("_n_entities") > 0, text).otherwise(F.col("text")))
-        .select(*[F.col("_new").alias("text") if c == "text" else F.col(c) for c in docs.columns], "_n_entities", "_kinds")
-    )
+    known = F.filter("named", lambda x: x["k"].isNotNull())
+    rows = rows.withColumn("n", F.coalesce(F.size(known), F.lit(0))).withColumn("kinds", F.array_sort(F.array_distinct(F.transform(known, lambda x: x["k"]))))
+    n, kinds = added(docs.columns, "_n_entities", "_kinds")
+    new = F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text")
+    return rows.select(*[new if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], F.col("n").alias(n), F.col("kinds").alias(kinds))

@@ -12,6 +12,12 @@ ODD = [
 ]
 
 
+@pytest.fixture(scope="session", autouse=True)
+def surrogate_key(spark):
+    """Tests that name no key use the session's."""
+    spark.conf.set("spark.tallgrass.surrogates.key", "of the tests")
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
     return spark.createDataFrame(ODD, "doc_id long, text string, key string, fp long")
