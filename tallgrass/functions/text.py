@@ -112,7 +112,7 @@ def strip_tags(x: Column, whole_table: bool = False) -> Column:
 
 
 def strip_decrees(x: Column) -> Column:
-    x = collapse_spaces(_sub(x, DECREE))
+    x = collapse_spaces(_guarded(x, "0123456789", lambda v: _sub(v, DECREE)))
     for pattern, to in ((r"^[,;:.\s]+", ""), (r"[,;:]\s*[.]", "."), (r"\s+[.]\s*$", "."), (r"\s+[,;:]\s*$", "")):
         x = _sub(x, pattern, to)
     return strip(x)
