@@ -51,10 +51,10 @@ def staged(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes staged tables that no later table or result reads, and lets Spark's cleaner
-    find the shuffles that made them: it drops the files of those that are garbage."""
-    if paths:
+def discard(spark: SparkSession, paths: list[str], shuffles: bool = False) -> None:
+    """Deletes staged tables that no later table or result reads. With ``shuffles`` Spark's cleaner
+    also finds the shuffles that made them: it drops the files of those that are garbage."""
+    if shuffles and paths:
         gc.collect()
         spark._jvm.System.gc()
     for path in paths:

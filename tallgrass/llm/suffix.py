@@ -391,7 +391,7 @@ def _stretches(rows: DataFrame, again: DataFrame, twice: bool, kept: list[str],
     if twice:
         joined = joined.dropDuplicates(["key"])
     found = staged(joined.mapInArrow(cut, "g long, key binary, s int, n int, many boolean, stretch binary"), "stretches", kept)
-    discard(rows.sparkSession, paths)
+    discard(rows.sparkSession, paths, shuffles=True)
     return found
 
 
@@ -480,7 +480,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, wi
     same = slim.join(again, "key").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).groupBy("key").count().filter("count > 1")
     runs = repeated_runs(rows, again, bool(same.limit(1).count()), paths, length, anchor)
     fate = staged(runs.join(again.select("key", F.lit(True).alias("whole")), "key", "full").select("key", "runs", "whole"), "repeated-runs")
-    discard(docs.sparkSession, paths)
+    discard(docs.sparkSession, paths, shuffles=True)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
     def strip(batches):
