@@ -211,6 +211,12 @@ def _fold(rows: Iterator[tuple[int, bytes, int, int, bytes]], length: int) -> It
         yield from sort()
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast: it grows with the corpus, and a staged table of
+    10 MB holds a hundred in the driver's hash table."""
+    return df.hint("merge")
+
+
 def _flat(column) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and values of an Arrow list column."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -235,7 +241,7 @@ def _named(rows: DataFrame, key: list[str], paths: list[str]) -> DataFrame:
     sizes = table.groupBy("part").agg(F.count("*").alias("n"))  # a row a partition
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     names = table.join(F.broadcast(before), "part").select(*key, (F.col("before") + F.col("at")).alias("name"))
-    joined = rows.join(names, key).groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("i", "name"))).alias("names"))
+    joined = rows.join(unsent(names), key).groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("i", "name"))).alias("names"))
     return staged(joined, "named", paths)
 
 
@@ -304,11 +310,11 @@ def distributed_repeats(pieces: DataFrame, length: int, paths: list[str], first:
                 names = [name[spot(w, a + lead + d)] for d in (0, second, third)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(w)), pa.array(a.astype(np.int32)), pa.array(raw), *map(pa.array, names)], names=["pid", "i", "q", "x", "y", "z"])
 
-    keyed = named.join(pieces.select("pid", "data"), "pid").select("pid", "names", "data").mapInArrow(keys, "pid long, i int, q long, x long, y long, z long")
+    keyed = named.join(unsent(pieces.select("pid", "data")), "pid").select("pid", "names", "data").mapInArrow(keys, "pid long, i int, q long, x long, y long, z long")
     keyed = staged(keyed, "window-keys", paths)
     key = ["q", "x", "y", "z"]
     several = keyed.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
-    return keyed.join(several, key, "left_semi").select("pid", "i").distinct()
+    return keyed.join(unsent(several), key, "left_semi").select("pid", "i").distinct()
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -352,14 +358,16 @@ def _stretches(rows: DataFrame, again: DataFrame, twice: bool, kept: list[str],
     one = again.withColumn("several", F.lit(True))
     stands = F.expr("several IS NULL OR doc_id <=> rep")
     marked = rows.select("doc_id", "key", "data").mapInArrow(mark, "doc_id long, key binary, h long, p int, s int, e int")
-    marked = staged(marked, "anchors", paths).join(one, "key", "left").filter(stands).select("key", "h", "p", "s", "e")
+    marked = staged(marked, "anchors", paths).join(unsent(one), "key", "left").filter(stands).select("key", "h", "p", "s", "e")
     if twice:
         marked = marked.dropDuplicates(["key", "p"])
-    # A table of its own, so that the join meets no aggregate and Spark can split the places of a hot anchor.
+    marked = staged(marked, "places", paths)
+    discard(rows.sparkSession, [paths.pop(0)])
+    # Tables of their own, so that the joins meet no aggregate and Spark can split the places of a hot anchor and the copies of a text.
     often = staged(marked.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "recurring-anchors", paths)
     place = F.struct("p", "h", "s", "e", (F.col("n") > MANY).alias("many"))
-    spans = marked.join(often, "h").groupBy("key").agg(F.sort_array(F.collect_list(place)).alias("spans"))
-    spans = spans.join(one, "key", "left")
+    spans = marked.join(unsent(often), "h").groupBy("key").agg(F.sort_array(F.collect_list(place)).alias("spans"))
+    spans = staged(spans.join(unsent(one), "key", "left"), "spans", paths)
 
     def cut(batches):
         met: dict[bytes, tuple | None] = {}
@@ -387,7 +395,7 @@ def _stretches(rows: DataFrame, again: DataFrame, twice: bool, kept: list[str],
                     out, size = ([], [], [], [], [], []), 0
             yield _stretch_batch(out)
 
-    joined = rows.filter(F.octet_length("data") >= length).join(spans, "key").filter(stands).select("key", "data", "spans")
+    joined = rows.filter(F.octet_length("data") >= length).join(unsent(spans), "key").filter(stands).select("key", "data", "spans")
     if twice:
         joined = joined.dropDuplicates(["key"])
     found = staged(joined.mapInArrow(cut, "g long, key binary, s int, n int, many boolean, stretch binary"), "stretches", kept)
@@ -423,11 +431,11 @@ def _sorted_across(stretches: DataFrame, length: int, paths: list[str]) -> DataF
     own = F.struct("key", "s", "n")
     pieces = stretches.groupBy("stretch").agg(F.min(own).alias("own"), F.count("*").alias("places"))
     pieces = staged(pieces.select(F.monotonically_increasing_id().alias("pid"), F.col("stretch").alias("data"), "own", "places"), "pieces", paths)
-    whole = stretches.join(pieces.filter("places > 1").select(F.col("data").alias("stretch")), "stretch", "left_semi").selectExpr("key", "s AS a", "s + n - 1 AS b")
+    whole = stretches.join(unsent(pieces.filter("places > 1").select(F.col("data").alias("stretch"))), "stretch", "left_semi").selectExpr("key", "s AS a", "s + n - 1 AS b")
     hits = distributed_repeats(pieces.select("pid", "data"), length, paths)
     step = F.col("i") - F.row_number().over(Window.partitionBy("pid").orderBy("i"))
     runs = hits.withColumn("island", step).groupBy("pid", "island").agg(F.min("i").alias("a"), F.max("i").alias("b"))
-    runs = runs.join(pieces.filter("places = 1").select("pid", "own"), "pid").selectExpr("own.key", "own.s + a AS a", "own.s + b AS b")
+    runs = runs.join(unsent(pieces.filter("places = 1").select("pid", "own")), "pid").selectExpr("own.key", "own.s + a AS a", "own.s + b AS b")
     return whole.unionByName(runs)
 
 
@@ -477,7 +485,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, wi
     paths: list[str] = []
     slim = staged(rows.filter(F.octet_length("data") >= length).select("doc_id", "key"), "text-digests", paths)
     again = staged(slim.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("key", "rep"), "copied-texts", paths)
-    same = slim.join(again, "key").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).groupBy("key").count().filter("count > 1")
+    same = slim.join(unsent(again), "key").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).groupBy("key").count().filter("count > 1")
     runs = repeated_runs(rows, again, bool(same.limit(1).count()), paths, length, anchor)
     fate = staged(runs.join(again.select("key", F.lit(True).alias("whole")), "key", "full").select("key", "runs", "whole"), "repeated-runs")
     discard(docs.sparkSession, paths, shuffles=True)
@@ -500,4 +508,4 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, wi
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return rows.join(fate, "key", "left").select("doc_id", "data", "runs", "whole").mapInArrow(strip, schema)
+    return rows.join(unsent(fate), "key", "left").select("doc_id", "data", "runs", "whole").mapInArrow(strip, schema)
