@@ -50,15 +50,26 @@ def statistics(events: DataFrame) -> DataFrame:
         *[n(t).alias(t) for t in ("suggested", *OUTCOMES)], F.round(F.avg(F.when(shown, F.col("confidence"))), 6).alias("avg_confidence"),
         F.count_distinct(F.when(engaged, F.col("suggestion_id"))).alias("engaged"),
     )
-    w = Window.partitionBy("model").orderBy("latency_ms")
-    hist = events.filter(shown & F.col("latency_ms").isNotNull()).groupBy("model", "latency_ms").agg(F.count("*").alias("c"))
-    hist = hist.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy("model")))
-    at = lambda k: F.round(F.min(F.when(F.col("upto") > k, F.col("latency_ms"))), 1)
-    quantiles = hist.groupBy("model").agg(at(F.floor(F.col("n") / 2)).alias("p50"), at(F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)).alias("p95"))
+    quantiles = _latency_quantiles(events.filter(shown & F.col("latency_ms").isNotNull()))
     rate = lambda a: F.when(F.col("suggested") > 0, F.round(F.col(a) / F.col("suggested"), 4)).otherwise(0.0)
     return stats.join(quantiles, "model", "left").na.fill(0.0, ["p50", "p95"]).withColumn("acceptance", rate("accepted")).withColumn("engagement", rate("engaged"))
 
 
+def _latency_quantiles(shown: DataFrame) -> DataFrame:
+    """``model, p50, p95``. Whole milliseconds are counted first, map-side; then only the latencies of
+    the millisecond that holds a wanted rank are put in order."""
+    shown = shown.select("model", "latency_ms", F.floor("latency_ms").alias("bin"))
+    by = Window.partitionBy("model")
+    bins = shown.groupBy("model", "bin").agg(F.count("*").alias("c"))
+    bins = bins.withColumn("before", F.sum("c").over(by.orderBy("bin")) - F.col("c")).withColumn("n", F.sum("c").over(by))
+    ranks = {"p50": F.floor(F.col("n") / 2), "p95": F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)}
+    wanted = bins.withColumn("q", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), k.alias("k")) for name, k in ranks.items()])))
+    wanted = wanted.filter("q.k >= before AND q.k < before + c").select("model", "bin", "q.name", (F.col("q.k") - F.col("before")).alias("k"))
+    near = shown.join(wanted, ["model", "bin"]).groupBy("model", "name", "k", "latency_ms").agg(F.count("*").alias("c"))
+    near = near.withColumn("upto", F.sum("c").over(Window.partitionBy("model", "name").orderBy("latency_ms"))).filter("upto > k")
+    return near.groupBy("model").agg(*[F.round(F.min(F.when(F.col("name") == name, F.col("latency_ms"))), 1).alias(name) for name in ranks])
+
+
 def timeline(events: DataFrame, hours: int) -> DataFrame:
     bucket = F.date_trunc("minute" if hours <= 1 else "hour", "timestamp")
     return events.groupBy(bucket.alias("bucket"), "model").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "suggested").alias("suggested"))
