@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm import html_blocks, knn, mixing, pii, repair, rules, simhash, suffix, tiling, warc
+from tallgrass.llm import html_blocks, knn, mixing, periodic, pii, repair, rules, simhash, suffix, tiling, warc
 from tallgrass.llm.common import table
 
 
@@ -76,6 +76,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    best = F.col("_best")
+    return periodic.with_runs(docs).withColumn("_best", periodic.longest(F.col("_runs"))).select(
+        "doc_id", F.size("_runs").cast("long").alias("n_runs"), best["start"].alias("start"), (-best["shorter"]).alias("length"), best["period"].alias("period"),
+        F.floor(-1000 * best["shorter"] / best["period"]).alias("exponent_milli"), periodic.runs_digest(F.col("_runs")).alias("runs_sha256"),
+        F.sha2(F.col("_collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_quality_rules": op2_quality_rules,
@@ -87,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repair_ids": op8_repair_ids,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
