@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm import html_blocks, knn, mixing, periodic, pii, repair, rules, simhash, suffix, tiling, warc
+from tallgrass.llm import html_blocks, knn, merkle, mixing, periodic, pii, repair, rules, simhash, suffix, tiling, warc
 from tallgrass.llm.common import table
 
 
@@ -76,6 +77,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, merkle.lowered(F.col("doc_id"), F.col("text")))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", periodic.planted(F.col("doc_id"), F.col("text")).alias("text"))
     best = F.col("_best")
@@ -86,6 +92,49 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _merkle_sql(levels: int = 8) -> str:
+    """DuckDB SQL of the manifest for up to 16 to the power of ``levels`` rows a source and sources.
+
+    ``c`` is the common crc32, bit by bit; ``l`` are the levels of the trees, ``t`` those of the tree
+    of subroots, ``a`` and ``b`` the proofs on their way up through both.
+    """
+    shown = ["CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || {0} END".format(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    text = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0})) || ':' || {0} END"
+    lower = f"translate(text, '{ascii_uppercase}', '{ascii_lowercase}')"
+    digit = "ascii(substr(CAST(doc_id AS VARCHAR), i, 1))"
+    bits = f"list_reduce(list_prepend(xor(crc, CAST({digit} AS BIGINT)), [CAST(0 AS BIGINT) FOR z IN range(8)]), LAMBDA y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)"
+    out = [f"""c(doc_id, crc, i) AS (
+  SELECT doc_id, CAST(4294967295 AS BIGINT), 1 FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL SELECT doc_id, {bits}, i + 1 FROM c WHERE i <= length(CAST(doc_id AS VARCHAR))
+), h AS MATERIALIZED (
+  SELECT documents.*, coalesce(xor(crc, 4294967295) % 5 = 0, false) AS changed FROM documents LEFT JOIN c ON documents.doc_id = c.doc_id AND c.i = length(CAST(c.doc_id AS VARCHAR)) + 1
+), d AS MATERIALIZED (
+  SELECT doc_id, source, sha256(concat({", ".join(shown)}, {text.format("text")})) AS leaf,
+         CASE WHEN changed THEN sha256(concat({", ".join(shown)}, {text.format(lower)})) ELSE sha256(concat({", ".join(shown)}, {text.format("text")})) END AS seen
+  FROM h
+), l0 AS MATERIALIZED (
+  SELECT *, leaf AS g, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s, count(*) OVER (PARTITION BY source) AS n,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, seen) - 1 AS i FROM d
+), a0 AS (SELECT doc_id, leaf, s, i, n, '' AS proof, seen AS f FROM l0)"""]
+
+    def rise(nodes: str, rows: str) -> None:
+        for k in range(levels):
+            out.append(f"{nodes}r{k} AS MATERIALIZED (SELECT s, n, i // 16 AS j, list(g ORDER BY i) AS gs FROM {nodes}{k} GROUP BY ALL)")
+            out.append(f"{nodes}{k + 1} AS MATERIALIZED (SELECT s, (n + 15) // 16 AS n, j AS i, CASE WHEN n = 1 THEN gs[1] ELSE sha256(array_to_string(gs, '')) END AS g FROM {nodes}r{k})")
+            left, right = "array_to_string(gs[1 : i % 16], '')", "array_to_string(gs[i % 16 + 2 :], '')"
+            out.append(
+                f"{rows}{k + 1} AS (SELECT p.* REPLACE (i // 16 AS i, (p.n + 15) // 16 AS n, proof || CASE WHEN p.n = 1 THEN '' ELSE {left} || {right} END AS proof, "
+                f"CASE WHEN p.n = 1 THEN f ELSE sha256({left} || f || {right}) END AS f) FROM {rows}{k} p JOIN {nodes}r{k} r ON p.s = r.s AND p.i // 16 = r.j)"
+            )
+
+    rise("l", "a")
+    out.append(f"t0 AS MATERIALIZED (SELECT 0 AS s, count(*) OVER () AS n, s AS i, g FROM l{levels})")
+    out.append(f"b0 AS (SELECT doc_id, leaf, u.g AS subroot, 0 AS s, u.s AS i, (SELECT count(*) FROM l{levels}) AS n, proof, f FROM a{levels} p JOIN l{levels} u ON p.s = u.s)")
+    rise("t", "b")
+    return f"""WITH RECURSIVE {", ".join(out)}
+SELECT doc_id, leaf, subroot, g AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = g AS verified FROM b{levels}, t{levels}"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_quality_rules": op2_quality_rules,
@@ -97,10 +146,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repair_ids": op8_repair_ids,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
+    "op11_merkle_manifest": _merkle_sql(),
     "op5_warc": """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
