@@ -8,15 +8,15 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm import html_blocks, knn, merkle, mixing, periodic, pii, repair, rules, simhash, suffix, tiling, warc
+from tallgrass.llm import html_blocks, knn, merkle, mixing, packing, periodic, pii, repair, rules, simhash, suffix, tiling, warc
 from tallgrass.llm.common import table
 
 
-def tokenizer_path() -> str:
-    """The byte-level BPE vocabulary; a parameter of the operator."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary file; a parameter of the operators."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +92,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def _merkle_sql(levels: int = 8) -> str:
     """DuckDB SQL of the manifest for up to 16 to the power of ``levels`` rows a source and sources.
 
@@ -148,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 ORACLE: dict[str, str] = {

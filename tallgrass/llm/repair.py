@@ -83,6 +83,8 @@ class Encoder:
     tokens that reach into their surroundings, are applied to whole texts.
     """
 
+    cuts = staticmethod(_cuts)
+
     def __init__(self, path: str, memo: int = 800_000, longest: int = 48, block: int = 8_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
@@ -162,7 +164,7 @@ class Encoder:
     def _block(self, data: np.ndarray, places: np.ndarray) -> list[bytes]:
         if not len(data):
             return [b""] * (len(places) - 1)
-        cut = _cuts(data)
+        cut = self.cuts(data)
         cut[places[:-1][places[:-1] < len(data)]] = True
         starts = np.flatnonzero(cut)
         bounds = np.r_[starts, len(data)]
