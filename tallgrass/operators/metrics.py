@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,33 +52,6 @@ def bootstrap_mean(df: DataFrame, value: str, group: str, n: int = 1000, seed: i
     return whole.join(spread, group).select(group, "mean", "lo", "hi", "n")
 
 
-def simulate_csr(tests: DataFrame, predictions: DataFrame, most: int = 120) -> DataFrame:
-    """The greedy typing simulation with state: at each step the context's first prediction is
-    asked; a match types its common prefix for one keystroke, else one character is typed.
-
-    ``tests(test_id, prompt, target)``, ``predictions(test_id, context, guess)``.
-    """
-    table = predictions.groupBy("test_id").agg(F.map_from_entries(F.collect_list(F.struct("context", "guess"))).alias("guesses"))
-
-    @F.pandas_udf("keystrokes int, accepted int, typed int")
-    def walk(prompt: pd.Series, target: pd.Series, guesses: pd.Series) -> pd.DataFrame:
-        out = []
-        for p, t, g in zip(prompt, target, guesses, strict=True):
-            known, typed, keys, accepted = dict(g or {}), "", 0, 0
-            while len(typed) < len(t) and keys < most:
-                guess = (known.get(f"{p} {typed}" if typed else p) or "").lstrip()
-                rest = t[len(typed) :]
-                n = next((i for i, (a, b) in enumerate(zip(guess, rest)) if a != b), min(len(guess), len(rest)))
-                typed += rest[: max(n, 1)]
-                keys += 1
-                accepted += n > 0
-            out.append((keys, accepted, len(typed)))
-        return pd.DataFrame(out, columns=["keystrokes", "accepted", "typed"])
-
-    x = tests.join(table, "test_id", "left").withColumn("r", walk("prompt", "target", "guesses"))
-    return x.select("test_id", "r.*", ((F.length("target") - F.col("r.keystrokes")) / F.length("target")).alias("csr"))
-
-
 def edit_metrics(reference: Column, made: Column) -> dict[str, Column]:
     d, longest = F.levenshtein(reference, made), F.greatest(F.length(reference), F.length(made))
     return {

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions import text
-from tallgrass.operators import metrics, telemetry
+from tallgrass.operators import metrics, simulation, telemetry
 from tallgrass.plans.registry import ORACLE, query
 from tallgrass.sources.corpus import table
 from tallgrass.sources.telemetry import telemetry as as_telemetry
@@ -48,11 +48,43 @@ def csr_macro_micro(spark, d):
     return x.withColumn("role", F.coalesce("role", F.lit("all")))
 
 
-@query("csr_simulation")
+# Sentences of 8 words or more, cut in the middle; the second half, of 4 to 10 words and 70 characters at most, is typed.
+_TYPED = f"""RECURSIVE {PAIRS}, sn AS (SELECT conv_id, turn, unnest(range(len(p))) AS no, unnest(p) AS s FROM (SELECT conv_id, turn, regexp_split_to_array(lower(text), '[.!?\\n]+') AS p FROM conversations)),
+ sw AS (SELECT *, list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> '') AS w FROM sn), sh AS (SELECT *, len(w) // 2 AS mid FROM sw WHERE len(w) >= 8),
+ tests AS (SELECT conv_id || '/' || turn || '/' || no AS test_id, w[mid] AS prompt, array_to_string(w[mid + 1 :], ' ') AS target FROM sh WHERE len(w) - mid BETWEEN 4 AND 10 AND length(array_to_string(w[mid + 1 :], ' ')) <= 70),
+ bg AS (SELECT prev || ' ' || left(word, k) AS context, word, n, k FROM (SELECT *, unnest(range(length(word))) AS k FROM cn)),
+ kn AS (SELECT b.context, concat_ws(' ', substr(b.word, b.k + 1), pr.word) AS guess FROM (SELECT * FROM bg QUALIFY row_number() OVER (PARTITION BY context ORDER BY n DESC, word) = 1) b LEFT JOIN pr ON pr.prev = b.word AND pr.rank = 1),
+ typing(test_id, prompt, target, step, done, accepted, auto, matched, guess, context) AS (
+  SELECT test_id, prompt, target, 0, 0, 0, 0, 0, '', '' FROM tests
+  UNION ALL
+  SELECT test_id, prompt, target, step + 1, done + greatest(m, 1), accepted + CASE WHEN m > 0 THEN 1 ELSE 0 END, auto + m, m, guess, context FROM (
+   SELECT *, CAST(list_reduce(list_prepend(0, range(1, least(length(guess), length(rest)) + 1)), lambda a, i: CASE WHEN a = i - 1 AND substr(guess, i, 1) = substr(rest, i, 1) THEN i ELSE a END) AS INTEGER) AS m FROM (
+    SELECT t.test_id, t.prompt, t.target, t.step, t.done, t.accepted, t.auto, substr(t.target, t.done + 1) AS rest, coalesce(kn.guess, '') AS guess, t.context
+    FROM (SELECT * EXCLUDE (context), array_to_string(list_slice(string_split(prompt || ' ' || left(target, done), ' '), -2, -1), ' ') AS context FROM typing WHERE done < length(target)) t LEFT JOIN kn ON kn.context = t.context)))"""
+
+
+def _typing_tests(spark, d) -> DataFrame:
+    s = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.lower("text"), "[.!?\\n]+")).alias("no", "s"))
+    s = s.withColumn("w", text.words(F.col("s"))).filter("size(w) >= 8").withColumn("mid", F.expr("size(w) div 2").cast("int"))
+    s = s.withColumn("after", F.expr("slice(w, mid + 1, size(w))")).withColumn("target", F.array_join("after", " "))
+    return s.filter("size(after) BETWEEN 4 AND 10 AND length(target) <= 70").select(F.concat_ws("/", "conv_id", "turn", "no").alias("test_id"), F.get("w", F.col("mid") - 1).alias("prompt"), "target", "after")
+
+
+def _typed(spark, d, steps: bool) -> DataFrame:
+    tests = _typing_tests(spark, d)
+    asked = tests.select(F.explode(F.zip_with(F.concat(F.array("prompt"), "after"), F.col("after"), lambda p, w: F.struct(p.alias("p"), w.alias("w")))).alias("x")).filter("x.w IS NOT NULL")
+    wanted = asked.select("x.p", F.expr("explode(transform(sequence(0, length(x.w)), k -> left(x.w, k)))").alias("b")).select(F.concat_ws(" ", "p", "b").alias("context"))
+    return simulation.simulate_csr(tests, simulation.completions(_pairs(spark, d), wanted), order=1, steps=steps)
+
+
+@query("csr_simulation", f"WITH {_TYPED} SELECT test_id, max(step) AS keystrokes, max(accepted) AS accepted, max(done) AS typed, max(auto) AS auto, round((length(any_value(target)) - max(step)) / length(any_value(target)), 6) AS csr FROM typing GROUP BY test_id")
 def csr_simulation(spark, d):
-    x = _best(spark, d).withColumn("test_id", F.concat_ws("/", "conv_id", "turn", "pos"))
-    tests = x.select("test_id", F.lit("").alias("prompt"), "target")
-    return metrics.simulate_csr(tests, x.select("test_id", F.lit("").alias("context"), "guess"))
+    return _typed(spark, d, False).withColumn("csr", F.round("csr", 6))
+
+
+@query("csr_trace", f"WITH {_TYPED} SELECT test_id, step, context, guess, matched, left(target, done) AS typed FROM typing WHERE step > 0")
+def csr_trace(spark, d):
+    return _typed(spark, d, True)
 
 
 @query("bootstrap_ci")

@@ -55,13 +55,6 @@ def test_tokens(spark):
     assert tokens.packed(lines.withColumn("line", F.regexp_replace("line", "w", "w")), 128).first()["truncated"] == 1
 
 
-def test_csr_simulation_takes_the_prediction(spark):
-    tests = spark.createDataFrame([("t", "say", "hello")], "test_id string, prompt string, target string")
-    pred = spark.createDataFrame([("t", "say", " help"), ("t", "say hel", "lo")], "test_id string, context string, guess string")
-    r = metrics.simulate_csr(tests, pred).first()
-    assert (r.keystrokes, r.accepted, r.typed) == (2, 2, 5)
-
-
 def test_phase2_exact_conserves_lines(spark):
     docs = spark.createDataFrame([(1, "Hello there.\nHello there.\nSome words here ok. Then more words ok. And the last one is ok.\n\nx"), (2, None)], "doc_id long, text string")
     got = corpus.phase2_exact(docs).filter("doc_id = 1").orderBy("line_no", "sub_no").collect()
