@@ -41,9 +41,9 @@ def placed(df: DataFrame, order: list[str], size: str | None = None) -> DataFram
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     last = F.max(F.col("start") + (F.col(size) if size else F.lit(1)))
     parts = rows.groupBy("_part").agg(F.count("*").alias("n"), last.alias("s"))
-    parts = parts.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in ("n", "s")])
+    parts = parts.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}_before") for c in ("n", "s")])
     parts = F.broadcast(parts)  # a row a shuffle partition
-    return rows.join(parts, "_part").select(*df.columns, (F.col("number") + F.col("_n")).alias("number"), (F.col("start") + F.col("_s")).alias("start"))
+    return rows.join(parts, "_part").select(*df.columns, (F.col("number") + F.col("_n_before")).alias("number"), (F.col("start") + F.col("_s_before")).alias("start"))
 
 
 def token_stream(examples: DataFrame, order: list[str], ids: str = "ids") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions import text
+from tallgrass.operators.stream import placed
 
 # Ids of the special tokens.
 UNK, EOS, PREFIX, SUFFIX, MIDDLE, EOT = 0, 2, 4000, 4001, 4002, 4003
@@ -196,8 +197,8 @@ def verdict(counts: DataFrame, pieces_: Column, specials: int = 3) -> DataFrame:
 
 
 def numbered(vocabulary: DataFrame, piece: str) -> DataFrame:
-    """``id, piece`` from 0 in the order of spelling (a vocabulary: some thousands of pieces)."""
-    return vocabulary.select((F.row_number().over(Window.orderBy(piece)) - 1).cast("long").alias("id"), F.col(piece).alias("piece"))
+    """``id, piece`` from 0 in the order of spelling."""
+    return placed(vocabulary.select(F.col(piece).alias("piece")), ["piece"]).select(F.col("number").alias("id"), "piece")
 
 
 def appended(vocabulary: DataFrame, new: list[str]) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions import suggestion, text
-from tallgrass.operators import corpus, evalset, metrics, telemetry, tokens
+from tallgrass.operators import corpus, evalset, metrics, stream, telemetry, tokens
 from tallgrass.plans.corpus import _CLEAN, _FIM, _FIRST, _LANG, _SENT, _TOKS, _firsts, _lines, _sents
 from tallgrass.plans.evaluation import PAIRS, _pairs, _tele
 from tallgrass.plans.registry import query
+from tallgrass.sources import npy
 from tallgrass.sources.corpus import table, with_global_index
+from tallgrass.sources.shared import new_path
 
 _CUT = """w AS (SELECT doc_id, sentence, {toks} AS w FROM fs), n AS (SELECT *, len(w) AS n, greatest(2, len(w) - {back}) AS lo, len(w) - {ahead} AS hi FROM w WHERE len(w) >= 8), c AS (SELECT *, lo + ('0x' || substr(md5('7' || sentence), 1, 7))::BIGINT % (hi - lo + 1) AS cut FROM n WHERE hi > lo)
   SELECT doc_id, array_to_string(w[1:cut], ' ') AS prompt, array_to_string(w[cut + 1:], ' ') AS target, CASE WHEN n - cut <= 6 THEN 'short' WHEN n - cut <= 9 THEN 'medium' ELSE 'long' END AS category FROM c"""
@@ -153,6 +155,47 @@ def padded_windows(spark, d):
     return w.select("doc_id", "window_no", total("x").alias("x_sum"), total("y").alias("y_sum"), F.col("padding").cast("long").alias("padding"))
 
 
+# --- the whole corpus as one stream ----------------------------------------------------------------
+
+_PLACED = f"""{_IDS}, ex AS (SELECT ids, len(ids) AS n, row_number() OVER o - 1 AS number, CAST(sum(len(ids)) OVER o AS BIGINT) - len(ids) AS s FROM ids WINDOW o AS (ORDER BY doc_id, line_no ROWS UNBOUNDED PRECEDING)),
+ tot AS (SELECT max(s + n) AS total, count(*) AS cnt FROM ex), tk AS (SELECT s + unnest(range(n)) AS t, unnest(ids) AS id FROM ex)"""
+_WINDOWS = f"""WITH LINES, {_PLACED}, x AS (SELECT t // 512 AS window_no, md5(string_agg(id, ',' ORDER BY t)) AS x_md5 FROM tk GROUP BY 1), y AS (SELECT (t - 1) // 512 AS window_no, md5(string_agg(id, ',' ORDER BY t)) AS y_md5 FROM tk WHERE t > 0 GROUP BY 1)
+ SELECT window_no, x_md5, y_md5 FROM x JOIN y USING (window_no), tot WHERE window_no < (total - 1) // 512"""
+
+
+def _digest(ids: str | Column) -> Column:
+    return F.md5(F.array_join(ids, ",").cast("binary"))
+
+
+@query("stream_windows", _WINDOWS)
+def stream_windows(spark, d):
+    """Inputs and targets of all windows of the corpus as one stream; windows cross lines and documents."""
+    w = stream.windows(stream.token_stream(_ids(spark, d), ["doc_id", "line_no"]), 512)
+    return w.select("window_no", _digest("x").alias("x_md5"), _digest("y").alias("y_md5"))
+
+
+@query("array_windows", _WINDOWS)
+def array_windows(spark, d):
+    """The same windows by way of one array file: written in slices, read back by byte ranges."""
+    s = stream.token_stream(_ids(spark, d), ["doc_id", "line_no"])
+    path = new_path(spark, "tokens") + ".npy"
+    npy.write_array(s, path, stream.tokens_of(s))
+    w = npy.read_array(spark, path, window=512)
+    return w.select((F.col("start") / 512).cast("long").alias("window_no"), _digest(F.slice("ids", 1, 512)).alias("x_md5"), _digest(F.slice("ids", 2, 512)).alias("y_md5"))
+
+
+@query("stream_packed", f"""WITH RECURSIVE LINES, {_PLACED}, nx AS (SELECT a.number, a.s, a.n, greatest(a.number + 1, coalesce(b.number, (SELECT cnt FROM tot))) AS nxt FROM ex a ASOF LEFT JOIN ex b ON b.s + b.n > a.s + 257),
+ w(number) AS (SELECT CAST(0 AS BIGINT) UNION ALL SELECT nxt FROM w JOIN nx USING (number) WHERE nxt < (SELECT cnt FROM tot)),
+ p AS (SELECT nx.s AS window_start, nxt - nx.number AS examples, least(257, coalesce(e.s, (SELECT total FROM tot)) - nx.s) AS length, nx.n > 257 AS truncated FROM w JOIN nx USING (number) LEFT JOIN ex e ON e.number = nxt),
+ m AS (SELECT window_start, md5(string_agg(id, ',' ORDER BY t)) AS ids_md5 FROM tk ASOF JOIN p ON t >= window_start WHERE t < window_start + length GROUP BY 1)
+ SELECT window_start, examples, length, truncated, 257 - length AS padding, ids_md5 FROM p JOIN m USING (window_start)""")
+def stream_packed(spark, d):
+    """Greedy packing of whole examples, in the order of the corpus, into windows of 256 ids and a target."""
+    w = stream.packed_windows(stream.token_stream(_ids(spark, d), ["doc_id", "line_no"]), 257)
+    kept = F.slice(F.concat("x", F.slice("y", -1, 1)), F.lit(1), F.col("length").cast("int"))
+    return w.select("window_start", "examples", "length", "truncated", (257 - F.col("length")).alias("padding"), _digest(kept).alias("ids_md5"))
+
+
 @query("ppl_windows", f"WITH LINES, {_STREAM} SELECT doc_id, len(s) AS tokens, (len(s) - 1) // 64 AS whole, (len(s) - 1) % 64 AS rest, CAST((len(s) - 1) // 64 + CASE WHEN (len(s) - 1) % 64 > 0 THEN 1 ELSE 0 END AS BIGINT) AS windows FROM st")
 def ppl_windows(spark, d):
     """Scored windows of a file, the remainder being one of its own."""

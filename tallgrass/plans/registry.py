@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
         if sql is not None:
-            ORACLE[name] = sql.replace("WITH LINES", f"WITH {LINES}").replace("WITH TELE", f"WITH {TELE}")
+            ORACLE[name] = sql.replace("WITH LINES", f"WITH {LINES}").replace("WITH RECURSIVE LINES", f"WITH RECURSIVE {LINES}").replace("WITH TELE", f"WITH {TELE}")
         return f
 
     return add

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallgrass.operators.stream import placed
+
 TELEMETRY = (
     "id BIGINT, timestamp TIMESTAMP, session_id STRING, model STRING, event_type STRING, suggestion_id STRING, latency_ms DOUBLE, confidence DOUBLE, "
     "suggestion_length INT, prompt_length INT, suggestion_text STRING, context STRING, accepted_length INT, reject_reason STRING"
@@ -39,13 +41,11 @@ def exclude_sources(df: DataFrame, names: Iterable[str]) -> DataFrame:
 
 
 def with_global_index(df: DataFrame) -> DataFrame:
-    """A dense index in (doc_id, line_no) order: sizes by document are summed first, so that
-    the one unpartitioned window holds a row a document and lines are never gathered."""
-    sizes = df.groupBy("doc_id").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("doc_id", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    """A dense index in (doc_id, line_no) order: sizes by document are summed first and then where
+    a range sort puts them, so that neither lines nor documents are gathered in one task."""
+    sizes = placed(df.groupBy("doc_id").agg(F.count("*").alias("_n")), ["doc_id"], "_n").select("doc_id", "start")
     own = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1
-    return df.join(sizes, "doc_id").withColumn("line_idx", F.col("_before") + own).drop("_before")
+    return df.join(sizes, "doc_id").withColumn("line_idx", F.col("start") + own).drop("start")
 
 
 def write_text(df: DataFrame, path: str, keep_blank: bool = True) -> None:

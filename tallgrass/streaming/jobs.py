@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.sources.corpus import table
+from tallgrass.sources.shared import new_path
 from tallgrass.sources.telemetry import telemetry
 from tallgrass.streaming.telemetry import ignored_suggestions, settled_changes, windowed_counts
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")).rstrip("/")
-
-
 def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parque[t]"  # as a pattern it may name a file or a folder
     return telemetry(spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 8).parquet(path))
@@ -25,7 +18,7 @@ def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """All available input through ``stream``; each micro-batch is appended to a table."""
-    base = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out")
     write = lambda df, epoch: df.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")  # noqa: E731  a replayed batch replaces itself
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
