@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 W = r"[\p{L}\p{N}_]"
@@ -252,6 +252,14 @@ def prefix_match(a: Column, b: Column) -> Column:
     return let(differs, lambda d: F.coalesce(F.nullif(F.array_position(d, True), F.lit(0)) - 1, F.size(d)).cast("int"))
 
 
+def grouped_confidence(tokens: DataFrame, group: str, logprob: str) -> DataFrame:
+    """``confidence`` of a row a token, as sums that combine map-side, so that no group is gathered."""
+    p = F.col(logprob)
+    real = F.when(p < -0.01, F.exp(p))
+    means = tokens.groupBy(group).agg(F.count(p).alias("_n"), F.round(F.avg(real), 4).alias("_m"))
+    return means.select(group, F.when(F.col("_n") == 0, 1.0).otherwise(F.coalesce("_m", F.lit(0.0))).alias("confidence"))
+
+
 def confidence(tokens: Column) -> Column:
     """Mean probability over tokens with logprob under -0.01; none listed 1, none real 0."""
     real = F.transform(F.filter(tokens, lambda p: p < -0.01), F.exp)

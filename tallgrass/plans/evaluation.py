@@ -15,6 +15,7 @@ from tallgrass.streaming.jobs import run_ignored, run_timeline
 _W = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')"
 PAIRS = f"""w AS (SELECT conv_id, turn, {_W} AS w FROM conversations), i AS (SELECT *, unnest(range(1, len(w))) AS pos FROM w), pairs AS (SELECT conv_id, turn, pos, w[pos] AS prev, w[pos + 1] AS word FROM i),
  cn AS (SELECT prev, word, count(*) AS n FROM pairs GROUP BY 1, 2), pr AS (SELECT prev, word, n / sum(n) OVER (PARTITION BY prev) AS prob, row_number() OVER (PARTITION BY prev ORDER BY n DESC, word) AS rank FROM cn), pred AS (SELECT * FROM pr WHERE rank <= 5)"""
+ALL = PAIRS.replace(" WHERE rank <= 5", "")  # every follower of a word
 _MATCH = "list_reduce(list_prepend(0, range(1, least(length(guess), length(target)) + 1)), lambda a, i: CASE WHEN a = i - 1 AND substr(guess, i, 1) = substr(target, i, 1) THEN i ELSE a END)"
 BEST = f"""best AS (SELECT conv_id, turn, pos, p.word AS target, coalesce(g.word, '') AS guess FROM pairs p LEFT JOIN pred g ON p.prev = g.prev AND g.rank = 1),
  mt AS (SELECT *, {_MATCH} AS matched FROM best), cs AS (SELECT *, CASE WHEN matched > 0 THEN matched - 1 ELSE 0 END AS saved FROM mt)"""
@@ -105,42 +106,42 @@ def nw_csr_simplified(spark, d):
     return x.agg(F.count("*").alias("n"), at(1).alias("top1"), at(3).alias("top3"), at(5).alias("top5"), F.round(F.sum(F.when(F.col("rank") <= 3, F.length("word")).otherwise(0)) / F.sum(F.length("word") + 1), 6).alias("csr"))
 
 
-@query("morphacc_semijoin", f"WITH {PAIRS}, t AS (SELECT prev, list_distinct(list(left(word, 2))) AS valid FROM pairs GROUP BY prev), h AS (SELECT t.prev, min(CASE WHEN len(list_filter(valid, lambda s: starts_with(g.word, s))) > 0 THEN g.rank END) AS first_rank, sum(g.prob) AS mass FROM t JOIN pred g ON t.prev = g.prev GROUP BY t.prev) SELECT prev, CAST(first_rank AS INTEGER) AS first_rank, round(mass, 6) AS mass FROM h")
+@query("morphacc_semijoin", f"WITH {PAIRS}, t AS (SELECT prev, list_distinct(list(left(word, 2))) AS valid FROM pairs JOIN conversations c USING (conv_id, turn) WHERE c.role = 'user' GROUP BY prev), h AS (SELECT t.prev, min(CASE WHEN len(list_filter(valid, lambda s: starts_with(g.word, s))) > 0 THEN g.rank END) AS first_rank, sum(CASE WHEN len(list_filter(valid, lambda s: starts_with(g.word, s))) > 0 THEN g.prob ELSE 0 END) AS mass FROM t JOIN pred g ON t.prev = g.prev GROUP BY t.prev) SELECT prev, CAST(first_rank AS INTEGER) AS first_rank, round(mass, 6) AS mass FROM h")
 def morphacc_semijoin(spark, d):
     p = _pairs(spark, d)
-    valid = p.groupBy("prev").agg(F.collect_set(F.left("word", F.lit(2))).alias("valid"))
+    asked = p.join(table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn"), ["conv_id", "turn"], "left_semi")
+    valid = asked.groupBy("prev").agg(F.collect_set(F.left("word", F.lit(2))).alias("valid"))
     x = metrics.bigram_predictions(p).join(valid, "prev").withColumn("hit", F.exists("valid", lambda s: F.col("word").startswith(s)))
-    return x.groupBy("prev").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("first_rank"), F.round(F.sum("prob"), 6).alias("mass"))
+    return x.groupBy("prev").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("first_rank"), F.round(F.sum(F.when(F.col("hit"), F.col("prob")).otherwise(0.0)), 6).alias("mass"))
 
 
-@query("paradigm_rank", f"WITH {PAIRS}, roots AS (SELECT DISTINCT prev FROM pred WHERE length(prev) > 6), k AS (SELECT unnest(['th', 'er', 'an', 'in']) AS suffix), b AS (SELECT r.prev, k.suffix, max(g.prob) AS best FROM roots r CROSS JOIN k JOIN pred g ON g.prev = r.prev AND starts_with(g.word, k.suffix) GROUP BY ALL) SELECT b.prev, b.suffix, CAST(1 + (SELECT count(*) FROM pred g WHERE g.prev = b.prev AND g.prob > b.best) AS BIGINT) AS rank FROM b")
-def paradigm_rank(spark, d, k=5):
-    pred = metrics.bigram_predictions(_pairs(spark, d), k).filter(F.length("prev") > 6)
+@query("paradigm_rank", f"WITH {ALL}, roots AS (SELECT DISTINCT prev FROM pred WHERE length(prev) > 6), k AS (SELECT unnest(['th', 'er', 'an', 'in']) AS suffix), b AS (SELECT r.prev, k.suffix, max(g.prob) AS best FROM roots r CROSS JOIN k JOIN pred g ON g.prev = r.prev AND starts_with(g.word, k.suffix) GROUP BY ALL) SELECT b.prev, b.suffix, CAST(1 + (SELECT count(*) FROM pred g WHERE g.prev = b.prev AND g.prob > b.best) AS BIGINT) AS rank FROM b")
+def paradigm_rank(spark, d):
+    pred = metrics.bigram_predictions(_pairs(spark, d), None).filter(F.length("prev") > 6)
     ranked = pred.withColumn("r", F.rank().over(Window.partitionBy("prev").orderBy(F.desc("prob"))))
     # the case list is fixed, so roots x cases is an explode of a literal, not a join
     cased = ranked.select("prev", "word", "r", F.explode(F.array(*map(F.lit, ("th", "er", "an", "in")))).alias("suffix")).filter("startswith(word, suffix)")
     return cased.groupBy("prev", "suffix").agg(F.min("r").cast("long").alias("rank"))
 
 
-# DuckDB's distance counts bytes, so both sides compare texts with other than ASCII folded.
-_ED = """c AS (SELECT conv_id, turn, left(regexp_replace(text, '[^ -~]', '?', 'g'), 40) AS r FROM conversations), e AS (SELECT r, lead(r) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM c), q AS (SELECT *, levenshtein(r, g) AS dist FROM e WHERE g IS NOT NULL)"""
+# DuckDB's distance counts bytes: the tables' letters beyond ASCII become control characters there, which no text has.
+_WIDE = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_NARROW = "".join(map(chr, [*range(1, 9), *range(14, 27)]))
+_ED = f"e AS (SELECT translate(text, '{_WIDE}', '{_NARROW}') AS r, lead(translate(text, '{_WIDE}', '{_NARROW}')) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations), q AS (SELECT *, levenshtein(r, g) AS dist FROM e WHERE g IS NOT NULL)"
 
 
-@query("edit_metrics", f"WITH {_ED} SELECT CASE WHEN length(r) < 15 THEN 'short' WHEN length(r) < 30 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS n, CAST(sum(dist) AS BIGINT) AS distance, round(avg(CASE WHEN greatest(length(r), length(g)) = 0 THEN 1.0 ELSE 1 - dist / greatest(length(r), length(g)) END), 6) AS char_accuracy, CAST(sum(length(r) - dist) AS BIGINT) AS saved, CAST(sum(CASE WHEN starts_with(r, g) AND length(g) < length(r) THEN 1 ELSE 0 END) AS BIGINT) AS truncated FROM q GROUP BY 1")
+@query("edit_metrics", f"""WITH {_ED} SELECT CASE WHEN length(r) < 15 THEN 'short' WHEN length(r) < 30 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS n, CAST(sum(CASE WHEN r = g THEN 1 ELSE 0 END) AS BIGINT) AS exact, CAST(sum(dist) AS BIGINT) AS distance,
+ round(avg(CASE WHEN greatest(length(r), length(g)) = 0 THEN 1.0 ELSE 1 - dist / greatest(length(r), length(g)) END), 6) AS char_accuracy, CAST(sum(length(r) - dist) AS BIGINT) AS saved, round(100.0 * sum(length(r) - dist) / sum(length(r)), 6) AS saved_pct,
+ CAST(sum(CASE WHEN starts_with(r, g) AND length(g) BETWEEN 1 AND length(r) - 1 THEN 1 ELSE 0 END) AS BIGINT) AS truncated FROM q GROUP BY 1""")
 def edit_metrics(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    x = table(spark, d, "conversations").withColumn("r", F.left(F.regexp_replace("text", "[^ -~]", "?"), F.lit(40))).select("r", F.lead("r").over(w).alias("g")).filter("g IS NOT NULL")
-    x = x.select(*[c.alias(k) for k, c in metrics.edit_metrics(F.col("r"), F.col("g")).items()])
-    return x.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("distance").alias("distance"), F.round(F.avg("char_accuracy"), 6).alias("char_accuracy"), F.sum("keystrokes_saved").alias("saved"), F.count_if("truncated").alias("truncated"))
-
-
-# Whole texts in place of the first 40 characters: DuckDB's distance is too slow for these, so there is no SQL.
-@query("edit_metrics_whole")
-def edit_metrics_whole(spark, d):
+    """Each turn as the reference of the next, over whole texts."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     x = table(spark, d, "conversations").select(F.col("text").alias("r"), F.lead("text").over(w).alias("g")).filter("g IS NOT NULL")
-    x = x.select(*[c.alias(k) for k, c in metrics.edit_metrics(F.col("r"), F.col("g")).items()])
-    return x.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("distance").alias("distance"), F.round(F.avg("char_accuracy"), 6).alias("char_accuracy"), F.sum("keystrokes_saved").alias("saved"), F.count_if("truncated").alias("truncated"))
+    x = x.select((F.col("r") == F.col("g")).alias("exact"), F.length("r").alias("chars"), *[c.alias(k) for k, c in metrics.edit_metrics(F.col("r"), F.col("g")).items()])
+    return x.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.count_if("exact").alias("exact"), F.sum("distance").alias("distance"), F.round(F.avg("char_accuracy"), 6).alias("char_accuracy"), F.sum("keystrokes_saved").alias("saved"),
+        F.round(100.0 * F.sum("keystrokes_saved") / F.sum("chars"), 6).alias("saved_pct"), F.count_if("truncated").alias("truncated"),
+    )
 
 
 @query("ppl_bpc_rollup", "WITH x AS (SELECT source, n_chars AS chars, n_chars // 4 AS tokens, n_chars * 0.9 + doc_id % 7 AS bits FROM documents) SELECT coalesce(source, 'all') AS source, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(tokens) AS BIGINT) AS tokens, round(CAST(sum(bits) AS DOUBLE) / sum(chars), 6) AS bpc, round(exp(least(CAST(sum(bits) AS DOUBLE) * ln(2) / sum(tokens), 20)), 6) AS ppl FROM x GROUP BY GROUPING SETS ((source), ())")
@@ -207,75 +208,43 @@ def lr_schedule(spark, d):
     return spark.range(101).select(F.col("id").alias("step"), F.round(metrics.learning_rate(F.col("id"), 1e-3, 1e-4, 50, 100), 9).alias("lr"))
 
 
-@query("nucleus_mask", f"WITH {PAIRS}, c AS (SELECT prev, word, prob, sum(prob) OVER (PARTITION BY prev ORDER BY prob DESC, word ROWS UNBOUNDED PRECEDING) - prob AS before FROM pred) SELECT prev, word, round(before, 6) < 0.6 AS kept FROM c")
-def nucleus_mask(spark, d, k=5):
+@query("nucleus_mask", f"WITH {ALL}, c AS (SELECT prev, word, prob, sum(prob) OVER (PARTITION BY prev ORDER BY prob DESC, word ROWS UNBOUNDED PRECEDING) - prob AS before FROM pred) SELECT prev, word, round(before, 6) < 0.6 AS kept FROM c")
+def nucleus_mask(spark, d):
     w = Window.partitionBy("prev").orderBy(F.desc("prob"), "word").rowsBetween(Window.unboundedPreceding, 0)
-    return metrics.bigram_predictions(_pairs(spark, d), k).select("prev", "word", (F.round(F.sum("prob").over(w) - F.col("prob"), 6) < 0.6).alias("kept"))
+    return metrics.bigram_predictions(_pairs(spark, d), None).select("prev", "word", (F.round(F.sum("prob").over(w) - F.col("prob"), 6) < 0.6).alias("kept"))
 
 
 _P = "[.!,?;:()\\[\\]{}]"
 
 
-@query("filter_suggestion", f"WITH x AS (SELECT doc_id, left(text, 60) AS s FROM documents), t AS (SELECT doc_id, s, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '\\s+$', ''), '\\s+', ' ', 'g'), '({_P}){_P}+', '\\1', 'g'), '(?: {_P}+)+$', '') AS r FROM x) SELECT doc_id, CASE WHEN starts_with(s, chr(10)) THEN '' WHEN regexp_matches(r, '\\p{{L}}') OR trim(r) = '' THEN r WHEN regexp_matches(r, '^{_P}$') THEN r ELSE '' END AS filtered FROM t")
+@query("filter_suggestion", f"WITH x AS (SELECT doc_id, text AS s FROM documents), t AS (SELECT doc_id, s, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '\\s+$', ''), '\\s+', ' ', 'g'), '({_P}){_P}+', '\\1', 'g'), '(?: {_P}+)+$', '') AS r FROM x) SELECT doc_id, CASE WHEN starts_with(s, chr(10)) THEN '' WHEN regexp_matches(r, '\\p{{L}}') OR trim(r) = '' THEN r WHEN regexp_matches(r, '^{_P}$') THEN r ELSE '' END AS filtered FROM t")
 def filter_suggestion(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.filter_suggestion(F.left("text", F.lit(60))).alias("filtered"))
-
-
-@query("filter_suggestion_whole")
-def filter_suggestion_whole(spark, d):
     return table(spark, d, "documents").select("doc_id", text.filter_suggestion(F.col("text")).alias("filtered"))
 
 
 @query("confidence", "WITH x AS (SELECT user_id, list(-(value / 100) ORDER BY event_id) AS lp FROM events GROUP BY user_id), r AS (SELECT user_id, len(lp) AS n, list_filter(lp, lambda p: p < -0.01) AS lp FROM x) SELECT user_id, CASE WHEN n = 0 THEN 1.0 WHEN len(lp) = 0 THEN 0.0 ELSE round(list_avg(list_transform(lp, lambda p: exp(p))), 4) END AS confidence FROM r")
 def confidence(spark, d):
-    lp = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: -(x["value"] / 100)).alias("lp"))
-    return lp.select("user_id", text.confidence(F.col("lp")).alias("confidence"))
+    return text.grouped_confidence(table(spark, d, "events").select("user_id", (-(F.col("value") / 100)).alias("lp")), "user_id", "lp")
 
 
-_GH = "g AS (SELECT item_id, left(text, 30) AS t, left(text, 20) AS ctx, substr(text, 21, 40) AS s FROM benchmark), e AS (SELECT *, substr(t, length(ctx) + 1) AS ex FROM g)"
+_GH = "g AS (SELECT item_id, left(text, length(text) // 2) AS t, length(text) // 3 AS c, substr(text, length(text) // 3 + 1) AS s0 FROM benchmark), e AS (SELECT item_id, substr(t, c + 1) AS ex, CASE WHEN right(t, 1) <> '' AND contains('{0}', right(t, 1)) AND left(s0, 1) = right(t, 1) THEN substr(s0, 2) ELSE s0 END AS s FROM g)".format(text.PUNCTUATION.replace("'", "''"))
 
 
 @query("ghost_suffix", f"WITH {_GH} SELECT item_id, CASE WHEN h IS NULL THEN s ELSE substr(s, h + 1) END AS ghost FROM (SELECT *, list_max(list_filter(range(1, least(length(ex), length(s)) + 1), lambda i: lower(left(s, i)) = lower(right(ex, i)))) AS h FROM e)")
 def ghost_suffix(spark, d):
-    b = table(spark, d, "benchmark")
-    return b.select("item_id", text.ghost_suffix(F.left("text", F.lit(30)), F.left("text", F.lit(20)), F.substring("text", 21, 40)).alias("ghost"))
-
-
-@query("ghost_suffix_whole")
-def ghost_suffix_whole(spark, d):
     """The context is a third of an item and the typed text a half; the suggestion is all that follows the context."""
     b = table(spark, d, "benchmark")
     third, half = F.expr("length(text) div 3"), F.expr("length(text) div 2")
     return b.select("item_id", text.ghost_suffix(F.left("text", half), F.left("text", third), F.substring("text", third + 1, F.length("text"))).alias("ghost"))
 
 
-@query("candidates_topk", f"WITH {PAIRS}, u AS (SELECT prev, left(word, 4) AS key, max(prob) AS prob FROM pred GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY prob DESC, key) AS k FROM u) SELECT prev, key, round(prob, 4) AS prob, CAST(k AS INTEGER) AS k FROM r WHERE k <= 3")
-def candidates_topk(spark, d, k=5):
-    u = metrics.bigram_predictions(_pairs(spark, d), k).groupBy("prev", F.left("word", F.lit(4)).alias("key")).agg(F.max("prob").alias("prob"))
+@query("candidates_topk", f"WITH {ALL}, u AS (SELECT prev, left(word, 4) AS key, max(prob) AS prob FROM pred GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY prob DESC, key) AS k FROM u) SELECT prev, key, round(prob, 4) AS prob, CAST(k AS INTEGER) AS k FROM r WHERE k <= 3")
+def candidates_topk(spark, d):
+    u = metrics.bigram_predictions(_pairs(spark, d), None).groupBy("prev", F.left("word", F.lit(4)).alias("key")).agg(F.max("prob").alias("prob"))
     r = u.withColumn("k", F.row_number().over(Window.partitionBy("prev").orderBy(F.desc("prob"), "key"))).filter("k <= 3")
     return r.select("prev", "key", F.round("prob", 4).alias("prob"), "k")
 
 
-def _uncut(name: str) -> str:
-    """The SQL of a query over all followers of a word, not the first five."""
-    return ORACLE[name].replace(" WHERE rank <= 5", "")
-
-
-@query("nucleus_mask_full", _uncut("nucleus_mask"))
-def nucleus_mask_full(spark, d):
-    return nucleus_mask(spark, d, None)
-
-
-@query("paradigm_rank_full", _uncut("paradigm_rank"))
-def paradigm_rank_full(spark, d):
-    return paradigm_rank(spark, d, None)
-
-
-@query("candidates_topk_full", _uncut("candidates_topk"))
-def candidates_topk_full(spark, d):
-    return candidates_topk(spark, d, None)
-
-
 @query("best_of_n", "WITH c AS (SELECT conv_id, turn AS idx, CASE WHEN turn % 3 = 0 THEN '' ELSE text END AS text, round((turn * 7 % 5) / 5, 2) AS confidence FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY text = '', confidence DESC, idx) AS k FROM c) SELECT conv_id, text, CASE WHEN text = '' THEN 0.0 ELSE confidence END AS confidence, CASE WHEN text = '' THEN 'stop' ELSE 'length' END AS finish FROM r WHERE k = 1")
 def best_of_n(spark, d):
     t = F.col("turn")

@@ -1,5 +1,6 @@
 """The operators over whole texts against plain versions, with what matters after the prefixes of the other queries."""
 
+import random
 import re
 
 import pytest
@@ -37,21 +38,32 @@ def test_edit_metrics(spark, folder):
         if r is not None and g is not None:
             d, most = distance(r, g), max(len(r), len(g))
             x = want.setdefault("short" if len(r) < 15 else "medium" if len(r) < 30 else "long", [])
-            x.append((d, 1 - d / most if most else 1.0, len(r) - d, r.startswith(g) and len(g) < len(r)))
-    got = {r.bucket: r for r in registry.QUERIES["edit_metrics_whole"](spark, folder).filter("distance IS NOT NULL").collect()}
+            x.append((d, 1 - d / most if most else 1.0, len(r) - d, r.startswith(g) and 0 < len(g) < len(r)))
+    got = {r.bucket: r for r in registry.QUERIES["edit_metrics"](spark, folder).filter("distance IS NOT NULL").collect()}
     for bucket, x in want.items():
         r = got[bucket]
         assert (r.distance, r.saved, r.truncated) == tuple(sum(y[k] for y in x) for k in (0, 2, 3))
         assert r.char_accuracy == pytest.approx(sum(y[1] for y in x) / len(x), abs=1e-6)
 
 
+def test_distance_of_any_texts():
+    from tallgrass.operators.metrics import distance as fast
+
+    rnd = random.Random(5)
+    for n in (0, 1, 5, 63, 64, 65, 130):
+        for _ in range(60):
+            a, b = ("".join(rnd.choice("ab日c" if n < 60 else "abcdefgh é") for _ in range(rnd.randrange(n + 1))) for _ in "xy")
+            b = rnd.choice([b, a[: n // 2] + b[:9] + a[n // 2 + 5 :]])
+            assert fast(a, b) == distance(a, b) == fast(b, a)
+
+
 def test_filter_suggestion(spark, folder):
     def plain(s):
         r = re.sub(f"({P}){P}+", r"\1", re.sub(r"\s+", " ", re.sub(r"\s+$", "", s)))
         r = re.sub(f"(?: {P}+)+$", "", r)
         return "" if s.startswith("\n") else r if any(c.isalpha() for c in r) or not r.strip() or re.fullmatch(P, r) else ""
 
-    got = {r.doc_id: r.filtered for r in registry.QUERIES["filter_suggestion_whole"](spark, folder).collect()}
+    got = {r.doc_id: r.filtered for r in registry.QUERIES["filter_suggestion"](spark, folder).collect()}
     assert got == {i: plain(s) for i, s in enumerate(DOCS)} and len(got[1]) > 150
 
 
@@ -67,5 +79,5 @@ def test_ghost_suffix(spark, folder):
     from tallgrass.functions import text
 
     text_marks = text.PUNCTUATION
-    got = {r.item_id: r.ghost for r in registry.QUERIES["ghost_suffix_whole"](spark, folder).collect()}
+    got = {r.item_id: r.ghost for r in registry.QUERIES["ghost_suffix"](spark, folder).collect()}
     assert got == {i: plain(t) for i, t in enumerate(ITEMS)}
