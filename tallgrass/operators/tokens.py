@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,35 +22,6 @@ def hashed_ids(pieces_: Column, size: int = 3990, first: int = 5) -> Column:
     return F.transform(pieces_, lambda p: F.conv(F.substring(F.md5(p), 1, 6), 16, 10).cast("long") % size + first)
 
 
-def viterbi(texts: DataFrame, vocabulary: list[tuple[str, float]], column: str = "line") -> DataFrame:
-    """Unigram segmentation: the best-scoring split of each white-space word, marked by ``▁``;
-    a character in no piece is unknown (id 0). The vocabulary is a model file, a few thousand rows."""
-    ids = {p: (k, s) for k, (p, s) in enumerate(vocabulary)}
-    longest = max(map(len, ids), default=1)
-    worst = min((s for _, s in vocabulary), default=0.0) - 10
-
-    def best(word: str) -> list[int]:
-        at: list[tuple[float, int, int]] = [(0.0, 0, 0)]
-        for j in range(1, len(word) + 1):
-            options = [(at[i][0] + ids[word[i:j]][1], i, ids[word[i:j]][0]) for i in range(max(0, j - longest), j) if word[i:j] in ids]
-            at.append(max(options, default=(at[j - 1][0] + worst, j - 1, UNK)))
-        out, j = [], len(word)
-        while j:
-            out.append(at[j][2])
-            j = at[j][1]
-        return out[::-1]
-
-    @F.pandas_udf("array<int>")
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo: dict[str, list[int]] = {}
-        for part in parts:
-            if len(memo) > 200_000:
-                memo.clear()
-            yield part.map(lambda x: [i for w in (x or "").split() for i in (memo.get(w) or memo.setdefault(w, best("▁" + w)))])
-
-    return texts.withColumn("ids", encode(F.col(column)))
-
-
 def counted(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line_no", (F.size(text.words(F.col("line"))) + 1).alias("n"))
 
@@ -186,16 +154,6 @@ def piece_splits(lines: DataFrame, share: int = 20, min_middle: int = 2) -> Data
     return x.withColumn("p1", F.when(F.col("on_boundary"), F.col("_p1")).otherwise(F.col("_q1"))).withColumn("p2", F.when(F.col("on_boundary"), p2).otherwise(F.col("_q2"))).drop("_b", "_q1", "_q2", "_p1", "_far")
 
 
-def verdict(counts: DataFrame, pieces_: Column, specials: int = 3) -> DataFrame:
-    """Vocabulary size, share of unknown words and fertility of counted words ``w, n, known``, and whether they will do."""
-    x = counts.agg(
-        (F.count_if("known") + specials).alias("size"), F.round(100.0 * F.sum(F.when(F.col("known"), 0).otherwise(F.col("n"))) / F.sum("n"), 4).alias("unk_rate"),
-        F.round(F.sum(pieces_ * F.col("n")) / F.sum("n"), 6).alias("fertility"),
-    )
-    x = x.withColumn("unk_ok", F.col("unk_rate") < 0.1).withColumn("fertility_ok", (F.col("fertility") > 2.0) & (F.col("fertility") < 3.0))
-    return x.withColumn("verdict", F.col("unk_ok") & F.col("fertility_ok") & (F.col("size") > specials))
-
-
 def numbered(vocabulary: DataFrame, piece: str) -> DataFrame:
     """``id, piece`` from 0 in the order of spelling."""
     return placed(vocabulary.select(F.col(piece).alias("piece")), ["piece"]).select(F.col("number").alias("id"), "piece")

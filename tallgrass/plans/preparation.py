@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions import suggestion, text
-from tallgrass.operators import corpus, evalset, metrics, stream, telemetry, tokens
+from tallgrass.operators import corpus, evalset, metrics, stream, telemetry, tokens, unigram
 from tallgrass.plans.corpus import _CLEAN, _FIM, _FIRST, _LANG, _SENT, _TOKS, _firsts, _lines, _sents
 from tallgrass.plans.evaluation import PAIRS, _pairs, _tele
 from tallgrass.plans.registry import query
@@ -230,42 +230,84 @@ def fim_pieces(spark, d):
     return tokens.piece_splits(p).select("doc_id", "line_no", "p1", "p2", "on_boundary", F.size("pieces").alias("n"))
 
 
-@query("viterbi_pieces")
-def viterbi_pieces(spark, d):
-    """Unigram segmentation with a vocabulary counted from the benchmark's words."""
-    vocabulary = [("<unk>", 0.0), ("<s>", 0.0), ("</s>", 0.0), *[(p, -float(k)) for k, p in enumerate(["▁", *"etaonihrsdlu", "th", "er", "an", "in", "on", "▁th", "▁the", "ing"], 3)]]
-    x = tokens.viterbi(table(spark, d, "benchmark").select("item_id", "text"), vocabulary, "text")
-    return x.select("item_id", F.size("ids").alias("n"), F.array_max("ids").alias("max_id"), F.size(F.filter("ids", lambda i: i == 0)).alias("unknown"))
-
-
 # --- tokenizer checks ------------------------------------------------------------------------------
 
 _VOC = f"voc AS (SELECT w FROM (SELECT unnest({_TOKS}) AS w FROM lines) GROUP BY w HAVING count(*) >= 3)"
+_ENDINGS = ("tion", "ment", "keit", "heit", "lich", "ung", "ion", "ier")
+
 
+def _unigram(size: int, of: str = "", most: str = "line_no >= 0") -> str:
+    """CTEs: ``sp(w, c, p)``, for each distinct word of the lines the pieces of its best split with a counted
+    vocabulary of that size, and where they begin. Best splits grow place by place in a recursive query."""
+    return f"""wc{of} AS (SELECT w, count(*) AS n FROM (SELECT unnest({_TOKS}) AS w FROM lines) GROUP BY w), ms{of} AS (SELECT w, n, '▁' || w AS m, unnest(range(length(w) + 1)) AS i FROM wc{of}),
+ ss{of} AS (SELECT w, n, i, unnest(range(1, least(6, length(m) - i) + 1)) AS k, m FROM ms{of}), sb{of} AS (SELECT w, n, i, i + k AS j, substr(m, CAST(i + 1 AS BIGINT), CAST(k AS BIGINT)) AS piece FROM ss{of}),
+ vc{of} AS (SELECT piece, sum(n) AS n FROM sb{of} WHERE length(piece) = 1 OR NOT regexp_matches(piece, '\\d') GROUP BY piece ORDER BY 2 DESC, 1 LIMIT {size}), vs{of} AS (SELECT piece, round(ln(n / sum(n) OVER ()), 6) AS score FROM vc{of}),
+ ed{of} AS (SELECT w, j, list({{'i': i, 'score': coalesce(score, (SELECT min(score) - 10 FROM vs{of})), 'c': CASE WHEN score IS NULL THEN octet_length(encode(piece)) ELSE 1 END}} ORDER BY i) AS es FROM sb{of} LEFT JOIN vs{of} USING (piece) WHERE score IS NOT NULL OR length(piece) = 1 GROUP BY w, j),
+ vt{of}(w, j, s, c, p) AS (SELECT w, CAST(0 AS BIGINT), [CAST(0 AS DOUBLE)], [CAST(0 AS BIGINT)], [''] FROM wc{of}
+  UNION ALL SELECT w, j, list_append(s, b.v), list_append(c, c[b.ni * -1 + 1] + b.c), list_append(p, p[b.ni * -1 + 1] || ',' || (b.ni * -1)) FROM (
+   SELECT vt{of}.w, ed{of}.j, s, c, p, list_max(list_transform(es, lambda x: {{'v': s[x.i + 1] + x.score, 'ni': -x.i, 'c': x.c}})) AS b FROM vt{of} JOIN ed{of} ON ed{of}.w = vt{of}.w AND ed{of}.j = vt{of}.j + 1)),
+ sp{of} AS (SELECT w, c[-1] AS c, p[-1] || ',' AS p FROM vt{of} WHERE j = length(w) + 1)"""
 
-@query("tokenizer_checks", f"WITH LINES, {_VOC}, u AS (SELECT unnest({_TOKS}) AS w FROM lines), r AS (SELECT count(*) AS words, count(*) FILTER (w NOT IN (SELECT w FROM voc)) AS unknown, sum(CAST(ceil(length(w) / 3.0) AS BIGINT)) / count(*) AS fertility FROM u), s AS (SELECT (SELECT count(*) FROM voc) + 3 AS size, round(100.0 * unknown / words, 4) AS unk_rate, round(fertility, 6) AS fertility FROM r) SELECT *, unk_rate < 0.1 AS unk_ok, fertility > 2.0 AND fertility < 3.0 AS fertility_ok, unk_rate < 0.1 AND fertility > 2.0 AND fertility < 3.0 AND size > 3 AS verdict FROM s")
+
+def _vocabulary(lines, size: int):
+    return unigram.counted(unigram.word_counts(lines), size)
+
+
+@query("viterbi_pieces", f"WITH RECURSIVE LINES, {_unigram(2000)}, u AS (SELECT doc_id, unnest({_TOKS}) AS w FROM lines) SELECT doc_id, CAST(coalesce(sum(c), 0) AS BIGINT) AS n, CAST(coalesce(sum(len(string_split(p, ',')) - 2), 0) AS BIGINT) AS spans FROM documents LEFT JOIN u USING (doc_id) LEFT JOIN sp USING (w) GROUP BY doc_id")
+def viterbi_pieces(spark, d):
+    """Unigram segmentation of every text, with a vocabulary of 2000 pieces counted from all words: pieces,
+    and pieces when the bytes of a character that no piece has count once."""
+    v = _vocabulary(_lines(spark, d), 2000)
+    x = unigram.encoded(table(spark, d, "documents").select("doc_id", "text"), v, "text")
+    first = [v.bytes[b] for b in range(256) if b & 0xC0 != 0x80]  # a character's first byte
+    spans = F.size(F.filter("ids", lambda i: (i >= len(unigram.SPECIAL) + 256) | i.isin(first)))
+    return x.select("doc_id", F.size("ids").cast("long").alias("n"), spans.cast("long").alias("spans"))
+
+
+@query("tokenizer_checks", f"WITH RECURSIVE LINES, {_unigram(1000)}, r AS (SELECT sum(wc.n * c) / sum(wc.n) AS fertility FROM wc JOIN sp USING (w)), s AS (SELECT 259 + (SELECT count(*) FROM vs) AS size, round(CAST(fertility AS DOUBLE), 6) AS fertility FROM r) SELECT CAST(size AS INTEGER) AS size, 0 AS unk_id, 1 AS bos_id, 2 AS eos_id, true AS eos_ok, 0.0::DOUBLE AS unk_rate, fertility, true AS unk_ok, fertility > 2.0 AND fertility < 3.0 AS fertility_ok, fertility > 2.0 AND fertility < 3.0 AS verdict FROM s")
 def tokenizer_checks(spark, d):
-    """Vocabulary size, share of unknown words, fertility, and the verdict on them."""
-    w = _lines(spark, d).select(F.explode(text.words(F.col("line"))).alias("w"))
-    counts = w.groupBy("w").agg(F.count("*").alias("n")).withColumn("known", F.col("n") >= 3)
-    return tokens.verdict(counts, F.size(tokens.pieces(F.col("w"))))
+    """Vocabulary size, special ids, share of unknown pieces, fertility, and the verdict on them."""
+    words = unigram.word_counts(_lines(spark, d))
+    return unigram.checks(words, unigram.counted(words, 1000))
+
+
+@query("fertility_sample", f"WITH RECURSIVE LINES, {_unigram(1000)}, f AS (SELECT line FROM lines WHERE line <> '' ORDER BY doc_id, line_no LIMIT 1000), u AS (SELECT unnest({_TOKS}) AS w FROM f) SELECT count(*) AS words, CAST(sum(c) AS BIGINT) AS tokens, round(sum(c) / count(*), 6) AS fertility FROM u JOIN sp USING (w)")
+def fertility_sample(spark, d):
+    """Pieces a word over the first thousand lines, each word encoded by itself; the feature is the sample."""
+    all_lines = _lines(spark, d)
+    sample = unigram.word_counts(with_global_index(all_lines.filter("line <> ''")).filter("line_idx < 1000"))
+    x = unigram.encoded(sample, _vocabulary(all_lines, 1000), "w").select("n", (F.size("ids") * F.col("n")).alias("t"))
+    return x.agg(F.sum("n").alias("words"), F.sum("t").alias("tokens"), F.round(F.sum("t") / F.sum("n"), 6).alias("fertility"))
 
 
-@query("verb_splits", "WITH v AS (SELECT unnest(['dakigu', 'naiz', 'zaizkit', 'da', 'genituzke', 'dut', 'etorriko', 'joan']) AS word) SELECT word, CAST(ceil(length(word) / 3.0) AS INTEGER) AS pieces, ceil(length(word) / 3.0) >= 2 AS splits FROM v")
+@query("verb_splits", f"WITH RECURSIVE LINES, {_unigram(1000)}, u AS (SELECT DISTINCT lang, unnest({_TOKS}) AS w FROM lines) SELECT lang, count(*) AS words, count(*) FILTER (c >= 2) AS split, min(c) >= 2 AS all_split FROM u JOIN sp USING (w) WHERE length(w) >= 8 GROUP BY lang")
 def verb_splits(spark, d):
-    v = spark.createDataFrame([(w,) for w in ("dakigu", "naiz", "zaizkit", "da", "genituzke", "dut", "etorriko", "joan")], "word string")
-    n = F.size(tokens.pieces(F.col("word")))
-    return v.select("word", n.alias("pieces"), (n >= 2).alias("splits"))
+    """Distinct words of eight letters or more, and those in two pieces or more."""
+    lines = _lines(spark, d)
+    w = lines.select("lang", F.explode(text.words(F.col("line"))).alias("w")).filter("length(w) >= 8").distinct()
+    n = F.size("ids")
+    return unigram.encoded(w, _vocabulary(lines, 1000), "w").groupBy("lang").agg(F.count("*").alias("words"), F.count_if(n >= 2).alias("split"), (F.min(n) >= 2).alias("all_split"))
+
+
+_ENDED = "SELECT DISTINCT '{name}' AS tokenizer, lang, w, contains(p, ',' || (length(w) + 1 - length(e)) || ',') AS ok FROM (SELECT lang, unnest({toks}) AS w FROM lines) JOIN en ON ends_with(w, e) AND length(w) >= length(e) + 2 JOIN sp{of} USING (w)"
 
 
-@query("boundary_consistency", "WITH x AS (SELECT lang, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w FROM documents) SELECT lang, count(DISTINCT w) AS words, round(100.0 * count(DISTINCT w) FILTER (length(w) % 3 = 0) / count(DISTINCT w), 4) AS consistency FROM x GROUP BY lang")
+@query("boundary_consistency", f"""WITH RECURSIVE LINES, {_unigram(500, "a")}, {_unigram(4000, "b")}, en AS (SELECT unnest({list(_ENDINGS)}) AS e), r AS ({_ENDED.format(name="small", toks=_TOKS, of="a")} UNION ALL {_ENDED.format(name="large", toks=_TOKS, of="b")})
+ SELECT tokenizer, lang, count(*) AS words, round(100.0 * count(*) FILTER (ok) / count(*), 4) AS consistency FROM (SELECT tokenizer, lang, w, bool_or(ok) AS ok FROM r GROUP BY ALL) GROUP BY 1, 2""")
 def boundary_consistency(spark, d):
-    """Share of words whose boundary is right, from JSON maps of word to result by tokenizer."""
-    w = table(spark, d, "documents").select("lang", F.explode(text.words(F.col("text"))).alias("w")).distinct()
-    # A map a word, so that no language's words are gathered in one row.
-    report = w.select("lang", F.to_json(F.create_map("w", F.struct((F.length("w") % 3 == 0).alias("boundary_correct")))).alias("per_word"))
-    per = report.select("lang", F.explode(F.map_values(F.from_json("per_word", "map<string, struct<boundary_correct: boolean>>"))).alias("x"))
-    return per.groupBy("lang").agg(F.count("*").alias("words"), F.round(100.0 * F.count_if("x.boundary_correct") / F.count("*"), 4).alias("consistency"))
+    """Share of words whose ending begins a piece, by tokenizer (a small and a large vocabulary): words by
+    tokenizer as JSON maps of a word to its result, as reports store them, and their means."""
+    lines = _lines(spark, d)
+    w = lines.select("lang", F.explode(text.words(F.col("line"))).alias("w")).distinct()
+    w = w.withColumn("e", F.explode(F.filter(F.array(*map(F.lit, _ENDINGS)), lambda e: F.endswith("w", e) & (F.length("w") >= F.length(e) + 2))))
+    words, reports = unigram.word_counts(lines), []
+    for name, size in (("small", 500), ("large", 4000)):
+        x = unigram.encoded(w, unigram.counted(words, size), "w", pieces=True).withColumn("pieces", F.transform("pieces", lambda p: F.when(p.rlike("^<0x[0-7C-F]"), F.lit(" ")).when(p.startswith("<0x"), F.lit("")).otherwise(p)))
+        x = x.withColumn("ok", unigram.begins_at(F.col("pieces"), F.length("w") + 1 - F.length("e"))).groupBy("lang", "w").agg(F.bool_or("ok").alias("ok"))
+        # A map a word, so that no language's words are gathered in one row.
+        reports.append(x.select(F.lit(name).alias("tokenizer"), "lang", F.to_json(F.create_map("w", F.struct(F.col("ok").alias("boundary_correct")))).alias("per_word")))
+    per = reports[0].unionByName(reports[1]).select("tokenizer", "lang", F.explode(F.map_values(F.from_json("per_word", "map<string, struct<boundary_correct: boolean>>"))).alias("x"))
+    return per.groupBy("tokenizer", "lang").agg(F.count("*").alias("words"), F.round(100.0 * F.count_if("x.boundary_correct") / F.count("*"), 4).alias("consistency"))
 
 
 @query("visual_tokens", "WITH p AS (SELECT item_id, unnest(list_transform(string_split(text, ' '), lambda w: '▁' || w)) AS piece, unnest(range(len(string_split(text, ' ')))) AS pos FROM benchmark) SELECT item_id, CAST(pos AS INTEGER) AS pos, CASE WHEN piece = '▁' THEN ' ' ELSE substr(piece, 2) END AS token, true AS space_before FROM p")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallgrass.functions import text
-from tallgrass.operators import corpus, metrics, tokens
+from tallgrass.operators import corpus, metrics, tokens, unigram
 
 CASES = {
     text.quick_clean: [
@@ -47,8 +47,8 @@ def test_best_of_and_judgments(spark):
 
 def test_tokens(spark):
     df = spark.createDataFrame([("ab abc zz",)], "line string")
-    vocabulary = [("<unk>", 0.0), ("\u2581ab", -1.0), ("c", -2.0), ("\u2581", -3.0), ("a", -4.0)]
-    assert tokens.viterbi(df, vocabulary).first()["ids"] == [1, 1, 2, 3, 0, 0]
+    vocabulary = unigram.Vocabulary([("<unk>", 0.0), ("\u2581ab", -1.0), ("c", -2.0), ("\u2581", -3.0), ("a", -4.0)])
+    assert unigram.encoded(df, vocabulary).first()["ids"] == [1, 1, 2, 3, 0]
     a = spark.range(1).select(tokens.find_array(F.array(*map(F.lit, (1, 2, 3, 4))), F.array(F.lit(3), F.lit(4))).alias("i"), tokens.find_array(F.array(F.lit(1)), F.array(F.lit(3), F.lit(4))).alias("j")).first()
     assert tuple(a) == (2, -1)
     lines = spark.createDataFrame([(1, 0, " ".join("w" * 99)), (1, 1, "a b c"), (1, 2, " ".join("w" * 300))], "doc_id int, line_no int, line string")
