@@ -243,10 +243,11 @@ def _unigram(size: int, of: str = "", most: str = "line_no >= 0") -> str:
  ss{of} AS (SELECT w, n, i, unnest(range(1, least(6, length(m) - i) + 1)) AS k, m FROM ms{of}), sb{of} AS (SELECT w, n, i, i + k AS j, substr(m, CAST(i + 1 AS BIGINT), CAST(k AS BIGINT)) AS piece FROM ss{of}),
  vc{of} AS (SELECT piece, sum(n) AS n FROM sb{of} WHERE length(piece) = 1 OR NOT regexp_matches(piece, '\\d') GROUP BY piece ORDER BY 2 DESC, 1 LIMIT {size}), vs{of} AS (SELECT piece, round(ln(n / sum(n) OVER ()), 6) AS score FROM vc{of}),
  ed{of} AS (SELECT w, j, list({{'i': i, 'score': coalesce(score, (SELECT min(score) - 10 FROM vs{of})), 'c': CASE WHEN score IS NULL THEN octet_length(encode(piece)) ELSE 1 END}} ORDER BY i) AS es FROM sb{of} LEFT JOIN vs{of} USING (piece) WHERE score IS NOT NULL OR length(piece) = 1 GROUP BY w, j),
- vt{of}(w, j, s, c, p) AS (SELECT w, CAST(0 AS BIGINT), [CAST(0 AS DOUBLE)], [CAST(0 AS BIGINT)], [''] FROM wc{of}
-  UNION ALL SELECT w, j, list_append(s, b.v), list_append(c, c[b.ni * -1 + 1] + b.c), list_append(p, p[b.ni * -1 + 1] || ',' || (b.ni * -1)) FROM (
-   SELECT vt{of}.w, ed{of}.j, s, c, p, list_max(list_transform(es, lambda x: {{'v': s[x.i + 1] + x.score, 'ni': -x.i, 'c': x.c}})) AS b FROM vt{of} JOIN ed{of} ON ed{of}.w = vt{of}.w AND ed{of}.j = vt{of}.j + 1)),
- sp{of} AS (SELECT w, c[-1] AS c, p[-1] || ',' AS p FROM vt{of} WHERE j = length(w) + 1)"""
+ wl{of} AS (SELECT w, list(es ORDER BY j) AS es FROM ed{of} GROUP BY w),
+ vt{of}(w, es, j, s, c, p) AS (SELECT w, es, CAST(0 AS BIGINT), [CAST(0 AS DOUBLE)], [CAST(0 AS BIGINT)], [''] FROM wl{of}
+  UNION ALL SELECT w, es, j, list_append(s, b.v), list_append(c, c[b.ni * -1 + 1] + b.c), list_append(p, p[b.ni * -1 + 1] || ',' || (b.ni * -1)) FROM (
+   SELECT w, es, j + 1 AS j, s, c, p, list_max(list_transform(es[j + 1], lambda x: {{'v': s[x.i + 1] + x.score, 'ni': -x.i, 'c': x.c}})) AS b FROM vt{of} WHERE j < len(es))),
+ sp{of} AS (SELECT w, c[-1] AS c, p[-1] || ',' AS p FROM vt{of} WHERE j = len(es))"""
 
 
 def _vocabulary(lines, size: int):

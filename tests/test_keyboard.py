@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallgrass.functions import suggestion, text
-from tallgrass.operators import keyboard, metrics, telemetry, tokens
+from tallgrass.operators import keyboard, metrics, telemetry, tokens, unigram
 from tallgrass.plans import keyboard as _keyboard, preparation, registry  # noqa: F401
 
 OFFERS = {
@@ -104,6 +104,7 @@ def test_second_cleaner_and_its_toggles(spark):
 def test_segmentation_against_all_splits(spark):
     vocabulary = [("<unk>", 0.0), ("▁", -2.0), ("a", -1.5), ("b", -1.7), ("ab", -2.0), ("▁a", -2.2), ("ba", -2.4), ("▁ab", -4.0), ("bab", -3.0)]
     score = dict(vocabulary[1:])
+    model = unigram.Vocabulary(vocabulary)
 
     def best(word):
         if not word:
@@ -112,7 +113,7 @@ def test_segmentation_against_all_splits(spark):
 
     words = ["ab", "babab", "a", "bba", "aabb", "abab"]
     df = spark.createDataFrame([(w,) for w in words], "line string")
-    for r in tokens.viterbi(df, vocabulary).collect():
+    for r in unigram.encoded(df, model).collect():
         pieces = [vocabulary[i][0] for i in r.ids]
         assert "".join(pieces) == "▁" + r.line and sum(score[p] for p in pieces) == pytest.approx(best("▁" + r.line))
 
