@@ -4,10 +4,11 @@ Entities are found with one pattern, checked by kind (Luhn and issuer range for
 octet range for addresses, digit counts for phones), and replaced in place: digits by
 digits, letters by letters of the same case and script, given names by names of the same
 gender and script, surnames by made-up surnames of the script with the ending of the
-gender, with all punctuation kept. Country codes of phones and account numbers stay, and
-check digits are made to fit. Persons are found by a title, a listed given name, or the
-words that introduce a name; a surname that a text has introduced is replaced wherever
-else it stands in that text. A surrogate depends on a key and on the entity's normal
+gender, with all punctuation kept. Country codes of phones and account numbers and the
+first four digits of cards stay, and check digits are made to fit. Persons are found by a
+title, a listed given name, or the words that introduce a name, in small letters or
+capitals, with initials; given names that are on no list are made up like surnames. Every
+word of a name that a text has introduced is replaced wherever else it stands in that text. A surrogate depends on a key and on the entity's normal
 form, so one entity has one surrogate in the whole corpus, however it is written. The
 table of distinct entities is checked for collisions, of surrogates with each other and
 with real entities; whichever loses is drawn again until none is left.
@@ -37,6 +38,10 @@ NAMES = {
     ("greek", "m"): "Γιώργος Νίκος Δημήτρης Κώστας Γιάννης".split(),
     ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Αγγελική".split(),
 }
+# Endings of made-up given names, those of words that end like women's names apart.
+GIVEN_ENDS = {"latin": ("an el en is on or us", "a ia ina ette"), "cyrillic": ("ан ей ил он", "ана ия ина"), "greek": ("ας ης ος", "ία ίνα ώ")}
+HAN = "伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀霞平刚桂英华玉兰红梅建文志国海波宁龙林辉"  # of names
+ARABIC = "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Mme Mlle Sra Sr Señor Señora Monsieur Madame".split()
 # Words before a name of two words or more.
 INTRODUCTIONS = ["[Mm]y name is", "[Nn]ame:", "[Ss]igned by", "[Ss]igned,", "[Rr]egards,", "[Ss]incerely,", "[Cc]ontact:", "[Aa]ttn\\.?:?", "[Mm]ein Name ist", "[Ii]ch heiße", "[Jj]e m'appelle", "[Mm]e llamo", "Меня зовут"]
@@ -58,6 +63,10 @@ PLAIN = r"(?:\p{Lu}['’])?\p{Lu}[\p{Ll}'’]{1,30}"
 NAME = rf"{PLAIN}(?:-\p{{Lu}}\p{{Ll}}{{1,30}})?"
 PARTICLES = r"(?:(?:von|van|zu|der|den|de|del|della|di|da|du) ){0,2}"
 GIVEN = "|".join(n for names in NAMES.values() for n in names)
+CAPITALS = GIVEN.upper()
+INITIALS = r"(?:\p{Lu}\. ?){0,3}"
+#: Names in scripts without capitals, after words that introduce them.
+UNCASED = r"(?<=我叫|我的名字是|姓名：|姓名:|名前は|氏名：|氏名:)\p{IsHan}{2,4}|(?<=اسمي |الاسم: )\p{IsArabic}{2,20} \p{IsArabic}{2,20}"
 TITLE = "|".join(TITLES)
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}\-]{1,63}+\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
@@ -70,9 +79,13 @@ PATTERNS = {
     "phone": (
         r"(?<![\p{L}\p{N}+.])(?:\+\d{1,3}[ .\-]?)(?:\(\d{1,4}\)[ .\-]?|\d{1,4}[ .\-])(?:\d{2,4}[ .\-]){0,3}\d{2,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+.])\+\d{8,15}(?![\p{L}\p{N}])"
         r"|(?<![\p{L}\p{N}+.])\(\d{3}\) ?\d{3}-\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+.\-/])[2-9]\d{2}([ .\-])[2-9]\d{2}\1\d{4}(?![\p{L}\p{N}\-])"
+        r"|(?<![\p{L}\p{N}+.\-/])0\d{2}[ .\-]\d{4}[ .\-]\d{4}(?![\p{L}\p{N}\-])|(?<![\p{L}\p{N}+.\-/])0\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\p{L}\p{N}\-])"
         r"|(?<![\p{L}\p{N}+.\-/])0\d(?:[ .\-]\d{2}){4}(?![\p{L}\p{N}\-])|(?<![\p{L}\p{N}+.\-/])0[1-9]\d{1,3}[ /\-]\d{6,8}(?![\p{L}\p{N}\-])"
     ),
-    "person": rf"(?<![\p{{L}}\p{{N}}])(?:(?:(?:{TITLE})\.? )?(?:{GIVEN}) {PARTICLES}{NAME}|(?:{TITLE})\.? {PARTICLES}{NAME}|(?<=(?:{'|'.join(INTRODUCTIONS)}) ){PLAIN} {PARTICLES}{NAME})(?![\p{{L}}\p{{N}}])",
+    "person": (
+        rf"(?<![\p{{L}}\p{{N}}])(?:(?:(?:{TITLE})\.? )?(?:{GIVEN}) {INITIALS}{PARTICLES}{NAME}|(?:{TITLE})\.? {INITIALS}(?:{PLAIN} {INITIALS})?{PARTICLES}{NAME}"
+        rf"|(?<=(?:{'|'.join(INTRODUCTIONS)}) ){PLAIN} {INITIALS}{PARTICLES}{NAME}|(?:(?:{TITLE.upper()})\.? )?(?:{CAPITALS}) {INITIALS}\p{{Lu}}[\p{{Lu}}'’]{{1,30}}(?:-\p{{Lu}}{{2,30}})?)(?![\p{{L}}\p{{N}}])"
+    ),
 }
 PATTERNS["phone"] = PATTERNS["phone"].replace("([ .\\-])", "(?<sep>[ .\\-])").replace("\\1", "\\k<sep>")  # by name: patterns are joined
 #: What an entity begins with: tested first, so that most places of a text cost one look.
@@ -81,7 +94,7 @@ BEGINNINGS = {
     "ip": r"(?=\d{1,3}\.)", "phone": r"(?=[\d+(])", "person": r"(?=\p{Lu})",
 }
 START = r"(?<![\p{L}\p{N}])(?=[\d+(\p{Lu}]|[\p{L}\p{N}_\-]{19}|[\p{L}\p{N}._%+\-]*+@|[0-9A-Fa-f]{1,4}:)"
-ANY = START + "(?:" + "|".join(f"(?:{BEGINNINGS[k]}(?:{p}))" for k, p in PATTERNS.items()) + ")"
+ANY = START + "(?:" + "|".join(f"(?:{BEGINNINGS[k]}(?:{p}))" for k, p in PATTERNS.items()) + ")|" + UNCASED
 DIGIT_KINDS = ("card", "ssn", "phone")
 
 
@@ -116,12 +129,32 @@ def kind_of(value: Column) -> Column:
         .when(value.rlike(r"^[+(]"), F.when((F.length(digits) >= 7) & (F.length(digits) <= 16), "phone"))
         .when(is_("secret"), "secret")
         .when(is_("iban"), "iban")
-        .when(value.rlike(r"^\p{Lu}"), "person")
+        .when(value.rlike(r"^[\p{Lu}\p{IsHan}\p{IsArabic}]"), "person")
     )
 
 
 def _surname(value: Column) -> Column:
-    return F.regexp_extract(value, rf"({NAME})$", 1)
+    """The last word, a double name whole; names in scripts without capitals are one."""
+    return F.when(value.rlike(r"^[\p{IsHan}\p{IsArabic}]"), value).otherwise(F.regexp_extract(value, r"([^ .]+)$", 1))
+
+
+def _capitals(value: Column) -> Column:
+    return value.rlike(r"^\p{Lu}[\p{Lu}'’.\- ]+$")
+
+
+def _front(value: Column) -> Column:
+    """The words before a surname."""
+    return F.split(F.left(value, F.length(value) - F.length(_surname(value))), "(?<=[ .])(?=[^ .])")
+
+
+def _is_given(word: Column) -> Column:
+    """Whether a word of a name is neither a title, an initial nor a particle."""
+    return word.rlike(r"^\p{Lu}[\p{L}'’]+ ?$") & ~F.rtrim(F.replace(word, F.lit("."), F.lit(""))).isin(*TITLES, *[t.upper() for t in TITLES])
+
+
+def given_names(value: Column) -> Column:
+    """The given names in a person's mention."""
+    return F.transform(F.filter(_front(value), _is_given), lambda w: F.rtrim(w))
 
 
 def normal_of(kind: Column, value: Column) -> Column:
@@ -181,12 +214,12 @@ def _country_digits(value: Column, digits: Column) -> Column:
 
 def _new_digits(kind: Column, value: Column, digits: Column, stream: Column) -> Column:
     """As many digits: a first zero stays one and others become none, a country's code stays, and a card
-    keeps its first digit and ends in its check digit."""
+    keeps its issuer (the first four) and ends in its check digit."""
     first = F.when(digits.startswith("0"), 0).otherwise(_byte(stream, F.lit(0)) % 9 + 1)
     drawn = F.array_join(
         F.transform(F.sequence(F.lit(0), F.length(digits) - 1), lambda i: F.when(i == 0, first).otherwise(_byte(stream, i) % 10).cast("string")), ""
     )
-    body = F.concat(F.left(digits, F.lit(1)), F.substring(drawn, F.lit(2), F.length(digits) - 2))
+    body = F.concat(F.left(digits, F.lit(4)), F.substring(drawn, F.lit(5), F.length(digits) - 5))
     card = let(body, lambda b: F.concat(b, ((10 - _luhn_sum(b, 0) % 10) % 10).cast("string")))
     phone = let(_country_digits(value, digits), lambda n: F.concat(F.left(digits, n), F.substring(drawn, n + 1, F.length(digits))))
     return F.when(kind == "card", card).when(kind == "phone", phone).otherwise(drawn)
@@ -205,18 +238,35 @@ def _refilled(value: Column, digits: Column) -> Column:
     return F.aggregate(F.split(value, ""), start, step, lambda a: a["out"])
 
 
-def _given(value: Column, key: str) -> Column:
-    """A given name moved on in the list of its script and gender, by a step that the key sets:
-    distinct names stay distinct, and none stays itself."""
-    out = value
+def _listed(value: Column, key: str) -> Column:
+    """A listed given name becomes the next of its script and gender in an order that the key draws:
+    distinct names stay distinct, none stays itself, and one known pair tells no other. Null for others."""
+    out = F.lit(None).cast("string")
     for (script, gender), names in NAMES.items():
-        step = 1 + int(hashlib.sha256(f"{key}|{script}|{gender}".encode()).hexdigest(), 16) % (len(names) - 1)
-        at = F.array_position(F.array(*map(F.lit, names)), value)
-        moved = F.get(F.array(*map(F.lit, names)), ((at - 1 + step) % len(names)).cast("int"))
-        out = F.when(value.isin(*names), moved).otherwise(out)
+        order = sorted(names, key=lambda n: hashlib.sha256(f"{key}|{script}|{gender}|{n}".encode()).digest())
+        at = F.array_position(F.array(*map(F.lit, order)), value)
+        out = F.when(value.isin(*order), F.get(F.array(*map(F.lit, order[1:] + order[:1])), (at - 1).cast("int"))).otherwise(out)
     return out
 
 
+def given_surrogate(value: Column, attempt: Column, key: str) -> Column:
+    """A given name for one: from its list, or made up in its script with an ending of its kind."""
+    word = F.when(_capitals(value), F.initcap(F.lower(value))).otherwise(value)
+
+    def made(stream: Column) -> Column:
+        pick = lambda options, k: F.get(F.array(*map(F.lit, options.split())), (_byte(stream, F.lit(k)) % len(options.split())).cast("int"))
+
+        def of(script: str) -> Column:
+            begin, middle, *_ = SURNAMES[script]
+            man, woman = GIVEN_ENDS[script]
+            return F.concat(pick(begin, 0), pick(middle, 1), F.when(word.rlike("(?:a|а|я|η|α)$"), pick(woman, 2)).otherwise(pick(man, 2)))
+
+        return F.when(word.rlike(r"^\p{IsCyrillic}"), of("cyrillic")).when(word.rlike(r"^\p{IsGreek}"), of("greek")).otherwise(of("latin"))
+
+    found = F.coalesce(_listed(word, key), let(_stream(key, F.lit("given"), F.lower(value), attempt), made))
+    return F.when(_capitals(value), F.upper(found)).otherwise(found)
+
+
 def _made_up(value: Column, stream: Column) -> Column:
     """A surname of the value's script: a beginning, middles drawn by their number from the stream, an ending,
     a woman's where the value has one. Parts of a double name are made up one by one."""
@@ -230,10 +280,16 @@ def _made_up(value: Column, stream: Column) -> Column:
         more = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.when((k == 1) | (_byte(stream, 8 * i + k + 5) % 2 == 0), pick(middle, k)).otherwise("")), "")
         return F.concat(pick(begin, F.lit(0)), more, end)
 
+    def uncased(word: Column, letters: str) -> Column:
+        pick = lambda c, k: F.when(c == " ", c).otherwise(F.substring(F.lit(letters), _byte(stream, k) % len(letters) + 1, F.lit(1)))
+        return F.array_join(F.transform(F.split(word, ""), pick), "")
+
     def one(word: Column, i: Column) -> Column:
-        return F.when(word.rlike(r"^\p{IsCyrillic}"), part("cyrillic", i, word)).when(word.rlike(r"^\p{IsGreek}"), part("greek", i, word)).otherwise(part("latin", i, word))
+        cased = F.when(word.rlike(r"^\p{IsHan}"), uncased(word, HAN)).when(word.rlike(r"^\p{IsArabic}"), uncased(word, ARABIC))
+        return cased.when(word.rlike(r"^\p{IsCyrillic}"), part("cyrillic", i, word)).when(word.rlike(r"^\p{IsGreek}"), part("greek", i, word)).otherwise(part("latin", i, word))
 
-    return F.array_join(F.transform(F.split(value, "-"), one), "-")
+    found = F.array_join(F.transform(F.split(value, "-"), one), "-")
+    return F.when(_capitals(value), F.upper(found)).otherwise(found)
 
 
 def _email(value: Column, stream: Column) -> Column:
@@ -245,22 +301,28 @@ def _address(stream: Column) -> Column:
     return F.concat_ws(".", (_byte(stream, F.lit(0)) % 223 + 1).cast("string"), *[_byte(stream, F.lit(i)).cast("string") for i in (1, 2, 3)])
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """The replacement of one mention."""
+def surrogate(kind: Column, value: Column, attempt: Column, key: str, given=lambda word: F.lit(0)) -> Column:
+    """The replacement of one mention; ``given`` tells the draw of a given name in it."""
     normal = normal_of(kind, value)
 
     def build(stream):
         digits = _digits(value)
         hexadecimal = value.rlike("^[0-9a-fA-F]+$")
         last = _surname(value)
-        front = F.left(value, F.length(value) - F.length(last))
-        words = F.transform(F.split(front, " "), lambda w: _given(w, key))
+
+        def word(w: Column, i: Column) -> Column:
+            name = F.rtrim(w)
+            initial = F.concat(_letter(F.left(w, F.lit(1)), _byte(stream, i + 40)), F.substring(w, F.lit(2), F.length(w)))
+            return F.when(_is_given(w), F.concat(given_surrogate(name, given(name), key), F.substring(w, F.length(name) + 1, F.length(w)))).when(w.rlike(r"^\p{Lu}\. ?$"), initial).otherwise(w)
+
+        words = F.transform(_front(value), word)
         return (
             F.when(kind == "email", _email(value, stream))
             .when(kind.isin(*DIGIT_KINDS), _refilled(value, _new_digits(kind, value, digits, stream)))
             .when(kind == "ip", _address(stream))
             .when(kind == "ipv6", _mapped(value, stream, F.lit(True)))
-            .when(kind == "person", F.concat(F.array_join(words, " "), _made_up(last, stream)))
+            .when(kind == "person", F.concat(F.array_join(words, ""), _made_up(last, stream)))
+            .when(kind == "given", given_surrogate(value, attempt, key))
             .when(kind == "iban", _iban(value, stream))
             .otherwise(_mapped(value, stream, hexadecimal))
         )
@@ -295,9 +357,18 @@ def _found(text: Column) -> Column:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """Distinct ``kind, normal`` of all texts."""
+    """Distinct ``kind, normal`` of all texts; given names that are on no list are a kind of their own."""
     rows = docs.select(F.explode(F.array_distinct(_found(F.col("text")))).alias("value")).withColumn("kind", kind_of(F.col("value"))).filter("kind IS NOT NULL")
-    return rows.select("kind", normal_of(F.col("kind"), F.col("value")).alias("normal")).distinct()
+    return rows.select(F.explode(_named(F.col("kind"), F.col("value"))).alias("e")).select("e.kind", "e.normal").distinct()
+
+
+def _named(kind: Column, value: Column) -> Column:
+    """The entities of a mention: itself and a person's given names that are on no list."""
+    own = F.array(F.struct(kind.alias("kind"), normal_of(kind, value).alias("normal")))
+    listed = [n for names in NAMES.values() for n in names]
+    others = F.filter(given_names(value), lambda w: ~F.initcap(F.lower(w)).isin(*listed) & ~w.isin(*listed))
+    more = F.transform(others, lambda w: F.struct(F.lit("given").alias("kind"), F.lower(w).alias("normal")))
+    return F.when(kind == "person", F.concat(own, more)).otherwise(own)
 
 
 def draws(found: DataFrame, key: str, rounds: int = 40) -> DataFrame | None:
@@ -309,9 +380,9 @@ def draws(found: DataFrame, key: str, rounds: int = 40) -> DataFrame | None:
     now = found.withColumn("attempt", F.lit(0))
     for n in range(rounds):
         # the surrogate of a normal form is the normal form of a mention's surrogate
-        shape = F.when(F.col("kind") == "person", F.initcap("normal")).otherwise(F.col("normal"))
+        shape = F.when(F.col("kind").isin("person", "given"), F.initcap("normal")).otherwise(F.col("normal"))
         shown = surrogate(F.col("kind"), shape, F.col("attempt"), key)
-        drawn = now.withColumn("s", F.when(F.col("kind") == "person", F.lower(shown)).otherwise(normal_of(F.col("kind"), shown)))
+        drawn = now.withColumn("s", F.when(F.col("kind").isin("person", "given"), F.lower(shown)).otherwise(normal_of(F.col("kind"), shown)))
         drawn = staged(drawn, "draws")
         meet = drawn.select("kind", "s", F.lit(0).alias("real"), "normal").unionByName(drawn.select("kind", F.col("normal").alias("s"), F.lit(1).alias("real"), F.lit(None).cast("string").alias("normal")))
         meet = meet.groupBy("kind", "s").agg(F.count("*").alias("n"), F.max("real").alias("real"), F.min("normal").alias("least")).filter("n > 1 AND least IS NOT NULL")
@@ -323,18 +394,32 @@ def draws(found: DataFrame, key: str, rounds: int = 40) -> DataFrame | None:
     raise RuntimeError("surrogates still collide")
 
 
-def _bare(pieces: Column, known: Column, attempt, key: str) -> Column:
-    """Text between mentions, in which surnames that a text's persons have introduced (``known``: their
-    mentions) are replaced too, as whole words."""
-    names = F.array_distinct(F.transform(known, lambda v: _surname(v)))
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}@._\-])(?:"), F.array_join(F.transform(names, lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E"))), "|"), F.lit(r")(?![\p{L}\p{N}@_])"))
-    kind = F.lit("person")
+def _bare(pieces: Column, known: Column, attempt, given, key: str) -> Column:
+    """Text between mentions, in which the words of names that a text's persons have introduced (``known``:
+    their mentions) are replaced too: as whole words, capitalised or in capitals as well."""
+    variants = lambda names: F.array_distinct(F.concat(names, F.transform(names, F.upper), F.transform(names, lambda n: F.when(_capitals(n), F.initcap(F.lower(n))).otherwise(n))))
+    last = variants(F.transform(known, _surname))
+    first = variants(F.filter(F.flatten(F.transform(known, given_names)), lambda w: F.length(w) >= 3))
+    cased, whole = lambda n: ~n.rlike(r"^\p{IsHan}"), lambda n: n.rlike(r"^\p{IsHan}")
+    quoted = lambda names: F.array_join(F.transform(names, lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E"))), "|")
+
+    def replaced(names: Column) -> Column:
+        some = F.filter(F.concat(names["last"], names["first"]), cased)
+        worded = F.when(F.size(some) > 0, F.concat(F.lit(r"(?<![\p{L}\p{N}@._\-])(?:"), quoted(some), F.lit(r")(?![\p{L}\p{N}@_])")))
+        han = F.filter(names["last"], whole)
+        pattern = F.concat_ws("|", worded, F.when(F.size(han) > 0, quoted(han)))
+
+        def filled(at: Column) -> Column:
+            def one(p: Column) -> Column:
+                found = F.regexp_extract_all(p, at, F.lit(0))
+                new = F.transform(found, lambda v: F.when(F.array_contains(names["last"], v), surrogate(F.lit("person"), v, attempt(v), key)).otherwise(given_surrogate(v, given(v), key)))
+                return F.array_join(F.zip_with(F.split(p, at, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+            return F.transform(pieces, one)
 
-    def replaced(p: Column, at: Column) -> Column:
-        found = F.transform(F.regexp_extract_all(p, at, F.lit(0)), lambda v: surrogate(kind, v, attempt(v), key))
-        return F.array_join(F.zip_with(F.split(p, at, -1), F.concat(found, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+        return let(pattern, filled)
 
-    return F.when(F.size(names) > 0, let(pattern, lambda at: F.transform(pieces, lambda p: replaced(p, at)))).otherwise(pieces)
+    return F.when(F.size(known) > 0, let(F.struct(last.alias("last"), first.alias("first")), replaced)).otherwise(pieces)
 
 
 def anonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
@@ -358,14 +443,15 @@ def anonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
     else:
         # texts with redrawn entities get them as a map, by a digest of the text: a map holds one text's entities
         hits = docs.select(text_key(F.col("text")).alias("th"), F.explode(F.array_distinct(_found(F.col("text")))).alias("v")).withColumn("kind", kind_of(F.col("v")))
-        hits = hits.filter("kind IS NOT NULL").select("th", "kind", normal_of(F.col("kind"), F.col("v")).alias("normal")).distinct().join(again, ["kind", "normal"])
+        hits = hits.filter("kind IS NOT NULL").select("th", F.explode(_named(F.col("kind"), F.col("v"))).alias("e")).select("th", "e.*").distinct().join(again, ["kind", "normal"])
         maps = hits.groupBy("th").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "normal"), "attempt"))).alias("draws"))
         rows = rows.withColumn("th", text_key(F.col("text"))).join(maps, "th", "left")
     rows = rows.withColumn("named", F.transform("values", lambda v: F.struct(v.alias("v"), kind_of(v).alias("k"))))
     attempt = lambda k, v: F.coalesce(F.element_at("draws", F.concat_ws(":", k, normal_of(k, v))), F.lit(0))
-    replaced = F.transform("named", lambda x: F.when(x["k"].isNull(), x["v"]).otherwise(surrogate(x["k"], x["v"], attempt(x["k"], x["v"]), key)))
+    given = lambda w: F.coalesce(F.element_at("draws", F.concat(F.lit("given:"), F.lower(w))), F.lit(0))
+    replaced = F.transform("named", lambda x: F.when(x["k"].isNull(), x["v"]).otherwise(surrogate(x["k"], x["v"], attempt(x["k"], x["v"]), key, given)))
     persons = F.transform(F.filter("named", lambda x: x["k"] == "person"), lambda x: x["v"])
-    between = _bare(F.split(F.col("text"), ANY, -1), persons, lambda v: attempt(F.lit("person"), v), key)
+    between = _bare(F.split(F.col("text"), ANY, -1), persons, lambda v: attempt(F.lit("person"), v), given, key)
     text = F.array_join(F.zip_with(between, F.concat(replaced, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     known = F.filter("named", lambda x: x["k"].isNotNull())
     rows = rows.withColumn("n", F.coalesce(F.size(known), F.lit(0))).withColumn("kinds", F.array_sort(F.array_distinct(F.transform(known, lambda x: x["k"]))))

@@ -85,3 +85,41 @@ def test_a_key_is_asked_for_and_names_may_clash(spark):
             pii.anonymised(df)
     finally:
         spark.conf.set("spark.tallgrass.surrogates.key", old)
+
+
+LEAKS = [
+    ("My name is Priyanka Sharma. Priyanka likes it.", ["Priyanka", "Sharma"]), ("Contact: Wei Zhang", ["Wei", "Zhang"]), ("Dr Priyanka Sharma wrote. Sharma left, Priyanka too.", ["Priyanka", "Sharma"]),
+    ("JOHN SMITH and Smith", ["JOHN", "SMITH", "Smith"]), ("John F. Kennedy met J. Kennedy and KENNEDY", ["John", "Kennedy", "KENNEDY"]), ("Prof. Ada M. Lovelace, Ada", ["Ada", "Lovelace"]), ("My name is Zorro Quux.", ["Zorro", "Quux"]),
+    ("call 020 7946 0958 or 0161 496 0123", ["7946", "0958", "0123"]), ("我叫王小明。王小明说", ["王小明"]), ("اسمي محمد الفارسي", ["محمد", "الفارسي"]), ("Меня зовут Пётр Чайкин, Пётр", ["Пётр", "Чайкин"]),
+]
+
+
+def test_no_word_of_an_entity_is_left(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(LEAKS)], "doc_id long, text string")
+    for key in ("k", "another"):
+        for r in pii.anonymised(df, key).collect():
+            text, words = LEAKS[r.doc_id]
+            assert r["_n_entities"] > 0 and not [w for w in words if re.search(rf"(?<!\w){w}(?!\w)" if w.isascii() else w, r.text)], r.text
+            if r.doc_id == 0:
+                m = re.fullmatch(r"My name is (\w+) (\w+)\. (\w+) likes it\.", r.text)
+                assert m[1] == m[3] and m[1].endswith(("a", "ette"))
+            if r.doc_id == 2:
+                m = re.fullmatch(r"Dr (\w+) (\w+) wrote\. (\w+) left, (\w+) too\.", r.text)
+                assert (m[1], m[2]) == (m[4], m[3])
+            if r.doc_id == 3:
+                m = re.fullmatch(r"(\w+) (\w+) and (\w+)", r.text)
+                assert m[1].isupper() and m[2] == m[3].upper() != m[3] and m[1].title() in pii.NAMES["latin", "m"]
+            if r.doc_id == 4:
+                assert re.fullmatch(r"\w+ [A-Z]\. (\w+) met J\. \1 and \w+", r.text)
+
+
+def test_cards_keep_their_issuer_and_given_names_no_shift(spark):
+    cards = ["378282246310005", "6011 1111 1111 1117", "5555-5555-5555-4444", "4111111111111111"]
+    names = pii.NAMES["latin", "f"]
+    df = spark.createDataFrame([*enumerate(cards), *((100 + k, f"{n} Sharma") for k, n in enumerate(names))], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.anonymised(df, "k").collect()}
+    for k, c in enumerate(cards):
+        assert got[k][:4] == c[:4] and got[k] != c and luhn(re.sub(r"\D", "", got[k])) and len(got[k]) == len(c)
+    moved = [got[100 + k].split()[0] for k in range(len(names))]
+    assert sorted(moved) == sorted(names) and not any(a == b for a, b in zip(moved, names, strict=True))
+    assert len({(names.index(b) - k) % len(names) for k, b in enumerate(moved)}) > 10
