@@ -30,13 +30,18 @@ def ranked(rows: DataFrame, key: list[str], k: int) -> DataFrame:
 def keyboard_candidates(contexts: DataFrame, followers: DataFrame, k: int = FETCHED) -> DataFrame:
     """``id, prev, typed, rank, text, prob, is_next`` for ``contexts(id, prev, typed)`` from
     ``followers(prev, word, prob)``: words after ``prev`` that begin as typed, and, where a whole word is
-    typed, the words after it."""
+    typed, the words after it. Each distinct context is ranked once, however many rows ask for it;
+    only beginnings that are asked for are ranked, and of the words after a word only the first ``k``."""
+    wanted = contexts.select("prev", "typed").distinct()
+    plain = followers.filter(~suggestion.has_digit(F.col("word")))
     # each beginning of a follower is a row, so that both columns are keys of the join
-    begun = followers.filter(~suggestion.has_digit(F.col("word"))).select("*", F.explode(F.transform(F.sequence(F.lit(0), F.length("word")), lambda n: F.left("word", n))).alias("typed"))
-    inside = contexts.join(begun, ["prev", "typed"]).select("id", "prev", "typed", F.col("word").alias("text"), "prob", F.lit(False).alias("is_next"))
-    after = followers.withColumnRenamed("prev", "typed").filter(~suggestion.has_digit(F.col("word")))
-    after = contexts.filter("typed <> ''").join(after, "typed").select("id", "prev", "typed", F.col("word").alias("text"), "prob", F.lit(True).alias("is_next"))
-    return ranked(inside.unionByName(after), ["id", "prev", "typed"], k)
+    begun = plain.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.length("word")), lambda n: F.left("word", n))).alias("typed")).join(wanted, ["prev", "typed"], "left_semi")
+    inside = begun.select("prev", "typed", F.col("word").alias("text"), "prob", F.lit(False).alias("is_next"))
+    asked = wanted.filter("typed <> ''")
+    after = plain.join(asked.select(F.col("typed").alias("prev")).distinct(), "prev", "left_semi").select(F.col("prev").alias("typed"), F.col("word").alias("text"), "prob", F.lit(True).alias("is_next"))
+    after = asked.join(ranked(after, ["typed"], k), "typed").select("prev", "typed", "text", "prob", "is_next")
+    best = ranked(inside.unionByName(after), ["prev", "typed"], k)
+    return contexts.join(best, ["prev", "typed"])
 
 
 def merged(pool: DataFrame, fresh: DataFrame, key: list[str], typed: Column, boost: float = BOOST, keep: int = POOL) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,24 +36,66 @@ def csr(best: DataFrame) -> DataFrame:
 
 def bootstrap_mean(df: DataFrame, value: str, group: str, n: int = 1000, seed: int = 42) -> DataFrame:
     """Percentile interval of a group's mean over ``n`` resamples. A resample gives each row a Poisson
-    weight, drawn by a hash of the seed, the resample and the row's value and number among equal ones,
-    so that resamples are grouped sums and no group is gathered. Empty groups have no row."""
+    weight of mean one: equal values of a group share one draw of the mean that they count, by a
+    generator of the seed, the group and the value. Tasks add up the resamples' sums of the groups
+    that they see, so that neither a group nor its resamples are gathered. Empty groups have no row."""
     counted = df.select(group, F.col(value).cast("double").alias("v")).filter("v IS NOT NULL").groupBy(group, "v").agg(F.count("*").alias("c"))
-    rows = counted.select(group, "v", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("k"))
-    drawn = rows.select(group, "v", "k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "b", "v", "k"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    cuts, below, p = [], 0.0, math.exp(-1)
-    for k in range(12):  # the Poisson distribution of mean 1, up to one in a billion
-        below += p
-        cuts.append(below)
-        p /= k + 1
-    weight = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: u > c))
-    means = drawn.withColumn("w", weight).groupBy(group, "b").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    kind = df.schema[group].dataType.simpleString()
+
+    def sums(batches):
+        held: dict = {}
+
+        def rows():
+            for g, (w, s) in held.items():
+                yield pd.DataFrame({group: [g] * n, "b": range(n), "w": w, "s": s})
+            held.clear()
+
+        for batch in batches:
+            for g, v, c, h in zip(*(batch[k] for k in (group, "v", "c", "h")), strict=True):
+                drawn = np.random.Generator(np.random.Philox(key=int(h) & (1 << 64) - 1)).poisson(c, n)
+                w, s = held.setdefault(g, (np.zeros(n), np.zeros(n)))
+                w += drawn
+                s += drawn * v
+            if len(held) > 500:
+                yield from rows()
+        yield from rows()
+
+    drawn = counted.withColumn("h", F.xxhash64(F.lit(seed), group, "v")).mapInPandas(sums, f"`{group}` {kind}, b int, w double, s double")
+    means = drawn.groupBy(group, "b").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     spread = means.groupBy(group).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))  # n means a group
     whole = counted.groupBy(group).agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.sum("c").alias("n"))
     return whole.join(spread, group).select(group, "mean", "lo", "hi", "n")
 
 
+def quantiles(rows: DataFrame, by: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """Values at given 0-based places (of ``n``, a group's count) in the order of a group's values, as columns
+    of the given names. Values are counted by whole numbers first; only those of the whole number that
+    holds a place are ordered, so that no group's values are ordered in one task."""
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    cells = counted.groupBy(*by, F.floor("v").alias("cell")).agg(F.sum("c").alias("c"))
+    upto = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*by, "cell", "c", F.coalesce(F.sum("c").over(upto), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy(*by)).alias("n"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("name"), p.cast("long").alias("place")) for k, p in places.items()])
+    cells = cells.withColumn("p", F.explode(wanted)).filter("p.place >= before AND p.place < before + c")
+    held = cells.select(*[F.col(b).alias(f"_{b}") for b in by], F.col("cell").alias("_cell"), "p", "before")
+    match = F.floor("v") == F.col("_cell")
+    for b in by:
+        match = match & F.col(b).eqNullSafe(F.col(f"_{b}"))
+    near = counted.join(held, match)
+    inside = Window.partitionBy(*by, "p.name").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("lo", F.col("before") + F.coalesce(F.sum("c").over(inside), F.lit(0))).filter("p.place >= lo AND p.place < lo + c")
+    return near.groupBy(*by).agg(*[F.max(F.when(F.col("p.name") == k, F.col("v"))).alias(k) for k in places])
+
+
+def summary_of(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """``n, mean, lo, hi`` and interpolated percentiles by name of a group's values."""
+    at = {k: q * (F.col("n") - 1) for k, q in shares.items()}
+    ends = quantiles(rows, [by], value, {f"{k}_{e}": f(a) for k, a in at.items() for e, f in (("a", F.floor), ("b", F.ceil))})
+    plain = rows.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    both = plain.join(ends.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")), "left")
+    return both.select(by, "n", "mean", "lo", "hi", *[(F.col(f"{k}_a") + (F.col(f"{k}_b") - F.col(f"{k}_a")) * (a - F.floor(a))).alias(k) for k, a in at.items()])
+
+
 def distance(a: str, b: str) -> int:
     """Edit distance of two texts, bit-parallel: a column of the table of prefixes is two integers, the
     places where it rises and where it falls, and a character of the shorter text moves both."""
@@ -102,11 +145,27 @@ def edit_metrics(reference: Column, made: Column) -> dict[str, Column]:
     }
 
 
-def learning_rate(step: Column, peak: float, least: float, warmup: int, steps: int) -> Column:
+def learning_rate(step: Column, peak: float, least: float, warmup: int, steps: int | Column) -> Column:
     """Linear warm-up (a tenth of all steps at most), then a cosine down to ``least``."""
-    warmup = min(warmup, steps // 10)
-    at = F.least(F.lit(1.0), (step - warmup) / max(1, steps - warmup))
-    return F.when(step < warmup, peak * (step + 1) / max(1, warmup)).otherwise(least + 0.5 * (peak - least) * (1 + F.cos(F.lit(math.pi) * at)))
+    steps = steps if isinstance(steps, Column) else F.lit(steps)
+    up = F.least(F.lit(warmup), F.floor(steps / 10))
+    at = F.least(F.lit(1.0), (step - up) / F.greatest(F.lit(1), steps - up))
+    return F.when(step < up, peak * (step + 1) / F.greatest(F.lit(1), up)).otherwise(least + 0.5 * (peak - least) * (1 + F.cos(F.lit(math.pi) * at)))
+
+
+def binomial_test(wins: Column, n: Column) -> Column:
+    """The two-sided p-value of so many wins of ``n`` at even odds: all outcomes that are no likelier. One without pairs."""
+    log = lambda k: F.log(k.cast("double"))
+    begin = F.struct((-n * F.log(F.lit(2.0))).alias("last"), F.array((-n * F.log(F.lit(2.0)))).alias("all"))
+
+    def step(a: Column, k: Column) -> Column:
+        now = a["last"] + log(n - k + 1) - log(k)
+        return F.struct(now.alias("last"), F.concat(a["all"], F.array(now)).alias("all"))
+
+    logs = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n.cast("int"))), begin, step, lambda a: a["all"])
+    own = lambda p: F.get(p, wins.cast("int")) + 1e-9
+    total = text.let(logs, lambda p: F.aggregate(F.filter(p, lambda x: x <= own(p)), F.lit(0.0), lambda a, x: a + F.exp(x)))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), total))
 
 
 def softmax_top(logits: Column, k: int) -> Column:
@@ -171,7 +230,7 @@ def disagreements(ranks: DataFrame, case: list[str], steps: int = 2) -> DataFram
 
 def mean_of_means(rows: DataFrame, by: str, prompt: str, value: str) -> DataFrame:
     """Means of prompts' means, their peak, and the mean of each prompt's element at int(0.95 n)."""
-    w = Window.partitionBy(by, prompt)
-    hist = rows.groupBy(by, prompt, value).agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    m = hist.groupBy(by, prompt).agg((F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"), F.min(F.when(F.col("upto") > F.floor(0.95 * F.col("n")), F.col(value))).alias("p95"))
+    late = quantiles(rows, [by, prompt], value, {"p95": F.floor(0.95 * F.col("n"))})
+    means = rows.groupBy(by, prompt).agg(F.avg(value).alias("mean"))
+    m = means.join(late, [by, prompt])
     return m.groupBy(by).agg(F.count("*").alias("prompts"), F.round(F.avg("mean"), 6).alias("mean_of_means"), F.round(F.max("mean"), 6).alias("peak"), F.round(F.avg("p95"), 6).alias("p95"))

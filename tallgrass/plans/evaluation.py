@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions import text
-from tallgrass.operators import metrics, simulation, telemetry
+from tallgrass.operators import draws, metrics, simulation, telemetry
 from tallgrass.plans.registry import ORACLE, query
 from tallgrass.sources.corpus import table
 from tallgrass.sources.telemetry import telemetry as as_telemetry
@@ -94,6 +94,13 @@ def bootstrap_ci(spark, d):
     return metrics.bootstrap_mean(x.withColumn("set", F.concat(F.lit("s"), F.pmod("conv_id", F.lit(4)).cast("string"))), "csr", "set")
 
 
+@query("bootstrap_exact")
+def bootstrap_exact(spark, d):
+    """The interval of the mean savings of a conversation, by the seeded generator's own resamples."""
+    x = metrics.csr(_best(spark, d)).groupBy("conv_id").agg(F.avg("csr").alias("csr"))
+    return draws.bootstrap_interval(x, "csr", ["conv_id"])
+
+
 _PFX = "x AS (SELECT p.conv_id, p.turn, p.pos, p.word, min(CASE WHEN g.word = p.word THEN g.rank END) AS hit FROM pairs p LEFT JOIN pred g ON p.prev = g.prev GROUP BY ALL)"
 
 
@@ -164,21 +171,31 @@ def replay_hits(spark, d):
 _AB = "k AS (SELECT item_id AS n, ('0x' || substr(md5('42:' || item_id), 1, 7))::BIGINT % 2 = 0 AS a_is_old, CASE WHEN item_id % 5 = 0 THEN NULL WHEN item_id % 3 = 0 THEN 'T' WHEN item_id % 2 = 0 THEN 'A' ELSE 'B' END AS judged FROM benchmark)"
 
 
+def _judged(n: Column) -> tuple[Column, Column]:
+    """Whether A hides the old one, and the judgment, of an item."""
+    coin = F.conv(F.substring(F.md5(F.concat(F.lit("42:"), n.cast("string"))), 1, 7), 16, 10).cast("long") % 2 == 0
+    return coin, F.when(n % 5 == 0, None).when(n % 3 == 0, "T").when(n % 2 == 0, "A").otherwise("B")
+
+
 @query("ab_reveal", f"WITH {_AB} SELECT CASE WHEN judged IS NULL THEN 'missing' WHEN judged = 'T' THEN 'tie' WHEN (judged = 'A') = a_is_old THEN 'old' ELSE 'new' END AS winner, count(*) AS n FROM k GROUP BY 1")
 def ab_reveal(spark, d):
     n = F.col("item_id")
-    coin = F.conv(F.substring(F.md5(F.concat(F.lit("42:"), n.cast("string"))), 1, 7), 16, 10).cast("long") % 2 == 0
-    judged = F.when(n % 5 == 0, None).when(n % 3 == 0, "T").when(n % 2 == 0, "A").otherwise("B")
+    coin, judged = _judged(n)
     winner = F.when(judged.isNull(), "missing").when(judged == "T", "tie").when((judged == "A") == coin, "old").otherwise("new")
     return table(spark, d, "benchmark").groupBy(winner.alias("winner")).agg(F.count("*").alias("n"))
 
 
-@query("ab_binomial", "WITH t AS (SELECT 20 AS n, unnest(range(0, 21)) AS k), p AS (SELECT n, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)) AS p FROM t) SELECT k, round(least(1.0, (SELECT sum(q.p) FROM p q WHERE q.p <= p.p * (1 + 1e-9))), 6) AS p_value FROM p")
+_WON = f"{_AB}, g AS (SELECT n % 4 AS batch, count(*) FILTER (judged IN ('A', 'B')) AS n, count(*) FILTER (judged IN ('A', 'B') AND (judged = 'A') = a_is_old) AS wins FROM k GROUP BY 1)"
+
+
+@query("ab_binomial", f"WITH {_WON}, t AS (SELECT batch, n, wins, unnest(range(n + 1)) AS k FROM g), p AS (SELECT batch, n, wins, k, CASE WHEN n = 0 THEN 1.0 ELSE exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)) END AS p FROM t), o AS (SELECT batch, p AS own FROM p WHERE k = wins) SELECT batch, any_value(n) AS decided, any_value(wins) AS wins, round(least(1.0, sum(p) FILTER (p <= own * (1 + 1e-9))), 6) AS p_value FROM p JOIN o USING (batch) GROUP BY batch")
 def ab_binomial(spark, d):
-    t = spark.range(21).withColumnRenamed("id", "k")
-    log_factorial = lambda x: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), x.cast("int"))), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
-    p = t.withColumn("p", F.exp(log_factorial(F.lit(20)) - log_factorial(F.col("k")) - log_factorial(20 - F.col("k")) - 20 * F.log(F.lit(2.0)))).withColumn("key", F.round("p", 12))
-    return p.select("k", F.round(F.least(F.lit(1.0), F.sum("p").over(Window.orderBy("key"))), 6).alias("p_value"))  # 21 rows
+    """The two-sided test of the old one's wins among the decided pairs, by batch of items."""
+    n = F.col("item_id")
+    coin, judged = _judged(n)
+    decided = judged.isin("A", "B")
+    g = table(spark, d, "benchmark").groupBy((n % 4).alias("batch")).agg(F.count_if(decided).alias("decided"), F.count_if(decided & ((judged == "A") == coin)).alias("wins"))
+    return g.withColumn("p_value", F.round(metrics.binomial_test(F.col("wins"), F.col("decided")), 6))
 
 
 @query("overlap_stats", f"WITH w AS (SELECT conv_id, role, turn, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\s''-]', '', 'g'), '\\s+'), lambda x: x <> '') AS w FROM conversations), n AS (SELECT conv_id, role, w, lead(w) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM w) SELECT coalesce(role, 'all') AS role, count(*) AS n, CAST(sum(CASE WHEN w[1] = nx[1] THEN 1 ELSE 0 END) AS BIGINT) AS first_same, CAST(sum(CASE WHEN len(list_intersect(w[1:3], nx[1:3])) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS any3 FROM n WHERE nx IS NOT NULL GROUP BY GROUPING SETS ((role), ())")
@@ -192,8 +209,8 @@ def overlap_stats(spark, d):
 
 @query("latency_percentiles", "SELECT event_type AS name, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, min(value) AS lo, max(value) AS hi FROM events GROUP BY event_type")
 def latency_percentiles(spark, d):
-    p = lambda q: F.round(F.percentile("value", F.lit(q)), 6)
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    x = metrics.summary_of(table(spark, d, "events").select(F.col("event_type").alias("name"), "value"), "name", "value", {"p50": 0.5, "p95": 0.95})
+    return x.select("name", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p95")], "lo", "hi")
 
 
 @query("best_so_far", "WITH x AS (SELECT user_id, event_id, value, min(value) OVER (PARTITION BY user_id ORDER BY event_id) AS best FROM events) SELECT user_id, event_id, best, coalesce(best < lag(best) OVER (PARTITION BY user_id ORDER BY event_id), true) AS improved FROM x")
@@ -203,9 +220,12 @@ def best_so_far(spark, d):
     return x.withColumn("improved", F.coalesce(F.col("best") < F.lag("best").over(w), F.lit(True)))
 
 
-@query("lr_schedule", "SELECT s AS step, round(CASE WHEN s < 10 THEN 0.001 * (s + 1) / 10 ELSE 0.0001 + 0.5 * 0.0009 * (1 + cos(pi() * least(1.0, (s - 10) / 90))) END, 9) AS lr FROM (SELECT unnest(range(0, 101)) AS s)")
+@query("lr_schedule", "WITH s AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS s, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT event_id, s AS step, round(CASE WHEN s < least(50, n // 10) THEN 0.001 * (s + 1) / greatest(1, least(50, n // 10)) ELSE 0.0001 + 0.5 * 0.0009 * (1 + cos(pi() * least(1.0, (s - least(50, n // 10)) / greatest(1, n - least(50, n // 10))))) END, 9) AS lr FROM s")
 def lr_schedule(spark, d):
-    return spark.range(101).select(F.col("id").alias("step"), F.round(metrics.learning_rate(F.col("id"), 1e-3, 1e-4, 50, 100), 9).alias("lr"))
+    """The rate at each event of a user's run: the events are its steps."""
+    w = Window.partitionBy("user_id")
+    x = table(spark, d, "events").select("event_id", (F.row_number().over(w.orderBy("event_id")) - 1).cast("long").alias("step"), F.count("*").over(w).alias("n"))
+    return x.select("event_id", "step", F.round(metrics.learning_rate(F.col("step"), 1e-3, 1e-4, 50, F.col("n")), 9).alias("lr"))
 
 
 @query("nucleus_mask", f"WITH {ALL}, c AS (SELECT prev, word, prob, sum(prob) OVER (PARTITION BY prev ORDER BY prob DESC, word ROWS UNBOUNDED PRECEDING) - prob AS before FROM pred) SELECT prev, word, round(before, 6) < 0.6 AS kept FROM c")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions import suggestion, text
-from tallgrass.operators import corpus, evalset, metrics, stream, telemetry, tokens, unigram
+from tallgrass.operators import corpus, draws, evalset, metrics, stream, telemetry, tokens, unigram
 from tallgrass.plans.corpus import _CLEAN, _FIM, _FIRST, _LANG, _SENT, _TOKS, _firsts, _lines, _sents
 from tallgrass.plans.evaluation import PAIRS, _pairs, _tele
 from tallgrass.plans.registry import query
@@ -254,6 +254,22 @@ def _vocabulary(lines, size: int):
     return unigram.counted(unigram.word_counts(lines), size)
 
 
+@query("fim_exact")
+def fim_exact(spark, d):
+    """Splits of a line's unigram pieces as a generator seeded with the line's index draws them."""
+    lines = with_global_index(_lines(spark, d).filter("line <> ''"))
+    x = unigram.encoded(lines, _vocabulary(lines, 2000), pieces=True).select("line_idx", "pieces").filter("size(pieces) >= 10")
+    x = x.select("line_idx", F.size("pieces").alias("n"), draws.split_points(F.col("pieces"), F.col("line_idx")).alias("s"))
+    return x.select("line_idx", "n", "s.p1", "s.p2")
+
+
+@query("shuffled_prompts")
+def shuffled_prompts(spark, d):
+    """The first 500 of the benchmark's and conversations' lines of eight words or more, after a seeded shuffle."""
+    b = table(spark, d, "conversations").select(F.explode(F.split("text", "\n")).alias("line")).filter(F.size(text.words(F.col("line"))) >= 8).distinct()
+    return draws.first_shuffled(b, ["line"], 7, 500)
+
+
 @query("viterbi_pieces", f"WITH RECURSIVE LINES, {_unigram(2000)}, u AS (SELECT doc_id, unnest({_TOKS}) AS w FROM lines) SELECT doc_id, CAST(coalesce(sum(c), 0) AS BIGINT) AS n, CAST(coalesce(sum(len(string_split(p, ',')) - 2), 0) AS BIGINT) AS spans FROM documents LEFT JOIN u USING (doc_id) LEFT JOIN sp USING (w) GROUP BY doc_id")
 def viterbi_pieces(spark, d):
     """Unigram segmentation of every text, with a vocabulary of 2000 pieces counted from all words: pieces,
