@@ -6,8 +6,10 @@ weight in that score, for or against. A block is content, boilerplate, or ambigu
 second pass gives ambiguous blocks the label of their nearest decided neighbours.
 
 A wrapper is no evidence: an element that holds every block of the page that reads like
-prose, two at least, counts for nothing, whatever its class says, so that a name on a
-layout division, or a form around the whole page, can't empty it. Where no list of stop words fits a page's language,
+prose (two at least, or one of long prose) counts for nothing, whatever its class says, so
+that a name on a layout division, or a form around the whole page, can't empty it. Where
+no article or main reads like prose, no name outvotes long prose of many stop words, but
+those of readers' comments and of teasers, which are prose themselves. Where no list of stop words fits a page's language,
 sentence marks stand in for them.
 """
 
@@ -57,12 +59,15 @@ ROLE_WEIGHT = {r: -5 for r in "navigation banner contentinfo complementary searc
 # Names that authors give to parts of a page.
 AGAINST = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner sidebar cookie cookies consent gdpr notice notices "
-    "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist "
-    "disqus respond replies menu nav navbar navigation breadcrumb breadcrumbs footer masthead pagination pager toolbar widget".split()
+    "popup modal overlay newsletter subscribe subscription signup login share sharing social menu nav navbar navigation breadcrumb breadcrumbs footer masthead pagination pager toolbar widget".split()
 )
+# Of those, the names of parts that are prose themselves.
+PROSE_AGAINST = frozenset("related recommended recommendations comment comments commentlist disqus respond replies".split())
 IN_FAVOUR = frozenset("article content entry post story maintext bodytext".split())
 DENIED = frozenset("no has with without is not hide show".split())
-NAME_AGAINST, NAME_IN_FAVOUR = -4, 1
+PROSE_NAME_AGAINST, NAME_AGAINST, NAME_IN_FAVOUR = -5, -4, 1
+OUTSIDE = -2  # what it says against a block that it stands beside an article
+BOUNDED = -1  # what a name that is not of prose can say against long prose
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -75,7 +80,7 @@ _WIDE = re.compile(r"[⺀-鿿가-힯฀-๿]")
 LONG, SHORT = 200, 70
 STOP_LOW, STOP_HIGH = 0.15, 0.25
 LINKS, ALL_LINKS = 0.3, 0.8
-GOOD, BAD = 2, -2
+GOOD, BAD, MOST = 2, -2, 3
 
 
 @dataclass
@@ -83,6 +88,7 @@ class Element:
     tag: str
     weight: int
     hidden: bool = False
+    soft: bool = False  # nothing but a name that is not of prose speaks against it
     may_wrap: bool = False  # a name or a form is no evidence where it holds all that reads like prose
 
 
@@ -106,9 +112,11 @@ def _name_weight(names: str) -> int:
         if not pieces or (len(pieces) > 1 and DENIED & set(pieces[:-1])):
             continue
         ends = {pieces[0], pieces[-1]}
-        if ends & AGAINST:
-            return NAME_AGAINST
-        if ends & IN_FAVOUR:
+        if ends & PROSE_AGAINST:
+            found = PROSE_NAME_AGAINST
+        elif ends & AGAINST:
+            found = min(found, NAME_AGAINST)
+        elif ends & IN_FAVOUR and not found:
             found = NAME_IN_FAVOUR
     return found
 
@@ -125,7 +133,8 @@ def _element(tag: str, attributes: str, inside: bool) -> Element:
     role = ROLE_WEIGHT.get(found.get("role", "").lower(), 0)
     name = _name_weight(found.get("class", "") + " " + found.get("id", "")) if tag not in ("article", "main") else 0
     low = min(weight, role, name)
-    return Element(tag, low if low < 0 else max(weight, role, name), hidden, tag == "form" or min(weight, role) >= 0)
+    named = min(weight, role) >= 0
+    return Element(tag, low if low < 0 else max(weight, role, name), hidden, named and name == NAME_AGAINST, tag == "form" or named)
 
 
 def blocks_of(html: str | None) -> list[Block]:
@@ -236,7 +245,7 @@ def prose_score(block: Block, density: float) -> int:
     if size < SHORT:
         return 0
     if density >= STOP_HIGH or (size >= LONG and density >= STOP_LOW):
-        return 3 if size >= LONG else 2
+        return MOST if size >= LONG else 2
     if block.inside or size < LONG:
         return 0
     return -2 if density < STOP_LOW else 0
@@ -255,20 +264,27 @@ def first_pass(blocks: list[Block]) -> list[bool | None]:
         for e in blocks[i].around:
             held[id(e)] = held.get(id(e), 0) + 1
 
-    def wraps(e: Element) -> bool:
-        return len(reads) > 1 and held.get(id(e), 0) == len(reads)
+    article = any(region(blocks[i]) for i in reads)
 
-    def weight(b: Block) -> int:
-        """The heaviest evidence against the block, or else the strongest for it, of the elements that are no wrappers."""
-        found = [e.weight for e in b.around if not (e.may_wrap and wraps(e))]
+    def wraps(e: Element) -> bool:
+        return held.get(id(e), 0) == len(reads) and (len(reads) > 1 or (e.soft and not article and prose[reads[0]] == MOST))
+
+    def weight(b: Block, p: int) -> int:
+        """The heaviest evidence against the block, or else the strongest for it, of the elements that are no
+        wrappers. Against long prose a name counts little."""
+        bounded = p == MOST and not article
+        found = [BOUNDED if bounded and e.soft else e.weight for e in b.around if not (e.may_wrap and reads and wraps(e))]
+        if article and not region(b):  # the page has an article, and the block is not in it
+            found.append(BOUNDED if p == MOST else OUTSIDE)
         low = min(found, default=0)
         return low if low < 0 else max(found, default=0)
 
     label: list[bool | None] = []
     for b, p in zip(blocks, prose, strict=True):
-        score = p + weight(b)
-        hidden = b.tag in CONTROLS or any(e.hidden and not wraps(e) for e in b.around)
-        ambiguous = p <= 0 and not b.links > LINKS * len(b.text) and weight(b) >= 0
+        w = weight(b, p)
+        score = p + w
+        hidden = b.tag in CONTROLS or any(e.hidden and not (reads and wraps(e)) for e in b.around)
+        ambiguous = p <= 0 and not b.links > LINKS * len(b.text) and w >= 0
         label.append(False if hidden or score <= BAD else None if ambiguous and score < GOOD + 1 else score >= GOOD if abs(score) >= GOOD else False if score < 0 else None)
     return label
 

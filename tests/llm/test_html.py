@@ -2,6 +2,7 @@
 
 import html
 import re
+from collections import Counter
 
 import pytest
 
@@ -81,3 +82,40 @@ def test_tidy_pages_against_a_plain_reading(spark):
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1|ul|li|div)\b[^>]*>", inside)]
         want = "\n\n".join(b for b in blocks if b)
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want) and got[r.page_id].url == r.url
+
+
+TALE = "It was the best of times and the worst of times, as it is said in that book and in others that we have read. " * 4
+
+
+def test_names_do_not_outvote_long_prose():
+    assert hb.main_text(f'<div class="story share-enabled"><p>{TALE}</p></div>') == TALE.strip()
+    assert hb.main_text(f'<div class="content-sidebar"><p>{TALE}</p></div><p>Share</p>').startswith(TALE.strip())
+    assert hb.main_text(f'<div class="promo-box"><p>{TALE}</p></div><div><p>{TALE}</p></div>').count("best of times") == 8
+    for page in (f'<div><p>{TALE}</p></div><div id="comments"><p>{TALE}</p></div>', f'<article><p>{TALE}</p></article><div class="banner"><p>{TALE}</p></div>', f'<article><p>{TALE}</p></article><div><p>{TALE[:110]}</p></div>'):
+        assert hb.main_text(page) == TALE.strip()
+    assert hb.main_text(f'<div id="comments"><p>{TALE}</p></div>') == ""
+
+
+def _neutral(page, tags):
+    """The page with such tags as divisions, and without classes, ids and roles."""
+    page = re.sub(rf"<(/?)(?:{tags})\b", r"<\1div", page or "")
+    return re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
+
+
+def test_without_telling_markup(spark, monkeypatch):
+    """Given pages with their telling tags as divisions: the rules still find nearly all blocks, and where
+    even the article is a division, what they find comes from the text."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+
+    def agreement(found):
+        both = [(Counter(a.split("\n\n")), Counter(hb.main_text(p).split("\n\n"))) for a, p in zip(found, pages, strict=True)]
+        return sum(2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values())) for a, b in both) / len(both)
+
+    furniture = "nav|footer|header|aside|form|menu"
+    some = [hb.main_text(_neutral(p, furniture)) for p in pages]
+    bare = [hb.main_text(_neutral(p, furniture + "|article|main")) for p in pages]
+    assert agreement(some) > 0.97 and agreement(bare) > 0.8
+    with monkeypatch.context() as m:
+        m.setattr(hb, "prose_score", lambda b, density: 0)
+        blind = [hb.main_text(_neutral(p, furniture + "|article|main")) for p in pages]
+    assert agreement(blind) < agreement(bare) - 0.1 and sum(a != b for a, b in zip(blind, bare)) > 0.9 * len(pages)
