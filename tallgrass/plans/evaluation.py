@@ -10,7 +10,7 @@ from tallgrass.operators import draws, metrics, simulation, telemetry
 from tallgrass.plans.registry import ORACLE, query
 from tallgrass.sources.corpus import table
 from tallgrass.sources.telemetry import telemetry as as_telemetry
-from tallgrass.streaming.jobs import run_ignored, run_timeline
+from tallgrass.streaming.jobs import run_ignored, run_live_batches, run_live_ignored, run_timeline
 
 _W = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')"
 PAIRS = f"""w AS (SELECT conv_id, turn, {_W} AS w FROM conversations), i AS (SELECT *, unnest(range(1, len(w))) AS pos FROM w), pairs AS (SELECT conv_id, turn, pos, w[pos] AS prev, w[pos + 1] AS word FROM i),
@@ -350,3 +350,13 @@ def tele_overall(spark, d):
     m = _tele(spark, d).groupBy("model").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "accepted").alias("accepted"))
     x = m.rollup("model").agg(F.sum("n").alias("n"), F.sum("accepted").alias("accepted"), F.count("*").alias("models"))
     return x.withColumn("model", F.coalesce("model", F.lit("all")))
+
+
+@query("live_ignored", "WITH TELE, f AS (SELECT * FROM tele WHERE event_type IN ('suggested', 'accepted', 'rejected')), m AS (SELECT epoch_ms(max(timestamp)) - 2 * 86400000 AS mark FROM f), x AS (SELECT *, lead(event_type) OVER w AS nxt, lead(timestamp) OVER w AS ignored_at FROM f, m WHERE epoch_ms(timestamp) < mark WINDOW w AS (PARTITION BY session_id ORDER BY timestamp, id)) SELECT session_id, id AS suggested_id, ignored_at FROM x WHERE event_type = 'suggested' AND nxt = 'suggested'")
+def live_ignored(spark, d):
+    return run_live_ignored(spark, d).withColumn("ignored_at", F.col("ignored_at").cast("timestamp_ntz"))
+
+
+@query("live_batches")
+def live_batches(spark, d):
+    return run_live_batches(spark, d)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallgrass.sources.corpus import table
 from tallgrass.sources.shared import new_path
 from tallgrass.sources.telemetry import telemetry
+from tallgrass.streaming.sessions import live_batches, live_ignored
 from tallgrass.streaming.telemetry import ignored_suggestions, settled_changes, windowed_counts
 
 
@@ -34,3 +35,13 @@ def run_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ignored suggestions of all events, in whatever order the files hold them."""
     return settled_changes(_run(spark, ignored_suggestions(_source(spark, sf_dir).select("id", "timestamp", "session_id", "event_type")), "append"))
+
+
+def run_live_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ignored suggestions as a live job with a delay of two days says them: those whose events are older than that."""
+    return _run(spark, live_ignored(_source(spark, sf_dir), "2 days"), "append")
+
+
+def run_live_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients' batches of five events or a day, as a live job with a delay of two days closes them."""
+    return _run(spark, live_batches(_source(spark, sf_dir), 5, 86_400.0, "2 days"), "append")
