@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +54,10 @@ def kept_paragraphs(x: Column, least: int = 40) -> Column:
     return F.filter(F.transform(x, text.strip), lambda p: ~script(p) & (F.length(p) >= least))
 
 
-def by_source_priority(df: DataFrame, key: Column, source: str, order: list[str]) -> DataFrame:
-    """Of rows with one key the one whose source stands first; a grouped minimum, so that no group is gathered."""
-    first = F.min(F.struct(F.col(source), *[F.col(c) for c in order])).alias("first")
-    return df.groupBy(key.alias("key")).agg(first, F.count("*").alias("n")).select("first.*", "n")
+def by_source_priority(df: DataFrame, key: Column, source: str, order: list[str], priority: Sequence[str] = ()) -> DataFrame:
+    """Of rows with one key the one whose source stands first in ``priority`` (sources that it doesn't name come
+    after those that it does, by name); a grouped minimum, so that no group is gathered."""
+    named = F.array_position(F.array(*map(F.lit, priority)).cast("array<string>"), F.col(source))
+    place = F.when(F.coalesce(named, F.lit(0)) > 0, named).otherwise(len(priority) + 1).alias("_place")
+    first = F.min(F.struct(place, F.col(source), *[F.col(c) for c in order])).alias("first")
+    return df.groupBy(key.alias("key")).agg(first, F.count("*").alias("n")).select("first.*", "n").drop("_place")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions import suggestion, text
-from tallgrass.operators import corpus, draws, evalset, metrics, stream, telemetry, tokens, unigram
+from tallgrass.operators import corpus, draws, evalset, metrics, setjoin, stream, telemetry, tokens, unigram
 from tallgrass.plans.corpus import _CLEAN, _FIM, _FIRST, _LANG, _SENT, _TOKS, _firsts, _lines, _sents
 from tallgrass.plans.evaluation import PAIRS, _pairs, _tele
 from tallgrass.plans.registry import query
@@ -387,9 +387,13 @@ def global_line_dedup(spark, d):
     return x.select("f.doc_id", "f.line_no", "copies")
 
 
-@query("source_priority", "WITH m AS (SELECT sha256(text) AS k, min(source) AS source, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1) SELECT m.source, (SELECT min(doc_id) FROM documents x WHERE sha256(x.text) = m.k AND x.source = m.source) AS doc_id, n FROM m")
+_PRIORITY = ("src7", "src3", "src12", "src0")
+
+
+@query("source_priority", f"WITH p AS (SELECT *, sha256(text) AS k, coalesce(nullif(list_position({list(_PRIORITY)}, source), 0), 5) AS place FROM documents WHERE text IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY place, source NULLS FIRST, doc_id) AS i, count(*) OVER (PARTITION BY k) AS n FROM p) SELECT source, doc_id, n FROM r WHERE i = 1")
 def source_priority(spark, d):
-    return evalset.by_source_priority(table(spark, d, "documents").filter("text IS NOT NULL"), F.sha2("text", 256), "source", ["doc_id"])
+    """Of equal texts the one from the source that a given order prefers."""
+    return evalset.by_source_priority(table(spark, d, "documents").filter("text IS NOT NULL"), F.sha2("text", 256), "source", ["doc_id"], _PRIORITY)
 
 
 @query("safe_yield", f"WITH LINES, f AS (SELECT source, {' OR '.join(f'regexp_matches(line, {chr(39)}{p}{chr(39)})' for p in corpus.ARTEFACTS.values())} AS artefact, length(line) > 512 AS long, regexp_matches(line, '\\d{{7,}}') AS digits FROM lines) SELECT source, count(*) AS n, round(100.0 * count(*) FILTER (NOT artefact AND NOT long AND NOT digits) / count(*), 3) AS safe_pct, count(*) FILTER (artefact) AS artefacts, count(*) FILTER (NOT artefact AND long) AS overlong, count(*) FILTER (NOT artefact AND NOT long AND digits) AS digit_runs FROM f GROUP BY source")
@@ -434,3 +438,14 @@ def contamination_grams(spark, d):
 
     both = grams("documents", "doc_id").join(grams("benchmark", "item_id"), "g")
     return both.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+
+
+_SHINGLES = "SELECT DISTINCT {id}, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT {id}, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM (SELECT {id}, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM {t}) WHERE len(w) > 0)"
+
+
+@query("contamination_near", f"WITH b AS ({_SHINGLES.format(id='item_id', t='benchmark')}), n AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1), x AS ({_SHINGLES.format(id='doc_id', t='documents')}) SELECT doc_id, item_id, count(*) AS shared, any_value(n) AS n FROM x JOIN b USING (g) JOIN n USING (item_id) GROUP BY 1, 2 HAVING 5 * count(*) >= 4 * any_value(n)")
+def contamination_near(spark, d):
+    """Documents that hold a benchmark item or a near copy of it: four fifths of its five-word shingles."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
+    found = setjoin.contained(b, table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return found.select(F.col("id").alias("doc_id"), F.col("query").alias("item_id"), "shared", "n")
