@@ -189,13 +189,14 @@ def summary(results: DataFrame, by: str) -> DataFrame:
     share = lambda k: F.round(F.sum(F.col(k) * F.col("n_words")) / F.sum("n_words"), 4).alias(k)
     flat = results.withColumns({
         "_prob": F.aggregate(F.filter("completed", lambda c: c["prob"] > 0), F.lit(0.0), lambda a, c: a + c["prob"]), "_sure": F.size(F.filter("completed", lambda c: c["prob"] > 0)),
+        "_most": F.array_max(F.transform(F.filter("completed", lambda c: c["prob"] > 0), lambda c: c["prob"])),
         "_len": F.aggregate(F.filter("events", lambda e: e["type"] == "accept"), F.lit(0), lambda a, e: a + e["prefix_len"]),
         **{f"_{m}": F.size(F.filter("completed", _done_by(m))) for m in ("completion", "next_word", "manual")},
     })
     safe = lambda a, b, digits: F.coalesce(F.round(F.try_divide(F.sum(a), F.sum(b)), digits), F.lit(0.0))
     x = flat.rollup(by).agg(
         F.count("*").alias("tests"), F.round((F.sum("total_chars") - F.sum("keystrokes")) / F.sum("total_chars"), 4).alias("csr"), F.round(F.avg("csr"), 4).alias("macro_csr"),
-        share("top1"), share("top3"), share("top5"), F.round(F.sum("taps") / F.sum("n_words"), 4).alias("acceptance"), safe("_len", "taps", 2).alias("avg_prefix"), safe("_prob", "_sure", 4).alias("avg_confidence"),
+        share("top1"), share("top3"), share("top5"), F.round(F.sum("taps") / F.sum("n_words"), 4).alias("acceptance"), safe("_len", "taps", 2).alias("avg_prefix"), safe("_prob", "_sure", 4).alias("avg_confidence"), F.coalesce(F.round(F.max("_most"), 4), F.lit(0.0)).alias("max_prob"),
         *[F.sum(f"_{m}").alias(m) for m in ("completion", "next_word", "manual")],
     )
     return x.withColumn(by, F.coalesce(by, F.lit("all")))

@@ -135,3 +135,17 @@ def flushed(events: DataFrame, most: int = 20, seconds: float = 5.0) -> DataFram
         return pdf.assign(batch=out)
 
     return events.select("session_id", "id", "timestamp").groupBy("session_id").applyInPandas(fold, schema)
+
+
+def cycled(steps: DataFrame, user: str, order: str) -> DataFrame:
+    """``depth`` and ``shown`` after each of ``steps(forward)`` of a user's walk through alternatives. A step
+    forward fetches a new one, which is its row's own ``order``, and puts it on the history; a
+    step back shows the one before it, and at the begin (null) does nothing."""
+    w = Window.partitionBy(user).orderBy(order)
+    up = F.when(F.col("forward"), 1).otherwise(-1)
+    x = steps.withColumn("_sum", F.sum(up).over(w))
+    # a walk that can't go below zero: the running sum over its own least value so far
+    x = x.withColumn("depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(w)))
+    # what stands at a depth is what the last step forward put there
+    put = F.last(F.when(F.col("forward"), F.col(order)), ignorenulls=True).over(Window.partitionBy(user, "depth").orderBy(order))
+    return x.withColumn("shown", F.when(F.col("depth") > 0, put)).drop("_sum")

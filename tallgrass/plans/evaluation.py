@@ -151,11 +151,27 @@ def edit_metrics(spark, d):
     )
 
 
-@query("ppl_bpc_rollup", "WITH x AS (SELECT source, n_chars AS chars, n_chars // 4 AS tokens, n_chars * 0.9 + doc_id % 7 AS bits FROM documents) SELECT coalesce(source, 'all') AS source, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(tokens) AS BIGINT) AS tokens, round(CAST(sum(bits) AS DOUBLE) / sum(chars), 6) AS bpc, round(exp(least(CAST(sum(bits) AS DOUBLE) * ln(2) / sum(tokens), 20)), 6) AS ppl FROM x GROUP BY GROUPING SETS ((source), ())")
+WORD_MODEL = f"u AS (SELECT doc_id, lang, source, unnest({_W}) AS w FROM documents), lp AS (SELECT w, ln(n / sum(n) OVER ()) AS lp FROM (SELECT w, count(*) AS n FROM u GROUP BY w))"
+
+
+def word_model(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The words of the documents with id, language and source, and ``w, lp``: the counted unigram model of them."""
+    words = table(spark, d, "documents").select("doc_id", "lang", "source", F.explode(text.words(F.lower("text"))).alias("w"))
+    counts = words.groupBy("w").agg(F.count("*").alias("n"))
+    whole = counts.agg(F.sum("n").alias("t"))  # one row
+    return words, counts.join(F.broadcast(whole)).select("w", F.log(F.col("n") / F.col("t")).alias("lp"))
+
+
+@query("ppl_bpc_rollup", f"WITH {WORD_MODEL}, b AS (SELECT source, count(*) AS tokens, sum(-lp / ln(2)) AS bits FROM u JOIN lp USING (w) GROUP BY source), x AS (SELECT b.*, chars FROM b JOIN (SELECT source, sum(length(text)) AS chars FROM documents GROUP BY 1) USING (source)) SELECT coalesce(source, 'all') AS source, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(bits) / sum(chars), 6) AS bpc, round(exp(least(sum(bits) * ln(2) / sum(tokens), 20)), 4) AS ppl, round(sum(tokens) / sum(chars), 6) AS tokens_per_char FROM x GROUP BY GROUPING SETS ((source), ())")
 def ppl_bpc_rollup(spark, d):
-    x = table(spark, d, "documents").select("source", F.col("n_chars").alias("chars"), F.expr("n_chars div 4").alias("tokens"), F.expr("cast(n_chars * 0.9 + doc_id % 7 AS double)").alias("bits"))
+    """Bits a character and perplexity of each source under the counted word model; a source's words are
+    counted before they meet the model, so that a frequent word is a row a source."""
+    words, model = word_model(spark, d)
+    held = words.groupBy("source", "w").agg(F.count("*").alias("k")).join(model, "w")
+    b = held.groupBy("source").agg(F.sum("k").alias("tokens"), F.sum(-F.col("k") * F.col("lp") / F.log(F.lit(2.0))).alias("bits"))
+    x = b.join(table(spark, d, "documents").groupBy("source").agg(F.sum(F.length("text")).alias("chars")), "source")
     bits, ln2 = F.sum("bits"), F.log(F.lit(2.0))
-    x = x.rollup("source").agg(F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens"), F.round(bits / F.sum("chars"), 6).alias("bpc"), F.round(F.exp(F.least(bits * ln2 / F.sum("tokens"), F.lit(20.0))), 6).alias("ppl"))
+    x = x.rollup("source").agg(F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens"), F.round(bits / F.sum("chars"), 6).alias("bpc"), F.round(F.exp(F.least(bits * ln2 / F.sum("tokens"), F.lit(20.0))), 4).alias("ppl"), F.round(F.sum("tokens") / F.sum("chars"), 6).alias("tokens_per_char"))
     return x.withColumn("source", F.coalesce("source", F.lit("all")))
 
 
@@ -207,6 +223,21 @@ def overlap_stats(spark, d):
     return x.withColumn("role", F.coalesce("role", F.lit("all")))
 
 
+_CLEAN_WORDS = "list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s''-]', '', 'g'), '\\s+'), lambda x: x <> '')"
+
+
+@query("overlap_buckets", f"WITH w AS (SELECT conv_id, turn, {_CLEAN_WORDS} AS w FROM conversations), n AS (SELECT w, lead(w) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM w), b AS (SELECT *, CASE WHEN len(w) < 10 THEN 'short' WHEN len(w) <= 15 THEN 'mid' ELSE 'long' END AS bucket FROM n WHERE nx IS NOT NULL) SELECT coalesce(bucket, 'all') AS bucket, count(*) AS n, count(*) FILTER (len(nx) > 0) AS nonempty, count(*) FILTER (w[1] = nx[1]) AS first_same, round(100.0 * count(*) FILTER (w[1] = nx[1]) / count(*), 4) AS first_pct, count(*) FILTER (len(list_intersect(w[1:3], nx[1:3])) > 0) AS any3, round(100.0 * count(*) FILTER (len(list_intersect(w[1:3], nx[1:3])) > 0) / count(*), 4) AS any3_pct FROM b GROUP BY GROUPING SETS ((bucket), ())")
+def overlap_buckets(spark, d):
+    """Overlap of a turn with the next by the turn's length, and of all."""
+    x = table(spark, d, "conversations").select("conv_id", "turn", text.words(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\s'-]", "")).alias("w"))
+    x = x.withColumn("nx", F.lead("w").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("nx IS NOT NULL")
+    x = x.withColumn("bucket", F.when(F.size("w") < 10, "short").when(F.size("w") <= 15, "mid").otherwise("long"))
+    first, any3 = F.count_if(F.get("w", F.lit(0)) == F.get("nx", F.lit(0))), F.count_if(F.arrays_overlap(F.slice("w", 1, 3), F.slice("nx", 1, 3)))
+    pct = lambda c: F.round(100.0 * c / F.count("*"), 4)
+    x = x.rollup("bucket").agg(F.count("*").alias("n"), F.count_if(F.size("nx") > 0).alias("nonempty"), first.alias("first_same"), pct(first).alias("first_pct"), any3.alias("any3"), pct(any3).alias("any3_pct"))
+    return x.withColumn("bucket", F.coalesce("bucket", F.lit("all")))
+
+
 @query("latency_percentiles", "SELECT event_type AS name, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, min(value) AS lo, max(value) AS hi FROM events GROUP BY event_type")
 def latency_percentiles(spark, d):
     x = metrics.summary_of(table(spark, d, "events").select(F.col("event_type").alias("name"), "value"), "name", "value", {"p50": 0.5, "p95": 0.95})

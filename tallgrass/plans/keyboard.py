@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions import suggestion, text
-from tallgrass.operators import keyboard, metrics, tokens
-from tallgrass.plans.evaluation import PAIRS, _pairs
+from tallgrass.operators import keyboard, metrics, tokens, telemetry
+from tallgrass.plans.evaluation import PAIRS, _pairs, WORD_MODEL, word_model
 from tallgrass.plans.registry import query
 from tallgrass.sources.corpus import table
 
@@ -45,11 +45,12 @@ def newest_generation(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"), (F.count("*") - 1).alias("stale"))
 
 
-@query("cycled_alternatives", "WITH s AS (SELECT user_id, event_id, sum(CASE event_type WHEN 'click' THEN -1 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) SELECT user_id, event_id, CAST(((k % 4) + 4) % 4 AS INTEGER) AS shown FROM s")
+@query("cycled_alternatives", """WITH e AS (SELECT user_id, event_id, event_type <> 'click' AS fwd FROM events WHERE event_type IN ('view', 'click')), s AS (SELECT *, sum(CASE WHEN fwd THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM e), d AS (SELECT *, k - least(0, min(k) OVER (PARTITION BY user_id ORDER BY event_id)) AS depth FROM s)
+  SELECT user_id, event_id, CAST(depth AS BIGINT) AS depth, CASE WHEN depth > 0 THEN max(CASE WHEN fwd THEN event_id END) OVER (PARTITION BY user_id, depth ORDER BY event_id) END AS shown FROM d""")
 def cycled_alternatives(spark, d):
-    """Which of four alternatives is shown as a session walks on and back through them."""
-    k = F.sum(F.when(F.col("event_type") == "click", -1).otherwise(1)).over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, d, "events").select("user_id", "event_id", F.pmod(k, F.lit(4)).cast("int").alias("shown"))
+    """Which alternative is shown as a user asks for new ones (views) and walks back through the history (clicks)."""
+    steps = table(spark, d, "events").filter(F.col("event_type").isin("view", "click")).select("user_id", "event_id", (F.col("event_type") == "view").alias("forward"))
+    return telemetry.cycled(steps, "user_id", "event_id").select("user_id", "event_id", "depth", "shown")
 
 
 @query("digit_repair", f"""WITH t AS (SELECT conv_id, turn, {_W} AS w FROM conversations), p AS (SELECT conv_id, turn, list_transform(range(1, len(w) + 1), lambda i: {{'t': w[i], 'o': list_filter([w[i + 1], w[i + 2]], lambda x: x IS NOT NULL)}}) AS p FROM t),
@@ -249,11 +250,11 @@ def replay_summary(spark, d):
     return r.agg(F.count("*").alias("n"), share(F.col("rank") == 1).alias("top1"), share(F.col("rank") <= 3).alias("top3"), share(F.col("rank").isNotNull()).alias("topk"), F.round(F.avg("prob"), 6).alias("mean_prob"))
 
 
-@query("language_logprob", "WITH x AS (SELECT lang, source, list_transform(string_split(text, ' '), lambda w: -length(w) / 10) AS lp FROM documents), m AS (SELECT lang, source, list_avg(lp) AS m FROM x) SELECT coalesce(lang, 'all') AS lang, count(*) AS n, round(avg(m), 6) AS mean_logprob FROM m GROUP BY GROUPING SETS ((lang), ())")
+@query("language_logprob", f"WITH {WORD_MODEL}, m AS (SELECT doc_id, any_value(lang) AS lang, avg(lp) AS m FROM u JOIN lp USING (w) GROUP BY doc_id) SELECT coalesce(lang, 'all') AS lang, count(*) AS n, round(avg(m), 6) AS mean_logprob FROM m GROUP BY GROUPING SETS ((lang), ())")
 def language_logprob(spark, d):
-    """Means of the samples' mean log-probabilities (here minus a tenth of each word's length) by language."""
-    x = table(spark, d, "documents").select("lang", F.transform(F.split("text", " "), lambda w: -F.length(w) / 10).alias("lp"))
-    m = x.select("lang", (F.aggregate("lp", F.lit(0.0), lambda a, v: a + v) / F.size("lp")).alias("m"))
+    """Means of the samples' mean log-probabilities by language, under the counted word model."""
+    words, model = word_model(spark, d)
+    m = words.groupBy("doc_id", "lang", "w").agg(F.count("*").alias("k")).join(model, "w").groupBy("doc_id").agg(F.first("lang").alias("lang"), (F.sum(F.col("k") * F.col("lp")) / F.sum("k")).alias("m"))
     return m.rollup("lang").agg(F.count("*").alias("n"), F.round(F.avg("m"), 6).alias("mean_logprob")).withColumn("lang", F.coalesce("lang", F.lit("all")))
 
 
