@@ -54,6 +54,11 @@ def words(x: Column) -> Column:
     return F.filter(F.split(x, f"{BLANK}+"), lambda w: w != "")
 
 
+def has_two_words(x: Column) -> Column:
+    """Whether white space stands between other characters: a look, where ``words`` would build an array."""
+    return x.rlike(f"[^{BLANK[1:-1]}]{BLANK}+[^{BLANK[1:-1]}]")
+
+
 def strip_urls(x: Column, any_case: bool = True) -> Column:
     return _sub(x, ("(?i)" if any_case else "") + r"https?://\S+")
 
@@ -138,16 +143,20 @@ def phase3(x: Column) -> tuple[Column, Column]:
 
 
 def discard_reason(x: Column, left: Column) -> Column:
-    """The first reason to discard a line, given what is left of it without legal references."""
-    return (
+    """The first reason to discard a line, given what is left of it without legal references. The reasons
+    of digits are looked into where there is one, and words are listed only where enough are."""
+    n = F.length(x) - F.length(F.translate(x, "0123456789", ""))
+    of_digits = (
         F.when(is_pure_number(x), "digit_pure")
         .when(strip(x).rlike(ORPHAN_DATE), "digit_orphan_date")
-        .when(x.rlike(r"\d{7,}"), "digit_long_run")
+        .when((n >= 7) & x.rlike(r"\d{7,}"), "digit_long_run")
         .when(digit_token_ratio(x) > 0.4, "digit_heavy_tokens")
         .when(digit_char_ratio(x) > 0.5, "digit_heavy_chars")
-        .when(F.size(words(left)) < 2, "digit_decree_stripped")
-        .when(left.rlike(r"^\p{Ll}") & ~left.rlike("[.!?\"»]$") & ((F.length(left) < 50) | left.rlike("[,;-]$")), "orphan_fragment")
     )
+    others = F.when(~has_two_words(left), "digit_decree_stripped").when(
+        left.rlike(r"^\p{Ll}") & ~left.rlike("[.!?\"»]$") & ((F.length(left) < 50) | left.rlike("[,;-]$")), "orphan_fragment"
+    )
+    return F.coalesce(F.when(n > 0, of_digits), others)
 
 
 def quick_clean(x: Column, max_emoji: float = 0.30) -> Column:
@@ -157,7 +166,7 @@ def quick_clean(x: Column, max_emoji: float = 0.30) -> Column:
     x = _guarded(x, "@", lambda v: strip_mentions(strip_emails(v), bounded=False))
     x = _guarded(x, "#", lambda v: clean_hashtags(v, bounded=False))
     x = collapse_spaces(_collapsed(collapse_emoji(x)))
-    return let(x, lambda v: F.when((F.size(words(v)) < 2) | (emoji_ratio(v) > max_emoji), "").otherwise(v))
+    return let(x, lambda v: F.when(~has_two_words(v) | (emoji_ratio(v) > max_emoji), "").otherwise(v))
 
 
 def _collapsed(x: Column) -> Column:
