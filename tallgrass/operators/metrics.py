@@ -27,6 +27,26 @@ def bigram_predictions(pairs: DataFrame, k: int | None = 5) -> DataFrame:
     return (ranked if k is None else ranked.filter(F.col("rank") <= k)).select("prev", "rank", "word", "prob")
 
 
+def first_prefixes(pairs: DataFrame) -> DataFrame:
+    """``prev, word, typed``: after how many typed characters a word is the best completion of what is typed, the
+    most frequent follower of ``prev`` that begins so (ties by spelling); words that never are have no row.
+    The best of each beginning is a grouped minimum; a word's first is another."""
+    counts = pairs.groupBy("prev", "word").agg(F.count("*").alias("n"))
+    begun = counts.select("prev", "word", "n", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("k"))
+    best = begun.groupBy("prev", F.left("word", F.col("k")).alias("begun")).agg(F.min_by("word", F.struct((-F.col("n")).alias("n"), F.col("word"))).alias("word"))
+    return best.groupBy("prev", "word").agg(F.min(F.length("begun")).alias("typed"))
+
+
+def next_word_csr(pairs: DataFrame, *by: str) -> DataFrame:
+    """Keystrokes with the best completion taken as soon as it is the word: one for the space before it,
+    those typed until then, and one to take it; a word that is never offered is typed whole. The
+    word before is the whole one, also where it was completed."""
+    x = pairs.join(first_prefixes(pairs), ["prev", "word"], "left")
+    keys = 1 + F.coalesce(F.col("typed") + 1, F.length("word"))
+    x = x.groupBy(*by).agg(F.count("*").alias("n"), F.count("typed").alias("accepted"), F.round(F.avg("typed"), 6).alias("avg_prefix"), F.sum(keys).alias("keystrokes"), F.sum(F.length("word") + 1).alias("chars"))
+    return x.withColumn("csr", F.round(1 - F.col("keystrokes") / F.col("chars"), 6))
+
+
 def csr(best: DataFrame) -> DataFrame:
     """Keystrokes for ``target`` when the best prediction ``guess`` is taken where it matches."""
     hit = text.prefix_match(F.col("guess"), F.col("target"))

@@ -101,16 +101,11 @@ def bootstrap_exact(spark, d):
     return draws.bootstrap_interval(x, "csr", ["conv_id"])
 
 
-_PFX = "x AS (SELECT p.conv_id, p.turn, p.pos, p.word, min(CASE WHEN g.word = p.word THEN g.rank END) AS hit FROM pairs p LEFT JOIN pred g ON p.prev = g.prev GROUP BY ALL)"
-
-
-@query("nw_csr_simplified", f"WITH {PAIRS}, {_PFX} SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN hit = 1 THEN 1 ELSE 0 END) AS BIGINT) AS top1, CAST(sum(CASE WHEN hit <= 3 THEN 1 ELSE 0 END) AS BIGINT) AS top3, CAST(sum(CASE WHEN hit <= 5 THEN 1 ELSE 0 END) AS BIGINT) AS top5, round(sum(CASE WHEN hit <= 3 THEN length(word) ELSE 0 END) / sum(length(word) + 1), 6) AS csr FROM x")
+@query("nw_csr_simplified", f"WITH {PAIRS}, b AS (SELECT prev, word, n, unnest(range(length(word) + 1)) AS k FROM cn), t AS (SELECT prev, left(word, k) AS begun, arg_min(word, {{'n': -n, 'w': word}}) AS word FROM b GROUP BY ALL), f AS (SELECT prev, word, min(length(begun)) AS typed FROM t GROUP BY ALL), x AS (SELECT role, p.word, typed, 1 + coalesce(typed + 1, length(p.word)) AS keys FROM pairs p JOIN conversations USING (conv_id, turn) LEFT JOIN f ON f.prev = p.prev AND f.word = p.word) SELECT role, count(*) AS n, count(typed) AS accepted, round(avg(typed), 6) AS avg_prefix, CAST(sum(keys) AS BIGINT) AS keystrokes, CAST(sum(length(word) + 1) AS BIGINT) AS chars, round(1 - sum(keys) / sum(length(word) + 1), 6) AS csr FROM x GROUP BY role")
 def nw_csr_simplified(spark, d):
-    p = _pairs(spark, d)
-    ranks = metrics.bigram_predictions(p).select("prev", "word", "rank")
-    x = p.join(ranks, ["prev", "word"], "left")
-    at = lambda k: F.count_if(F.col("rank") <= k)
-    return x.agg(F.count("*").alias("n"), at(1).alias("top1"), at(3).alias("top3"), at(5).alias("top5"), F.round(F.sum(F.when(F.col("rank") <= 3, F.length("word")).otherwise(0)) / F.sum(F.length("word") + 1), 6).alias("csr"))
+    """Every beginning of a word is tried, from none to all of it, by role."""
+    p = _pairs(spark, d).join(table(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"])
+    return metrics.next_word_csr(p, "role")
 
 
 @query("morphacc_semijoin", f"WITH {PAIRS}, t AS (SELECT prev, list_distinct(list(left(word, 2))) AS valid FROM pairs JOIN conversations c USING (conv_id, turn) WHERE c.role = 'user' GROUP BY prev), h AS (SELECT t.prev, min(CASE WHEN len(list_filter(valid, lambda s: starts_with(g.word, s))) > 0 THEN g.rank END) AS first_rank, sum(CASE WHEN len(list_filter(valid, lambda s: starts_with(g.word, s))) > 0 THEN g.prob ELSE 0 END) AS mass FROM t JOIN pred g ON t.prev = g.prev GROUP BY t.prev) SELECT prev, CAST(first_rank AS INTEGER) AS first_rank, round(mass, 6) AS mass FROM h")

@@ -55,3 +55,27 @@ def test_no_rows(spark):
     assert simulation.simulate_csr(a, b).count() == 0
     one = spark.createDataFrame([(1, "a", "bcd")], "test_id int, prompt string, target string")
     assert tuple(simulation.simulate_csr(one, b).first()) == (1, 3, 0, 3, 0, 0.0)
+
+
+def test_next_word_savings(spark):
+    from collections import Counter
+
+    from tallgrass.operators import metrics
+
+    rnd = random.Random(4)
+    pairs = [(rnd.choice("xyz"), "".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 5)))) for _ in range(400)] + [("x", "é😀")]
+    counts = Counter(pairs)
+
+    def first(prev, word):
+        for k in range(len(word) + 1):
+            if word == min((w for p, w in counts if p == prev and w.startswith(word[:k])), key=lambda w: (-counts[prev, w], w)):
+                return k
+
+    found = {(p, w): first(p, w) for p, w in counts}
+    df = spark.createDataFrame(pairs, "prev string, word string")
+    assert {(r.prev, r.word): r.typed for r in metrics.first_prefixes(df).collect()} == {k: v for k, v in found.items() if v is not None}
+    for r in metrics.next_word_csr(df, "prev").collect():
+        own = [(w, found[p, w]) for p, w in pairs if p == r.prev]
+        keys = sum(1 + (len(w) if k is None else k + 1) for w, k in own)
+        chars = sum(len(w) + 1 for w, _ in own)
+        assert (r.n, r.accepted, r.keystrokes, r.chars, r.csr) == (len(own), sum(k is not None for _, k in own), keys, chars, round(1 - keys / chars, 6))
