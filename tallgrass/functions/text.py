@@ -7,10 +7,11 @@ means the same in any regular-expression dialect.
 from __future__ import annotations
 
 import html
+import html.entities
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,13 +99,42 @@ def collapse_spaces(x: Column) -> Column:
     return strip(_sub(x, " {2,}", " "))
 
 
+_REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def _table(found: dict[str, str]) -> Column:
+    """A constant map, parsed once when the query is planned."""
+    return F.from_json(F.lit(json.dumps(found)), "map<string,string>")
+
+
+def _odd_numbers() -> dict[str, str]:
+    """Numbers that stand for something other than their code point, as the standard's own function says."""
+    odd = [*range(160), *range(0xFDD0, 0xFDF0), *(p + e for p in range(0, 0x110000, 0x10000) for e in (0xFFFE, 0xFFFF))]
+    return {str(n): c for n in odd if (c := html.unescape(f"&#{n};")) != chr(n)}
+
+
 def unescaped(x: Column) -> Column:
-    """Character references of the whole HTML table."""
+    """Character references of the whole HTML table, in one pass: names with or without their semicolon (the
+    longest that is one), decimal and hexadecimal numbers. Lines without an ampersand are left alone."""
+    names, numbers = _table(html.entities.html5), _table(_odd_numbers())
+
+    def number(ref: Column) -> Column:
+        raw = F.regexp_extract(ref, "^#(?:[xX])?0*([0-9a-fA-F]*);?$", 1)
+        code = F.when(raw == "", 0).when(ref.rlike("^#[xX]"), F.conv(raw, 16, 10).try_cast("long")).otherwise(raw.try_cast("long"))
+        whole = let(code, lambda n: F.when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd").otherwise(F.coalesce(F.element_at(numbers, n.cast("string")), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))))
+        return F.when(F.length(raw) > 8, "\ufffd").otherwise(whole)
+
+    def name(ref: Column) -> Column:
+        lengths = F.when(F.length(ref) > 2, F.sequence(F.length(ref) - 1, F.lit(2), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        shorter = F.filter(lengths, lambda n: F.map_contains_key(names, F.left(ref, n)))
+        cut = let(F.get(shorter, F.lit(0)), lambda n: F.concat(F.element_at(names, F.left(ref, n)), F.substring(ref, n + 1, F.length(ref))))
+        return F.coalesce(F.element_at(names, ref), cut, F.concat(F.lit("&"), ref))
 
-    def whole(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: html.unescape(v) if v and "&" in v else v)
+    def changed(v: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(v, F.lit(_REFERENCE), F.lit(1)), lambda r: F.when(r.startswith("#"), number(r)).otherwise(name(r)))
+        return F.array_join(F.zip_with(F.split(v, _REFERENCE, -1), F.concat(found, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
 
-    return F.pandas_udf(whole, "string")(x)
+    return _guarded(x, "&", changed)
 
 
 def strip_tags(x: Column, whole_table: bool = False) -> Column:
@@ -182,6 +212,7 @@ class Cleaning:
     mentions: bool = True
     hashtags: bool = True
     emoji: bool = True
+    whole_table: bool = False  # character references of all names, not the common ones alone
     punctuation: bool = True
     tags: bool = True
     digits: bool = True
@@ -199,7 +230,7 @@ def phase2_prefix(x: Column, how: Cleaning = Cleaning()) -> Column:  # noqa: B00
         (how.hashtags, lambda c: _guarded(c, "#", clean_hashtags)),
         (how.emoji, lambda c: collapse_emoji(c, astral=False)),
         (how.punctuation, _collapsed),
-        (how.tags, lambda c: _guarded(c, "&<", strip_tags)),
+        (how.tags, lambda c: _guarded(c, "&<", lambda v: strip_tags(v, how.whole_table))),
     )
     for on, step in steps:
         x = step(x) if on else x

@@ -128,9 +128,10 @@ def phase2_exact(docs: DataFrame) -> DataFrame:
     """The second cleaner with its shared seen-set: parents are cleaned, then split, and every
     sub-sentence is cleaned again. Cleaning stays in column expressions; only the ordered
     suppression of repeats runs per document, which bounds its state."""
-    lines = phase2(docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")))
+    how = text.Cleaning(whole_table=True)
+    lines = phase2(docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")), how)
     subs = lines.select("doc_id", "line_no", "cleaned", "tag", F.posexplode(F.when(F.regexp_count("cleaned", F.lit(text.BOUNDARY)) >= 2, text.split_boundaries(F.col("cleaned"))).otherwise(F.array().cast("array<string>"))).alias("sub_no", "line"))
-    again = phase2(subs.select("doc_id", "line_no", "sub_no", "line"))
+    again = phase2(subs.select("doc_id", "line_no", "sub_no", "line"), how)
     both = lines.select("doc_id", "line_no", F.lit(-1).alias("sub_no"), "cleaned", "tag").unionByName(again.select("doc_id", "line_no", "sub_no", "cleaned", "tag"))
     schema = "doc_id long, line_no int, sub_no int, cleaned string, tag string"
 

@@ -60,3 +60,19 @@ def test_phase2_exact_conserves_lines(spark):
     got = corpus.phase2_exact(docs).filter("doc_id = 1").orderBy("line_no", "sub_no").collect()
     assert [r.tag for r in got if r.line_no == 1] == ["repeated"]
     assert [r.cleaned for r in got if r.line_no == 2 and r.tag is None] == ["Some words here ok.", "Then more words ok.", "And the last one is ok."]
+
+
+def test_character_references_of_the_whole_table(spark):
+    import html
+    import html.entities
+    import random
+
+    rnd = random.Random(2)
+    names = sorted(html.entities.html5)
+    texts = [f"a &{n} b&{n.rstrip(';')}x" for n in names] + [f"&#{n};&#x{n:x} &#X{n:04X};" for n in [*range(300), 0xD800, 0xDFFF, 0xFDD0, 0xFFFE, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF, 0x110000, 99999999, 10**12]]
+    texts += ["&", "&;", "&#;", "&#x;", "&#xg", "&&amp;&amp", "&notit;", "&notin;", "&amp;lt;", "&#0000000000065;", "plain", "", None, "&thisisnoname;", "& amp;", "AT&T &copyright &COPY"]
+    texts += ["".join(rnd.choice(["&", ";", "#", "x", "1", "not", "in", "lt", "amp", " ", "é", "&#65", "😀"]) for _ in range(12)) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plan = df.select(text.unescaped(F.col("t")).alias("u"), "t")
+    assert not [(r.t, r.u, html.unescape(r.t)) for r in plan.collect() if r.t is not None and r.u != html.unescape(r.t)]
+    assert "Python" not in plan._jdf.queryExecution().toString()
