@@ -115,9 +115,12 @@ def phase2(lines: DataFrame, how: text.Cleaning = text.Cleaning()) -> DataFrame:
 
 
 def dry_run(lines: DataFrame, first: int, how: text.Cleaning = text.Cleaning()) -> DataFrame:  # noqa: B008
-    """The first lines of each document with the tag that cleaning would give them; nothing is written."""
+    """The first lines of each document with the tag that cleaning would give them, dropped ones as they
+    were; nothing is written."""
     x = phase2(lines.filter(F.col("line_no") < first), how)
-    return x.select("doc_id", "line_no", F.coalesce("tag", F.lit("keep")).alias("tag"), F.left("cleaned", F.lit(240)).alias("cleaned"))
+    dropped = F.col("tag").isNotNull() & (F.col("tag") != "warn")
+    shown = F.when(dropped, F.concat(F.lit("<<dropped>> "), F.left("line", F.lit(160)))).otherwise(F.left("cleaned", F.lit(240)))
+    return x.select("doc_id", "line_no", F.coalesce("tag", F.lit("keep")).alias("tag"), shown.alias("cleaned"))
 
 
 def dedup_in_document(df: DataFrame, line: str) -> DataFrame:

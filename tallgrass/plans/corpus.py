@@ -149,7 +149,7 @@ def clean_reason_counts(spark, d):
     return corpus.phase2(_lines(spark, d)).groupBy("source", F.coalesce("tag", F.lit("kept")).alias("tag")).agg(F.count("*").alias("n"))
 
 
-@query("clean_dry_run", f"WITH LINES, {_TAGGED} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, coalesce(tag, 'keep') AS tag, left(cleaned, 240) AS cleaned FROM t2 WHERE line_no < 3")
+@query("clean_dry_run", f"WITH LINES, {_TAGGED} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, coalesce(tag, 'keep') AS tag, CASE WHEN tag IS NULL OR tag = 'warn' THEN left(cleaned, 240) ELSE '<<dropped>> ' || left(line, 160) END AS cleaned FROM t2 WHERE line_no < 3")
 def clean_dry_run(spark, d):
     return corpus.dry_run(_lines(spark, d), 3)
 
@@ -267,14 +267,17 @@ def lang_filter(spark, d):
     return w.select("doc_id", "lang", (hit / F.size("w") < 0.05).alias("passes"))
 
 
-@query("boilerplate_prompts", f"""WITH LINES, a AS (SELECT doc_id, line_no, line, {_TOKS} AS w FROM lines WHERE length(line) >= 40 AND NOT regexp_matches(line, '{corpus.BOILERPLATE}') AND 2 * length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')) >= length(line)),
-  k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, left(line, 50) ORDER BY line_no) AS r FROM a WHERE len(w) >= 5), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS q FROM k WHERE r = 1)
-  SELECT doc_id, CAST(q AS INTEGER) AS q, array_to_string(w[1:10], ' ') AS prompt FROM n WHERE q <= 3""")
+@query("boilerplate_prompts", f"""WITH LINES, a AS (SELECT doc_id, line_no, line, {_TOKS} AS w FROM lines WHERE doc_id IN (SELECT doc_id FROM documents WHERE length(text) >= 100) AND length(line) >= 40 AND NOT regexp_matches(line, '{corpus.BOILERPLATE}') AND 2 * length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')) >= length(line)),
+  k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, left(line, 50) ORDER BY line_no) AS r FROM a), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS q FROM k WHERE r = 1 AND len(w) >= 5),
+  p AS (SELECT doc_id, CAST(q AS INTEGER) AS q, array_to_string(w[1:10], ' ') AS prompt FROM n WHERE q <= 3) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY prompt ORDER BY doc_id, q) = 1""")
 def boilerplate_prompts(spark, d):
-    x = _lines(spark, d).filter((F.length("line") >= 40) & ~F.col("line").rlike(corpus.BOILERPLATE) & (2 * F.length(F.regexp_replace("line", r"[^\p{L}]", "")) >= F.length("line"))).withColumn("w", text.words(F.col("line"))).filter("size(w) >= 5")
-    x = corpus.keep_first(x, ["doc_id", F.left("line", F.lit(50))], ["line_no"])
+    """Openings of prose lines, three a document at most, each prompt once in the corpus, where it comes first."""
+    long = table(spark, d, "documents").filter(F.length("text") >= 100)
+    x = lines(long).filter((F.length("line") >= 40) & ~F.col("line").rlike(corpus.BOILERPLATE) & (2 * F.length(F.regexp_replace("line", r"[^\p{L}]", "")) >= F.length("line")))
+    x = corpus.keep_first(x, ["doc_id", F.left("line", F.lit(50))], ["line_no"]).withColumn("w", text.words(F.col("line"))).filter("size(w) >= 5")
     x = x.withColumn("q", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))).filter("q <= 3")
-    return x.select("doc_id", "q", F.array_join(F.slice("w", 1, 10), " ").alias("prompt"))
+    prompts = x.groupBy(F.array_join(F.slice("w", 1, 10), " ").alias("prompt")).agg(F.min(F.struct("doc_id", "q")).alias("f"))
+    return prompts.select("f.doc_id", "f.q", "prompt")
 
 
 @query("source_exclusion", "WITH LINES SELECT source, count(*) AS n FROM lines WHERE NOT contains(source, 'src1') GROUP BY source")
