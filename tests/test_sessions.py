@@ -3,9 +3,6 @@
 import random
 from datetime import datetime, timedelta
 
-import pytest
-from pyspark.sql import functions as F
-
 from tallgrass.streaming import sessions
 
 T0 = datetime(2026, 1, 1)
