@@ -66,7 +66,7 @@ GIVEN = "|".join(n for names in NAMES.values() for n in names)
 CAPITALS = GIVEN.upper()
 INITIALS = r"(?:\p{Lu}\. ?){0,3}"
 #: Names in scripts without capitals, after words that introduce them.
-UNCASED = r"(?<=我叫|我的名字是|姓名：|姓名:|名前は|氏名：|氏名:)\p{IsHan}{2,4}|(?<=اسمي |الاسم: )\p{IsArabic}{2,20} \p{IsArabic}{2,20}"
+UNCASED = r"(?=[\p{IsHan}\p{IsArabic}])(?:(?<=我叫|我的名字是|姓名：|姓名:|名前は|氏名：|氏名:)\p{IsHan}{2,4}|(?<=اسمي |الاسم: )\p{IsArabic}{2,20} \p{IsArabic}{2,20})"
 TITLE = "|".join(TITLES)
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}\-]{1,63}+\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
