@@ -1,7 +1,7 @@
 """Draws that repeat a seeded generator to the last digit: shuffles, splits and resampled intervals.
 
-A seeded shuffle or resample depends on nothing but the number of rows, so it is made of
-row numbers in one task and joined to the rows by number; rows themselves never meet.
+A seeded shuffle or resample depends on nothing but the number of rows. A shuffle is made of
+row numbers in one task and joined to the rows by number; a resample is drawn again for each block of rows.
 The scalable forms, whose draws are hashes of keys, stand beside each of these.
 """
 
@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallgrass.operators.stream import placed
+from tallgrass.sources.shared import staged
 
 MOST = 5_000_000  # row numbers that one task draws; an evaluation set has some thousands
+BLOCK = 524_288  # values that one task resamples
 
 
 def _counted(n: int, most: int) -> None:
@@ -48,31 +50,36 @@ def first_shuffled(df: DataFrame, order: list[str], seed: int, n: int) -> DataFr
     return shuffled(df, order, seed).filter(F.col("place") < n)
 
 
-def bootstrap_interval(df: DataFrame, value: str, order: list[str], n: int = 1000, confidence: float = 0.95, seed: int = 42, most: int = MOST) -> DataFrame:
+def bootstrap_interval(df: DataFrame, value: str, order: list[str], n: int = 1000, confidence: float = 0.95, seed: int = 42, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """One row ``mean, lo, hi, n``: NumPy's seeded resamples with replacement of the values in the given
     order, their means, and the means' percentiles. Null values don't count; without values all are zero.
 
-    How often a resample takes each row number is drawn from the count of rows alone, in one
-    task and resample by resample; the means are grouped sums over the join with the values.
+    Draws depend on the count of rows alone. So values lie in blocks of ``block`` consecutive row
+    numbers; each block repeats the draws, adds up its own values that a resample takes, and leaves
+    a sum a resample. A drawn row number is never a row, and no task holds more values than a block.
     """
     rows = placed(df.filter(F.col(value).isNotNull()).select(*dict.fromkeys([*order, value])), order).select("number", F.col(value).cast("double").alias("v"))
-    total = rows.count()
+    whole = rows.agg(F.avg("v").alias("mean"), F.count("*").alias("n")).first()
+    total = whole["n"]
     _counted(total, most)
     if not total:
         return df.sparkSession.createDataFrame([(0.0, 0.0, 0.0, 0)], "mean double, lo double, hi double, n long")
 
-    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _ in parts:
-            drawn = np.random.RandomState(seed)
-            for b in range(n):
-                taken, times = np.unique(drawn.choice(total, size=total, replace=True), return_counts=True)
-                yield pd.DataFrame({"b": b, "number": taken, "times": times})
-
-    taken = df.sparkSession.range(1).coalesce(1).mapInPandas(draw, "b int, number long, times long")
-    means = taken.join(rows, "number").groupBy("b").agg((F.sum(F.col("times") * F.col("v")) / total).alias("m"))
+    def sums(part: pd.DataFrame) -> pd.DataFrame:
+        first = int(part["number"].min())
+        values = np.empty(len(part))
+        values[part["number"].to_numpy() - first] = part["v"].to_numpy()
+        drawn, out = np.random.RandomState(seed), np.zeros(n)
+        for b in range(n):
+            taken = drawn.choice(total, size=total, replace=True) - first
+            out[b] = values[taken[(taken >= 0) & (taken < len(values))]].sum()
+        return pd.DataFrame({"b": range(n), "s": out})
+
+    blocks = rows.groupBy(F.floor(F.col("number") / block)).applyInPandas(sums, "b int, s double")
+    means = staged(blocks, "resampled").groupBy("b").agg((F.sum("s") / total).alias("m"))
     tail = (1 - confidence) / 2
-    spread = means.agg(F.percentile("m", F.lit(tail)).alias("lo"), F.percentile("m", F.lit(1 - tail)).alias("hi"))
-    return rows.agg(F.avg("v").alias("mean"), F.count("*").alias("n")).join(F.broadcast(spread)).select("mean", "lo", "hi", "n")  # one row
+    ends = means.agg(F.percentile("m", F.lit(tail)).alias("lo"), F.percentile("m", F.lit(1 - tail)).alias("hi"))
+    return ends.select(F.lit(whole["mean"]).alias("mean"), "lo", "hi", F.lit(total).cast("long").alias("n"))
 
 
 def split_points(pieces: Column, seed: Column, bias: float = 0.2, least: int = 3) -> Column:

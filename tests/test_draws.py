@@ -34,6 +34,16 @@ def test_bootstrap_interval(spark, n):
     assert tuple(draws.bootstrap_interval(df.filter("v > 9"), "v", ["k"], 10).first()) == (0.0, 0.0, 0.0, 0)
 
 
+def test_bootstrap_by_blocks(spark):
+    """Values in several blocks give the interval of the generator's own resamples."""
+    values = np.random.RandomState(9).rand(250).round(3)
+    drawn = np.random.RandomState(7)
+    means = [drawn.choice(values, size=250, replace=True).mean() for _ in range(50)]
+    df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "k int, v double").repartition(3)
+    got = draws.bootstrap_interval(df, "v", ["k"], 50, 0.9, 7, block=64).first()
+    assert tuple(got) == (pytest.approx(values.mean()), pytest.approx(np.percentile(means, 5)), pytest.approx(np.percentile(means, 95)), 250)
+
+
 def test_split_points(spark):
     rnd = random.Random(3)
     rows = [(k, [rnd.choice(["▁a", "b", "cc"]) for _ in range(rnd.randrange(25))]) for k in range(300)] + [(900, None), (None, ["▁a"] * 9), (901, ["b"] * 9), (902, ["▁a"] * 5)]
