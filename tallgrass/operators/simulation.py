@@ -1,15 +1,18 @@
-"""Typing simulated keystroke by keystroke, as a recursive query: each step asks for a prediction of what has been typed so far."""
+"""Typing simulated keystroke by keystroke: each step asks for a prediction of what has been typed so far.
+
+What a step may ask for is known before the walk: the text up to each place of the target. So all
+predictions of a test are met in one join, a word at a time, and the test is then walked where its row is.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallgrass.functions import text
 from tallgrass.sources.shared import staged
 
-_LEVEL, _ROWS = "spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit"
-
 
 def context(typed: Column, order: int | None) -> Column:
     """What a prediction is asked for: the whole text, or its last ``order`` words and the word begun after them."""
@@ -45,8 +48,8 @@ def simulate_csr(tests: DataFrame, predictions: DataFrame, order: int | None = N
     ``most`` keystrokes. With ``steps`` instead a row a keystroke, ``step, context, guess,
     matched, typed``.
 
-    The recursion is as deep as the longest target; each level is one equi-join of the open
-    tests with the predictions.
+    A target's words meet the guesses for their beginnings by key; the distinct words after a
+    distinct text are looked up once. A test's row holds the guesses of its own words alone.
     """
     spark = tests.sparkSession
     prompt = F.coalesce("prompt", F.lit(""))
@@ -55,49 +58,69 @@ def simulate_csr(tests: DataFrame, predictions: DataFrame, order: int | None = N
     begun = tests.select("test_id", prompt.alias("prompt"), F.coalesce("target", F.lit("")).alias("target"), F.monotonically_increasing_id().alias("row"))
     begun = staged(begun, "tests")
     known = predictions.filter("context IS NOT NULL").groupBy("context").agg(F.min("guess").alias("guess"))
-    known = staged(known.withColumn("guess", F.ltrim("guess")).filter("guess <> ''"), "predictions")
-    depth = min(most, begun.agg(F.max(F.length("target"))).first()[0] or 0)
-    zeros = [F.lit(0).alias(c) for c in ("step", "done", "accepted", "auto", "matched")]
-    first = F.col("prompt") if order is None else context(F.concat("prompt", F.lit(" ")), order)
-    walk = begun.select("row", "prompt", "target", *zeros, F.lit("").alias("guess"), first.alias("context"))
-    old = {k: spark.conf.get(k) for k in (_LEVEL, _ROWS)}
-    try:
-        spark.conf.set(_LEVEL, depth + 2)
-        spark.conf.set(_ROWS, -1)
-        found = spark.sql(_walk(order, depth), walk=walk, known=known)
-        found = staged(found, "typed")
-    finally:
-        for k, v in old.items():
-            spark.conf.set(k, v)
+    known = known.withColumn("guess", F.ltrim("guess")).filter("guess <> ''")
+    words = _words(begun, order)
+    guesses = staged(_guesses(words, known), "guesses")
+    placed = F.transform("found", lambda x: F.struct((F.col("at") + x["k"]).alias("at"), x["guess"].alias("guess")))
+    own = words.join(guesses, ["head", "word"]).select("row", placed.alias("found")).groupBy("row").agg(F.flatten(F.collect_list("found")).alias("found"))
+    walked = begun.join(own, "row", "left").withColumn("walk", _walk(order, most)(F.col("target"), F.col("found.at"), F.col("found.guess")))
     if steps:
-        named = found.filter("step > 0").join(begun.select("row", "test_id"), "row")
-        return named.select("test_id", "step", F.col("asked").alias("context"), "guess", "matched", F.expr("left(target, done)").alias("typed"))
-    ends = found.groupBy("row").agg(*[F.max(c).alias(c) for c in ("step", "accepted", "done", "auto")])
-    csr = (F.length("target") - F.col("step")) / F.nullif(F.length("target"), F.lit(0))
-    return begun.join(ends, "row").select("test_id", F.col("step").alias("keystrokes"), "accepted", F.col("done").alias("typed"), "auto", csr.alias("csr"))
+        each = walked.filter("size(walk) > 0").select("test_id", "prompt", "target", F.posexplode("walk").alias("step", "w")).select("test_id", (F.col("step") + 1).alias("step"), "prompt", "target", "w.*")
+        return each.select("test_id", "step", _asked(F.col("prompt"), F.col("target"), F.col("at"), order).alias("context"), "guess", "matched", F.expr("left(target, at + greatest(matched, 1))").alias("typed"))
+    total = lambda c: F.aggregate(F.transform("walk", c), F.lit(0), lambda a, x: a + x)
+    keys, chars = F.size("walk"), F.length("target")
+    return walked.select(
+        "test_id", keys.alias("keystrokes"), total(lambda w: (w["matched"] > 0).cast("int")).alias("accepted"), total(lambda w: F.greatest(w["matched"], F.lit(1))).alias("typed"),
+        total(lambda w: w["matched"]).alias("auto"), ((chars - keys) / F.nullif(chars, F.lit(0))).alias("csr"),
+    )
+
 
+def _asked(prompt: Column, target: Column, at: Column, order: int | None) -> Column:
+    """What is asked for where ``at`` characters of the target are typed."""
+    typed = context(F.concat(prompt, F.lit(" "), F.left(target, at)), order)
+    return typed if order is not None else F.when(at == 0, prompt).otherwise(typed)
 
-def _walk(order: int | None, depth: int) -> str:
-    """The recursion. ``context`` is what the next step asks for, ``asked`` what this one did."""
-    text_so_far = "concat(prompt, ' ', left(target, done))"
+
+def _words(begun: DataFrame, order: int | None) -> DataFrame:
+    """``row, at, head, word``: where each word of a target begins and what is asked for there; it goes on
+    with the word's characters. Without an order the first place is asked for by the prompt
+    alone, without a space, which is listed at -1."""
+    parts = begun.filter("target <> ''").withColumn("parts", F.split("target", " "))
+    each = parts.select("row", "prompt", "target", F.posexplode("parts").alias("no", "word"), "parts")
+    at = F.when(F.col("no") == 0, 0).otherwise(F.length(F.array_join(F.slice("parts", F.lit(1), F.col("no")), " ")) + 1)
+    each = each.select("row", at.alias("at"), "prompt", "target", "word")
+    words = each.select("row", "at", context(F.expr("concat(prompt, ' ', left(target, at))"), order).alias("head"), "word")
     if order is None:
-        key = text_so_far
-    else:
-        key = f"array_join(slice(split({text_so_far}, ' '), greatest(1, size(split({text_so_far}, ' ')) - {order}), {order + 1}), ' ')"
-    common = "coalesce(array_position(zip_with(split(guess, ''), split(rest, ''), (a, b) -> a <=> b), false) - 1, 0)"
-    common = f"if(guess = '', 0, if({common} < 0, least(length(guess), length(rest)), {common}))"
-    return f"""
-WITH RECURSIVE typing(row, prompt, target, step, done, accepted, auto, matched, guess, asked, context) AS (
-  SELECT row, prompt, target, step, done, accepted, auto, matched, guess, context, context FROM {{walk}}
-  UNION ALL
-  SELECT row, prompt, target, step, done, accepted, auto, matched, guess, asked, {key} FROM (
-    SELECT row, prompt, target, step + 1 AS step, done + greatest(matched_now, 1) AS done, accepted + if(matched_now > 0, 1, 0) AS accepted,
-           auto + matched_now AS auto, matched_now AS matched, guess, context AS asked
-    FROM (
-      SELECT *, CAST({common} AS INT) AS matched_now FROM (
-        SELECT t.row, t.prompt, t.target, t.step, t.done, t.accepted, t.auto, t.context, coalesce(k.guess, '') AS guess, substr(t.target, t.done + 1) AS rest
-        FROM typing t LEFT JOIN {{known}} k ON t.context = k.context WHERE t.done < length(t.target) AND t.step < {depth}
-      )
-    )
-  )
-) SELECT * FROM typing"""
+        words = words.unionByName(begun.filter("target <> ''").select("row", F.lit(-1).alias("at"), F.col("prompt").alias("head"), F.lit("").alias("word")))
+    return words
+
+
+def _guesses(words: DataFrame, known: DataFrame) -> DataFrame:
+    """``head, word, found``: the guesses after the head and each beginning of the word, by its length."""
+    pairs = words.select("head", "word").distinct()
+    begun = pairs.select("head", "word", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("k"))
+    met = begun.withColumn("context", F.expr("concat(head, left(word, k))")).join(known, "context")
+    return met.groupBy("head", "word").agg(F.collect_list(F.struct("k", "guess")).alias("found"))
+
+
+def _walk(order: int | None, most: int):
+    """Steps of a test: how much was typed before each, the guess, and how much of it was taken."""
+
+    @F.pandas_udf("array<struct<at int, guess string, matched int>>")
+    def walk(targets: pd.Series, places: pd.Series, guesses: pd.Series) -> pd.Series:
+        out = []
+        for target, at, found in zip(targets, places, guesses, strict=True):
+            guess = {} if at is None else dict(zip(at.tolist(), found, strict=True))
+            if order is None:
+                guess[0] = guess.get(-1, "")
+            done, steps = 0, []
+            while done < len(target) and len(steps) < most:
+                own, n = guess.get(done, ""), 0
+                while n < len(own) and done + n < len(target) and own[n] == target[done + n]:
+                    n += 1
+                steps.append({"at": done, "guess": own, "matched": n})
+                done += max(n, 1)
+            out.append(steps)
+        return pd.Series(out)
+
+    return walk

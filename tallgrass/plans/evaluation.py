@@ -73,7 +73,7 @@ def _typing_tests(spark, d) -> DataFrame:
 
 def _typed(spark, d, steps: bool) -> DataFrame:
     tests = _typing_tests(spark, d)
-    asked = tests.select(F.explode(F.zip_with(F.concat(F.array("prompt"), "after"), F.col("after"), lambda p, w: F.struct(p.alias("p"), w.alias("w")))).alias("x")).filter("x.w IS NOT NULL")
+    asked = tests.select(F.explode(F.zip_with(F.concat(F.array("prompt"), "after"), F.col("after"), lambda p, w: F.struct(p.alias("p"), w.alias("w")))).alias("x")).filter("x.w IS NOT NULL").distinct()
     wanted = asked.select("x.p", F.expr("explode(transform(sequence(0, length(x.w)), k -> left(x.w, k)))").alias("b")).select(F.concat_ws(" ", "p", "b").alias("context"))
     return simulation.simulate_csr(tests, simulation.completions(_pairs(spark, d), wanted), order=1, steps=steps)
 

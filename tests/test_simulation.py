@@ -79,3 +79,19 @@ def test_next_word_savings(spark):
         keys = sum(1 + (len(w) if k is None else k + 1) for w, k in own)
         chars = sum(len(w) + 1 for w, _ in own)
         assert (r.n, r.accepted, r.keystrokes, r.chars, r.csr) == (len(own), sum(k is not None for _, k in own), keys, chars, round(1 - keys / chars, 6))
+
+
+def test_a_longer_target_takes_no_more_jobs(spark):
+    """Work is a join of words, not one of all open tests for each keystroke."""
+    known = spark.createDataFrame([("a x", "xx")], "context string, guess string")
+
+    def jobs(n):
+        group = f"typing {n}"
+        spark.sparkContext.setJobGroup(group, group)
+        one = spark.createDataFrame([(1, "a", "x" * n)], "test_id int, prompt string, target string")
+        assert simulation.simulate_csr(one, known, order=1).first().typed == n
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few, many = jobs(6), jobs(60)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert many <= few + 1
