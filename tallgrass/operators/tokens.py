@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions import text
@@ -55,9 +55,10 @@ def packed(lines: DataFrame, window: int) -> DataFrame:
 def fim(lines: DataFrame, least: int = 10, min_middle: int = 2) -> DataFrame:
     """Fill-in-the-middle splits of half of the lines of ``least`` words, drawn by hashes of the
     line's place, so that a retried task draws the same."""
-    x = lines.select("doc_id", "line_no", text.words(F.col("line")).alias("w")).withColumn("n", F.size("w")).filter(F.col("n") >= least)
     draw = lambda s: F.conv(F.substring(F.md5(F.concat(F.lit(s), F.col("doc_id").cast("string"), F.lit(":"), F.col("line_no").cast("string"))), 1, 7), 16, 10).cast("long")
-    x = x.withColumn("c", draw("c")).filter("c % 2 = 0").withColumn("p1", (draw("a") % F.greatest(F.lit(1), F.col("n") - min_middle + 1)).cast("int"))
+    x = lines.withColumn("c", draw("c")).filter("c % 2 = 0")  # first: the draw costs less than the words
+    x = x.select("doc_id", "line_no", "c", text.words(F.col("line")).alias("w")).withColumn("n", F.size("w")).filter(F.col("n") >= least)
+    x = x.withColumn("p1", (draw("a") % F.greatest(F.lit(1), F.col("n") - min_middle + 1)).cast("int"))
     x = x.withColumn("p2", (F.col("p1") + min_middle + draw("b") % F.greatest(F.lit(1), F.col("n") - F.col("p1") - min_middle + 1)).cast("int"))
     cut = lambda a, b: F.slice("w", a + 1, F.greatest(F.lit(0), b - a))
     zero = F.lit(0)
@@ -125,9 +126,11 @@ def strided(streams_: DataFrame, window: int, count: int) -> DataFrame:
 
 def special_histogram(examples: DataFrame, first: int = PREFIX, most: int = 65535) -> DataFrame:
     """Counts of the special ids, and whether all ids are at most ``most``."""
-    u = examples.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-    fits = u.agg((F.max("id") <= most).alias("fits"))
-    return u.filter((F.col("id") < 5) | (F.col("id") >= first)).join(F.broadcast(fits)).select("id", "n", "fits")  # one row
+    special = lambda i: (i < 5) | (i >= first)
+    both = text.let(F.col("ids"), lambda v: F.struct(F.filter(v, special).alias("special"), F.array_max(v).alias("top")))
+    each = examples.select(both.alias("b")).select(F.explode_outer("b.special").alias("id"), "b.top")  # examples without one still count for the largest id
+    found = each.groupBy("id").agg(F.count("*").alias("n"), F.max("top").alias("top"))  # a row a special id
+    return found.withColumn("fits", F.max("top").over(Window.partitionBy()) <= most).filter("id IS NOT NULL").select("id", "n", "fits")
 
 
 def marked_pieces(words: Column, size: int = 3) -> Column:
