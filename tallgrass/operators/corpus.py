@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 from itertools import accumulate, pairwise
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,35 +130,42 @@ def dedup_in_document(df: DataFrame, line: str) -> DataFrame:
 
 def phase2_exact(docs: DataFrame) -> DataFrame:
     """The second cleaner with its shared seen-set: parents are cleaned, then split, and every
-    sub-sentence is cleaned again. Cleaning stays in column expressions; only the ordered
-    suppression of repeats runs per document, which bounds its state."""
+    sub-sentence is cleaned again. Cleaning stays in column expressions and is done once a line;
+    only the ordered suppression of repeats walks each document's rows, which bounds its state."""
     how = text.Cleaning(whole_table=True)
     lines = phase2(docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")), how)
-    subs = lines.select("doc_id", "line_no", "cleaned", "tag", F.posexplode(F.when(F.regexp_count("cleaned", F.lit(text.BOUNDARY)) >= 2, text.split_boundaries(F.col("cleaned"))).otherwise(F.array().cast("array<string>"))).alias("sub_no", "line"))
-    again = phase2(subs.select("doc_id", "line_no", "sub_no", "line"), how)
-    both = lines.select("doc_id", "line_no", F.lit(-1).alias("sub_no"), "cleaned", "tag").unionByName(again.select("doc_id", "line_no", "sub_no", "cleaned", "tag"))
-    schema = "doc_id long, line_no int, sub_no int, cleaned string, tag string"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, out, dropped = set(), [], set()
-        parents_split = set(pdf.loc[pdf.sub_no >= 0, "line_no"])
-        for r in pdf.sort_values(["line_no", "sub_no"]).itertuples(index=False):
-            if r.sub_no >= 0 and r.line_no in dropped:
-                continue
-            tag = r.tag
-            if tag is None or tag == "warn":
-                key = r.cleaned.strip().lower()
-                tag = "repeated" if key in seen else tag
-                seen.add(key)
-                if tag != "repeated" and len(r.cleaned.split()) < 2:
-                    tag = "discard"
-            if r.sub_no < 0 and tag not in (None, "warn"):
-                dropped.add(r.line_no)
-            if r.sub_no >= 0 or r.line_no not in parents_split or r.line_no in dropped:
-                out.append((r.doc_id, r.line_no, r.sub_no, r.cleaned, tag))
-        return pd.DataFrame(out, columns=["doc_id", "line_no", "sub_no", "cleaned", "tag"])
-
-    return both.groupBy("doc_id").applyInPandas(fold, schema)
+    parts = F.when(F.regexp_count("cleaned", F.lit(text.BOUNDARY)) >= 2, text.split_boundaries(F.col("cleaned"))).otherwise(F.array().cast("array<string>"))
+    # The line itself comes first, as sub-sentence -1.
+    rows = lines.drop("line").withColumn("parts", parts).withColumn("split", F.size("parts") > 0).select("*", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "parts")).alias("at", "line"))
+    rows = phase2(rows.select("doc_id", "line_no", (F.col("at") - 1).alias("sub_no"), "split", F.struct("cleaned", "tag").alias("own"), "line"), how)
+    mine = F.when(F.col("sub_no") < 0, F.col("own")).otherwise(F.struct("cleaned", "tag"))
+    rows = rows.select("doc_id", "line_no", "sub_no", mine.alias("x"), "split").select("doc_id", "line_no", "sub_no", "x.cleaned", "x.tag", "split")
+    names = ["doc_id", "line_no", "sub_no", "cleaned", "tag"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen, dropped = (), set(), set()
+        for batch in batches:
+            tags, shown = [], []
+            for doc_id, line_no, sub_no, cleaned, tag, split in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (doc_id,) != now:
+                    now, seen, dropped = (doc_id,), set(), set()
+                if sub_no >= 0 and line_no in dropped:
+                    tags.append(None)
+                    shown.append(False)
+                    continue
+                if tag is None or tag == "warn":
+                    key = cleaned.strip().lower()
+                    tag = "repeated" if key in seen else tag
+                    seen.add(key)
+                    if tag != "repeated" and len(cleaned.split(None, 2)) < 2:
+                        tag = "discard"
+                if sub_no < 0 and tag not in (None, "warn"):
+                    dropped.add(line_no)
+                tags.append(tag)
+                shown.append(sub_no >= 0 or not split or line_no in dropped)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(tags, pa.string())], names=names).filter(pa.array(shown, pa.bool_()))
+
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "line_no", "sub_no").mapInArrow(fold, "doc_id long, line_no int, sub_no int, cleaned string, tag string")
 
 
 #: Elements whose start hides paragraphs that begin inside, and elements that are paragraphs.
