@@ -34,15 +34,30 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+#: A pattern whose matches end between a letter and a mark, unless the mark is an apostrophe.
+_LETTERS_OR_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
+_MARK[[*b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
+
+
 def _word_starts(data: np.ndarray) -> np.ndarray:
     cut = ~_SPACE[data]
     cut[1:] &= _SPACE[data[:-1]]
     return cut
 
 
+def _letters_and_marks(data: np.ndarray) -> np.ndarray:
+    """Where words begin, and the marks after their letters, so that a word before a comma is no other word."""
+    cut = _word_starts(data)
+    cut[1:] |= _MARK[data[1:]] & _LETTER[data[:-1]]
+    return cut
+
+
 class WordEncoder(Encoder):
-    """A tokenizers file whose pre-tokenizer drops white space: texts are cut before each word, and
-    each distinct word (with the spaces after it) is encoded once. Other files, those whose
+    """A tokenizers file whose pre-tokenizer drops white space: texts are cut before each word (by the
+    pattern of letters or marks also after its letters), and each distinct piece (with the spaces
+    after it) is encoded once. Other files, those whose
     normalizer could look across a space, and added tokens with a space are applied to
     whole texts, as are added tokens that reach into their surroundings."""
 
@@ -59,6 +74,8 @@ class WordEncoder(Encoder):
         rest = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") for x in before[1:])
         plain = not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or re.search(r"\s", x["content"]) for x in kind.get("added_tokens") or [])
         self.cuttable = bool(drops and local and rest and plain)
+        if drops and split["pattern"].get("Regex") == _LETTERS_OR_MARKS:
+            self.cuts = _letters_and_marks
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)

@@ -107,3 +107,16 @@ def test_odd_rows(spark, odd, nothing):
         assert s.offsets == sorted(o for o, _ in held[s.sequence_id]) and bytes(s.ids) == b"".join(own[s.sequence_id, o] for o in s.offsets)
     assert len(found) == len(held)
     assert packing.packed(nothing, PATH).count() == 0
+
+
+def test_a_word_before_a_mark_is_no_other_word():
+    """Ids stay the library's, and a word is encoded once whatever mark follows it."""
+    rnd = random.Random(8)
+    marks = ["'", "'s", "'LL", ",", "...", "=\u0338", "-", "_", "\u0301", "\u00e9", "7", " ", "\n", "<|endoftext|>", "<|", "\u4e2d", "\u2019"]
+    texts = ["".join(rnd.choice(["word", "Ab", "x", "s", "", *marks]) for _ in range(rnd.randrange(30))) for _ in range(3000)]
+    made = packing.WordEncoder(PATH)
+    got = [np.frombuffer(x, "<u4").tolist() for x in made.encode(texts)]
+    assert [[*x, 1] for x in got] == plain_ids(texts)
+    few = packing.WordEncoder(PATH)
+    few.encode([" ".join(f"again{m}" for m in (",", ".", ";", "!", "?", ":", ""))])
+    assert sum(w.startswith("again") for w in few.known) <= 2
