@@ -1,20 +1,31 @@
 """Near duplicates by the Jaccard similarity of word shingles, for the pipeline.
 
 Texts are sets of hashed five-word shingles; two are near duplicates at a similarity
-of 0.8 or more. Candidates share one of ``BANDS`` keys of ``ROWS`` minima each: a pair at
-0.8 exactly is missed with a chance of (1 - 0.8^6)^50, some 3 in 10 million, and a closer
-one with less.
-
-Only verified links are ever closed over. First each set of a bucket is compared whole with
-the bucket's least one, which settles most near copies. Where a bucket's sets are then not of
-one component, all its sets of different components are compared: sizes and counts by bins
-bound what two sets can share, and sets that pass are compared whole. A bucket of over
-``BLOCK`` members is dealt into blocks, and each pair of blocks is a group of its own, so
-that a task holds two blocks at most. Links are thinned to a forest where they are found.
+of 0.8 or more. Candidates come from SimHash by bit-sliced comparison, as in ``simhash``, at a
+radius that is wide enough for that similarity; an exact check follows.
+
+1. A set's fingerprint has ``BITS`` bits, each the majority over its shingles, and further bits of the
+   same kind make the keys of the candidate tables, ``r`` bits each. A bit of two sets at 0.8 differs
+   with a chance of ``DIFFER`` at most, so there are as many tables as let such a pair pass all of
+   them with a chance of 3 in 10 million; closer pairs have less. Keys are longer where there are
+   more rows. Sets of four and five shingles (0.8 exactly, and bits that differ more often) share the
+   key of four shingles instead.
+2. In a bucket the fingerprints are stored as ``BITS`` vertical bit planes, and carry-save counters tell
+   the lanes that differ in at most ``RADIUS`` bits, leaving words of lanes that are all over by then
+   after ``FIRST`` (a pair at 0.8 is beyond either bound with a chance of some 1e-8). Lanes so linked
+   are a part. Equal parts of several tables are one.
+3. Only verified links are ever closed over. First each set of a part is compared whole with
+   the part's least one, which settles most near copies. Where a part's sets are then not of
+   one component, all its sets of different components are compared: sizes and counts by bins
+   bound what two sets can share, and sets that pass are compared whole. A part of over
+   ``BLOCK`` members is dealt into blocks, and each pair of blocks is a group of its own, so
+   that a task holds two blocks at most. Links are thinned to a forest where they are found.
 """
 
 from __future__ import annotations
 
+from math import ceil, log, log2
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,12 +40,21 @@ SHINGLE = 5
 #: Similarity of near duplicates, as a fraction of whole numbers.
 NUM, DEN = 4, 5
 BINS = 1024
-#: Members of a bucket that one task compares with each other, or with as many more.
+#: Members of a part that one task compares with each other, or with as many more.
 BLOCK = 4096
-BANDS, ROWS = 50, 6
-_RND = np.random.RandomState(SEED)
-_XOR, _MUL = (np.frombuffer(_RND.bytes(8 * BANDS * ROWS), "<u8").reshape(-1, 1) for _ in range(2))
-_MUL = _MUL | np.uint64(1)
+#: Bits of a fingerprint, and of those how many may differ.
+BITS, RADIUS = 192, 62
+#: Words of lanes of which none has at most so many differing bits among so many first ones are left.
+FIRST, FIRST_RADIUS = 128, 47
+#: The chance that a bit differs at a similarity of 0.8, at most (sets of 15 shingles; large ones: 0.1515), and that a pair is missed.
+DIFFER, MISSED = 0.1612, 3e-7
+#: Bits of a table's key, at least; rows in a bucket beyond which keys are longer.
+LEAST_KEY, BUCKET = 12, 512
+#: Buckets up to this size are compared lane against shifted lane, longer ones query by query.
+SHORT_RUN = 128
+#: Lanes whose buckets are compared together.
+LANES = 65_536
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -51,15 +71,157 @@ def set_key(found: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(found.tobytes(), SEED)], "<u8").view("<i8")[0]) if len(found) else 0
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """``BANDS`` keys of the minima under fixed permutations (none of the empty set)."""
+def key_bits(rows: int) -> int:
+    """Bits of a table's key over so many rows."""
+    return max(LEAST_KEY, ceil(log2(max(1, rows) / BUCKET)))
+
+
+def tables_of(bits: int) -> int:
+    """Tables with keys of so many bits that miss a pair at 0.8 with a chance of ``MISSED``."""
+    return ceil(log(MISSED) / log(1 - (1 - DIFFER) ** bits))
+
+
+def fingerprint(found: np.ndarray, bits: int) -> tuple[np.ndarray, list[int]]:
+    """The ``BITS`` bits of a set, as words, and its keys in all tables (none of the empty set)."""
     if not len(found):
-        return np.zeros(0, "<i8")
-    least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for k in range(0, len(found), 1024):
-        least = np.minimum(least, ((found[None, k : k + 1024] ^ _XOR) * _MUL).min(axis=1))
-    bands = least.astype("<u8").reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(bands)], "<u8").view("<i8")
+        return np.zeros(BITS // 64, "<u8"), []
+    n = tables_of(bits)
+    steps = np.arange(1, BITS // 64 + -(-n * bits // 64) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(64 * len(steps), np.int64)
+    for k in range(0, len(found), 255):
+        z = found[k : k + 255, None] + steps
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z = (z ^ (z >> np.uint64(31))).astype("<u8", copy=False)
+        ones += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    set_bits = 2 * ones > len(found)
+    keys = set_bits[BITS : BITS + n * bits].reshape(n, bits) @ (1 << np.arange(bits)) + (np.arange(n) << bits)
+    few = [found] if len(found) == 4 else [np.delete(found, i) for i in range(5)] if len(found) == 5 else []
+    return np.packbits(set_bits[:BITS], bitorder="little").view("<u8"), keys.tolist() + [-1 - (abs(set_key(x)) >> 1) for x in few]
+
+
+def planes_of(prints: np.ndarray) -> np.ndarray:
+    """``BITS`` rows of packed bits: row p holds bit p of each lane of ``prints(lane, word)``, in whole 64-bit words."""
+    padded = np.zeros((-(-len(prints) // 64) * 64, BITS // 64), "<u8")
+    padded[: len(prints)] = prints
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
+    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
+
+
+def within(differ: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Lanes in which at most ``radius`` of the planes ``differ`` are set, as packed words. Planes of a weight
+    wait for a second one; both and the weight's sum go through a full adder, whose carry goes on."""
+    sums: list[np.ndarray] = []
+    held: list[np.ndarray | None] = []
+    for x in differ:
+        level = 0
+        while True:
+            if level == len(sums):
+                sums.append(np.zeros_like(x))
+                held.append(None)
+            if (y := held[level]) is None:
+                held[level] = x
+                break
+            either = x ^ y
+            x = (x & y) | (either & sums[level])
+            sums[level] = either ^ sums[level]
+            held[level] = None
+            level += 1
+    for level, x in enumerate(held):
+        if x is not None:
+            for k in range(level, len(sums)):
+                sums[k], x = sums[k] ^ x, sums[k] & x
+            sums.append(x)
+    over, equal = np.zeros_like(differ[0]), np.full_like(differ[0], _ALL)
+    for k in range(max(len(sums), radius.bit_length()) - 1, -1, -1):
+        bit = sums[k] if k < len(sums) else np.zeros_like(over)
+        if radius >> k & 1:
+            equal &= bit
+        else:
+            over |= equal & bit
+            equal &= ~bit
+    return ~over
+
+
+def _joined(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least lane that each of ``n`` lanes reaches over the pairs."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[left], label[right])
+        if (least == label[left]).all() and (least == label[right]).all():
+            return label
+        np.minimum.at(label, left, least)
+        np.minimum.at(label, right, least)
+        label = label[label]
+
+
+def _differ(planes: np.ndarray, words: np.ndarray, shift: int) -> np.ndarray:
+    """The words of lanes against those ``shift`` lanes on: set where the two differ."""
+    at, by = words + (shift >> 6), np.uint64(shift & 63)
+    other = planes[:, at]
+    if by:
+        other = other >> by
+        other |= planes[:, at + 1] << (np.uint64(64) - by)
+    other ^= planes[:, words]
+    return other
+
+
+def _short_parts(prints: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """The least lane of each lane's part, for buckets ``run`` (equal, adjacent ids) of at most ``SHORT_RUN``."""
+    planes = np.pad(planes_of(prints), ((0, 0), (0, SHORT_RUN // 64 + 2)))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for shift in range(1, min(SHORT_RUN, len(run))):
+        same = run[shift:] == run[:-shift]
+        if not same.any():
+            break
+        words = np.flatnonzero(same) >> 6
+        words = words[np.r_[True, words[1:] != words[:-1]]]
+        words = words[within(_differ(planes[:FIRST], words, shift), FIRST_RADIUS) != 0]
+        if not len(words):
+            continue
+        near = np.unpackbits(within(_differ(planes, words, shift)).astype("<u8").view(np.uint8), bitorder="little")
+        hit = (words[:, None] * 64 + np.arange(64)).ravel()[near.astype(bool)]
+        hit = hit[hit < len(same)]
+        hit = hit[same[hit]]
+        left.append(hit)
+        right.append(hit + shift)
+    return _joined(len(run), np.concatenate(left), np.concatenate(right))
+
+
+def _long_parts(prints: np.ndarray) -> np.ndarray:
+    """The same for one larger bucket. Lanes near a common one are found first, and are no queries then."""
+    n, planes, label = len(prints), planes_of(prints), np.arange(len(prints))
+
+    def near(lanes: np.ndarray) -> np.ndarray:
+        bits = np.unpackbits(prints[lanes].astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        asked = (np.uint64(0) - bits.T.astype(np.uint64))[:, :, None]
+        found = np.ascontiguousarray(within(asked ^ planes[:, None, :]))
+        return np.unpackbits(found.astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, :n].astype(bool)
+
+    some = np.unique(np.linspace(0, n - 1, 16).astype(np.int64))
+    around = near(some)
+    main = around[around.sum(axis=1).argmax()]
+    label[main] = np.flatnonzero(main)[0]
+    rest, queries = np.flatnonzero(~main), max(1, 4096 // planes.shape[1])
+    for k in range(0, len(rest), queries):
+        for row in near(rest[k : k + queries]):
+            parts = np.unique(label[row])
+            if len(parts) > 1:
+                label[np.isin(label, parts)] = parts[0]
+    return label
+
+
+def parts_of(keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """The least lane of each lane's part, of whole buckets (equal, adjacent ``keys``)."""
+    label = np.arange(len(keys))
+    edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+    sizes = np.diff(edges)
+    lanes = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SHORT_RUN), sizes))
+    if len(lanes):
+        label[lanes] = lanes[_short_parts(prints[lanes], keys[lanes])]
+    for a, size in zip(edges[:-1][sizes > SHORT_RUN].tolist(), sizes[sizes > SHORT_RUN].tolist(), strict=True):
+        label[a : a + size] = a + _long_parts(prints[a : a + size])
+    return label
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -104,30 +266,63 @@ def forest(sets: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int]
     return links
 
 
-def marked_sets(rows: DataFrame) -> DataFrame:
-    """``doc_id, th, fp, bands`` of each row of ``rows(doc_id, text, th)``."""
+def marked_sets(rows: DataFrame, bits: int) -> DataFrame:
+    """``doc_id, th, fp, prints, keys`` of each row of ``rows(doc_id, text, th)``."""
     small_batches(rows.sparkSession)
 
     def run(batches):
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             fps = pa.array([set_key(s) for s in sets], pa.int64())
-            bands = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fps, bands], names=["doc_id", "th", "fp", "bands"])
+            made = [fingerprint(s, bits) for s in sets]
+            prints, keys = pa.array([x.view("<i8") for x, _ in made], pa.list_(pa.int64())), pa.array([x for _, x in made], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fps, prints, keys], names=["doc_id", "th", "fp", "prints", "keys"])
 
-    return rows.select("doc_id", "text", "th").mapInArrow(run, "doc_id long, th binary, fp long, bands array<long>")
+    return rows.select("doc_id", "text", "th").mapInArrow(run, "doc_id long, th binary, fp long, prints array<long>, keys array<long>")
 
 
 def _pairs(links) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def shared_buckets(rows: DataFrame) -> DataFrame:
-    """``k, fp, least, c`` of ``rows(fp, bands)``: each distinct set in the buckets that it shares with
-    another, with the least of the bucket and how many it holds."""
-    keyed = rows.select(F.explode("bands").alias("k"), "fp").distinct()
-    buckets = keyed.groupBy("k").agg(F.min("fp").alias("least"), F.count("*").alias("c")).filter("c > 1")
-    return keyed.join(buckets.hint("merge"), "k").select("k", "fp", "least", "c")
+def near_parts(sets: DataFrame) -> DataFrame:
+    """``k, fp, least, c`` of the distinct sets ``sets(fp, prints, keys)``: each set in the parts that it shares with
+    another, with the least of the part and how many it holds. ``k`` is a digest of the members, so that a
+    part that several tables find is one."""
+    words = [f"p{i}" for i in range(BITS // 64)]
+    of = lambda i: F.when(F.col("k") < 0, F.lit(0).cast("long")).otherwise(F.col("prints")[i])  # noqa: E731  # four equal shingles: no distance counts
+    rows = sets.select(F.explode("keys").alias("k"), "fp", "prints").select("k", "fp", *[of(i).alias(w) for i, w in enumerate(words)])
+
+    def found(cols: list[np.ndarray]) -> pa.RecordBatch:
+        k, fp, prints = cols[0], cols[1], np.stack(cols[2:], axis=1).view(np.uint64)
+        label = parts_of(k, prints)
+        c = np.bincount(label, minlength=len(label))[label]
+        lanes = np.flatnonzero(c > 1)
+        lanes = lanes[np.argsort(label[lanes], kind="stable")]
+        starts = np.flatnonzero(np.r_[True, label[lanes][1:] != label[lanes][:-1]]) if len(lanes) else lanes
+        n = np.diff(np.r_[starts, len(lanes)])
+        part = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in np.split(fp[lanes], starts[1:])] if len(lanes) else [], np.uint64).view(np.int64)
+        cols = [np.repeat(part, n), fp[lanes], np.repeat(fp[lanes[starts]], n), c[lanes]]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["k", "fp", "least", "c"])
+
+    def run(batches):
+        """Whole buckets are compared together; what a batch ends in is held until its bucket ends."""
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            held.append([x.to_numpy(zero_copy_only=False) for x in batch.columns])
+            size += batch.num_rows
+            if size >= LANES:
+                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+                cut = int(np.searchsorted(cols[0], cols[0][-1]))
+                if cut:
+                    yield found([x[:cut] for x in cols])
+                held, size = [[x[cut:] for x in cols]], len(cols[0]) - cut
+        if size:
+            yield found([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    dealt = rows.repartition("k").sortWithinPartitions("k", "fp")
+    return dealt.mapInArrow(run, "k long, fp long, least long, c long").dropDuplicates(["k", "fp"])
 
 
 def whole_sets(rows: DataFrame, firsts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -145,7 +340,7 @@ def whole_sets(rows: DataFrame, firsts: DataFrame, wanted: DataFrame) -> DataFra
 
 
 def star_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of sets that are similar to the least one of a bucket."""
+    """Links of sets that are similar to the least one of a part."""
     pairs = members.filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
     of = lambda name: sets.select(F.col("fp").alias(name), F.col("hashes").alias(f"of_{name}")).hint("merge")
 
@@ -158,7 +353,7 @@ def star_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def block_links(open_: DataFrame, sets: DataFrame, block: int) -> DataFrame:
-    """Links between different labels in the buckets of ``open_(k, fp, label, c)``, by pairs of blocks of
+    """Links between different labels in the parts of ``open_(k, fp, label, c)``, by pairs of blocks of
     some ``block`` members each."""
     n = F.ceil(F.col("c") / block).cast("int")
     rows = open_.select("k", "fp", "label", F.pmod(F.xxhash64("fp", "k"), n).cast("int").alias("own"), n.alias("n"))
@@ -184,10 +379,13 @@ def block_links(open_: DataFrame, sets: DataFrame, block: int) -> DataFrame:
 def components(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows ``doc_id, th, fp``, the least row ``first`` of each ``fp``, and the roots of those that link."""
     spark, paths, rows = docs.sparkSession, [], with_row_key(docs)
-    found = staged(marked_sets(rows), "shingle-bands", paths)
+    found = staged(marked_sets(rows, key_bits(docs.count())), "shingle-prints", paths)
     marked = staged(found.select("doc_id", "th", "fp"), "shingle-sets")
     firsts = staged(marked.groupBy("fp").agg(F.min(F.expr(ROW)).alias("first")), "distinct-sets")
-    members = staged(shared_buckets(found.select("fp", "bands")), "buckets", paths)
+    prints = staged(found.select("fp", "prints", "keys").dropDuplicates(["fp"]), "distinct-prints", paths)
+    small_batches(spark, 20_000)  # rows of five numbers
+    members = staged(near_parts(prints), "near-parts", paths)
+    small_batches(spark)
     sets = staged(whole_sets(rows, firsts, members.select("fp").distinct()), "candidate-sets", paths)
     stars = staged(star_links(members, sets), "star-links", paths)
     near = staged(connected_components(stars), "star-roots", paths)

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -36,6 +37,60 @@ def plain_kept(docs):
     return sorted(least.values())
 
 
+def plain_parts(keys, prints, radius):
+    """The least lane that each reaches over lanes of its bucket that differ in at most ``radius`` bits."""
+    label = list(range(len(keys)))
+    for i in range(len(keys)):
+        for j in np.flatnonzero(keys[:i] == keys[i]):
+            if np.bitwise_count(prints[i] ^ prints[j]).sum() <= radius and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def test_bit_planes_find_the_parts_of_buckets():
+    """Short and long buckets, with lanes of up to 90 of 192 bits from a common one, against a count of bits."""
+    rnd = np.random.default_rng(3)
+    keys = np.repeat(np.arange(9), [1, 2, 40, 70, 3, 200, 128, 129, 1])
+    prints = rnd.integers(0, 1 << 64, (len(keys), 3), dtype=np.uint64)
+    for i in range(0, len(keys), 3):
+        prints[i] = prints[3 * (i % 7)]
+        for b in rnd.choice(192, rnd.integers(0, 91), replace=False):
+            prints[i, b // 64] ^= np.uint64(1 << int(b % 64))
+    got = similar.parts_of(keys, prints)
+    assert got.tolist() == plain_parts(keys, prints, similar.RADIUS) and len(set(got.tolist())) < len(keys)
+    for radius in (0, 1, 62, 95, 192):
+        differ = similar.planes_of(prints) ^ similar.planes_of(prints[::-1])
+        near = np.unpackbits(similar.within(differ, radius).view(np.uint8), bitorder="little")[: len(keys)]
+        assert (near == (np.bitwise_count(prints ^ prints[::-1]).sum(axis=1) <= radius)).all()
+
+
+@pytest.mark.parametrize("bits", [12, 15])
+def test_sets_at_the_similarity_share_a_table_and_the_radius(bits):
+    """Pairs of 0.8 exactly or nearly so, of the sizes at which bits differ most and of large ones."""
+    rnd = np.random.default_rng(bits)
+    new = lambda n: rnd.integers(0, 1 << 64, n, dtype=np.uint64)
+    for both, one, other in [(4, 1, 0), (5, 1, 0), (12, 3, 0), (12, 2, 1), (20, 3, 2), (80, 10, 10), (400, 100, 0)] * 12:
+        common = new(both)
+        a, b = (np.unique(np.r_[common, new(n)]) for n in (one, other))
+        assert similar.similar(a, b)
+        (x, i), (y, j) = similar.fingerprint(a, bits), similar.fingerprint(b, bits)
+        shared = set(i) & set(j)
+        assert shared and (min(shared) < 0 or np.bitwise_count(x ^ y).sum() <= similar.RADIUS)
+        assert len(i) == len(set(i)) and sum(k >= 0 for k in i) == similar.tables_of(bits)
+
+
+def test_stage_compares_by_bit_planes(spark):
+    """A pair meets in a part, whatever number of tables finds it, and nothing meets without a part."""
+    docs = [(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, "q r s t u v w x"), (4, None)]
+    rows = similar.with_row_key(spark.createDataFrame(docs, "doc_id long, text string"))
+    found = similar.marked_sets(rows, 12).collect()
+    of = {r.doc_id: r.fp for r in found}
+    sets = spark.createDataFrame([(r.fp, r.prints, r["keys"]) for r in found], "fp long, prints array<long>, keys array<long>")
+    parts = similar.near_parts(sets).collect()
+    assert {r.fp for r in parts} == {of[1], of[2]} and {(r.least, r.c) for r in parts} == {(min(of[1], of[2]), 2)} and len(parts) == 2
+
+
 @pytest.mark.parametrize("block", [3, 4096])
 def test_buckets_of_mixed_components(spark, block):
     """Texts that share a long passage meet in buckets without being similar, beside chains and near copies of them."""
