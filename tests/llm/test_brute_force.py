@@ -257,6 +257,26 @@ def test_distributed_difference_cover_against_all_windows(spark, length, first):
     assert set(got) == want and len(got) == len(want) and len(want) > 100
 
 
+def test_names_of_near_copies_do_not_grow_with_the_copies(spark):
+    """Strings that stand once, as each copy's changed bytes make, have no name, and no repeated window is lost."""
+    rnd, length, first, named = random.Random(4), 60, 12, {}
+    text = bytes(rnd.randrange(256) for _ in range(600))
+    for copies in (20, 60):
+        pieces = []
+        for pid in range(copies):
+            copy = bytearray(text[rnd.randrange(3) :])
+            for at in rnd.sample(range(len(copy) - 8), 3):
+                copy[at : at + 8] = bytes(rnd.randrange(256) for _ in range(8))
+            pieces.append((pid, bytes(copy)))
+        count = Counter(d[i : i + length] for _, d in pieces for i in range(len(d) - length + 1))
+        paths = []
+        got = rows(suffix.distributed_repeats(spark.createDataFrame(pieces, "pid long, data binary"), length, paths, first))
+        assert sorted(got) == [(p, i) for p, d in pieces for i in range(len(d) - length + 1) if count[d[i : i + length]] > 1]
+        assert len(got) < sum(count.values())
+        named[copies] = spark.read.parquet(paths[0]).count()
+    assert named[60] <= 1.2 * named[20] and named[60] <= 2 * len(text)
+
+
 def test_suffix_dedup_on_documents_and_odd_rows(documents, odd, nothing):
     some = documents.filter("length(text) < 3000")
     pairs = rows(some.select("doc_id", "text").orderBy("doc_id"))
