@@ -13,9 +13,11 @@ radius that is wide enough for that similarity; an exact check follows.
 2. In a bucket the fingerprints are stored as ``BITS`` vertical bit planes, and carry-save counters tell
    the lanes that differ in at most ``RADIUS`` bits, leaving words of lanes that are all over by then
    after ``FIRST`` (a pair at 0.8 is beyond either bound with a chance of some 1e-8). Lanes so linked
-   are a part. Equal parts of several tables are one.
-3. Only verified links are ever closed over. First each set of a part is compared whole with
-   the part's least one, which settles most near copies. Where a part's sets are then not of
+   are a part. Equal parts of several tables are one. What no bit can tell, counts can: two sets share no
+   more than either shares with all others, so that sets with over a fifth of their shingles to
+   themselves get no lane, and lanes whose counts rule the similarity out are not linked.
+3. Only verified links are ever closed over. First each set is compared whole with the least one of
+   its parts, a pair a set however many tables found it, which settles most near copies. Where a part's sets are then not of
    one component, all its sets of different components are compared: sizes and counts by bins
    bound what two sets can share, and sets that pass are compared whole. A part of over
    ``BLOCK`` members is dealt into blocks, and each pair of blocks is a group of its own, so
@@ -40,6 +42,8 @@ SHINGLE = 5
 #: Similarity of near duplicates, as a fraction of whole numbers.
 NUM, DEN = 4, 5
 BINS = 1024
+#: Rows to a bucket of shingles that are counted together.
+COUNTED = 2048
 #: Members of a part that one task compares with each other, or with as many more.
 BLOCK = 4096
 #: Bits of a fingerprint, and of those how many may differ.
@@ -166,7 +170,13 @@ def _differ(planes: np.ndarray, words: np.ndarray, shift: int) -> np.ndarray:
     return other
 
 
-def _short_parts(prints: np.ndarray, run: np.ndarray) -> np.ndarray:
+def possible(n: np.ndarray, shared: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles, of which ``shared`` and ``other`` stand in any other set, may be similar."""
+    both = np.minimum(shared, other)
+    return DEN * both >= NUM * (n + m - both)
+
+
+def _short_parts(prints: np.ndarray, run: np.ndarray, n: np.ndarray, shared: np.ndarray) -> np.ndarray:
     """The least lane of each lane's part, for buckets ``run`` (equal, adjacent ids) of at most ``SHORT_RUN``."""
     planes = np.pad(planes_of(prints), ((0, 0), (0, SHORT_RUN // 64 + 2)))
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -183,12 +193,13 @@ def _short_parts(prints: np.ndarray, run: np.ndarray) -> np.ndarray:
         hit = (words[:, None] * 64 + np.arange(64)).ravel()[near.astype(bool)]
         hit = hit[hit < len(same)]
         hit = hit[same[hit]]
+        hit = hit[possible(n[hit], shared[hit], n[hit + shift], shared[hit + shift])]
         left.append(hit)
         right.append(hit + shift)
     return _joined(len(run), np.concatenate(left), np.concatenate(right))
 
 
-def _long_parts(prints: np.ndarray) -> np.ndarray:
+def _long_parts(prints: np.ndarray, size: np.ndarray, shared: np.ndarray) -> np.ndarray:
     """The same for one larger bucket. Lanes near a common one are found first, and are no queries then."""
     n, planes, label = len(prints), planes_of(prints), np.arange(len(prints))
 
@@ -196,7 +207,11 @@ def _long_parts(prints: np.ndarray) -> np.ndarray:
         bits = np.unpackbits(prints[lanes].astype("<u8").view(np.uint8), axis=1, bitorder="little")
         asked = (np.uint64(0) - bits.T.astype(np.uint64))[:, :, None]
         found = np.ascontiguousarray(within(asked ^ planes[:, None, :]))
-        return np.unpackbits(found.astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, :n].astype(bool)
+        close = np.unpackbits(found.astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, :n].astype(bool)
+        for row, lane in zip(close, lanes, strict=True):
+            row &= possible(size, shared, size[lane], shared[lane])
+            row[lane] = True
+        return close
 
     some = np.unique(np.linspace(0, n - 1, 16).astype(np.int64))
     around = near(some)
@@ -211,16 +226,18 @@ def _long_parts(prints: np.ndarray) -> np.ndarray:
     return label
 
 
-def parts_of(keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    """The least lane of each lane's part, of whole buckets (equal, adjacent ``keys``)."""
+def parts_of(keys: np.ndarray, prints: np.ndarray, n: np.ndarray | None = None, shared: np.ndarray | None = None) -> np.ndarray:
+    """The least lane of each lane's part, of whole buckets (equal, adjacent ``keys``). ``n`` and ``shared`` tell how many
+    shingles a set has, and how many of them stand in others; without them bits alone decide."""
     label = np.arange(len(keys))
+    n, shared = (np.zeros(len(keys), np.int64) if x is None else x for x in (n, shared))
     edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
     sizes = np.diff(edges)
     lanes = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SHORT_RUN), sizes))
     if len(lanes):
-        label[lanes] = lanes[_short_parts(prints[lanes], keys[lanes])]
+        label[lanes] = lanes[_short_parts(prints[lanes], keys[lanes], n[lanes], shared[lanes])]
     for a, size in zip(edges[:-1][sizes > SHORT_RUN].tolist(), sizes[sizes > SHORT_RUN].tolist(), strict=True):
-        label[a : a + size] = a + _long_parts(prints[a : a + size])
+        label[a : a + size] = a + _long_parts(*(x[a : a + size] for x in (prints, n, shared)))
     return label
 
 
@@ -267,18 +284,75 @@ def forest(sets: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int]
 
 
 def marked_sets(rows: DataFrame, bits: int) -> DataFrame:
-    """``doc_id, th, fp, prints, keys`` of each row of ``rows(doc_id, text, th)``."""
+    """``doc_id, th, fp, n, prints, keys`` of each row of ``rows(doc_id, text, th)``; ``n`` is how many shingles it has."""
     small_batches(rows.sparkSession)
 
     def run(batches):
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            fps = pa.array([set_key(s) for s in sets], pa.int64())
+            fps, n = pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())
             made = [fingerprint(s, bits) for s in sets]
             prints, keys = pa.array([x.view("<i8") for x, _ in made], pa.list_(pa.int64())), pa.array([x for _, x in made], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fps, prints, keys], names=["doc_id", "th", "fp", "prints", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fps, n, prints, keys], names=["doc_id", "th", "fp", "n", "prints", "keys"])
+
+    return rows.select("doc_id", "text", "th").mapInArrow(run, "doc_id long, th binary, fp long, n long, prints array<long>, keys array<long>")
+
+
+def shared_shingles(rows: DataFrame, buckets: int) -> DataFrame:
+    """``fp, shared``: how many shingles of each set of ``rows(doc_id, text, th)`` stand in a different set too, where
+    any does. Shingles are dealt by hash into ``buckets`` (65,536 at most), a word of 48 bits of hash and 16 of
+    its text's place among the batch's, and counted there; hashes that agree in these bits count as shared."""
+    small_batches(rows.sparkSession)
+    place = np.uint64(0xFFFF)
+
+    def deal(batches):
+        for batch in batches:
+            sets = [shingles(t) for t in batch.column(0).to_pylist()]
+            fps = np.array([set_key(s) for s in sets], "<i8")
+            found, owner = np.concatenate([np.zeros(0, "<u8"), *sets]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            bucket = ((found & place) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            found, owner, bucket = found[order], owner[order], bucket[order]
+            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, np.int64)
+            out: tuple[list, list] = ([], [])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                own = owner[a:b]
+                fresh = np.r_[True, own[1:] != own[:-1]]  # in order, as the sort keeps it
+                out[0].append(fps[own[fresh]].tobytes())
+                out[1].append(((found[a:b] & ~place) | (np.cumsum(fresh) - 1).astype(np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int64()), *(pa.array(x, pa.binary()) for x in out)], names=["bucket", "fps", "words"])
+
+    def counted(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        fps = [np.frombuffer(x, "<i8") for x, _ in held]
+        words = [np.frombuffer(x, "<u8") for _, x in held]
+        start = np.cumsum([0, *map(len, fps)])[:-1]
+        owner = np.concatenate([(w & place).astype(np.int64) + at for w, at in zip(words, start, strict=True)])
+        every = np.concatenate(fps)
+        first = np.zeros(len(every), bool)  # of equal sets one counts
+        first[np.unique(every, return_index=True)[1]] = True
+        stays = first[owner]
+        found, owner = np.concatenate(words)[stays] >> np.uint64(16), owner[stays]
+        order = np.argsort(found)
+        found, owner = found[order], owner[order]
+        same = np.r_[False, found[1:] == found[:-1], False]
+        n = np.bincount(owner[same[1:] | same[:-1]], minlength=len(every))
+        some = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([pa.array(every[some], pa.int64()), pa.array(n[some], pa.int64())], names=["fp", "shared"])
+
+    def count(batches):
+        last, held = None, []
+        for batch in batches:
+            for bucket, fps, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != last and held:
+                    yield counted(held)
+                    held = []
+                last = bucket
+                held.append((fps, words))
+        if held:
+            yield counted(held)
 
-    return rows.select("doc_id", "text", "th").mapInArrow(run, "doc_id long, th binary, fp long, prints array<long>, keys array<long>")
+    dealt = rows.select("text").mapInArrow(deal, "bucket long, fps binary, words binary").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(count, "fp long, shared long").groupBy("fp").agg(F.sum("shared").alias("shared"))
 
 
 def _pairs(links) -> pa.RecordBatch:
@@ -288,14 +362,15 @@ def _pairs(links) -> pa.RecordBatch:
 def near_parts(sets: DataFrame) -> DataFrame:
     """``k, fp, least, c`` of the distinct sets ``sets(fp, prints, keys)``: each set in the parts that it shares with
     another, with the least of the part and how many it holds. ``k`` is a digest of the members, so that a
-    part that several tables find is one."""
+    part that several tables find is one. ``sets`` may also have ``n`` and ``shared``, as ``parts_of`` takes them."""
     words = [f"p{i}" for i in range(BITS // 64)]
     of = lambda i: F.when(F.col("k") < 0, F.lit(0).cast("long")).otherwise(F.col("prints")[i])  # noqa: E731  # four equal shingles: no distance counts
-    rows = sets.select(F.explode("keys").alias("k"), "fp", "prints").select("k", "fp", *[of(i).alias(w) for i, w in enumerate(words)])
+    counts = [F.col(c) if c in sets.columns else F.lit(0).cast("long").alias(c) for c in ("n", "shared")]
+    rows = sets.select(F.explode("keys").alias("k"), "fp", "prints", *counts).select("k", "fp", "n", "shared", *[of(i).alias(w) for i, w in enumerate(words)])
 
     def found(cols: list[np.ndarray]) -> pa.RecordBatch:
-        k, fp, prints = cols[0], cols[1], np.stack(cols[2:], axis=1).view(np.uint64)
-        label = parts_of(k, prints)
+        k, fp, prints = cols[0], cols[1], np.stack(cols[4:], axis=1).view(np.uint64)
+        label = parts_of(k, prints, cols[2], cols[3])
         c = np.bincount(label, minlength=len(label))[label]
         lanes = np.flatnonzero(c > 1)
         lanes = lanes[np.argsort(label[lanes], kind="stable")]
@@ -340,7 +415,7 @@ def whole_sets(rows: DataFrame, firsts: DataFrame, wanted: DataFrame) -> DataFra
 
 
 def star_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of sets that are similar to the least one of a part."""
+    """Links of sets ``members(fp, least)`` that are similar to the ``least`` that they are given."""
     pairs = members.filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
     of = lambda name: sets.select(F.col("fp").alias(name), F.col("hashes").alias(f"of_{name}")).hint("merge")
 
@@ -379,15 +454,18 @@ def block_links(open_: DataFrame, sets: DataFrame, block: int) -> DataFrame:
 def components(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows ``doc_id, th, fp``, the least row ``first`` of each ``fp``, and the roots of those that link."""
     spark, paths, rows = docs.sparkSession, [], with_row_key(docs)
-    found = staged(marked_sets(rows, key_bits(docs.count())), "shingle-prints", paths)
+    count = docs.count()
+    found = staged(marked_sets(rows, key_bits(count)), "shingle-prints", paths)
+    shared = staged(shared_shingles(rows, min(65_536, count // COUNTED + 1)), "shared-shingles", paths)
     marked = staged(found.select("doc_id", "th", "fp"), "shingle-sets")
     firsts = staged(marked.groupBy("fp").agg(F.min(F.expr(ROW)).alias("first")), "distinct-sets")
-    prints = staged(found.select("fp", "prints", "keys").dropDuplicates(["fp"]), "distinct-prints", paths)
-    small_batches(spark, 20_000)  # rows of five numbers
+    may = found.join(shared.hint("merge"), "fp").filter(F.col("shared") * DEN >= F.col("n") * NUM)  # else no other set is similar
+    prints = staged(may.select("fp", "n", "shared", "prints", "keys").dropDuplicates(["fp"]), "distinct-prints", paths)
+    small_batches(spark, 20_000)  # rows of seven numbers
     members = staged(near_parts(prints), "near-parts", paths)
     small_batches(spark)
     sets = staged(whole_sets(rows, firsts, members.select("fp").distinct()), "candidate-sets", paths)
-    stars = staged(star_links(members, sets), "star-links", paths)
+    stars = staged(star_links(members.groupBy("fp").agg(F.min("least").alias("least")), sets), "star-links", paths)
     near = staged(connected_components(stars), "star-roots", paths)
     labelled = members.join(near.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("k", "fp", "c", F.coalesce("root", "fp").alias("label"))
     labelled = staged(labelled, "labels", paths)

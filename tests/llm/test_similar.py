@@ -140,3 +140,52 @@ def test_stage_on_odd_rows(spark, odd, nothing, tmp_path):
     ids = [r["doc_id"] for r in got if r["doc_id"] is not None]
     assert len(ids) == len(set(ids)) and 6 in ids and 7 not in ids and 8 in ids and 9 not in ids
     assert corpus_pipeline.near_dedup(spark, nothing, str(tmp_path)).count() == 0
+
+
+def near_group(rnd, copies, words=150, changed=3):
+    """Texts of one passage with some words of a small vocabulary put in: most pairs fall short of 0.8."""
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    passage, some, docs = [word() for _ in range(words)], [word() for _ in range(2)], []
+    for k in range(copies):
+        copy = list(passage)
+        for at in rnd.sample(range(words), changed):
+            copy[at] = rnd.choice(some)
+        docs.append((k, " ".join(copy)))
+    return docs
+
+
+def test_pairs_with_leasts_are_no_more_than_sets(spark, monkeypatch):
+    """Each table that finds a set names another least one; a set is compared with one of them, not with all."""
+    docs, seen, real = near_group(random.Random(5), 120), [], similar.star_links
+
+    def star_links(members, sets):
+        seen.append(members.filter("fp <> least").select("fp", "least").distinct().count())
+        return real(members, sets)
+
+    monkeypatch.setattr(similar, "star_links", star_links)
+    kept = similar.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id").collect()
+    assert 0 < seen[0] <= len({t for _, t in docs}) and sorted(r[0] for r in kept) == plain_kept(docs)
+
+
+def test_shared_shingles_and_the_bound_that_they_give(spark):
+    """Counts against sets, with copies and odd texts; sets mostly of their own shingles are in no part, whatever their bits."""
+    docs = near_group(random.Random(6), 30) + near_group(random.Random(7), 30, changed=6)
+    docs = [(i, t) for i, (_, t) in enumerate(docs * 2)] + [(900, None), (901, " "), (902, "a b"), (903, "A b"), (904, "a b c d e f")]
+    rows = similar.with_row_key(spark.createDataFrame(docs, "doc_id long, text string")).repartition(5)
+    sets = {}
+    for _, t in docs:
+        s = similar.shingles(t)
+        sets[similar.set_key(s)] = set(s.tolist())
+    count = {}
+    for s in sets.values():
+        for h in s:
+            count[h] = count.get(h, 0) + 1
+    wanted = {fp: n for fp, s in sets.items() if (n := sum(count[h] > 1 for h in s))}
+    for buckets in (1, 7):
+        assert {r.fp: r.shared for r in similar.shared_shingles(rows, buckets).collect()} == wanted
+    n, shared = np.array([100, 100, 85, 100]), np.array([100, 85, 85, 79])
+    pairs = {(i, j) for i in range(4) for j in range(i) if similar.possible(n[i : i + 1], shared[i : i + 1], n[j], shared[j])[0]}
+    assert pairs == {(2, 0), (2, 1)}
+    for many in (1, 60):  # short and long buckets
+        label = similar.parts_of(np.zeros(4 * many, np.int64), np.zeros((4 * many, 3), np.uint64), np.repeat(n, many), np.repeat(shared, many))
+        assert (label[: 3 * many] == 0).all() and label[3 * many :].tolist() == list(range(3 * many, 4 * many))
